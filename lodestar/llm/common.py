@@ -3,7 +3,6 @@ systems that executors can reach, and tolerant column handling."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.session import cut, shared_dir
+
 #: crc32(doc_id as text) mod FOLDS == HELD_OUT marks held-out rows.
 FOLDS, HELD_OUT = 5, 0
 
@@ -20,33 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is local (tests) a temporary folder
-    is made and set; on a cluster an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if found:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(found)
-        return found
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestar-"))
-    return context.getCheckpointDir()
-
-
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """A materialised side, broadcast if it has at most `most` rows; a larger
+    one is left to an ordinary join."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

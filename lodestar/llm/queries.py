@@ -8,10 +8,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, exact_dedup, packing, token_files
+from lodestar.llm import bpe, exact_dedup, langid, packing, pii, quality, simhash, token_files, warc, winnowing
 from lodestar.llm.common import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +27,38 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(read_table(spark, sf_dir, "documents"), VOCAB))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCAB, with_ids=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    return warc.listing(warc.read_archive(spark, folder))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_token_files, op6_packing)
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_bpe, op3_token_files, op4_language, op5_simhash, op6_packing, op7_warc, op8_winnowing, op9_quality, op10_pii)
 }
 
 ORACLES: dict[str, str] = {
@@ -44,4 +71,13 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages),
+        r AS (SELECT *, bytes >= 100 AND page_id <> min(page_id) OVER (PARTITION BY html) AS again,
+                     min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, bytes AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to
+        FROM r
+    """,
 }
