@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +33,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it by
+    PYTHONPATH or the working folder; once for each application."""
+    home = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    app = spark.sparkContext.applicationId
+    if home in known or app in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((home / "lodestar").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+_shipped: set[str] = set()
