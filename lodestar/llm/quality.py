@@ -6,7 +6,7 @@ damped frequencies, weighted by rarity, are reduced to `dims` latent dimensions
 by a singular value decomposition of the labelled sample. The sample's vectors
 (at most `sample` x `dims` numbers) are broadcast; every document's exact
 cosines with all of them are matrix products, block by block, and the `k`
-nearest vote with their similarity as weight.
+nearest vote, weighted by a power of their similarity.
 
 Learning takes at most `sample` labelled training rows, chosen by the hash of
 their id. Label, language, source and id are never inputs of a score.
@@ -29,9 +29,13 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import held_out
 
 SAMPLE, DIMS, NEIGHBOURS, THRESHOLD = 3000, 48, 15, 0.3
+#: Power of the similarity that weighs a neighbour's vote, so distant ones count little.
+SHARPNESS = 4
 BLOCK, SLICE = 256, 1 << 20
+#: Rows of the sample that a term must occur in to count.
+LEAST_ROWS = 3
 #: Marks that are a class each; other ASCII marks share one.
-MARKS = ".,!?%$&*#|\"'=:;-_/()[]{}<>@+"
+MARKS = ".,!?%$&*#|\"'"
 CLASSES = 8 + len(MARKS)
 REPEATS = 8
 TERMS = CLASSES**3 + REPEATS
@@ -55,7 +59,7 @@ CLASS_OF = _classes()
 
 def terms(data: bytes) -> np.ndarray:
     """Damped relative frequencies of a document's terms (length TERMS)."""
-    counts = np.zeros(TERMS)
+    counts = np.zeros(TERMS, np.float32)
     again = words = 0
     last = None
     at = 0
@@ -76,21 +80,28 @@ def terms(data: bytes) -> np.ndarray:
 
 
 class Latent:
-    """Rarity weights and the projection, from the sample's terms."""
-
-    def __init__(self, rows: np.ndarray, dims: int):
-        self.used = np.flatnonzero((rows > 0).any(0))
-        rows = rows[:, self.used]
-        self.weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.1
-        _, _, v = np.linalg.svd(self._unit(rows * self.weight), full_matrices=False)
-        self.axes = v[:dims].T.astype(np.float32)
+    """Rarity weights and the projection, from the sample's terms: `used` says
+    which terms the columns of `rows` are."""
+
+    def __init__(self, rows: np.ndarray, used: np.ndarray, dims: int):
+        self.used = used
+        self.weight = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.1).astype(np.float32)
+        x = self._unit(rows * self.weight)
+        # The leading right singular vectors, from the smaller of both Gram matrices.
+        if x.shape[1] <= x.shape[0]:
+            _, v = np.linalg.eigh(x.T @ x)
+            self.axes = v[:, ::-1][:, :dims].astype(np.float32)
+        else:
+            values, u = np.linalg.eigh(x @ x.T)
+            self.axes = (x.T @ u[:, ::-1][:, :dims] / np.sqrt(np.maximum(values[::-1][:dims], 1e-12))).astype(np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
-        return self._unit((rows[:, self.used] * self.weight).astype(np.float32) @ self.axes)
+        """Unit vectors of rows whose columns are the used terms."""
+        return self._unit((rows * self.weight) @ self.axes)
 
 
 def _term_rows(df: DataFrame) -> DataFrame:
@@ -100,9 +111,9 @@ def _term_rows(df: DataFrame) -> DataFrame:
         for batch in rows:
             found = [terms(t.as_py() or b"") for t in batch.column(0)]
             where = [np.flatnonzero(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.list_(pa.int32())), pa.array([f[w] for f, w in zip(found, where, strict=True)], pa.list_(pa.float64())), batch.column(1)], names=["at", "x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.list_(pa.int32())), pa.array([f[w] for f, w in zip(found, where, strict=True)], pa.list_(pa.float32())), batch.column(1)], names=["at", "x", "label"])
 
-    return df.mapInArrow(run, "at array<int>, x array<double>, label int")
+    return df.mapInArrow(run, "at array<int>, x array<float>, label int")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, dims: int = DIMS) -> tuple[Latent | None, np.ndarray, np.ndarray]:
@@ -112,15 +123,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.select(F.col(id_col).alias("i"))
     chosen = given.join(ids, "i", "left_semi").orderBy(F.xxhash64("i"), "i", "label").limit(sample)
     text = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    rows = _term_rows(text.join(F.broadcast(chosen), "i").select("t", "label")).limit(2 * sample).collect()
-    if not rows:
+    rows = _term_rows(text.join(F.broadcast(chosen), "i").select("t", "label")).limit(2 * sample).toArrow()
+    if not rows.num_rows:
         return None, np.zeros((0, dims), np.float32), np.zeros(0)
-    rows.sort(key=lambda r: (r["label"], r["at"], r["x"]))
-    matrix = np.zeros((len(rows), TERMS), np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, r["at"]] = r["x"]
-    latent = Latent(matrix, dims)
-    return latent, latent.vectors(matrix), np.array([r["label"] for r in rows], float)
+    at, x = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
+    seen = np.bincount(at.flatten().to_numpy(), minlength=TERMS)
+    used = np.flatnonzero(seen >= min(LEAST_ROWS, rows.num_rows))
+    column = np.full(TERMS, -1)
+    column[used] = np.arange(len(used))
+    row = np.repeat(np.arange(rows.num_rows), np.diff(at.offsets.to_numpy()))
+    place = column[at.flatten().to_numpy()]
+    matrix = np.zeros((rows.num_rows, len(used)), np.float32)
+    matrix[row[place >= 0], place[place >= 0]] = x.flatten().to_numpy()[place >= 0]
+    labels_of = rows.column("label").to_numpy().astype(float)
+    order = np.lexsort((*matrix.T[::-1][:8], matrix.sum(1), labels_of))  # the same in whatever order tasks end
+    matrix, labels_of = matrix[order], labels_of[order]
+    latent = Latent(matrix, used, dims)
+    return latent, latent.vectors(matrix), labels_of
 
 
 def _scores(texts: pa.Array, latent: Latent | None, vectors: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
@@ -129,10 +148,10 @@ def _scores(texts: pa.Array, latent: Latent | None, vectors: np.ndarray, labels:
     if latent is None or not len(texts):
         return np.full(len(texts), prior)
     near = min(k, len(labels))
-    own = latent.vectors(np.stack([terms(t.as_py() or b"") for t in texts]).astype(np.float32))
+    own = latent.vectors(np.stack([terms(t.as_py() or b"")[latent.used] for t in texts]))
     cosines = own @ vectors.T
     best = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
-    weight = np.maximum(np.take_along_axis(cosines, best, 1), 0).astype(float)
+    weight = np.maximum(np.take_along_axis(cosines, best, 1), 0).astype(float) ** SHARPNESS
     total = weight.sum(1)
     return np.clip(np.where(total > 0, (weight * labels[best]).sum(1) / np.maximum(total, 1e-12), prior), 0, 1)
 
