@@ -11,13 +11,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.session import cut, shared_dir
+from lodestar.functions.session import cut, shared_dir, ship
 
 #: crc32(doc_id as text) mod FOLDS == HELD_OUT marks held-out rows.
 FOLDS, HELD_OUT = 5, 0
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
