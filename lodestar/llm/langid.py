@@ -36,6 +36,8 @@ PER_LANGUAGE, WORDS, ROUNDS = 400, 20_000, 4
 LONGEST, SLICE = 8, 1 << 16
 #: Word scores that a worker remembers; when full, it starts anew.
 REMEMBERED = 200_000
+#: Words gathered before unknown ones are scored together.
+GATHERED = 200_000
 #: Weight of every piece besides its counts.
 SMOOTH = 1e-2
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,14 +63,37 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 
 class Pieces:
-    """Looks up the pieces that end at a place, for many words at once."""
+    """Looks up the pieces that end at a place, for many words at once: tables
+    of slots by the high bits of a hash; what meets a taken slot in one has its
+    slot in the next."""
+
+    BITS = 18
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
         self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
+        self.keys: list[np.ndarray] = []
+        self.index: list[np.ndarray] = []
+        left = [(self._hash(p), i) for i, p in enumerate(pieces)]
+        while left:
+            left = self._place(left)
+
+    def _slots(self, which: int, h: np.ndarray) -> np.ndarray:
+        turned = h if which == 0 else (h ^ (h >> np.uint64(31))) * (BASE + np.uint64(2 * which))
+        return (turned >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _place(self, given: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Fill a new table; returns what met a taken slot."""
+        slots = self._slots(len(self.keys), np.array([h for h, _ in given], np.uint64))
+        self.keys.append(np.zeros(1 << self.BITS, np.uint64))
+        self.index.append(np.full(1 << self.BITS, -1))
+        rest = []
+        for (h, i), k in zip(given, slots, strict=True):
+            if self.index[-1][k] < 0:
+                self.keys[-1][k], self.index[-1][k] = h, i
+            else:
+                rest.append((h, i))
+        return rest
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -87,8 +112,12 @@ class Pieces:
         """Index of the piece that covers i - length to i; n (a single letter
         outside the vocabulary) or n + 1 (no piece) where there is none."""
         h = prefix[:, i] - prefix[:, i - length] * self.powers[length]
-        k = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-        return np.where(self.sorted[k] == h, self.order[k], self.n if length == 1 else self.n + 1)
+        out = np.full(len(h), self.n if length == 1 else self.n + 1)
+        for which in range(len(self.keys)):
+            k = self._slots(which, h)
+            hit = (self.keys[which][k] == h) & (self.index[which][k] >= 0)
+            out = np.where(hit, self.index[which][k], out)
+        return out
 
 
 def log_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
@@ -165,7 +194,48 @@ def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "te
     return langs, pieces, np.stack(columns, 1) if columns else np.zeros((len(pieces) + 2, 0))
 
 
-_workers: dict[str, tuple] = {}
+class Scorer:
+    """A worker's model and the scores of the words it remembers."""
+
+    def __init__(self, langs: list[str], pieces: list[str], table: np.ndarray):
+        self.pieces, self.table = Pieces(pieces), table
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((REMEMBERED + GATHERED, len(langs)))
+
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores of each text, and whether it has a letter. Words of many
+        texts, or slices of one, are gathered before unknown ones are scored."""
+        total, some = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), bool)
+        gathered: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, text in enumerate(texts):
+            for words in _split(text.as_py() or ""):
+                if words:
+                    gathered.append((i, words))
+                    some[i] = True
+                    n += len(words)
+                    if n >= GATHERED:
+                        self._add(gathered, total)
+                        gathered, n = [], 0
+        self._add(gathered, total)
+        return total, some
+
+    def _add(self, gathered: list[tuple[int, list[str]]], total: np.ndarray) -> None:
+        missing = set().union(*(w for _, w in gathered)).difference(self.known)
+        if len(self.known) + len(missing) > len(self.scores):
+            self.known.clear()
+            missing = set().union(*(w for _, w in gathered))
+        if len(missing) > len(self.scores):  # one slice with more different words than are remembered
+            self.scores = np.zeros((len(missing), self.scores.shape[1]))
+        new, begin = list(missing), len(self.known)
+        if new:
+            self.scores[begin : begin + len(new)] = log_scores(self.pieces, self.table, new)
+            self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        for i, words in gathered:
+            total[i] += self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+
+
+_workers: dict[str, Scorer] = {}
 
 
 def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,37 +247,17 @@ def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], id_co
         langs = sent.value[0]
         if key not in _workers:
             _workers.clear()
-            _workers[key] = (Pieces(sent.value[1]), sent.value[2], {}, [np.zeros((0, len(langs)))])
-        pieces, table, known, scores = _workers[key]
+            _workers[key] = Scorer(*sent.value)
+        scorer = _workers[key]
         for batch in rows:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                names, posts = [], []
-                for text in part.column(1):
-                    total = np.zeros(len(langs))
-                    some = False
-                    for words in _split(text.as_py() or ""):
-                        missing = {w for w in words if w not in known}
-                        if missing:
-                            if len(known) + len(missing) > REMEMBERED:
-                                known.clear()
-                                scores[0] = np.zeros((0, len(langs)))
-                                missing = set(words)
-                            begin, missing = len(known), list(missing)
-                            if begin + len(missing) > len(scores[0]):
-                                scores[0] = np.concatenate([scores[0], np.zeros((max(4096, len(scores[0]), len(missing)), len(langs)))])
-                            scores[0][begin : begin + len(missing)] = log_scores(pieces, table, missing)
-                            known.update(zip(missing, range(begin, begin + len(missing)), strict=True))
-                        total += scores[0][list(map(known.__getitem__, words))].sum(0)
-                        some = some or bool(words)
-                    if some and langs:
-                        best = int(total.argmax())
-                        names.append(langs[best])
-                        posts.append(float(1 / np.exp(total - total[best]).sum()))
-                    else:
-                        names.append("und")
-                        posts.append(0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(posts, pa.float64())], names=["id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                total, some = scorer.totals(part.column(1))
+                best = total.argmax(1) if langs else np.zeros(len(total), int)
+                post = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(total))
+                some &= bool(langs)
+                names = [langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(np.where(some, post, 0.0))], names=["id", "lang_pred", "score"])
 
     kept = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
