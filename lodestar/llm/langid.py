@@ -127,7 +127,7 @@ def log_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarra
     for _, group in itertools.groupby(order, key=lambda i: len(words[i])):
         group = list(group)
         width = len(words[group[0]])
-        step = max(1, (1 << 20) // (width * table.shape[1]))
+        step = max(1, (1 << 20) // (width * max(1, table.shape[1])))
         for at in range(0, len(group), step):
             some = group[at : at + step]
             prefix = pieces.prefix_hashes(_codes([words[i] for i in some], width))

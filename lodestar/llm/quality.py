@@ -63,15 +63,16 @@ def terms(data: bytes) -> np.ndarray:
     again = words = 0
     last = None
     at = 0
-    while at < len(data):
-        part = data[at : at + SLICE]
-        c = CLASS_OF[np.frombuffer(part, np.uint8)]
-        counts[: CLASSES**3] += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3) if len(c) > 2 else 0
-        found = part.split()
+    while at < len(data):  # slices end after a blank where they can; each also sees two bytes before it
+        stop = len(data) if len(data) - at <= SLICE else data.rfind(b" ", at, at + SLICE) + 1 or at + SLICE
+        c = CLASS_OF[np.frombuffer(data[max(0, at - 2) : stop], np.uint8)]
+        if len(c) > 2:
+            counts[: CLASSES**3] += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+        found = data[at:stop].split()
         words += len(found)
         again += sum(map(bytes.__eq__, found, ([last] if last is not None else [b""]) + found[:-1])) if found else 0
         last = found[-1] if found else last
-        at += SLICE
+        at = stop
     if counts.any():
         counts = np.sqrt(counts / counts.sum())
     if words > 1:  # one of the last terms says how often words follow themselves
