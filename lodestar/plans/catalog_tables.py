@@ -128,7 +128,8 @@ NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 @query("SELECT median(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END) AS l_quantity, median(l_extendedprice) AS l_extendedprice FROM lineitem")
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")))
-    return preprocess.medians(item, ["l_quantity", "l_extendedprice"])
+    found = preprocess.medians(item, ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([tuple(found.values())], "l_quantity double, l_extendedprice double")
 
 
 @query("SELECT p_brand FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,8 +57,8 @@ class Manifest:
     def load(cls, spark: SparkSession, path: str) -> Manifest:
         text = spark.read.text(path, wholetext=True).first()[0]
         given = json.loads(text)
-        home = PurePosixPath(path).parent
-        where = lambda p: p if "://" in p or p.startswith("/") else f"{str(home).replace(':/', '://', 1) if '://' in path and '://' not in str(home) else home}/{p}"
+        home = path.rpartition("/")[0]
+        where = lambda p: p if "://" in p or p.startswith("/") else f"{home}/{p}"
         return cls(given["name"], {k: where(v) for k, v in given["splits"].items()}, given.get("episode_split", "test"))
 
     def read(self, spark: SparkSession, split: str) -> DataFrame:
