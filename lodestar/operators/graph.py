@@ -22,6 +22,8 @@ from lodestar.operators.components import connected_components
 
 #: Rows of one broadcast chunk, and finalists beyond r that are measured exactly.
 CHUNK, SLACK = 8192, 16
+#: Chunks after which the best so far are merged.
+MERGED = 16
 
 
 def nearest(df: DataFrame, r: int, key: str = "row_id", label: str = "label", vector: str = "x", metric: str = "euclidean", chunk: int = CHUNK) -> DataFrame:
@@ -39,6 +41,12 @@ def nearest(df: DataFrame, r: int, key: str = "row_id", label: str = "label", ve
         sent = df.sparkSession.sparkContext.broadcast((block.column("id").to_numpy(), np.array(block.column("of").to_pylist(), object), matrix(block.column("v"))))
         some = rows.mapInArrow(_against(sent, r, metric), "src long, dst long, label string, d2 double")
         found = some if found is None else found.unionByName(some)
+        if (part + 1) % MERGED == 0:  # keeps the plan and what is held short
+            found = cut(_best(found, r).drop("rank"))
+    return _best(found, r)
+
+
+def _best(found: DataFrame, r: int) -> DataFrame:
     top = Window.partitionBy("src").orderBy("d2", "dst")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= r)
 

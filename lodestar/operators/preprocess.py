@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from lodestar.operators.quantiles import exact_quantiles
 
+#: Categories of one column; each becomes an output column.
+MAX_CATEGORIES = 10_000
 SCALERS = ("robust", "standard", "minmax", "power", "quantile")
 
 
@@ -194,7 +196,9 @@ def vocabulary(df: DataFrame, column: str, fill: str | None, min_frequency: int
         everything = counted.limit(max_categories + 1).count()
         if everything > max_categories or min_frequency:
             kept = kept.orderBy(F.desc("n"), "value").limit(max_categories - 1 if everything > max_categories else max_categories)
-    values = sorted(r["value"] for r in kept.select("value").collect())
+    values = sorted(r["value"] for r in kept.select("value").limit(MAX_CATEGORIES + 1).collect())
+    if len(values) > MAX_CATEGORIES:
+        raise ValueError(f"{column} has over {MAX_CATEGORIES} categories; bound them")
     rare = bool(min_frequency or max_categories) and counted.join(kept, "value", "left_anti").limit(1).count() > 0
     return values, rare
 
