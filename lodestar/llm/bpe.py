@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 #: Characters of a text that are normalised and split at a time.
 SLICE = 1 << 16
 #: Words whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Symbols beyond the lookahead that are gathered before merging goes on.
 BLOCK = 256
 
