@@ -13,7 +13,8 @@ each worker and remembered, unknown ones together in array operations.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as
 is every text if there is nothing to learn from; ties go to the smaller name;
-rows with a null language teach nothing; an empty table gives an empty result.
+rows with a null language teach nothing; over MAX_LANGUAGES languages are an
+error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import held_out
+from lodestar.llm.common import cut, held_out, sized_broadcast
 
 PER_LANGUAGE, WORDS, ROUNDS = 400, 20_000, 4
+#: Languages that a model can hold; more are an error.
+MAX_LANGUAGES = 500
 #: Characters of the longest piece, and of a text split at a time.
 LONGEST, SLICE = 8, 1 << 16
 #: Word scores that a worker remembers; when full, it starts anew.
@@ -179,8 +182,10 @@ def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "te
     """Languages, pieces and the table of probabilities, from training rows."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
     ranked = labelled.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"))))
-    chosen = ranked.where(F.col("n") <= per_language).select("id", "lang").distinct()  # per_language rows of each language
-    sample = labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+    chosen = cut(ranked.where(F.col("n") <= per_language).select("id", "lang").distinct())  # per_language rows of each language
+    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages to learn")
+    sample = labelled.join(sized_broadcast(chosen, per_language * MAX_LANGUAGES), ["id", "lang"], "left_semi")
     each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= words).toPandas()
