@@ -205,3 +205,26 @@ def static_aggregate(episodes: DataFrame, means: list[str], sums: list[str]) ->
     as missing in means and as 0 in sums."""
     as_number = lambda c: F.col(c).try_cast("double")
     return episodes.agg(F.count(F.lit(1)).alias("episode_count"), *(F.avg(as_number(c)).alias(f"mean_{c}") for c in means), *(F.sum(F.coalesce(as_number(c), F.lit(0.0))).alias(f"sum_{c}") for c in sums))
+
+
+def significance(runs: DataFrame, keys: list[str], method: str, seed: str, value: str, ours: str) -> DataFrame:
+    """Each other method against `ours` on the same seeds: means, difference,
+    paired t and signed-rank p, seeds won, and the step-down adjusted p over the
+    family. A group holds one row for each seed."""
+    import pandas as pd
+
+    from lodestar.functions.statistics import paired_t, wilcoxon
+
+    mine = runs.where(F.col(method) == ours).select(*keys, seed, F.col(value).alias("_ours"))
+    pairs = runs.where(F.col(method) != ours).join(mine, [*keys, seed]).select(*keys, method, seed, "_ours", F.col(value).alias("_theirs"))
+    by = [*keys, method]
+
+    def test(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["_ours"].to_numpy(float), rows["_theirs"].to_numpy(float)
+        return pd.DataFrame([[*(rows[k].iloc[0] for k in by), a.mean(), b.mean(), a.mean() - b.mean(), paired_t(a, b)[1], wilcoxon(a, b), int((a > b).sum())]], columns=[*by, "ours", "theirs", "delta", "paired_t_p", "wilcoxon_p", "seeds_won"])
+
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in by)
+    tested = pairs.groupBy(*by).applyInPandas(test, f"{kinds}, ours double, theirs double, delta double, paired_t_p double, wilcoxon_p double, seeds_won long")
+    named = tested.withColumn("_key", F.concat_ws("|", *by))
+    adjusted = holm(named.select("_key", "paired_t_p"), "_key", "paired_t_p").select("_key", "holm_p", "significant")
+    return named.join(adjusted, "_key").drop("_key")

@@ -42,15 +42,21 @@ def bursts(df: DataFrame, label: str, key: str, sizes: list[int], seed: int = 0)
     return ranked.withColumn("burst", burst)
 
 
-def plan_sessions(labels: list[str], base_ratio: float, shuffle=None) -> tuple[list[str], list[str]]:
-    """Base and novel classes: at least one of each; `shuffle` orders the labels."""
+def plan_sessions(labels: list[str], base_ratio: float, shuffle=None, novel_order: str = "sorted") -> tuple[list[str], list[str]]:
+    """Base and novel classes: at least one of each; `shuffle` orders the labels
+    before they are parted, novel ones then come sorted or as they fell."""
     order = sorted(labels)
     if len(order) < 2:
         raise ValueError("needs two classes at least")
     if shuffle is not None:
         shuffle(order)
     n = min(max(int(len(order) * base_ratio), 1), len(order) - 1)
-    return sorted(order[:n]), order[n:]
+    return sorted(order[:n]), sorted(order[n:]) if novel_order == "sorted" else order[n:]
+
+
+def shots_of(rows: int, share: float, most: int) -> int:
+    """Support rows to take from a class of `rows`."""
+    return min(max(1, int(rows * share)), rows, most)
 
 
 def missing_labels(wanted: DataFrame, have: DataFrame, label: str = "label") -> DataFrame:

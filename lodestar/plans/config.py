@@ -13,7 +13,7 @@ class ModelConfig:
     map_kind: str = "rff"
     map_width: int = 512
     gamma: float | str = "knn-20"
-    seed: int = 0
+    seed: int = 42
     pre_whitening: bool = False
     post_whitening: bool = False
     neighbours: int = 5
@@ -52,11 +52,10 @@ class ModelConfig:
     local_affine: bool = False
     refresh: str = "single_pass"
     refresh_allowance: float | None = None
+    refresh_calibration: str = "support"
     validation_rows: int = 200
     decay: float = 0.0
     drop_below: float = 0.0
-    buffer_rows: int = 1000
-    pending_budget: int = 64
     max_classes: int = 1000
     warm_start: float = 0.0
     keep_chunks: bool = True
@@ -73,6 +72,7 @@ class ModelConfig:
         one_of("projection", "soft_null", "pca", "random")
         one_of("threshold", "quantile", "grid", "loco", "evt", "per_class", "per_prototype")
         one_of("refresh", "single_pass", "fixed_point", "off")
+        one_of("refresh_calibration", "support", "held")
         for name in ("map_width", "neighbours", "least_unit", "unit_rows", "projection_width", "bank_cap", "reservoir", "tail", "tiny_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} is at least 1")
@@ -97,12 +97,15 @@ ABLATIONS: dict[str, dict] = {
 @dataclass(frozen=True)
 class ExperimentConfig:
     model: ModelConfig = field(default_factory=ModelConfig)
-    base_ratio: float = 0.6
+    base_ratio: float = 0.5
     shots: int = 5
     support_share: float = 1.0
     class_seed: int = 42
-    random_order: bool = True
+    random_base: bool = True
+    novel_order: str = "sorted"
 
     def __post_init__(self):
         if not 0 < self.base_ratio < 1 or self.shots < 1 or not 0 < self.support_share <= 1:
             raise ValueError("base_ratio and support_share are shares, shots at least 1")
+        if self.novel_order not in ("sorted", "random"):
+            raise ValueError("novel_order is sorted or random")

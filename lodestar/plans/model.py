@@ -40,6 +40,7 @@ class Model:
     version: int = 0
     log: list[dict] = field(default_factory=list)
     exemplars: tuple[np.ndarray, list[str]] | None = None
+    held: DataFrame | None = None
 
     @property
     def classes(self) -> list[str]:
@@ -213,8 +214,9 @@ def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, la
     if over := admission.over_budget({"classes": len(bank.classes)}, {"classes": config.max_classes}):
         raise ValueError(f"over budget: {over}")
     model = Model(config, fitted, mapped, support, projection, bank, config.initial_tau)
-    rows = project(named(featurise(held, fitted, mapped, ids)), projection.matrix)
-    model = calibrated(model, cut(rows.drop("phi")))
+    kept = cut(named(featurise(held, fitted, mapped, ids)))
+    model = calibrated(model, cut(project(kept, projection.matrix).drop("phi")))
+    model.held = cut(admission.trim(kept, ["label"], config.reservoir, "latest", "row_id"))
     model.exemplars = _exemplars(support, config)
     return model
 
@@ -320,8 +322,10 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
             out = replace(out, projection=model.projection)
             z = cut(project(support, model.projection.matrix).drop("phi"))
             out.bank = Bank.of(prototypes.build(z, vector="z", weight="w", q=c.radius_quantile, fragile_below=c.fragile_below))
-    rows = cut(project(support.select(F.col("seq").alias("row_id"), "label", "phi"), out.projection.matrix).drop("phi"))
-    out = calibrated(out, rows)
+    source = support.select(F.col("seq").alias("row_id"), "label", "phi")
+    if c.refresh_calibration == "held" and model.held is not None:  # support only of classes that have no held rows
+        source = source.join(model.held.select("label").distinct(), "label", "left_anti").select("row_id", "label", "phi").unionByName(model.held.select("row_id", "label", "phi"))
+    out = calibrated(out, cut(project(source, out.projection.matrix).drop("phi")))
     out.log = model.log + [{"label": x, "status": "consolidated" if x in accepted else "blocked", "version": out.version} for x in touched]
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def run_sessions(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
     the session metrics; with a folder, writes both."""
     spark = train.sparkSession
     rng = random.Random(config.class_seed)
-    base, novel = splits.plan_sessions(labels_of(train, held, test), config.base_ratio, rng.shuffle if config.random_order else None)
+    base, novel = splits.plan_sessions(labels_of(train, held, test), config.base_ratio, rng.shuffle if config.random_base else None, config.novel_order)
     check_labels(train, held, base, novel)
     only_base = lambda df: df.where(F.col("label").isin(base))
     model = models.fit(only_base(train), only_base(held), config.model)
@@ -48,7 +49,9 @@ def run_sessions(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
     for session in range(len(novel) + 1):
         if session:
             label = novel[session - 1]
-            support = splits.support(train.where(F.col("label") == label), "label", "row_id", config.shots, config.class_seed + session).drop("rank")
+            rows = train.where(F.col("label") == label)
+            take = splits.shots_of(rows.count(), config.support_share, config.shots)
+            support = splits.support(rows, "label", "row_id", take, config.class_seed + session).drop("rank")
             model, outcome = models.admit(model, support)
             if config.model.refresh != "off":
                 model = models.refresh(model, support, now=float(session), force=(label,))
@@ -93,7 +96,7 @@ def run_ablation(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
     for arm, changes in ABLATIONS.items():
         try:
             model: ModelConfig = config.model.with_(**changes)
-            _, scored = run_sessions(train, held, test, ExperimentConfig(model, config.base_ratio, config.shots, config.support_share, config.class_seed, config.random_order))
+            _, scored = run_sessions(train, held, test, replace(config, model=model))
             rows.append((arm, "ok", metrics.run_metrics(scored).first()["os_hm"]))
         except (ValueError, KeyError) as error:
             rows.append((arm, str(error)[:200], None))

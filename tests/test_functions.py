@@ -92,3 +92,12 @@ def test_energy_is_a_soft_minimum():
     d = np.array([[1.0, 2.0, 3.0]])
     assert scoring.softmin(d, 0.01)[0] == pytest.approx(1.0, abs=1e-3)
     assert scoring.softmin(d, 1.0)[0] < 1.0
+
+
+def test_signed_rank_and_paired_t():
+    a = np.array([1.1, 2.3, 3.2, 4.8, 5.9, 7.1, 8.4, 9.2, 10.6, 11.9])
+    assert statistics.wilcoxon(a, a - np.arange(1, 11)) == pytest.approx(2 / 2**10)
+    assert statistics.wilcoxon(a, a) == 1.0 and statistics.wilcoxon(a, a - 1) < 0.01
+    t, p = statistics.paired_t(a, a - np.arange(1, 11) / 10)
+    assert t == pytest.approx(5.744563, abs=1e-5) and p == pytest.approx(0.000278, abs=1e-5)
+    assert statistics.paired_t(a, a) == (0.0, 1.0)

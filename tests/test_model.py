@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from lodestar.operators import admission, components, graph, metrics, prototypes
 from lodestar.plans import model as models
 from lodestar.plans import runner
+from lodestar.plans import presets
 from lodestar.plans.config import ExperimentConfig, ModelConfig
 from lodestar.sources import tables
 from lodestar.streaming.buffer import Buffer, bounded, start
 
-SMALL = ModelConfig(scaler="standard", map_width=16, projection_width=6, gamma="knn-10")
+SMALL = ModelConfig(scaler="standard", map_width=64, projection_width=16, gamma="knn-10", refresh_calibration="held")
 
 
 def planted(spark, classes=4, rows=200, width=6, seed=1):
@@ -60,6 +61,13 @@ def test_variants_fit_and_predict(spark, change):
     assert models.predict(fitted, test).count() == test.count() and np.isfinite(fitted.tau)
 
 
+@pytest.mark.parametrize("dataset", sorted(presets.TUNED))
+def test_presets_pin_the_model_seed_and_the_mode(dataset):
+    for config in (presets.fixed(43), presets.tuned(dataset, 43)):
+        assert config.model.seed == 42 and config.class_seed == 43 and config.model.mode == "min_distance"
+    assert presets.fixed(42).model.gamma == "knn-20" and presets.fixed(42).model.tau_quantile == 0.85
+
+
 def test_config_is_checked():
     for bad in ({"mode": "x", "scaler": "none"}, {"alpha": 0.0}, {"tiny_rows": 0}):
         with pytest.raises(ValueError):
