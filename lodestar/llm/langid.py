@@ -181,10 +181,14 @@ def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: i
 def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, words: int = WORDS) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, pieces and the table of probabilities, from training rows."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
-    ranked = labelled.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"))))
-    chosen = cut(ranked.where(F.col("n") <= per_language).select("id", "lang").distinct())  # per_language rows of each language
-    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
+    counts = cut(labelled.groupBy("lang").count())
+    if counts.count() > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages to learn")
+    # A hash thins each language to a few times what is taken, so that no task ranks all rows of a common one.
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / (1 << 32)
+    thinned = labelled.select("id", "lang").join(F.broadcast(counts), "lang").where(share * F.col("count") < 4 * per_language)
+    ranked = thinned.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    chosen = cut(ranked.where(F.col("n") <= per_language).select("id", "lang").distinct())  # per_language rows of each language
     sample = labelled.join(sized_broadcast(chosen, per_language * MAX_LANGUAGES), ["id", "lang"], "left_semi")
     each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
