@@ -4,14 +4,12 @@ systems that executors can reach, and tolerant column handling."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.session import cut, shared_dir, ship
+from lodestar.functions.session import cut, shared_dir, ship  # noqa: F401  (cut is handed on)
 
 #: crc32(doc_id as text) mod FOLDS == HELD_OUT marks held-out rows.
 FOLDS, HELD_OUT = 5, 0
@@ -50,10 +48,3 @@ def unique_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def batches(rows: Iterator[pa.RecordBatch], size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `size` rows, so a step's working set stays bounded."""
-    for batch in rows:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
