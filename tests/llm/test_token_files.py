@@ -56,8 +56,8 @@ def test_only_asked_frames_are_read_and_checked(tmp_path, monkeypatch):
             assert np.frombuffer(b"".join(reader.pieces(i)), "<u4").tolist() == ids
     body = bytearray((tmp_path / "f").read_bytes())
     # The whole is plain zstandard: any reader of the format gets all ids.
-    plain = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(bytes(body))
-    assert np.frombuffer(plain, "<u4").tolist() == [x for _, ids in docs for x in ids]
+    everything = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(bytes(body))
+    assert np.frombuffer(everything, "<u4").tolist() == [x for _, ids in docs for x in ids]
     reader.table = reader.table.copy()
     reader.table[0, 2] ^= 1
     reader.frame = -1
