@@ -144,7 +144,7 @@ def features(text: str, name: str, start: int, end: int) -> list[float]:
         len(span), len(digits), letters, len(groups), max(groups), min(groups), groups[0], groups[-1],
         *counts.values(),
         hexes / max(1, len(span)), float(-(values * np.log2(values)).sum()), float(12 <= len(digits) <= 19 and luhn(digits)),
-        float(len(digits) >= 8 and len(set(digits)) <= 2), float(head in "\"'="  and head != ""), float(head in "$€£#" and head != ""), float(head.isalnum()), float(after[:1] in "%$€" and after != ""),
+        float(len(digits) >= 8 and len(set(digits)) <= 2), float(head in "\"'="  and head != ""), float(head in "$€£#" and head != ""), float(head in ".,:" and head != ""), float(head.isalnum()), float(after[:1] in "%$€" and after != ""),
         *(float(any(w in known for w in words)) for known in CONTEXT.values()),
         *(float(name == n) for n in NAMES),
     ]
