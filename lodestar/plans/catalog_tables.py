@@ -176,7 +176,7 @@ def scale_quantile_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS v FROM orders)
-          SELECT o_orderkey, list_position(v, o_orderpriority) AS hot_at, 1.0 AS hot_sum FROM orders, v""")
+          SELECT o_orderkey, list_position(v, o_orderpriority) AS hot_at, CAST(1 AS DOUBLE) AS hot_sum FROM orders, v""")
 def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     fitted = preprocess.fit(rows.drop("o_orderkey"), preprocess.Schema("", (), ("o_orderpriority",), ("o_orderpriority",)))

@@ -321,7 +321,7 @@ def dual_space_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {BANK}, o AS (SELECT label, CASE WHEN label = '1' THEN 0.7 WHEN label = '2' THEN 1.9 WHEN label IN ('3', '4') THEN least(1.1, CASE label WHEN '3' THEN 0.88 ELSE 1.5 END) ELSE 1.1 END AS tau FROM pr) SELECT label, tau FROM o""")
+@query(f"""WITH {BANK}, o AS (SELECT label, CASE WHEN label = '1' THEN 0.7 WHEN label = '2' THEN 1.9 WHEN label IN ('3', '4') THEN least(1.1, CASE label WHEN '3' THEN 0.88 ELSE 1.5 END) ELSE 1.1 END AS tau FROM pr) SELECT label, CAST(tau AS DOUBLE) AS tau FROM o""")
 def tau_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bank(spark, sf_dir)
     b.status = ["fragile_stable" if x in ("3", "4") else s for x, s in zip(b.labels, b.status, strict=True)]
