@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 Generators of high recall propose spans that may overlap: the base patterns
-and wider ones (numbers in groups, long mixed strings, addresses spelled out,
+and wider ones (numbers in groups, mixed strings of 20 characters and more, addresses spelled out,
 account numbers, hexadecimal groups). Boosted trees judge each candidate by
 its format and its context, an isotonic map turns their margin into a
 probability, and of the candidates over the calibrated threshold those of
@@ -101,8 +101,10 @@ GENERATORS = (
     ("spelled", "email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?(?:dot|DOT) ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")),
     ("iban", "account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("parts", "account", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("mixed", "secret", re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,128}(?![A-Za-z0-9_/+=-])")),
+    ("mixed", "secret", re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}")),
 )
+#: What written secrets of 20 to 20000 characters are made of.
+MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/"
 NAMES = (*BASE_KINDS, *(g[0] for g in GENERATORS))
 #: Words that tell in a context, by what they speak for.
 CONTEXT = {
@@ -158,6 +160,7 @@ def _examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     word = lambda: letters(rng.randint(1, 9))
     part = lambda: str(rng.randint(0, 255))
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(rng.choices(MIXED, k=k))
 
     def checked(k: int) -> str:
         body = digits(k - 1)
@@ -179,6 +182,7 @@ def _examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         "iban": lambda: f"{rng.choice(['DE', 'FR', 'ES', 'GB'])}{digits(2)} {spaced(digits(16), ' ')} {digits(2)}",
         "parts": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "secret": lambda: rng.choice([hexes(40), hexes(32), hexes(64), hexes(40).upper(), "sk-" + hexes(24) + letters(8)]),
+        "long": lambda: rng.choice([hexes, mixed])(int(20 * 1000 ** rng.random())),
     }
     other = {
         "version": lambda: ".".join(str(rng.randint(0, 20)) for _ in range(rng.randint(2, 3))),
@@ -195,8 +199,9 @@ def _examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         "name": lambda: "-".join(letters(rng.randint(4, 8)) for _ in range(4)) + f"-{rng.randint(1, 99)}",
         "isbn": lambda: f"978-{rng.randint(0, 9)}-{digits(4)}-{digits(4)}-{digits(1)}",
         "path": lambda: f"{letters(6)}/{letters(7)}/{letters(8)}/{rng.randint(1, 99)}",
+        "slug": lambda: rng.choice("-_/").join(word() for _ in range(rng.randint(30, 200))) + f"-{rng.randint(1, 99)}",
     }
-    tells = {"phone": "contact", "phone2": "contact", "phone3": "contact", "email": "contact", "ip": "contact", "card": "money", "number": "money", "iban": "money", "parts": "money", "secret": "secret"}
+    tells = {"phone": "contact", "phone2": "contact", "phone3": "contact", "email": "contact", "ip": "contact", "card": "money", "number": "money", "iban": "money", "parts": "money", "secret": "secret", "long": "secret"}
     rows, labels = [], []
     for i in range(n):
         good = i % 2 == 0
@@ -209,7 +214,7 @@ def _examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             before += rng.choice(sorted(CONTEXT[tell])) + rng.choice([" ", ": ", " is ", " no. "])
         elif kind == "price" and rng.random() < 0.5:
             before += rng.choice("$€£")
-        elif kind == "secret":
+        elif kind in ("secret", "long"):
             before += rng.choice(["token", "key", "password", "api key"]) + rng.choice([" = \"", ": ", "='"])
         text = before + body + rng.choice(["", "\"", ".", "!!", "***"]) + " " + word()
         start, end = len(before), len(before) + len(body)
