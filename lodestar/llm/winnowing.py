@@ -3,9 +3,10 @@
 Words are hashed, runs of `k` words get a rolling (cyclic polynomial) hash, and
 of every `w` consecutive hashes the smallest is chosen, the rightmost of equal
 ones. A choice is kept once, with its position, so any run of w + k - 1 words
-that two texts share gives them a common entry. Hash and position share one
-long (hash in the high bits, falling position in the low ones): the smallest
-long is the rightmost smallest hash, and a window of 8 takes three passes.
+that two texts share gives them a common entry: three words at k = w = 2. Hash and
+position share one long (hash in the high bits, falling position in the low
+ones): the smallest long is the rightmost smallest hash, and a window of 8
+takes three passes.
 
 The next document is found without one global order: quantiles of the ids cut
 the table into `buckets` ranges, texts are dealt once by bucket and sorted
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import unique_name
 
-K, W = 5, 8
+K, W = 2, 2
 MAX_BUCKETS = 1 << 16
 LOW = (1 << 31) - 1
 
