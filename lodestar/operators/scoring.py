@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import matrix
@@ -21,6 +21,8 @@ from lodestar.operators.prototypes import Bank
 MODES = ("min_distance", "mahalanobis", "relative_mahalanobis", "energy", "ghost", "reciprocal", "hyperspherical", "evm", "knn")
 TIE, LEAST = 1e-12, 1e-12
 BLOCK = 1024
+#: Reference rows of one broadcast chunk, and chunks after which the best so far are merged.
+CHUNK, MERGED = 8192, 16
 
 
 @dataclass
@@ -182,6 +184,53 @@ def evaluate(x: np.ndarray, bank: Bank, rule: Rule) -> tuple[np.ndarray, np.ndar
     return score, at, of_class
 
 
+def nearest_references(df: DataFrame, reference: DataFrame, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = CHUNK) -> DataFrame:
+    """row_id, ref, label, d: the k nearest of all reference rows for each row,
+    ties by ref. The reference rows pass by in broadcast chunks."""
+    from lodestar.functions.session import cut
+
+    rows = cut(df.select(F.col(key).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v")))
+    refs = cut(reference.select(F.col(key).cast("long").alias("ref"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")))
+    parts = max(1, -(-refs.count() // chunk))
+    top = Window.partitionBy("row_id").orderBy("d", "ref")
+    best = lambda found: found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
+    found = None
+    for part in range(parts):
+        block = refs.where(F.pmod(F.xxhash64("ref"), F.lit(parts)) == part).toArrow()
+        sent = df.sparkSession.sparkContext.broadcast((block.column("ref").to_numpy(), block.column("label").to_pylist(), matrix(block.column("v"))))
+        some = rows.mapInArrow(_against(sent, k), "row_id long, ref long, label string, d double")
+        found = some if found is None else found.unionByName(some)
+        if (part + 1) % MERGED == 0:  # keeps the plan and what is held short
+            found = cut(best(found))
+    return best(found)
+
+
+def _against(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, points = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out = ([], [], [], [])
+                if len(ids):
+                    d = np.sqrt(squared(matrix(batch.column(1)), points))
+                    for row, own in zip(batch.column(0).to_pylist(), d, strict=True):
+                        near = np.flatnonzero(own <= np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1])
+                        for i in near[np.lexsort((ids[near], own[near]))][:k]:
+                            for column, value in zip(out, (row, int(ids[i]), labels[i], float(own[i])), strict=True):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=["row_id", "ref", "label", "d"])
+
+    return run
+
+
+def knn_vote(found: DataFrame) -> DataFrame:
+    """row_id, label, score: the most frequent label (then the smaller one) of
+    the nearest references and the distance of the furthest."""
+    votes = found.groupBy("row_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+    return votes.groupBy("row_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("d").alias("score"))
+
+
 def effective_tau(bank: Bank, tau: float, by_class: dict[str, float] | None = None) -> np.ndarray:
     """Each prototype's threshold: its class's, else its own fitted one, else
     the global one, which an override can lower unless it is stable."""

@@ -276,8 +276,8 @@ def score_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT * FROM nn WHERE r <= 5), vo AS (SELECT row_id, label, count(*) AS n FROM k GROUP BY row_id, label)
 SELECT row_id, arg_min(label, (-n, label)) AS label, (SELECT round(max(d), 6) FROM k WHERE k.row_id = vo.row_id) AS score FROM vo GROUP BY row_id""")
 def score_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training(spark, sf_dir).orderBy("row_id").limit(20_000).collect()  # the probe's reference rows, a bounded sample
-    return _scores(spark, sf_dir, scoring.Rule("knn", k=5, knn=(np.array([r["x"] for r in rows]), [r["label"] for r in rows])))
+    found = scoring.knn_vote(scoring.nearest_references(tested(spark, sf_dir), training(spark, sf_dir), 5))
+    return found.select("row_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SCORED}, e AS (SELECT row_id, p, exp(-pow(s / 1.2, 3)) AS e FROM sc) SELECT row_id, arg_max(p, e) AS label, round(1 - max(e), 6) AS score FROM e GROUP BY row_id")

@@ -23,6 +23,8 @@ from lodestar.operators.preprocess import Fitted
 from lodestar.operators.prototypes import Bank
 from lodestar.plans.config import ModelConfig
 
+#: Rows that an admission takes; more are an error.
+MAX_ADMITTED = 10_000
 SUPPORT = "unit_id string, label string, seq long, w double, t double, phi array<double>"
 
 
@@ -256,7 +258,10 @@ def admit(model: Model, df: DataFrame, label: str = "label", key: str = "row_id"
     """Provisional admission of a few labelled rows: one prototype for each
     chunk of `tiny_rows` of a class, if it keeps its distance from the other
     classes. Returns each class's outcome."""
-    rows = support_rows(model, df, label, key).orderBy("label", "row_id").limit(10_000).collect()
+    rows = support_rows(model, df, label, key).limit(MAX_ADMITTED + 1).collect()
+    if len(rows) > MAX_ADMITTED:
+        raise ValueError(f"over {MAX_ADMITTED} rows to admit; refresh takes them")
+    rows.sort(key=lambda r: (r["label"], r["row_id"]))
     out, bank, outcome = replace(model), model.bank, {}
     w, c = model.projection.matrix, model.config
     for name in sorted({r["label"] for r in rows}):
