@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.session import cut
+from lodestar.functions.vectors import matrix
 from lodestar.operators.prototypes import Bank
 
+#: Bytes of Gram matrices that are held at a time.
+GRAM_BYTES = 1 << 26
 TRIMS = ("latest", "head", "uniform", "leverage")
 
 
@@ -30,18 +37,74 @@ def trim(df: DataFrame, keys: list[str], most: int, how: str = "uniform", seq: s
 
 
 def _by_leverage(df: DataFrame, keys: list[str], most: int, seq: str, vector: str, seed: int) -> DataFrame:
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        if len(rows) <= most:
-            return rows
-        x = np.stack(rows[vector].to_numpy())
-        u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
-        weight = (u[:, s > 1e-10] ** 2).sum(1) + 1e-12
-        draw = np.random.default_rng(seed).random(len(rows)) ** (1 / weight)
-        return rows.iloc[np.sort(np.argsort(-draw, kind="stable")[:most])]
-
-    # A unit larger than this is thinned evenly first, so a task holds a bounded number of rows.
-    return trim(df, keys, 20 * most, "uniform", seq).groupBy(*keys).applyInPandas(pick, df.schema)
+    """Leverages come from the d x d Gram matrix of all rows of each unit that
+    is too large; matrices of at most GRAM_BYTES are broadcast at a time."""
+    rows = cut(df)
+    unit = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    over = sorted(r["unit"] for r in rows.groupBy(unit.alias("unit")).count().where(F.col("count") > most).collect())
+    if not over:
+        return rows
+    width = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()[0]
+    step = max(1, GRAM_BYTES // (8 * width * (width + 1)))
+    spark = df.sparkSession
+    named = lambda names: spark.createDataFrame([(x,) for x in names], "_unit string")
+    placed = rows.withColumn("_unit", unit)
+    out = placed.join(named(over), "_unit", "left_anti").select(*df.columns)
+    for at in range(0, len(over), step):
+        mine = placed.join(F.broadcast(named(over[at : at + step])), "_unit", "left_semi")
+        means = {u: s / n for u, (n, s, _) in _unit_sums(mine, vector, None).items()}
+        grams = {u: g for u, (_, _, g) in _unit_sums(mine, vector, means).items()}
+        sent = spark.sparkContext.broadcast({u: (means[u], _inverse_root(g)) for u, g in grams.items()})
+        weighed = mine.withColumn("_weight", _weights(sent)(F.col("_unit"), F.col(vector).cast("array<double>")))
+        share = (F.pmod(F.xxhash64(F.lit(seed), F.col(seq)), F.lit(1 << 32)) + 0.5) / (1 << 32)
+        top = Window.partitionBy("_unit").orderBy(F.desc(F.log(share) / F.col("_weight")), seq)
+        out = out.unionByName(weighed.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).select(*df.columns))
+    return out
+
+
+def _unit_sums(rows: DataFrame, vector: str, means: dict[str, np.ndarray] | None) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sum and, with means, Gram matrix about the mean of each unit."""
+    sent = rows.sparkSession.sparkContext.broadcast(means)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, x = np.array(batch.column(0).to_pylist(), object), matrix(batch.column(1))
+            for u in set(units):
+                own = x[units == u]
+                away = own - sent.value[u] if sent.value else own[:0]
+                part = [float(len(own)), own.sum(0), away.T @ away]
+                held[u] = [a + b for a, b in zip(held[u], part, strict=True)] if u in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.float64()), pa.array([v[1].tolist() for v in held.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() if sent.value else [] for v in held.values()], pa.list_(pa.float64()))], names=["u", "n", "s", "g"])
+
+    found: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
+    for r in rows.select("_unit", F.col(vector).cast("array<double>")).mapInArrow(run, "u string, n double, s array<double>, g array<double>").toLocalIterator():
+        part = (r["n"], np.array(r["s"]), np.array(r["g"]))
+        found[r["u"]] = tuple(a + b for a, b in zip(found[r["u"]], part, strict=True)) if r["u"] in found else part
+    return {u: (n, s, g.reshape(len(s), len(s)) if means else g) for u, (n, s, g) in found.items()}
+
+
+def _inverse_root(gram: np.ndarray) -> np.ndarray:
+    """Columns that turn a centred row into its coordinates of unit spread;
+    directions without spread are left out."""
+    values, axes = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > max(1e-20, 1e-13 * max(values[-1], 0.0))
+    return axes[:, keep] / np.sqrt(values[keep])
+
+
+def _weights(sent):
+    @F.pandas_udf("double")
+    def weigh(units: pd.Series, rows: pd.Series) -> pd.Series:
+        out, x = np.zeros(len(rows)), np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, 0))
+        for u in set(units):
+            at = (units == u).to_numpy()
+            mean, root = sent.value[u]
+            out[at] = (((x[at] - mean) @ root) ** 2).sum(1) + 1e-12
+        return pd.Series(out)
+
+    return weigh
 
 
 def decayed(df: DataFrame, now: float, rate: float, drop_below: float, weight: str = "w", time: str = "t") -> DataFrame:

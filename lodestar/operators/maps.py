@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.session import cut
 from lodestar.functions.vectors import matrix
 from lodestar.operators.splits import shuffled
 
@@ -150,28 +151,79 @@ def landmark_allocation(sizes: dict[str, int], n: int) -> dict[str, int]:
     return out
 
 
-def supervised_landmarks(df: DataFrame, n: int, key: str = "row_id", label: str = "label", vector: str = "x", rows: int = 20_000, seed: int = 0) -> np.ndarray:
+def supervised_landmarks(df: DataFrame, n: int, key: str = "row_id", label: str = "label", vector: str = "x", seed: int = 0) -> np.ndarray:
     """Rows nearest to the centres of a k-means in each class, without repeats,
-    filled up in shuffled order; on at most `rows` rows."""
-    picked = df.select(F.col(key).alias("k"), F.col(label).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v")).orderBy(shuffled(F.col("k"), seed), "k").limit(rows).toArrow()
-    x, of = matrix(picked.column("v")), np.array(picked.column("c").to_pylist(), object)
-    sizes = {c: int((of == c).sum()) for c in sorted(set(of))}
-    chosen: list[int] = []
-    for c, k in landmark_allocation(sizes, min(n, len(x))).items():
-        own = np.flatnonzero(of == c)
-        centers = x[own[:k]].copy()
-        for _ in range(20 * bool(k)):
-            at = ((x[own][:, None] - centers) ** 2).sum(2).argmin(1)
-            moved = np.array([x[own[at == i]].mean(0) if (at == i).any() else centers[i] for i in range(k)])
-            if np.allclose(moved, centers):
-                break
-            centers = moved
-        for center in centers:
-            i = own[((x[own] - center) ** 2).sum(1).argmin()]
-            if i not in chosen:
-                chosen.append(int(i))
-    chosen += [i for i in range(len(x)) if i not in set(chosen)][: max(0, min(n, len(x)) - len(chosen))]
-    return x[chosen]
+    filled up in shuffled order. Sizes and centres are of all rows: each round
+    is a pass that adds up the rows of each centre."""
+    rows = cut(df.select(F.col(key).alias("k"), F.col(label).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v"), shuffled(F.col(key), seed).alias("o")))
+    sizes = {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()}
+    n = min(n, sum(sizes.values()))
+    wanted = {c: k for c, k in landmark_allocation(sizes, n).items() if k}
+    if not wanted:
+        return np.zeros((0, 0))
+    most = F.broadcast(df.sparkSession.createDataFrame(list(wanted.items()), "c string, most long"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("o", "k"))).where(F.col("r") <= max(wanted.values())).join(most, "c").where("r <= most")
+    centers: dict[str, np.ndarray] = {}
+    for r in sorted(first.collect(), key=lambda r: r["r"]):
+        centers[r["c"]] = np.vstack([*([centers[r["c"]]] if r["c"] in centers else []), np.array(r["v"])[None, :]])
+    moving = set(centers)
+    for _ in range(20):
+        found = _around(rows.where(F.col("c").isin(sorted(moving))), {c: centers[c] for c in moving}, False)
+        for c in sorted(moving):
+            moved = np.array([found[c, i][1] / found[c, i][0] if (c, i) in found else m for i, m in enumerate(centers[c])])
+            if np.allclose(moved, centers[c]):
+                moving.discard(c)
+            else:
+                centers[c] = moved
+        if not moving:
+            break
+    nearest = _around(rows, centers, True)
+    chosen: dict[str, np.ndarray] = {}
+    for c in wanted:
+        for i in range(len(centers[c])):
+            _, v, o = nearest[c, i]
+            chosen.setdefault(o, v)
+    for r in rows.orderBy("o", "k").limit(2 * n).collect() if len(chosen) < n else []:
+        if len(chosen) < n:
+            chosen.setdefault(r["o"], np.array(r["v"]))
+    return np.array(list(chosen.values()))
+
+
+def _around(rows: DataFrame, centers: dict[str, np.ndarray], nearest: bool) -> dict[tuple[str, int], tuple]:
+    """By class and centre: count and sum of the rows closest to it, or the
+    distance, vector and order mark of the row nearest to it."""
+    sent = rows.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], tuple] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                of, x, marks = np.array(batch.column(0).to_pylist(), object), matrix(batch.column(1)), batch.column(2).to_pylist()
+                for c in {c for c in of if c in sent.value}:
+                    own = np.flatnonzero(of == c)
+                    d = np.stack([((x[own] - m) ** 2).sum(1) for m in sent.value[c]], 1)
+                    for i in range(d.shape[1]):
+                        if nearest:
+                            j = min(np.flatnonzero(d[:, i] == d[:, i].min()), key=lambda j: marks[own[j]])
+                            part = (float(d[j, i]), x[own[j]], marks[own[j]])
+                            held[c, i] = min(held.get((c, i), part), part, key=lambda p: (p[0], p[2]))
+                        else:
+                            mine = own[d.argmin(1) == i]
+                            if len(mine):
+                                count, total, _ = held.get((c, i), (0.0, 0.0, ""))
+                                held[c, i] = (count + len(mine), total + x[mine].sum(0), "")
+        keys, parts = list(held), list(held.values())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([p[0] for p in parts], pa.float64()), pa.array([p[1].tolist() for p in parts], pa.list_(pa.float64())), pa.array([p[2] for p in parts], pa.string())], names=["c", "i", "n", "v", "o"])
+
+    out: dict[tuple[str, int], tuple] = {}
+    for r in rows.select("c", "v", "o").mapInArrow(run, "c string, i int, n double, v array<double>, o string").toLocalIterator():
+        at, part = (r["c"], r["i"]), (r["n"], np.array(r["v"]), r["o"])
+        if at not in out:
+            out[at] = part
+        else:
+            out[at] = min(out[at], part, key=lambda p: (p[0], p[2])) if nearest else (out[at][0] + part[0], out[at][1] + part[1], "")
+    return out
 
 
 def whitening(within: np.ndarray, n: float, epsilon: float = 1e-10) -> np.ndarray:

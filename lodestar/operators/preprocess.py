@@ -12,6 +12,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,28 +100,61 @@ def _ratio(x: float) -> float:
     return x if x and not math.isnan(x) else 1.0
 
 
-def _power_fit(values: np.ndarray) -> float:
-    """Maximum-likelihood exponent of the Yeo-Johnson transform by golden section."""
-    logs = np.sign(values) * np.log1p(np.abs(values))
-
-    def cost(lam: float) -> float:
-        y = power(values, lam)
-        spread = y.var()
-        return math.inf if spread <= 0 else len(y) / 2 * math.log(spread) - (lam - 1) * logs.sum()
-
-    low, high, gold = -4.0, 6.0, (math.sqrt(5) - 1) / 2
-    a, b = high - gold * (high - low), low + gold * (high - low)
-    fa, fb = cost(a), cost(b)
-    while high - low > 1e-7:
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - gold * (high - low)
-            fa = cost(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + gold * (high - low)
-            fb = cost(b)
-    return (low + high) / 2
+def _power_fits(df: DataFrame, points: int = 16) -> dict[str, float]:
+    """Maximum-likelihood exponents of the Yeo-Johnson transform: each pass
+    over all rows adds up the likelihood at points of each column's bracket,
+    which then narrows to the neighbours of the best one."""
+    names = df.columns
+    brackets = {c: (-4.0, 6.0) for c in names}
+    while max(high - low for low, high in brackets.values()) > 1e-7:
+        tried = {c: np.linspace(low, high, 2 * points + 1) for c, (low, high) in brackets.items()}
+        sums: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        for r in df.mapInArrow(_power_sums([tried[c] for c in names]), "c int, i int, n double, mean double, m2 double, logs double").toLocalIterator():
+            key = r["c"], r["i"]
+            sums[key] = _merged(sums.get(key), (r["n"], r["mean"], r["m2"], r["logs"]))
+        for j, c in enumerate(names):
+            lams = tried[c]
+            cost = [_power_cost(sums.get((j, i)), lam) for i, lam in enumerate(lams)]
+            best = int(np.argmin(cost)) if np.isfinite(cost).any() else points
+            brackets[c] = (float(lams[max(0, best - 1)]), float(lams[min(len(lams) - 1, best + 1)]))
+    return {c: (low + high) / 2 for c, (low, high) in brackets.items()}
+
+
+def _merged(a: tuple[float, float, float, float] | None, b: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """Count, mean, squared departures and sum of logs of two parts together."""
+    if a is None:
+        return b
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n, a[3] + b[3]
+
+
+def _power_cost(sums: tuple[float, float, float, float] | None, lam: float) -> float:
+    if sums is None or not (np.isfinite(sums).all() and sums[2] > 0):
+        return math.inf
+    n, _, m2, logs = sums
+    return n / 2 * math.log(m2 / n) - (lam - 1) * logs
+
+
+def _power_sums(tried: list[np.ndarray]):
+    def run(batches):
+        sums: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for j, lams in enumerate(tried):
+                    x = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
+                    x = x[np.isfinite(x)]
+                    if not len(x):
+                        continue
+                    logs = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                    for i, lam in enumerate(lams):
+                        y = power(x, lam)
+                        mean = float(y.mean())
+                        sums[j, i] = _merged(sums.get((j, i)), (float(len(x)), mean, float(((y - mean) ** 2).sum()), logs))
+        keys = list(sums)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([sums[k][v] for k in keys], pa.float64()) for v in range(4))]
+        yield pa.RecordBatch.from_arrays(columns, names=["c", "i", "n", "mean", "m2", "logs"])
+
+    return run
 
 
 def power(x: np.ndarray, lam: float) -> np.ndarray:
@@ -138,10 +172,10 @@ def power_column(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int = 1000, sample: int = 100_000, min_frequency: int | None = None, max_categories: int | None = None) -> Fitted:
+def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int = 1000, min_frequency: int | None = None, max_categories: int | None = None) -> Fitted:
     """One pass of aggregates for the numbers, one count for each categorical
-    column. `power` searches its exponent on at most `sample` rows, chosen by
-    hash; `quantile` takes its references within a tenth of their spacing."""
+    column. `power` searches its exponent in passes over all rows;
+    `quantile` takes its references within a tenth of their spacing."""
     if scaler not in SCALERS:
         raise ValueError(f"unknown scaler {scaler!r}")
     if not schema.numeric and not schema.categorical:
@@ -154,9 +188,7 @@ def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int
             steps = [i / (references - 1) for i in range(references)]
             out.quantiles = filled.agg(*(F.percentile_approx(c, steps, 10 * references).alias(c) for c in schema.numeric)).first().asDict()
         elif scaler == "power":
-            rows = filled.orderBy(F.xxhash64(*schema.numeric), *schema.numeric).limit(sample).toPandas()
-            for c in schema.numeric:
-                out.lam[c] = _power_fit(rows[c].to_numpy(float))
+            out.lam = _power_fits(filled)
             moved = filled.select(*(power_column(F.col(c), out.lam[c]).alias(c) for c in schema.numeric))
             _standard(moved, out)
         elif scaler == "standard":
