@@ -141,8 +141,9 @@ def affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pa_inn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.plans.model import _augmented
 
-    few = vectors(spark, sf_dir).where("row_id < 60").select("row_id", "label", F.col("x").alias("phi"))
-    return _augmented(few, 12, 7).groupBy("label").agg(F.count(F.lit(1)).alias("drawn"))
+    rows = vectors(spark, sf_dir).select("row_id", "label", F.col("x").alias("phi"))
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # every smaller class is filled up to it
+    return _augmented(rows, largest, 7).groupBy("label").agg(F.count(F.lit(1)).alias("drawn"))
 
 
 @query("SELECT event_id, user_id, value FROM events ORDER BY event_id DESC LIMIT 200")
