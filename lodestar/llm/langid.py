@@ -35,8 +35,8 @@ from lodestar.llm.common import cut, held_out, sized_broadcast
 PER_LANGUAGE, WORDS, ROUNDS = 400, 20_000, 4
 #: Languages that a model can hold; more are an error.
 MAX_LANGUAGES = 500
-#: Characters of the longest piece, and of a text split at a time.
-LONGEST, SLICE = 8, 1 << 16
+#: Characters that a piece can have (more are an error), and of a text split at a time.
+LONGEST, SLICE = 64, 1 << 16
 #: Word scores that a worker remembers; when full, it starts anew.
 REMEMBERED = 200_000
 #: Words gathered before unknown ones are scored together.
@@ -56,8 +56,10 @@ def read_pieces(path: str) -> list[str]:
                 text = base64.b64decode(line.split()[0]).decode().strip().lower()
             except (UnicodeDecodeError, IndexError):
                 continue
-            if 0 < len(text) <= LONGEST and text.isalpha():
+            if text.isalpha():
                 found.add(text)
+    if max(map(len, found), default=0) > LONGEST:
+        raise ValueError(f"a piece has over {LONGEST} letters")
     return sorted(found)
 
 
@@ -74,7 +76,8 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         self.keys: list[np.ndarray] = []
         self.index: list[np.ndarray] = []
         left = [(self._hash(p), i) for i, p in enumerate(pieces)]
@@ -136,8 +139,8 @@ def log_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarra
             prefix = pieces.prefix_hashes(_codes([words[i] for i in some], width))
             alphas, logs = [np.ones((len(some), table.shape[1]))], np.zeros((len(some), table.shape[1]))
             for i in range(1, width + 1):
-                alphas.append(sum(alphas[-length] * table[pieces.at(prefix, i, length)] for length in range(1, min(LONGEST, i) + 1)))
-                alphas = alphas[-LONGEST:]
+                alphas.append(sum(alphas[-length] * table[pieces.at(prefix, i, length)] for length in range(1, min(pieces.longest, i) + 1)))
+                alphas = alphas[-pieces.longest:]
                 if i % 16 == 0:  # keeps long words within the range of doubles
                     scale = alphas[-1]
                     logs += np.log(scale)
@@ -158,16 +161,16 @@ def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: i
         width = len(words[group[0]])
         if width <= 32:  # longer words teach nothing that shorter ones do not
             prefix = pieces.prefix_hashes(_codes([words[i] for i in group], width))
-            prepared.append((width, counts[group], {(i, k): pieces.at(prefix, i, k) for i in range(1, width + 1) for k in range(1, min(LONGEST, i) + 1)}))
+            prepared.append((width, counts[group], {(i, k): pieces.at(prefix, i, k) for i in range(1, width + 1) for k in range(1, min(pieces.longest, i) + 1)}))
     for _ in range(rounds):
         seen = np.zeros(n + 2)
         for width, weight, found in prepared:
             forward = [np.ones(len(weight))]
             for i in range(1, width + 1):
-                forward.append(sum(forward[i - k] * p[found[i, k]] for k in range(1, min(LONGEST, i) + 1)))
+                forward.append(sum(forward[i - k] * p[found[i, k]] for k in range(1, min(pieces.longest, i) + 1)))
             backward = [np.ones(len(weight))]
             for i in range(width - 1, -1, -1):
-                backward.append(sum(backward[width - i - k] * p[found[i + k, k]] for k in range(1, min(LONGEST, width - i) + 1)))
+                backward.append(sum(backward[width - i - k] * p[found[i + k, k]] for k in range(1, min(pieces.longest, width - i) + 1)))
             backward.reverse()
             share = weight / np.maximum(forward[width], 1e-300)
             for (i, k), where in found.items():
