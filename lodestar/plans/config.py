@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
+#: Modes for which a model fits all that the scorer needs.
+FITTED_MODES = ("min_distance", "energy", "reciprocal", "hyperspherical", "evm")
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     """Defaults are the deployed configuration."""
@@ -70,6 +74,7 @@ class ModelConfig:
         one_of("residual", "drop", "preserve", "merge")
         one_of("trim", "latest", "head", "uniform", "leverage")
         one_of("projection", "soft_null", "pca", "random")
+        one_of("mode", *FITTED_MODES)
         one_of("threshold", "quantile", "grid", "loco", "evt", "per_class", "per_prototype")
         one_of("refresh", "single_pass", "fixed_point", "off")
         one_of("refresh_calibration", "support", "held")

@@ -50,7 +50,7 @@ class Model:
 
     def rule(self) -> scoring.Rule:
         c = self.config
-        return scoring.Rule(mode=c.mode, temperature=c.temperature, tie_break=c.tie_break, penalty=c.penalty, weibull=self.weibull, precision=np.eye(self.projection.matrix.shape[1]) if c.mode in ("mahalanobis", "relative_mahalanobis") else np.ones(self.projection.matrix.shape[1]))
+        return scoring.Rule(mode=c.mode, temperature=c.temperature, tie_break=c.tie_break, penalty=c.penalty, weibull=self.weibull)
 
 
 def featurise(df: DataFrame, fitted: Fitted, mapped: Map, keep: tuple[str, ...]) -> DataFrame:
