@@ -2,16 +2,25 @@
 
 The vocabulary file is a public `tokenizers` JSON (BPE with word ends, byte
 level); its path is a parameter. A document passes through in slices that end
-before white space, so normalisation and splitting need no more than a slice.
+before white space, so normalisation and splitting need no more than a slice;
+where no white space comes, slices end before a character that no composition
+reaches back from, and the word that stands open goes on in the next slice.
 Inside a word, merging can reach back only as far as a chain of merges of
 falling rank can carry information from right to left. The longest such chain,
 computed once from the merge list, is the sufficient lookahead: a token that
 ends at least that many symbols before the known end of the word is final and
 is emitted. So even a word of millions of letters is held a window at a time.
 
+What counts as a letter, numeral or white space is asked of the library's own
+splitter, and texts beyond Latin-1 are normalised by its own normaliser, so
+that both follow the Unicode tables that the library was built with.
+
 Defined cases: a null text counts as empty (no tokens, empty decoded text);
-special tokens that stand in a text become their ids, as in the library;
-repeated rows give repeated results; an empty table gives an empty result.
+special tokens that stand in a text become their ids, as in the library; a text
+of any length is encoded whole, with or without blanks (only an unbroken run of
+combining marks, which normalisation orders as one, is held as a whole);
+repeated rows give repeated results; other columns may have any name and are
+not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,31 +43,82 @@ from pyspark.sql import functions as F
 
 #: Characters of a text that are normalised and split at a time.
 SLICE = 1 << 16
-#: Words whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 600_000
+#: Bytes of words and their ids, roughly, that a worker remembers; when full, it
+#: starts anew. Words of over LONG characters are never remembered.
+REMEMBERED, LONG = 128 << 20, 256
 #: Symbols beyond the lookahead that are gathered before merging goes on.
-BLOCK = 256
+BLOCK = 2048
 
 #: Suffixes that the public vocabulary file's splitting rule parts
-#: from words, and white space (Unicode's property White_Space).
+#: from words.
 SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPACE = re.compile(r"[ \n]")
+BLANKS = " \n\t\r"
 
 
-@functools.cache
-def word_pattern(narrow: bool) -> re.Pattern[str]:
-    """Suffixes, letter runs, single numerals, runs of anything else but white
-    space. The classes come from the Unicode data that Python has; `narrow` is
-    for texts within U+00FF, where they stay small and so fast."""
+def _ranges(points: Iterable[int]) -> str:
+    """Rising code points as the inside of a character class."""
+    runs = ([c for _, c in g] for _, g in itertools.groupby(enumerate(points), lambda x: x[1] - x[0]))
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
 
-    def ranges(major: str) -> str:
-        inside = [c for c in range(0x100 if narrow else sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == major]
-        runs = [[c for _, c in g] for _, g in itertools.groupby(enumerate(inside), lambda x: x[1] - x[0])]
-        return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+class Splitter:
+    """Normalisation and words as the library has them: suffixes, letter runs,
+    single numerals, runs of anything else but white space."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalise = library.normalizer.normalize_str
+        letters, numerals, others = self._classes(library.pre_tokenizer.pre_tokenize_str)
+        words = lambda most: re.compile("|".join([*SUFFIXES, f"[{_ranges(c for c in letters if c < most)}]+", f"[{_ranges(c for c in numerals if c < most)}]", f"[{_ranges(c for c in others if c < most)}]+"]))
+        self.narrow, self.wide = words(0x100), words(sys.maxunicode + 1)
+        self.runs = [re.compile(f"[{_ranges(c)}]+") for c in (letters, others)]
+
+    @staticmethod
+    def _classes(split) -> tuple[list[int], list[int], list[int]]:
+        """Letters, numerals, all else but white space: the splitter is given
+        every code point in order, and what it leaves together is of one class."""
+        points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+        found: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for _, (start, end) in split("".join(map(chr, points))):
+            c = chr(points[start])
+            kind = 0 if len(split("a" + c)) == 1 else 2 if len(split("." + c)) == 1 else 1
+            found[kind].extend(points[start:end])
+        return found
+
+    def normal(self, text: str) -> tuple[str, bool]:
+        """The normalised text and whether it lies within Latin-1."""
+        if text.isascii():
+            return text.lower(), True
+        try:
+            text.encode("latin-1")
+            return text.lower(), True
+        except UnicodeEncodeError:
+            return self.normalise(text), False
+
+    def words(self, text: str) -> list[str]:
+        text, narrow = self.normal(text)
+        return (self.narrow if narrow else self.wide).findall(text)
 
-    letters, numerals = ranges("L"), ranges("N")
-    return re.compile("|".join([*SUFFIXES, f"[{letters}]+", f"[{numerals}]", f"[^{WHITE}{letters}{numerals}]+"]))
+
+@functools.lru_cache(maxsize=2)
+def splitter(path: str) -> Splitter:
+    return Splitter(path)
+
+
+@functools.cache
+def safe_start() -> re.Pattern[str]:
+    """A character before which a text can be cut: no composition or ordering of
+    marks reaches back from it. ASCII, and letters that are not the second part
+    of a composed character."""
+    seconds = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals of Hangul syllables
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            seconds.add(int(parts[1], 16))
+    letters = (c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L" and not unicodedata.combining(chr(c)) and c not in seconds)
+    return re.compile(f"[\\x00-\\x7f{_ranges(letters)}]")
 
 
 def byte_letters() -> list[str]:
@@ -154,29 +214,49 @@ class Merges:
     def transduce(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one word given byte by byte; each is emitted once no
         further byte can change it."""
-        held: list[int] = []
-        known: list[int] = []
-        for byte in data:
-            if known:
-                held.append(self.inner[known.pop()])
-            known.append(byte)
-            if len(held) >= self.lookahead + BLOCK:
-                at, stable = 0, len(held) - self.lookahead
-                for token in self.merge(list(held)):
-                    if at + self.width(token) > stable:
-                        break
-                    at += self.width(token)
-                    yield token
-                held = held[at:]
-        if known:
-            held.append(self.final[known.pop()])
-        yield from self.merge(held)
+        window = Window(self)
+        data = iter(data)
+        while part := bytes(itertools.islice(data, BLOCK)):
+            yield from window.feed(part)
+        yield from window.close()
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
         if len(data) > self.lookahead:
-            return tuple(self.transduce(data))
-        return tuple(self.merge([self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]))
+            return list(self.transduce(data))
+        return self.merge([self.inner[b] for b in data[:-1]] + [self.final[data[-1]]])
+
+
+class Window:
+    """The transducer's state inside one word: symbols that a further byte can
+    still change, and the last byte, which may end the word."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held, self.last = merges, [], b""
+
+    def feed(self, data: bytes) -> Iterator[int]:
+        """Tokens that are final once these bytes of the word are known."""
+        data = self.last + data
+        self.last = data[-1:]
+        merges, begin = self.merges, 0
+        while begin < len(data) - 1:
+            stop = min(len(data) - 1, begin + merges.lookahead + BLOCK - len(self.held))
+            self.held += [merges.inner[b] for b in data[begin:stop]]
+            begin = stop
+            if len(self.held) == merges.lookahead + BLOCK:
+                at, stable = 0, len(self.held) - merges.lookahead
+                for token in merges.merge(list(self.held)):
+                    if at + merges.width(token) > stable:
+                        break
+                    at += merges.width(token)
+                    yield token
+                del self.held[:at]
+
+    def close(self) -> list[int]:
+        """The tokens that are left, the word having ended."""
+        rest = self.held + [self.merges.final[b] for b in self.last]
+        self.held, self.last = [], b""
+        return self.merges.merge(rest)
 
 
 class Encoder:
@@ -185,29 +265,16 @@ class Encoder:
     a piece's ids are little-endian unsigned 32-bit bytes, else a list."""
 
     def __init__(self, path: str, words=None, packed: bool = False):
-        self.merges = Merges(path)
-        words = words or (lambda missing: map(self.merges.encode_word, missing))
-        self.words = (lambda missing: (struct.pack(f"<{len(ids)}I", *ids) for ids in words(missing))) if packed else words
+        self.merges, self.split = Merges(path), splitter(path)
+        words = words or (lambda missing: (tuple(self.merges.encode_word(w)) for w in missing))
+        self.pack = (lambda ids: struct.pack(f"<{len(ids)}I", *ids)) if packed else list
+        self.find = (lambda missing: map(self.pack, words(missing))) if packed else words
         self.join = b"".join if packed else lambda found: list(itertools.chain.from_iterable(found))
         self.known: dict[str, tuple[int, ...] | bytes] = {}
-        self.fast, self.find = word_pattern(True).findall, word_pattern(False).findall
-        self.specials = {t: struct.pack("<I", i) if packed else [i] for t, i in self.merges.specials.items()}
+        self.room = REMEMBERED
+        self.specials = {t: self.pack([i]) for t, i in self.merges.specials.items()}
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
-    def slices(self, text: str) -> Iterator[str]:
-        """Pieces that end before a blank or line end, at most SLICE characters
-        where the text has such places; no composition or word crosses them."""
-        at, n = 0, len(text)
-        while n - at > SLICE:
-            stop = max(text.rfind(" ", at + 1, at + SLICE), text.rfind("\n", at + 1, at + SLICE))
-            if stop < 0:
-                found = SPACE.search(text, at + SLICE)
-                stop = found.start() if found else n
-            yield text[at:stop]
-            at = stop
-        if at < n:
-            yield text[at:]
-
     def ids_of(self, text: str) -> Iterator[list[int] | bytes]:
         """Pieces whose ids, one after the other, encode the text."""
         start = 0
@@ -219,26 +286,69 @@ class Encoder:
         yield from self._plain(text[start:] if start else text)
 
     def _plain(self, text: str) -> Iterator[list[int] | bytes]:
-        for piece in self.slices(text):
-            find = self.fast
-            if not piece.isascii():
-                if not unicodedata.is_normalized("NFC", piece):
-                    piece = unicodedata.normalize("NFC", piece)
-                piece = piece.replace("Σ", "σ")  # a final sigma is not told apart
-            piece = piece.lower()
-            try:
-                piece.encode("latin-1")
-            except UnicodeEncodeError:
-                find = self.find
-            words = find(piece)
-            known = self.known
-            if missing := set(words).difference(known):
-                if len(known) + len(missing) > REMEMBERED:
-                    known.clear()
-                    missing = set(words)
-                missing = list(missing)
-                known.update(zip(missing, self.words(missing), strict=True))
-            yield self.join(map(known.__getitem__, words))
+        at, n = 0, len(text)
+        while n - at > SLICE:
+            stop = max(text.rfind(c, at + 1, at + SLICE) for c in BLANKS)
+            if stop < 0:
+                stop = min((p for c in BLANKS if (p := text.find(c, at + SLICE)) >= 0), default=n)
+                yield from self._unbroken(text, at, stop)
+            else:
+                yield self._ids(self.split.words(text[at:stop]))
+            at = stop
+        if at < n:
+            yield self._ids(self.split.words(text[at:]))
+
+    def _unbroken(self, text: str, at: int, end: int) -> Iterator[list[int] | bytes]:
+        """A long stretch without blanks. A word that stands open at the end of
+        a slice is held back, and passes through the transducer once it is long."""
+        rest, open_word, run = "", None, None
+        while at < end:
+            stop = end if end - at <= SLICE else next((i for i in range(at + SLICE, at, -1) if safe_start().match(text, i)), 0)
+            if not stop:
+                found = safe_start().search(text, at + SLICE, end)
+                stop = found.start() if found else end
+            piece = self.split.normal(text[at:stop])[0]
+            at = stop
+            if open_word:
+                going = run.match(piece)
+                yield self.pack([*open_word.feed(going.group().encode() if going else b"")])
+                if going and going.end() == len(piece) and at < end:
+                    continue
+                yield self.pack(open_word.close())
+                open_word, piece = None, piece[going.end() if going else 0 :]
+            rest += piece
+            if at == end:
+                break
+            words = [m.span() for m in self.split.wide.finditer(rest)]
+            # The last word may go on, and a mark with one letter may yet be a suffix.
+            back = 1 + (len(words) > 1 and rest[slice(*words[-2])] == "'" and words[-1][1] - words[-1][0] == 1)
+            hold = words[-back][0] if words and words[-1][1] == len(rest) else len(rest)
+            yield self._ids([rest[s:e] for s, e in words if s < hold])
+            rest = rest[hold:]
+            if len(rest) > LONG and (run := next((r for r in self.split.runs if r.fullmatch(rest)), None)):
+                open_word = Window(self.merges)
+                yield self.pack([*open_word.feed(rest.encode())])
+                rest = ""
+        yield self._ids(self.split.wide.findall(rest))
+
+    def _ids(self, words: list[str]) -> list[int] | bytes:
+        known = self.known
+        long = []
+        if missing := set(words).difference(known):
+            cost = sum(map(len, missing)) * 5 + 250 * len(missing)
+            if cost > self.room:
+                known.clear()
+                missing = set(words)
+                self.room = REMEMBERED
+            self.room -= cost
+            missing = list(missing)
+            known.update(zip(missing, self.find(missing), strict=True))
+            long = [w for w in missing if len(w) > LONG]
+        ids = self.join(map(known.__getitem__, words))
+        for w in long:
+            self.room += 5 * len(w) + 250
+            del known[w]
+        return ids
 
 
 class ByteToText:
@@ -283,22 +393,21 @@ class Decoder:
 
 
 def library_words(path: str):
-    """Ids of words by the tokenizers library. Parted by blanks, words encode
-    as in their texts; the library tells which word an id belongs to."""
-    from tokenizers import Tokenizer
+    """Ids of normalised words by the tokenizers library, which does not
+    normalise them again. Parted by blanks, words encode as in their texts; the
+    library tells which word an id belongs to."""
+    from tokenizers import Tokenizer, normalizers
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
     library.encode_special_tokens = True  # special tokens are cut out before
+    library.normalizer = normalizers.Sequence([])
 
     def find(words: list[str]) -> Iterator[list[int]]:
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             found = library.encode(" ".join(some), add_special_tokens=False)
-            if (max(found.word_ids, default=-1)) != len(some) - 1:  # letters that Python's Unicode data lacks
-                yield from (library.encode(w, add_special_tokens=False).ids for w in some)
-                continue
             ids: list[list[int]] = [[] for _ in some]
             for i, w in zip(found.ids, found.word_ids, strict=True):
                 ids[w].append(i)
