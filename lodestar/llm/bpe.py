@@ -78,13 +78,20 @@ class Splitter:
     @staticmethod
     def _classes(split) -> tuple[list[int], list[int], list[int]]:
         """Letters, numerals, all else but white space: the splitter is given
-        every code point in order, and what it leaves together is of one class."""
-        points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+        the code points in order, and what it leaves together is of one class."""
+
+        def kind(c: str) -> int:
+            return 0 if len(split("a" + c)) == 1 else 2 if len(split("." + c)) == 1 else 1
+
         found: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for _, (start, end) in split("".join(map(chr, points))):
-            c = chr(points[start])
-            kind = 0 if len(split("a" + c)) == 1 else 2 if len(split("." + c)) == 1 else 1
-            found[kind].extend(points[start:end])
+        for plane in range(0, sys.maxunicode + 1, 0x10000):
+            points = [c for c in range(plane, plane + 0x10000) if not 0xD800 <= c < 0xE000]
+            # A plane of which each 64th code point is neither letter nor numeral holds none.
+            if plane and len(split("".join(map(chr, points[::64])))) == 1 and kind(chr(plane)) == 2:
+                found[2].extend(points)
+                continue
+            for _, (start, end) in split("".join(map(chr, points))):
+                found[kind(chr(points[start]))].extend(points[start:end])
         return found
 
     def normal(self, text: str) -> tuple[str, bool]:
@@ -147,14 +154,16 @@ class Merges:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.joined[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
-        self.lookahead = self._lookahead()
 
     def width(self, token: int) -> int:
         """Symbols (bytes) that a token spans."""
         return len(self.text[token].removesuffix(self.end)) or 1
 
-    def _lookahead(self) -> int:
-        """Whether the merge (u, v) happens can depend on what follows v only if
+    @functools.cached_property
+    def lookahead(self) -> int:
+        """Symbols after which a token is final.
+
+        Whether the merge (u, v) happens can depend on what follows v only if
         an earlier merge takes v, or a right end of v, together with its right
         neighbour; that merge depends on what follows it in the same way. Ranks
         fall along such a chain, so its length is found in order of rank."""
