@@ -12,7 +12,7 @@ import numpy as np
 class Boosted:
     """Depth-limited trees as flat arrays (feature, cut, value) of full trees."""
 
-    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 16, ridge: float = 1.0):
         self.n, self.depth, self.rate, self.bins, self.ridge = trees, depth, rate, bins, ridge
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -20,41 +20,43 @@ class Boosted:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.base = float(np.log(share / (1 - share)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        steps = np.linspace(0, 1, self.bins + 1)[1:-1]
+        cuts = np.full((x.shape[1], self.bins - 1), np.inf)  # of few different values, all but the largest
+        for f, column in enumerate(x.T):
+            values = np.unique(column)
+            found = values[:-1] if len(values) <= self.bins else np.unique(np.quantile(column, steps))
+            cuts[f, : len(found)] = found
         binned = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T, strict=True)], 1)
+        cell = binned + np.arange(x.shape[1]) * self.bins
         margin = np.full(len(y), self.base)
         for _ in range(self.n):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(binned, cuts, y - p, p * (1 - p))
+            tree = self._grow(binned, cell, cuts, y - p, p * (1 - p))
             self.trees.append(tree)
             margin += self.rate * self._leaf(tree, x)
         return self
 
-    def _grow(self, binned, cuts, gradient, curvature):
-        inner = (1 << self.depth) - 1
-        feature, cut, value = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(inner + 1)
+    def _grow(self, binned, cell, cuts, gradient, curvature):
+        """One level at a time: the sums of all nodes, features and bins at once."""
+        columns, inner = binned.shape[1], (1 << self.depth) - 1
+        feature, cut = np.zeros(inner, int), np.full(inner, np.inf)
         node = np.zeros(len(gradient), int)
-        for k in range(inner):
-            rows = np.flatnonzero(node == k)
-            best = (1e-6, 0, np.inf)
-            if len(rows) > 1:
-                total = gradient[rows].sum() ** 2 / (curvature[rows].sum() + self.ridge)
-                for f, q in enumerate(cuts):
-                    if not len(q):
-                        continue
-                    g = np.cumsum(np.bincount(binned[rows, f], gradient[rows], len(q) + 1))
-                    h = np.cumsum(np.bincount(binned[rows, f], curvature[rows], len(q) + 1))
-                    gain = g[:-1] ** 2 / (h[:-1] + self.ridge) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + self.ridge) - total
-                    at = int(gain.argmax())
-                    if gain[at] > best[0]:
-                        best = (gain[at], f, q[at])
-            feature[k], cut[k] = best[1], best[2]
-            if len(rows):
-                node[rows] = 2 * k + 1 + (binned[rows, best[1]] > np.searchsorted(cuts[best[1]], best[2]) if np.isfinite(best[2]) else 0)
-        for leaf in range(inner + 1):
-            rows = np.flatnonzero(node == inner + leaf)
-            value[leaf] = gradient[rows].sum() / (curvature[rows].sum() + self.ridge)
-        return feature, cut, value
+        for level in range(self.depth):
+            nodes, first = 1 << level, (1 << level) - 1
+            where = (cell + (node * columns * self.bins)[:, None]).ravel()
+            g, h = (np.cumsum(np.bincount(where, np.repeat(v, columns), nodes * columns * self.bins).reshape(nodes, columns, self.bins), 2) for v in (gradient, curvature))
+            score = lambda a, b: a**2 / (b + self.ridge)
+            gain = score(g, h) + score(g[..., -1:] - g, h[..., -1:] - h) - score(g[..., -1:], h[..., -1:])
+            gain = gain.reshape(nodes, -1)
+            best = gain.argmax(1)
+            some = gain[np.arange(nodes), best] > 1e-6
+            at_bin = np.where(some, best % self.bins, self.bins)
+            feature[first : first + nodes] = np.where(some, best // self.bins, 0)
+            at = np.minimum(at_bin, self.bins - 2)
+            cut[first : first + nodes] = np.where(at_bin < self.bins - 1, cuts[feature[first : first + nodes], at], np.inf)
+            node = 2 * node + (binned[np.arange(len(node)), feature[first + node]] > at_bin[node])
+        sums = [np.bincount(node, v, inner + 1) for v in (gradient, curvature)]
+        return feature, cut, sums[0] / (sums[1] + self.ridge)
 
     def _leaf(self, tree, x: np.ndarray) -> np.ndarray:
         feature, cut, value = tree

@@ -29,17 +29,87 @@ def test_patterns_take_linear_time():
         pii.propose(text, pii.base_spans(text))
 
 
-def test_judge_is_precise_on_unseen_examples():
-    judge = pii.judge()
-    x, y = judge.held_out
-    p = judge.calibrated(judge.trees.margin(x))
-    assert y[p >= judge.least].mean() >= 0.97 and (p[y == 1] >= judge.least).mean() >= 0.85
+def test_judge_on_unseen_examples():
+    """Examples of a third seed: neither trees nor thresholds have seen them."""
+    found = pii.report(3000)
+    for kind, (things, precision, recall) in found.items():
+        assert things > 20 and precision >= 0.93, (kind, precision)
+        assert recall >= (0.7 if kind == "phone" else 0.9), (kind, recall)
 
 
-@pytest.mark.parametrize(("text", "kind"), [('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" x', "secret"), ("write to jo [at] mail [dot] com now", "email"), ("pay 9807915762804490 now", "card"), ("Version 2.0. since 1999", None), ("CC BY-NC 4.0.", None), ("plain words only", None)])
-def test_added_spans(text, kind):
+def spans_of(text):
     (_, chosen), = pii._found([text], pii.judge())
-    assert [c[0] for c in chosen] == ([kind] if kind else [])
+    return [(k, text[s:e]) for k, s, e in chosen]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" x', [("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce")]),
+        ("write to jo [at] mail [dot] com now", [("email", "jo [at] mail [dot] com")]),
+        ("pay 9807915762804490 now", [("account", "9807915762804490")]),
+        ("ssn 123-45-6789 here", [("account", "123-45-6789")]),
+        ("call 555 123 4567 now", [("phone", "555 123 4567")]),
+        ("call me on 555-123-4567.", [("phone", "555-123-4567")]),
+        ("tel. 030 1234567", [("phone", "030 1234567")]),
+        ("IBAN DE89 3704 0044 0532 0130 00", [("account", "DE89 3704 0044 0532 0130 00")]),
+        ("at 2024-01-02 12:30:45 we met", []),
+        ("population 1234-567-8901 people", []),
+        ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixed", []),
+        ("order 1234 5678 9012 3456 shipped", []),
+        ("uuid 123e4567-e89b-12d3-a456-426614174000", []),
+        ("pages 123-145 of ISBN 978-3-16-148410-0", []),
+        ("pi is 3.14159265358979323", []),
+        ("Version 2.0. since 1999", []),
+        ("CC BY-NC 4.0.", []),
+        ("plain words only", []),
+    ],
+)
+def test_added_spans(text, want):
+    assert spans_of(text) == want
+
+
+def test_a_secret_may_hold_base_spans_whole():
+    text = f"key = {'a3Bx' * 7}4111111111111111{'Zq9x' * 7}"
+    assert {k for k, _ in spans_of(text)} == {"card", "secret"}
+    (_, chosen), = pii._found([text], pii.judge())
+    assert pii.masked(text, chosen) == "key = [SECRET]"
+
+
+def test_choice_against_brute_force():
+    """Greedy by probability, length, place; every overlap looked at."""
+    rng = random.Random(3)
+    for _ in range(300):
+        given = [("group", "account", s, s + rng.randint(1, 9)) for s in (rng.randint(0, 40) for _ in range(12))]
+        p = [rng.choice([0.1, 0.5, 0.7, 0.9]) for _ in given]
+        taken = []
+        for i in sorted(range(12), key=lambda i: (-p[i], -(given[i][3] - given[i][2]), given[i][2], i)):
+            s, e = given[i][2:]
+            if p[i] >= 0.4 and all(e <= a or b <= s for _, a, b in taken):
+                taken.append(("account", s, e))
+        assert pii.choose(given, p, {"account": 0.4}) == sorted(taken, key=lambda x: x[1])
+
+
+def test_trees_equal_brute_force():
+    """Each split is the best of all cuts, by plain loops."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    model = boosting.Boosted(trees=1, depth=2, rate=1.0).fit(x, y)
+    feature, cut, value = model.trees[0]
+    g, h = y - y.mean(), np.full(len(y), y.mean() * (1 - y.mean()))
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def best(rows):
+        return max(score(rows & (x[:, f] <= c)) + score(rows & (x[:, f] > c)) for f in range(3) for c in range(6))
+
+    rows = np.ones(len(y), bool)
+    for k, inside in ((0, rows), (1, x[:, feature[0]] <= cut[0]), (2, x[:, feature[0]] > cut[0])):
+        found = score(inside & (x[:, feature[k]] <= cut[k])) + score(inside & (x[:, feature[k]] > cut[k]))
+        assert found == pytest.approx(best(inside))
+    assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.7 and len(value) == 4
 
 
 def test_find_and_redact(docs, nothing):

@@ -50,7 +50,7 @@ def test_personal_data_goes_and_all_else_stays(stages):
     before, after = rows(stages[3]), rows(stages[4])
     assert set(before) == set(after)
     for i, r in after.items():
-        assert not any(pii.base_spans(r["text"])[k] for k in ("email", "card", "phone")) and r["n_chars"] == len(r["text"])
+        assert not any(pii.base_spans(r["text"]).values()) and r["n_chars"] == len(r["text"])
         (_, spans), = pii._found([before[i]["text"]], pii.judge())
         assert spans or r["text"] == before[i]["text"]
 
