@@ -1,20 +1,24 @@
 """Quality classification by nearest-neighbour voting.
 
 Terms of a document are runs of three character classes (letters by case,
-digits, spaces, each common mark) and how often words follow themselves. Their
+digits, spaces, each common mark), how often words follow themselves, and
+hashed runs of four bytes, which hold what the words are in any script. Their
 damped frequencies, weighted by rarity, are reduced to `dims` latent dimensions
 by a singular value decomposition of the labelled sample. The sample's vectors
 (at most `sample` x `dims` numbers) are broadcast; every document's exact
 cosines with all of them are matrix products, block by block, and the `k`
 nearest vote, weighted by a power of their similarity.
 
-Learning takes at most `sample` labelled training rows, chosen by the hash of
+Learning takes `sample` labels of training rows at most, chosen by the hash of
 their id. Label, language, source and id are never inputs of a score.
 
 Defined cases: an empty or null text has no terms and gets the share of label
 1 in the sample; with nothing to learn from every score is 0.5; a row without
-label teaches nothing, of several labels of an id each counts; an empty table
-gives an empty result.
+label teaches nothing, of several labels of an id each counts; of rows that
+repeat an id the one with the smallest text hash teaches; neighbours as near as
+the k-th (cosines to five decimals) all vote; texts of any length are read
+whole, a slice at a time; repeated rows get equal scores; other columns may
+have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +42,10 @@ LEAST_ROWS = 3
 MARKS = ".,!?%$&*#|\"'"
 CLASSES = 8 + len(MARKS)
 REPEATS = 8
-TERMS = CLASSES**3 + REPEATS
+#: Buckets of hashed runs of four bytes, and their weight beside the classes.
+HASHED, CONTENT = 1 << 12, 0.5
+SHAPES = CLASSES**3 + REPEATS
+TERMS = SHAPES + HASHED
 
 
 def _classes() -> np.ndarray:
@@ -55,29 +62,36 @@ def _classes() -> np.ndarray:
 
 
 CLASS_OF = _classes()
+#: Odd multipliers of the four bytes of a run, and lower-case bytes.
+FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint32) + np.uint32(1)
 
 
 def terms(data: bytes) -> np.ndarray:
     """Damped relative frequencies of a document's terms (length TERMS)."""
-    counts = np.zeros(TERMS, np.float32)
+    shapes, content = np.zeros(CLASSES**3, np.float32), np.zeros(HASHED, np.float32)
     again = words = 0
     last = None
     at = 0
-    while at < len(data):  # slices end after a blank where they can; each also sees two bytes before it
+    while at < len(data):  # slices end after a blank where they can; each also sees the bytes before it
         stop = len(data) if len(data) - at <= SLICE else data.rfind(b" ", at, at + SLICE) + 1 or at + SLICE
-        c = CLASS_OF[np.frombuffer(data[max(0, at - 2) : stop], np.uint8)]
+        seen = np.frombuffer(data[max(0, at - 3) : stop], np.uint8)
+        c = CLASS_OF[seen[max(0, min(at, 3) - 2) :]]
         if len(c) > 2:
-            counts[: CLASSES**3] += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+            shapes += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+        if len(seen) > 3:
+            x = LOWER[seen]
+            mixed = x[:-3] * FACTORS[0] + x[1:-2] * FACTORS[1] + x[2:-1] * FACTORS[2] + x[3:] * FACTORS[3]
+            content += np.bincount((mixed ^ (mixed >> np.uint32(15))) * FACTORS[0] >> np.uint32(20), minlength=HASHED)
         found = data[at:stop].split()
         words += len(found)
         again += sum(map(bytes.__eq__, found, ([last] if last is not None else [b""]) + found[:-1])) if found else 0
         last = found[-1] if found else last
         at = stop
-    if counts.any():
-        counts = np.sqrt(counts / counts.sum())
-    if words > 1:  # one of the last terms says how often words follow themselves
-        counts[CLASSES**3 + min(REPEATS - 1, int(REPEATS * again / words))] = 1.0
-    return counts
+    repeats = np.zeros(REPEATS, np.float32)
+    if words > 1:  # one of these says how often words follow themselves
+        repeats[min(REPEATS - 1, int(REPEATS * again / words))] = 1.0
+    return np.concatenate([np.sqrt(shapes / max(1, shapes.sum())), repeats, CONTENT * np.sqrt(content / max(1, content.sum()))])
 
 
 class Latent:
@@ -106,25 +120,27 @@ class Latent:
 
 
 def _term_rows(df: DataFrame) -> DataFrame:
-    """label and the non-zero terms, for the sample."""
+    """i, label and the non-zero terms, for the sample."""
+    kind = df.schema["i"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [terms(t.as_py() or b"") for t in batch.column(0)]
+            found = [terms(t.as_py() or b"") for t in batch.column(2)]
             where = [np.flatnonzero(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.list_(pa.int32())), pa.array([f[w] for f, w in zip(found, where, strict=True)], pa.list_(pa.float32())), batch.column(1)], names=["at", "x", "label"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(where, pa.list_(pa.int32())), pa.array([f[w] for f, w in zip(found, where, strict=True)], pa.list_(pa.float32()))], names=["i", "label", "at", "x"])
 
-    return df.mapInArrow(run, "at array<int>, x array<float>, label int")
+    return df.select("i", "label", "t").mapInArrow(run, f"i {kind}, label int, at array<int>, x array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, dims: int = DIMS) -> tuple[Latent | None, np.ndarray, np.ndarray]:
-    """Projection, labelled vectors and labels, from `sample` rows at most."""
+    """Projection, labelled vectors and labels, from `sample` labels at most."""
     given = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL")
     given = given.where(~held_out("i"))
     ids = docs.select(F.col(id_col).alias("i"))
-    chosen = given.join(ids, "i", "left_semi").orderBy(F.xxhash64("i"), "i", "label").limit(sample)
+    chosen = given.join(ids, "i", "left_semi").distinct().orderBy(F.xxhash64("i"), "i", "label").limit(sample)
     text = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    rows = _term_rows(text.join(F.broadcast(chosen), "i").select("t", "label")).limit(2 * sample).toArrow()
+    taught = text.join(F.broadcast(chosen), "i").groupBy("i", "label").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"))
+    rows = _term_rows(taught.select("i", "label", F.col("least.t").alias("t"))).orderBy("i", "label").toArrow()
     if not rows.num_rows:
         return None, np.zeros((0, dims), np.float32), np.zeros(0)
     at, x = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
@@ -136,11 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = column[at.flatten().to_numpy()]
     matrix = np.zeros((rows.num_rows, len(used)), np.float32)
     matrix[row[place >= 0], place[place >= 0]] = x.flatten().to_numpy()[place >= 0]
-    labels_of = rows.column("label").to_numpy().astype(float)
-    order = np.lexsort((*matrix.T[::-1][:8], matrix.sum(1), labels_of))  # the same in whatever order tasks end
-    matrix, labels_of = matrix[order], labels_of[order]
     latent = Latent(matrix, used, dims)
-    return latent, latent.vectors(matrix), labels_of
+    return latent, latent.vectors(matrix), rows.column("label").to_numpy().astype(float)
 
 
 def _scores(texts: pa.Array, latent: Latent | None, vectors: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
@@ -150,11 +163,11 @@ def _scores(texts: pa.Array, latent: Latent | None, vectors: np.ndarray, labels:
         return np.full(len(texts), prior)
     near = min(k, len(labels))
     own = latent.vectors(np.stack([terms(t.as_py() or b"")[latent.used] for t in texts]))
-    cosines = own @ vectors.T
-    best = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
-    weight = np.maximum(np.take_along_axis(cosines, best, 1), 0).astype(float) ** SHARPNESS
+    cosines = np.round(own @ vectors.T, 5)
+    least = np.partition(cosines, len(labels) - near, axis=1)[:, len(labels) - near]
+    weight = np.where(cosines >= least[:, None], np.maximum(cosines, 0), 0).astype(float) ** SHARPNESS
     total = weight.sum(1)
-    return np.clip(np.where(total > 0, (weight * labels[best]).sum(1) / np.maximum(total, 1e-12), prior), 0, 1)
+    return np.clip(np.where(total > 0, weight @ labels / np.maximum(total, 1e-12), prior), 0, 1)
 
 
 def score(df: DataFrame, model: tuple[Latent | None, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
