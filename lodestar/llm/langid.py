@@ -4,49 +4,72 @@ The pieces come from a fixed public vocabulary file (its path is a parameter).
 Each language has a probability for every piece. A word's probability is the
 sum over all ways to cut it into pieces, by the forward algorithm; a text's is
 the product over its words, and the languages' posterior gives the answer.
+Words are runs of letters (Unicode categories L), split by the same code when
+learning and when predicting.
 
 Learning: at most `per_language` labelled training rows of each language,
-chosen by the hash of their id, have their words counted by Spark; expectation
-maximisation on the `words` most frequent ones of each language sets the piece
-probabilities. Prediction covers every whole text: words are scored once for
-each worker and remembered, unknown ones together in array operations.
+chosen by the hash of their id, have all their words counted by Spark;
+expectation maximisation, one task for each language, sets the piece
+probabilities. A run of over TAUGHT letters, as scripts without blanks have,
+teaches as consecutive runs of that length. Prediction covers every whole text:
+words are scored once for each worker and remembered, unknown ones together in
+array operations.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as
 is every text if there is nothing to learn from; ties go to the smaller name;
-rows with a null language teach nothing; over MAX_LANGUAGES languages are an
-error; an empty table gives an empty result.
+rows with a null language teach nothing; of rows that repeat an id and language
+each teaches; runs of any number of letters are scored whole; over
+MAX_LANGUAGES languages are an error; other columns may have any name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import re
+import sys
+import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, held_out, sized_broadcast
 
-PER_LANGUAGE, WORDS, ROUNDS = 400, 20_000, 4
+PER_LANGUAGE, ROUNDS = 400, 4
 #: Languages that a model can hold; more are an error.
 MAX_LANGUAGES = 500
 #: Characters that a piece can have (more are an error), and of a text split at a time.
 LONGEST, SLICE = 64, 1 << 16
-#: Word scores that a worker remembers; when full, it starts anew.
-REMEMBERED = 200_000
+#: Letters of a run that are learned from together.
+TAUGHT = 32
+#: Word scores that a worker remembers; when full, it starts anew. Words of over
+#: LONG letters are never remembered.
+REMEMBERED, LONG = 200_000, 64
 #: Words gathered before unknown ones are scored together.
 GATHERED = 200_000
+#: Numbers held while learning; beyond, they are found anew in each round.
+HELD = 1 << 24
 #: Weight of every piece besides its counts.
 SMOOTH = 1e-2
-LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def letters() -> re.Pattern[str]:
+    """Runs of letters."""
+    inside = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
+    runs = [[c for _, c in g] for _, g in itertools.groupby(enumerate(inside), lambda x: x[1] - x[0])]
+    return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]+")
+
+
 def read_pieces(path: str) -> list[str]:
     """Lower-case letter pieces of a rank file (base64 and rank on each line)."""
     found = set()
@@ -155,16 +178,23 @@ def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: i
     n = pieces.n
     p = np.full(n + 2, 1.0 / (n + 1))
     p[-1] = 0
-    by_width = [list(g) for _, g in itertools.groupby(sorted(range(len(words)), key=lambda i: len(words[i])), key=lambda i: len(words[i]))]
-    prepared = []
-    for group in by_width:
-        width = len(words[group[0]])
-        if width <= 32:  # longer words teach nothing that shorter ones do not
-            prefix = pieces.prefix_hashes(_codes([words[i] for i in group], width))
-            prepared.append((width, counts[group], {(i, k): pieces.at(prefix, i, k) for i in range(1, width + 1) for k in range(1, min(pieces.longest, i) + 1)}))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    groups: list[tuple[int, list[int], int]] = []  # letters, some words of so many, numbers to hold
+    for width, group in itertools.groupby(order, key=lambda i: len(words[i])):
+        cells = width * min(width, pieces.longest)
+        some = list(group)
+        step = max(1, HELD // 8 // cells)
+        groups += [(width, some[at : at + step], cells * len(some[at : at + step])) for at in range(0, len(some), step)]
+
+    def found_in(width: int, group: list[int]) -> dict[tuple[int, int], np.ndarray]:
+        prefix = pieces.prefix_hashes(_codes([words[i] for i in group], width))
+        return {(i, k): pieces.at(prefix, i, k).astype(np.int32) for i in range(1, width + 1) for k in range(1, min(pieces.longest, i) + 1)}
+
+    kept = [found_in(w, g) for w, g, _ in groups] if sum(c for *_, c in groups) <= HELD else None
     for _ in range(rounds):
         seen = np.zeros(n + 2)
-        for width, weight, found in prepared:
+        for at, (width, group, _) in enumerate(groups):
+            found, weight = kept[at] if kept else found_in(width, group), counts[group]
             forward = [np.ones(len(weight))]
             for i in range(1, width + 1):
                 forward.append(sum(forward[i - k] * p[found[i, k]] for k in range(1, min(pieces.longest, i) + 1)))
@@ -181,7 +211,17 @@ def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: i
     return p
 
 
-def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, words: int = WORDS) -> tuple[list[str], list[str], np.ndarray]:
+def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word and n for the texts of each batch."""
+    for batch in rows:
+        seen: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for words in _split(text.as_py() or ""):
+                seen.update((lang, w[at : at + TAUGHT]) for w in words for at in range(0, len(w), TAUGHT))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+
+def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, pieces and the table of probabilities, from training rows."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
     counts = cut(labelled.groupBy("lang").count())
@@ -193,17 +233,20 @@ def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "te
     ranked = thinned.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
     chosen = cut(ranked.where(F.col("n") <= per_language).select("id", "lang").distinct())  # per_language rows of each language
     sample = labelled.join(sized_broadcast(chosen, per_language * MAX_LANGUAGES), ["id", "lang"], "left_semi")
-    each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= words).toPandas()
+    counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pieces = read_pieces(vocab)
-    held = Pieces(pieces)
-    langs = sorted(set(counted["lang"]))
-    columns = []
-    for lang in langs:
-        part = counted[counted["lang"] == lang]
-        columns.append(learn_pieces(held, part["word"].tolist(), part["n"].to_numpy(float)))
-    return langs, pieces, np.stack(columns, 1) if columns else np.zeros((len(pieces) + 2, 0))
+    sent = df.sparkSession.sparkContext.broadcast(pieces)
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("word")
+        p = learn_pieces(Pieces(sent.value), group["word"].tolist(), group["n"].to_numpy(float))
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "p": [p]})
+
+    learned = counted.groupBy("lang").applyInPandas(learn, "lang string, p array<double>").orderBy("lang").toArrow()
+    table = learned.column("p").combine_chunks().flatten().to_numpy().reshape(-1, len(pieces) + 2).T if learned.num_rows else np.zeros((len(pieces) + 2, 0))
+    langs = learned.column("lang").to_pylist()
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    return [langs[i] for i in order], pieces, np.ascontiguousarray(table[:, order])
 
 
 class Scorer:
@@ -233,18 +276,28 @@ class Scorer:
         return total, some
 
     def _add(self, gathered: list[tuple[int, list[str]]], total: np.ndarray) -> None:
-        missing = set().union(*(w for _, w in gathered)).difference(self.known)
+        words = set().union(*(w for _, w in gathered))
+        long = {w for w in words if len(w) > LONG}
+        if long:
+            found = list(long)
+            scored = dict(zip(found, log_scores(self.pieces, self.table, found), strict=True))
+            for i, some in gathered:
+                for w in long.intersection(some):
+                    total[i] += scored[w] * some.count(w)
+            gathered = [(i, [w for w in some if w not in long]) for i, some in gathered]
+            words -= long
+        missing = words.difference(self.known)
         if len(self.known) + len(missing) > len(self.scores):
             self.known.clear()
-            missing = set().union(*(w for _, w in gathered))
+            missing = words
         if len(missing) > len(self.scores):  # one slice with more different words than are remembered
             self.scores = np.zeros((len(missing), self.scores.shape[1]))
         new, begin = list(missing), len(self.known)
         if new:
             self.scores[begin : begin + len(new)] = log_scores(self.pieces, self.table, new)
             self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
-        for i, words in gathered:
-            total[i] += self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+        for i, some in gathered:
+            total[i] += self.scores[np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))].sum(0)
 
 
 _workers: dict[str, Scorer] = {}
@@ -276,17 +329,17 @@ def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], id_co
 
 
 def _split(text: str) -> Iterator[list[str]]:
-    """Lists of lower-case letter runs; slices end after a character that is no
-    letter where there is one."""
-    at = 0
+    """Lists of lower-case letter runs; slices end after a blank or line end, or
+    else after the next character that is no letter."""
+    at, find = 0, letters()
     while len(text) - at > SLICE:
         stop = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE)) + 1
         if stop <= at:
-            found = re.compile(r"[\W\d_]").search(text, at + SLICE)
-            stop = found.end() if found else len(text)
-        yield LETTERS.findall(text[at:stop].lower())
+            run = find.match(text, at + SLICE)
+            stop = (run.end() if run else at + SLICE) + 1
+        yield find.findall(text[at:stop].lower())
         at = stop
-    yield LETTERS.findall(text[at:].lower())
+    yield find.findall(text[at:].lower())
 
 
 def identify(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
