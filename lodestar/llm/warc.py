@@ -1,10 +1,12 @@
 """WARC as a content-addressed archive.
 
 An archive is a folder with two Parquet tables. `payloads` holds each payload's
-bytes once, by SHA-256. `headers` holds the exact header block of each record
-with the digest of its payload. Reading joins the two on the digest, checks
-every payload against its digest, and gives back the original records: header
-block, payload (none for a revisit) and the closing line ends.
+bytes once, by SHA-256; payloads of equal digests are verified to have equal
+length and equal second digest as they are stored. `headers` holds the exact
+header block of each record with the digest of its payload. Reading joins the
+two on the digest, checks every payload against its digest, and gives back the
+original records: header block, payload (none for a revisit) and the closing
+line ends. `listing` parses those records.
 
 Copies are found on digests alone. The payload table comes from one
 aggregation by digest in which each task first drops its own copies, so a
@@ -59,8 +61,10 @@ def write_archive(pages: DataFrame, folder: str | None = None, least: int = LEAS
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.length("payload").cast("long"))
-    # The digest decides: equal digests are verified to be equal bytes when read, each against its own digest.
-    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
+    second = F.struct("bytes", F.md5("payload"), F.xxhash64("payload"))
+    once = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(second).alias("low"), F.max(second).alias("high"))
+    refused = F.raise_error(F.lit("different payloads have one digest")).cast("binary")
+    once.select("digest", F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(refused).alias("payload")).write.parquet(f"{folder}/payloads")
     known = cut(rows.select("page_id", "url", "digest", "bytes"))
     shared = known.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = cut(shared.where("n > 1").select(F.col("digest").alias("of"), "first"))
@@ -80,23 +84,38 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     payloads = payloads.select("of", checked.alias("payload"))
     whole = headers.join(payloads, F.col("digest") == F.col("of"), "left")
     whole = whole.withColumn("payload", F.coalesce("payload", F.raise_error(F.lit("a record's payload is not stored")).cast("binary")))
-    body = F.when(field("WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
+    body = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     return whole.select("page_id", "header", "payload", F.concat("header", body, F.lit(LINE * 2).cast("binary")).alias("record"))
 
 
-def field(name: str) -> Column:
-    """A header field's value, null if the record has none."""
-    found = F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
+def field(header: Column, name: str) -> Column:
+    """A field's value in a header block, null if the record has none."""
+    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
     return F.when(found != "", found)
 
 
 def listing(records: DataFrame) -> DataFrame:
-    """What the archive's records say, from their headers and payloads."""
+    """What the archive's records say: the fields of each record's own header
+    block, and size and digest of its payload: a response's own block, for a
+    revisit the payload that it refers to. A record whose block is not as long
+    as it says, or not of the digest it says, fails."""
     kind = records.schema["page_id"].dataType
-    return records.select(
+    start = F.instr(F.decode("record", "ISO-8859-1"), LINE * 2) + 3  # bytes of the header block
+    parts = records.select("page_id", "payload", F.substring("record", F.lit(1), start).alias("head"), F.substring("record", start + 1, F.octet_length("record") - start - 4).alias("block"))
+    said = parts.select(
         "page_id",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(.*)>$", 1).cast(kind).alias("refers_to"),
+        field(F.col("head"), "WARC-Type").alias("record_type"),
+        F.regexp_extract(field(F.col("head"), "WARC-Refers-To"), "^<urn:page:(.*)>$", 1).cast(kind).alias("refers_to"),
+        F.regexp_extract(field(F.col("head"), "WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("said"),
+        (F.octet_length("block") == field(F.col("head"), "Content-Length").cast("long")).alias("whole"),
+        F.when(field(F.col("head"), "WARC-Type") == "revisit", F.col("payload")).otherwise(F.col("block")).alias("full"),
+    )
+    found = said.withColumn("digest", F.sha2("full", 256))
+    wrong = F.raise_error(F.lit("a record does not hold what its header says")).cast("string")
+    return found.select(
+        "page_id",
+        F.octet_length("full").cast("long").alias("payload_bytes"),
+        F.when(F.col("whole") & (F.col("digest") == F.col("said")), F.col("digest")).otherwise(wrong).alias("payload_digest"),
+        "record_type",
+        "refers_to",
     )

@@ -46,3 +46,19 @@ def test_damaged_payloads_are_noticed(spark, pages, tmp_path):
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.listing(warc.read_archive(spark, warc.write_archive(empty, f"file://{tmp_path}/w"))).count() == 0
+
+
+def test_listing_reads_the_records_alone(spark, pages, tmp_path):
+    """Fields come from the rebuilt records; a record that was changed fails."""
+    records = warc.read_archive(spark, warc.write_archive(pages, f"file://{tmp_path}/w"))
+    blind = records.withColumn("header", F.lit(b"")).withColumn("payload", F.when(F.col("record").contains(F.lit(b"Type: revisit")), F.col("payload")))
+    assert sorted(map(str, warc.listing(blind).collect())) == sorted(map(str, warc.listing(records).collect()))
+    cut_off = records.withColumn("record", F.expr("substring(record, 1, octet_length(record) - 1)"))
+    with pytest.raises(Exception, match="does not hold"):
+        warc.listing(cut_off).collect()
+
+
+def test_payloads_of_one_digest_are_compared(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc.F, "sha2", lambda *_: F.lit("same"))
+    with pytest.raises(Exception, match="different payloads"):
+        warc.write_archive(pages, f"file://{tmp_path}/w")
