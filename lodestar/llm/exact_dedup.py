@@ -4,8 +4,8 @@ Each text becomes its SHA-256. Misra-Gries summaries, one for each partition
 and mergeable by adding counters, name every digest that may hold at least
 `share` of the rows. An exact count verifies them, and the rows that stay of
 these few (at most 2 / share, whatever the data) are broadcast: their copies
-are settled where they are read. All other digests are rare, and an ordinary
-shuffle brings their rows together.
+are settled where they are read. All other digests are rare: an ordinary
+shuffle adds up what each task has found of them, and joins it back.
 
 Defined cases: a null text counts as empty. Of equal texts the row with the
 largest id stays, a null id being smallest; of rows that repeat an id and its
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, unique_name
@@ -71,12 +71,9 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     heavy = cut(heavy_digests(rows, share))
     marked = rows.join(F.broadcast(heavy.select("digest", "best", "n")), "digest", "left")
     settled = marked.where(F.col("n").isNotNull())
-    group = Window.partitionBy("digest")
-    light = (
-        marked.where(F.col("n").isNull())
-        .withColumn("best", F.max(F.struct("id", "row")).over(group))
-        .withColumn("n", F.count(F.lit(1)).over(group))
-    )
+    rare = marked.where(F.col("n").isNull()).select("digest", "id", "row")
+    groups = rare.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    light = rare.join(groups, "digest").select(*marked.columns)
     return settled.unionByName(light).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
