@@ -14,10 +14,13 @@ nearest it is are held, all others stream past in blocks; a union-find over
 those held leaves at most one link for each newcomer and each join of groups,
 so a dense group does not yield all its pairs. Anchors that hold over `hot`
 fingerprints are split by salt: each task holds a part, all meet each part.
+Where over `hot` fingerprints share a half, those that only pass an anchor are
+split too, each part meeting all that the anchor holds.
 
 Defined cases: a null text counts as empty and has fingerprint zero, which
-links like any other; rows that repeat an id are kept; a component whose ids
-are all null has a null id; an empty table gives an empty result.
+links like any other; texts of any length are read whole, a slice at a time;
+rows that repeat an id are kept; a component whose ids are all null has a null
+id; other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,28 +104,46 @@ def _bit(position: Column) -> Column:
     return F.element_at(words, (position + 1).cast("int"))
 
 
-def anchored(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """key, salt, held, fp: every distinct fingerprint at every anchor within
-    reach; `held` where it is the fingerprint's nearest anchor."""
+def _sided(nodes: DataFrame) -> DataFrame:
+    """Each fingerprint's halves: v (31 bits), s (syndrome) and home (its
+    nearest anchor)."""
     half = F.explode(F.array(F.lit(0), F.lit(1)))
     v = F.expr("shiftrightunsigned(fp, 32 * half) & 2147483647L")
     sided = nodes.select("fp", half.alias("half")).withColumn("v", v).withColumn("s", _syndrome(F.col("v")))
-    sided = sided.withColumn("home", F.col("v").bitwiseXOR(_bit(F.col("s"))) + F.shiftleft(F.col("half").cast("long"), BITS))
-    held = sided.groupBy("home").count().where(F.col("count") > hot)
-    crowded = cut(held.select(F.col("home").alias("key"), F.ceil(F.col("count") / hot).cast("int").alias("salts")))
-    pairs = F.transform(
+    return sided.withColumn("home", F.col("v").bitwiseXOR(_bit(F.col("s"))) + F.shiftleft(F.col("half").cast("long"), BITS))
+
+
+def _passed() -> Column:
+    """The anchors besides its own that a half goes to: two bits away."""
+    return F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(BITS)), lambda i: (i < i.bitwiseXOR(F.col("s").cast("int"))) & (i != F.col("s"))),
         lambda i: F.struct(
             (F.col("v").bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(F.col("s").cast("int")))) + F.shiftleft(F.col("half").cast("long"), BITS)).alias("key"),
             F.lit(False).alias("held"),
         ),
     )
+
+
+def anchored(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, salt, part, held, fp: every distinct fingerprint at every anchor
+    within reach; `held` where it is the fingerprint's nearest anchor. Each salt
+    of a key holds its share of the fingerprints; parts of a salt hold the same
+    and each sees its share of those that pass."""
+    sided = _sided(nodes)
+    halves = sided.groupBy("half", "v", "s", "home").count()
+    salts = halves.groupBy("home").agg(F.sum("count").alias("n")).where(F.col("n") > hot).select(F.col("home").alias("key"), F.ceil(F.col("n") / hot).cast("int").alias("salts"), F.lit(1).alias("parts"))
+    passing = halves.where(F.col("count") > hot).select(F.explode(_passed()).alias("at"), "count").groupBy("at.key").agg(F.sum("count").alias("n"))
+    parts = passing.select("key", F.lit(1).alias("salts"), F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    crowded = cut(salts.unionByName(parts).groupBy("key").agg(F.max("salts").alias("salts"), F.max("parts").alias("parts")))
     home = F.array(F.struct(F.col("home").alias("key"), F.lit(True).alias("held")))
-    rows = sided.select("fp", F.explode(F.concat(home, pairs)).alias("at")).select("at.key", "at.held", "fp")
-    rows = rows.join(sized_broadcast(crowded, 100_000), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    rows = sided.select("fp", F.explode(F.concat(home, _passed())).alias("at")).select("at.key", "at.held", "fp")
+    rows = rows.join(sized_broadcast(crowded, 100_000), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return rows.select("key", "salt", (F.col("held") & (F.col("own") == F.col("salt"))).alias("held"), "fp")
+    rows = rows.withColumn("held", F.col("held") & (F.col("own") == F.col("salt")))
+    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", F.explode(F.when(F.col("held"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    return rows.select("key", "salt", "part", "held", "fp")
 
 
 class _Anchor:
@@ -130,16 +151,12 @@ class _Anchor:
 
     def __init__(self, most: int):
         self.most, self.key, self.held = most, None, np.zeros(0, np.uint64)
-        self.root: list[int] = []
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
+        self.group_of = np.zeros(0, np.int64)  # of those held, the group each is linked to
 
     def meet(self, fps: np.ndarray, from_held: int | None = None) -> list[tuple[int, int]]:
-        """Links of newcomers to those held, enough to connect them all.
-        from_held: position of the first newcomer if they are held themselves."""
+        """Links of newcomers to those held, one for each group that a newcomer
+        meets; the groups become one. from_held: position of the first newcomer
+        if they are held themselves."""
         links: list[tuple[int, int]] = []
         if not len(self.held):
             return links
@@ -147,32 +164,33 @@ class _Anchor:
         for at in range(0, len(fps), step):
             some = fps[at : at + step]
             near = np.bitwise_count(some[:, None] ^ self.held[None, :]) <= self.most
-            last, first = -1, -1
-            for i, j in zip(*np.nonzero(near), strict=True):
-                if from_held is not None and at + i + from_held == j:
-                    continue
-                if i != last:
-                    last, first = i, self.find(at + i + from_held) if from_held is not None else -1
-                other = self.find(int(j))
-                if first < 0:
-                    first = other
-                elif first != other:
-                    self.root[other] = first
+            if from_held is not None:
+                near[np.arange(len(some)), np.arange(len(some)) + at + from_held] = False
+            for i in np.flatnonzero(near.any(1)):
+                others = np.flatnonzero(near[i])
+                groups, first = np.unique(self.group_of[others], return_index=True)
+                if from_held is not None:
+                    own = self.group_of[at + i + from_held]
+                    groups, first = groups[groups != own], first[groups != own]
                 else:
-                    continue
-                links.append((int(some[i]), int(self.held[j])))
+                    own = groups[0]
+                links += [(int(some[i]), int(self.held[j])) for j in others[first]]
+                if len(groups) > (from_held is None):
+                    self.group_of[np.isin(self.group_of, groups)] = own
         return links
 
     def group(self, key, held: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        """Rows of one anchor, held ones first; a later call may go on with it."""
+        """Rows of one anchor (key, salt, part), held ones first; a later call
+        may go on with it."""
         links = []
         if key != self.key:
-            self.key, self.held, self.root = key, np.zeros(0, np.uint64), []
+            self.key, self.held, self.group_of = key, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n := int(held.sum()):
             begin = len(self.held)
             self.held = np.concatenate([self.held, fps[:n]])
-            self.root += range(begin, begin + n)
-            links += self.meet(fps[:n], begin)
+            self.group_of = np.concatenate([self.group_of, np.arange(begin, begin + n)])
+            if key[2] == 0:  # the other parts hold the same
+                links += self.meet(fps[:n], begin)
         if n < len(fps):
             links += self.meet(fps[n:])
         return links
@@ -189,38 +207,52 @@ def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
         for batch in rows:
             if not batch.num_rows:
                 continue
-            key, salt, held, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, salt, part, held, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             fps = fps.view(np.uint64)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1])]))
             ends = np.append(new[1:], len(key))
             work = held[new] & (ends - new > 1)
             work[[0, -1]] = True  # these may go on in the batches before and after
-            found = [x for a, b in zip(new[work], ends[work], strict=True) for x in anchor.group((key[a], salt[a]), held[a:b], fps[a:b])]
+            found = [x for a, b in zip(new[work], ends[work], strict=True) for x in anchor.group((key[a], salt[a], part[a]), held[a:b], fps[a:b])]
             made = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["src", "dst"])
 
-    rows = anchored(nodes, hot).repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("held"))
+    rows = anchored(nodes, hot).repartition("key", "salt", "part").sortWithinPartitions("key", "salt", "part", F.desc("held"))
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = MOST, hot: int = HOT) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id
-    (smallest id reachable by links) and mark (hash of the text)."""
+def _linked(df: DataFrame, id_col: str, text_col: str, width: int, most: int, hot: int) -> DataFrame:
+    """id, fp, mark, component (one fingerprint of each) and component_id."""
     rows = cut(fingerprints(df, id_col, text_col, width))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     linked = connected_components(links(nodes.select("fp"), most, hot))
     grouped = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = cut(grouped.join(least, "component").select("fp", "component_id"))
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+    of_fp = cut(grouped.join(least, "component").select("fp", "component", "component_id"))
+    return rows.join(of_fp, "fp")
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = MOST, hot: int = HOT) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id
+    (smallest id reachable by links) and mark (hash of the text)."""
+    found = _linked(df, id_col, text_col, width, most, hot)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = MOST) -> DataFrame:
-    """Of each component the row with the smallest id stays (of equal ids the
-    one with the smallest text hash); rows that repeat both stay together."""
-    found = cut(components(df, id_col, text_col, width, most))
-    stays = found.groupBy("component_id", "fingerprint").agg(F.min(F.struct(F.col(id_col).alias("i"), "mark")).alias("least"))
-    stays = cut(stays.groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.i").alias("i"), F.col("least.mark").alias("m")).distinct())
+    """Of each component exactly one row stays: the one with the smallest id (a
+    null id being largest), of equal ids the one with the smallest text hash, of
+    rows that repeat both any one."""
+    found = _linked(df, id_col, text_col, width, most, HOT).groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("mark").alias("m"), "n")
+    stays = cut(found.groupBy("component").agg(F.min(order).alias("least")).select("least.i", "least.m", "least.n").distinct())
     mark = unique_name(df, "mark")
     marked = df.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return marked.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m")), "left_semi").drop(mark)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("m"))
+    repeated = stays.where("n > 1")
+    if repeated.isEmpty():
+        return marked.join(stays, same, "left_semi").drop(mark)
+    once = marked.join(stays.where("n = 1"), same, "left_semi")
+    # Each task first drops its own repeats, so no group travels whole.
+    again = marked.join(repeated, same, "left_semi").dropDuplicates([id_col, mark])
+    return once.unionByName(again).drop(mark)

@@ -92,7 +92,40 @@ def test_defined_cases(docs, nothing):
     assert by[2]["fingerprint"] == "0" * 16 and by[2]["component_id"] == by[3]["component_id"] == by[4]["component_id"] == 2
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} >= {1, 2, 5, None} and not {r["doc_id"] for r in kept.collect()} & {3, 4, 6, 11}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) >= {1, 2, 5, None} and not set(ids) & {3, 4, 6, 11}
+    assert kept.count() == len({r["component_id"] for r in found})
     assert simhash.components(nothing).count() == 0 and simhash.drop_near_copies(nothing).count() == 0
     with pytest.raises(ValueError):
         simhash.links(docs.select("fp"), most=4)
+
+
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "one two three four five"), (1, "one two three four five"), (2, "alpha beta gamma delta")], "doc_id long, text string")
+    kept = simhash.drop_near_copies(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "alpha beta gamma delta"), (1, "one two three four five")]
+
+
+@pytest.mark.parametrize("hot", [50_000, 5])
+def test_many_fingerprints_that_share_a_half(spark, hot):
+    """Those that only pass an anchor are split, and no link is lost."""
+    rng = random.Random(8)
+    base = rng.getrandbits(63)
+    fps = {base ^ rng.getrandbits(31) << 32 for _ in range(60)}
+    for f in list(fps)[:30]:
+        fps |= {f ^ 1 << rng.randrange(32), f ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32), f ^ 1 << rng.randrange(32, 63)}
+    nodes = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    if hot == 5:
+        assert simhash.anchored(nodes, hot).where("part > 0").count() > 0
+    parent = {f: f for f in fps}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in simhash.links(nodes, hot=hot).collect():
+        assert 0 < (r["src"] ^ r["dst"]).bit_count() <= 3
+        x, y = sorted((find(r["src"]), find(r["dst"])))
+        parent[y] = x
+    assert {f: find(f) for f in fps} == brute_components({f: f for f in fps})
