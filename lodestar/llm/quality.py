@@ -43,7 +43,7 @@ MARKS = ".,!?%$&*#|\"'"
 CLASSES = 8 + len(MARKS)
 REPEATS = 8
 #: Buckets of hashed runs of four bytes, and their weight beside the classes.
-HASHED, CONTENT = 1 << 12, 0.5
+HASHED, CONTENT = 1 << 10, 0.5
 SHAPES = CLASSES**3 + REPEATS
 TERMS = SHAPES + HASHED
 
@@ -82,7 +82,7 @@ def terms(data: bytes) -> np.ndarray:
         if len(seen) > 3:
             x = LOWER[seen]
             mixed = x[:-3] * FACTORS[0] + x[1:-2] * FACTORS[1] + x[2:-1] * FACTORS[2] + x[3:] * FACTORS[3]
-            content += np.bincount((mixed ^ (mixed >> np.uint32(15))) * FACTORS[0] >> np.uint32(20), minlength=HASHED)
+            content += np.bincount((mixed ^ (mixed >> np.uint32(15))) * FACTORS[0] >> np.uint32(22), minlength=HASHED)
         found = data[at:stop].split()
         words += len(found)
         again += sum(map(bytes.__eq__, found, ([last] if last is not None else [b""]) + found[:-1])) if found else 0
@@ -101,7 +101,8 @@ class Latent:
     def __init__(self, rows: np.ndarray, used: np.ndarray, dims: int):
         self.used = used
         self.weight = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.1).astype(np.float32)
-        x = self._unit(rows * self.weight)
+        x = rows * self.weight
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         # The leading right singular vectors, from the smaller of both Gram matrices.
         if x.shape[1] <= x.shape[0]:
             _, v = np.linalg.eigh(x.T @ x)

@@ -61,7 +61,7 @@ def test_terms_equal_brute_force():
     content = Counter()
     for i in range(len(data) - 3):
         h = sum((data[i + j] + 1 + 32 * (65 <= data[i + j] <= 90)) * int(f) for j, f in enumerate(quality.FACTORS)) & 0xFFFFFFFF
-        content[((h ^ h >> 15) * int(quality.FACTORS[0]) & 0xFFFFFFFF) >> 20] += 1
+        content[((h ^ h >> 15) * int(quality.FACTORS[0]) & 0xFFFFFFFF) >> 22] += 1
     for h, n in content.items():
         assert got[quality.SHAPES + h] == pytest.approx(quality.CONTENT * (n / sum(content.values())) ** 0.5, abs=1e-5)
 
