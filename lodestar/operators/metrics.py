@@ -111,7 +111,7 @@ def rejection_score(pred: DataFrame) -> Column:
 def summary(pred: DataFrame, known: list[str]) -> DataFrame:
     """One row: counts, accuracies, macro-F1, correlation, reject rates, AUROC
     and AUPR of rejection; measures without any row to judge are null."""
-    rows = pred.withColumn("known", F.col("true_label").isin(known)).withColumn("r", rejection_score(pred))
+    rows = pred.withColumn("known", F.col("true_label").isin(known)).withColumn("r", F.round(rejection_score(pred), 9))
     k, a, c = F.col("known"), F.col("accepted"), F.col("true_label") == F.col("predicted_label")
     share = lambda hit, of: F.sum((hit & of).cast("double")) / F.nullif(F.sum(of.cast("double")), F.lit(0.0))
     plain = rows.agg(

@@ -245,8 +245,8 @@ def effective_tau(bank: Bank, tau: float, by_class: dict[str, float] | None = No
     return out
 
 
-def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, full_vector: str | None = None) -> DataFrame:
-    """key, predicted_label (null if rejected), accepted, best_class_label,
+def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, full_vector: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, kept columns, predicted_label (null if rejected), accepted, best_class_label,
     best_prototype_id, best_prototype_status, score, threshold. With
     `rule.dual`, scores blend both spaces by the maxima of the whole input."""
     taus = effective_tau(bank, rule.tau if rule.tau is not None else tau, by_class)
@@ -256,8 +256,8 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
         taus = np.full(len(bank.ids), 1 - rule.evm_threshold)
     sent = df.sparkSession.sparkContext.broadcast((bank, rule, taus))
     vectors = [F.col(v).cast("array<double>").alias(f"x{i}") for i, v in enumerate([vector] + [full_vector] * bool(full_vector))]
-    rows = df.select(F.col(key).alias("key"), *vectors)
-    kind = f"key {rows.schema['key'].dataType.simpleString()}, score double, reject int, chosen int, other double, other_at int"
+    rows = df.select(F.col(key).alias("key"), *vectors, F.struct(F.col(key).alias("key"), *keep).alias("kept"))
+    kind = f"key {rows.schema['key'].dataType.simpleString()}, kept {rows.schema['kept'].dataType.simpleString()}, score double, reject int, chosen int, other double, other_at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank, rule, _ = sent.value
@@ -270,7 +270,7 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
                     d = np.sqrt(squared(matrix(batch.column(2)), rule.full.centers)) / np.maximum(rule.full.rho, LEAST)
                     other_at = first_least(d)
                     other = d[np.arange(len(d)), other_at]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(reject.astype(np.int32)), pa.array(chosen.astype(np.int32)), pa.array(other), pa.array(other_at.astype(np.int32))], names=["key", "score", "reject", "chosen", "other", "other_at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array(score), pa.array(reject.astype(np.int32)), pa.array(chosen.astype(np.int32)), pa.array(other), pa.array(other_at.astype(np.int32))], names=["key", "kept", "score", "reject", "chosen", "other", "other_at"])
 
     scored = rows.mapInArrow(run, kind)
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
@@ -286,7 +286,7 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
         scored = scored.withColumn("named", at(bank.labels, F.col("chosen")))
     scored = scored.withColumn("threshold", at(taus.tolist(), F.col("reject"))).withColumn("accepted", accepted(F.col("score"), F.col("threshold")))
     told = F.when(F.col("accepted"), F.coalesce("chosen", "reject")).otherwise(F.col("reject"))
-    return scored.select(F.col("key").alias(key), F.when(F.col("accepted"), F.col("named")).alias("predicted_label"), "accepted", F.col("named").alias("best_class_label"), at(bank.ids, told).alias("best_prototype_id"), at(bank.status, told).alias("best_prototype_status"), "score", "threshold")
+    return scored.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), F.when(F.col("accepted"), F.col("named")).alias("predicted_label"), "accepted", F.col("named").alias("best_class_label"), at(bank.ids, told).alias("best_prototype_id"), at(bank.status, told).alias("best_prototype_status"), "score", "threshold")
 
 
 def accepted(score: Column, threshold: Column) -> Column:

@@ -19,13 +19,13 @@ from lodestar.streaming import buffer
 
 # --- gates and budgets ----------------------------------------------------
 
-NOVEL = f"""{BANK}, nt AS (SELECT * FROM v WHERE label >= '7' AND row_id % 5 < 3), nc AS (SELECT label, {CENTER.format(x='x', t='nt')}), nd AS (SELECT nt.label, list_distance(x, center) AS d FROM nt JOIN nc USING (label)),
+NOVEL = f"""{BANK}, nt AS (SELECT * FROM v WHERE label >= '7'), nc AS (SELECT label, {CENTER.format(x='x', t='nt')}), nd AS (SELECT nt.label, list_distance(x, center) AS d FROM nt JOIN nc USING (label)),
 nk AS (SELECT label, d, row_number() OVER (PARTITION BY label ORDER BY d) AS r, count(*) OVER (PARTITION BY label) AS n FROM nd), nr AS (SELECT label, greatest(min(d) FILTER (r >= 0.9 * n), 1e-6) AS rho FROM nk GROUP BY label),
 np AS (SELECT label, center, rho FROM nc JOIN nr USING (label))"""
 
 
 def novel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prototypes.build(vectors(spark, sf_dir).where("label >= '7' AND row_id % 5 < 3"), unit="label")
+    return prototypes.build(vectors(spark, sf_dir).where("label >= '7'"), unit="label")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -75,11 +75,11 @@ def pending_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.evict(pending(spark, sf_dir), 60).select("item_id", "status", "location", "refresh_requested")
 
 
-@query("""WITH old AS (SELECT 'b1:' || event_type AS item_id FROM events WHERE user_id % 3 = 0 AND event_type IN ('view', 'click') GROUP BY event_type),
+@query("""WITH old AS (SELECT 'b1:' || event_type AS item_id FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type),
 fresh AS (SELECT 'b1:' || event_type AS item_id, count(*) AS n FROM events GROUP BY event_type) SELECT item_id, 0 AS rows FROM old UNION ALL SELECT item_id, n FROM fresh WHERE item_id NOT IN (SELECT item_id FROM old)""")
 def cache_labeled_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    have = e.where("user_id % 3 = 0 AND event_type IN ('view', 'click')").select(F.concat(F.lit("b1:"), "event_type").alias("item_id"), F.col("event_type").alias("label"), F.lit(0).cast("long").alias("rows"), F.lit("pending").alias("status"), F.lit("hot").alias("location"), F.lit(0.0).alias("created_at")).distinct()
+    have = e.where("event_type IN ('view', 'click')").select(F.concat(F.lit("b1:"), "event_type").alias("item_id"), F.col("event_type").alias("label"), F.lit(0).cast("long").alias("rows"), F.lit("pending").alias("status"), F.lit("hot").alias("location"), F.lit(0.0).alias("created_at")).distinct()
     return admission.cache_items(have, e, "b1", 1.0, "event_type").select("item_id", "rows")
 
 
@@ -219,12 +219,21 @@ def openset_run_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_metrics(openset_session_metrics(spark, sf_dir), 6)
 
 
-@query(f"""WITH {PRED}, r AS (SELECT *, true_label IN ('af', 'nf', 'no') AS kn FROM pred) SELECT count(*) FILTER (accepted) AS accepted_count, count(*) FILTER (NOT accepted) AS rejected_count, count(*) AS total_rows,
+@query(f"""WITH {PRED}, r AS (SELECT *, true_label IN ('af', 'nf', 'no') AS kn, round(score / threshold, 9) AS s FROM pred),
+kc AS (SELECT unnest(['af', 'nf', 'no']) AS c), kf AS (SELECT c, count(*) FILTER (true_label = c AND predicted_label = c) AS h, count(*) FILTER (true_label = c) AS a, count(*) FILTER (predicted_label = c) AS b FROM r, kc WHERE kn GROUP BY c),
+kt AS (SELECT sum(a * a) AS aa FROM (SELECT count(*) AS a FROM r WHERE kn GROUP BY true_label)), kp AS (SELECT sum(b * b) AS bb FROM (SELECT count(*) AS b FROM r WHERE kn GROUP BY predicted_label)),
+kx AS (SELECT sum(a * b) AS ab FROM (SELECT true_label AS c, count(*) AS a FROM r WHERE kn GROUP BY 1) JOIN (SELECT predicted_label AS c, count(*) AS b FROM r WHERE kn GROUP BY 1) USING (c)),
+ks AS (SELECT CAST(count(*) AS DOUBLE) AS s, count(*) FILTER (true_label = predicted_label) AS c FROM r WHERE kn),
+g AS (SELECT s, count(*) FILTER (NOT kn) AS p, count(*) FILTER (kn) AS n FROM r GROUP BY s), o AS (SELECT *, sum(n) OVER (ORDER BY s) - n AS b, sum(p) OVER (ORDER BY s DESC) AS tp, sum(p + n) OVER (ORDER BY s DESC) AS k FROM g)
+SELECT count(*) FILTER (accepted) AS accepted_count, count(*) FILTER (NOT accepted) AS rejected_count, count(*) AS total_rows,
  round(avg(CASE WHEN (kn AND accepted AND true_label = predicted_label) OR (NOT kn AND NOT accepted) THEN 1.0 ELSE 0 END), 6) AS overall_open_set_accuracy, round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0 END) FILTER (accepted), 6) AS accepted_accuracy,
- round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0 END) FILTER (kn), 6) AS known_class_accuracy, round(avg(CASE WHEN NOT accepted THEN 1.0 ELSE 0 END) FILTER (NOT kn), 6) AS unknown_rejection_rate, round(avg(CASE WHEN accepted THEN 1.0 ELSE 0 END) FILTER (NOT kn), 6) AS false_known_rate FROM r""")
+ round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0 END) FILTER (kn), 6) AS known_class_accuracy, round(avg(CASE WHEN NOT accepted THEN 1.0 ELSE 0 END) FILTER (NOT kn), 6) AS unknown_rejection_rate, round(avg(CASE WHEN accepted THEN 1.0 ELSE 0 END) FILTER (NOT kn), 6) AS false_known_rate,
+ (SELECT round(sum(CASE WHEN a + b > 0 THEN 2.0 * h / (a + b) ELSE 0 END) / 3, 6) FROM kf) AS known_macro_f1, (SELECT round((c * s - ab) / (sqrt(s * s - bb) * sqrt(s * s - aa)), 6) FROM ks, kt, kp, kx) AS known_mcc,
+ (SELECT round(sum(p * (b + n / 2.0)) / (sum(p) * sum(n)), 6) FROM o) AS unknown_rejection_auroc, (SELECT round(sum(p * tp / k) / sum(p), 6) FROM o) AS unknown_rejection_aupr FROM r""")
 def open_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.summary(predictions(spark, sf_dir), BASE)
-    return found.select("accepted_count", "rejected_count", "total_rows", *(F.round(c, 6).alias(c) for c in ("overall_open_set_accuracy", "accepted_accuracy", "known_class_accuracy", "unknown_rejection_rate", "false_known_rate")))
+    shares = ("overall_open_set_accuracy", "accepted_accuracy", "known_class_accuracy", "unknown_rejection_rate", "false_known_rate", "known_macro_f1", "known_mcc", "unknown_rejection_auroc", "unknown_rejection_aupr")
+    return found.select("accepted_count", "rejected_count", "total_rows", *(F.round(c, 6).alias(c) for c in shares))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,16 +353,13 @@ def session_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole runs -----------------------------------------------------------
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Characters of a document that the flagship's SQL looks at, and so the flagship.
-WINDOW = 4000
 #: Bytes of a text counted at a time.
 COUNTED = 1 << 20
 UNSEEN = "es"
 
 
-def letter_features(docs: DataFrame, window: int | None = None) -> DataFrame:
-    """row_id, label, split, x: frequencies of 26 letters in a text, or in its
-    first `window` characters.
+def letter_features(docs: DataFrame) -> DataFrame:
+    """row_id, label, split, x: frequencies of 26 letters in a whole text.
 
     The bytes of each text are counted once in Arrow batches; 26 replacements
     in the JVM read them 26 times (2 s against 4.5 s for the flagship at sf0.1)."""
@@ -372,13 +378,13 @@ def letter_features(docs: DataFrame, window: int | None = None) -> DataFrame:
             x = pa.FixedSizeListArray.from_arrays(pa.array((counts / n[:, None]).ravel()), 26).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], names=["row_id", "label", "split", "x"])
 
-    low = F.lower(F.substring("text", 1, window) if window else F.col("text"))
+    low = F.lower("text")
     split = F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "calibration").otherwise("test")
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), split.alias("split"), low.cast("binary").alias("t"), F.char_length(low).alias("n"))
     return rows.mapInArrow(count, "row_id long, label string, split string, x array<double>")
 
 
-FEATURES_SQL = f"""d AS (SELECT doc_id, lang AS label, doc_id % 5 AS s, lower(substr(text, 1, {WINDOW})) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+FEATURES_SQL = f"""d AS (SELECT doc_id, lang AS label, doc_id % 5 AS s, lower(text) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
 f AS (SELECT doc_id, label, s, [(length(t) - length(replace(t, c, ''))) / CAST(greatest(length(t), 1) AS DOUBLE) FOR c IN [{', '.join(f"'{c}'" for c in LETTERS)}]] AS x FROM d),
 tr AS (SELECT * FROM f WHERE s < 3 AND label <> '{UNSEEN}'), st AS (SELECT list(m ORDER BY j) AS m, list(sd ORDER BY j) AS sd FROM (SELECT j, avg(c) AS m, coalesce(nullif(stddev_pop(c), 0), 1) AS sd FROM (SELECT unnest(x) AS c, generate_subscripts(x, 1) AS j FROM tr) GROUP BY j)),
 z AS (SELECT doc_id, label, s, list_transform(x, lambda e, i: (e - m[i]) / sd[i]) AS x FROM f, st), zt AS (SELECT * FROM z WHERE s < 3 AND label <> '{UNSEEN}'), ce AS (SELECT label, {CENTER.format(x='x', t='zt')}),
@@ -397,7 +403,7 @@ def flagship_open_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.operators import calibration, scoring
     from lodestar.plans.model import calibration_scores
 
-    rows = cut(letter_features(table(spark, sf_dir, "documents"), WINDOW))
+    rows = cut(letter_features(table(spark, sf_dir, "documents")))
     seen = F.col("label") != UNSEEN
     train = rows.where((F.col("split") == "train") & seen)
     stats = train.select(F.posexplode("x").alias("j", "c")).groupBy("j").agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s")).orderBy("j").collect()
@@ -406,7 +412,7 @@ def flagship_open_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank_ = prototypes.Bank.of(prototypes.build(z.where((F.col("split") == "train") & seen), unit="label"))
     tau = calibration.quantile(calibration_scores(z.where((F.col("split") == "calibration") & seen), bank_, vector="x").where("kind = 'pos'"), 0.85, 1.0)
     test = z.where(F.col("split") == "test")
-    found = scoring.predict(test, bank_, scoring.Rule(), tau).join(test.select("row_id", "label"), "row_id")
+    found = scoring.predict(test, bank_, scoring.Rule(), tau, keep=("label",))
     known, hit = F.col("label") != UNSEEN, F.col("predicted_label") == F.col("label")
     share = lambda x, of: F.avg(F.when(of, F.coalesce(x.cast("double"), F.lit(0.0))))
     out = found.agg(F.count(F.lit(1)).alias("n_rows"), F.sum((~known).cast("long")).alias("n_unknown"), share(hit, known).alias("ccr"), share(~F.col("accepted"), ~known).alias("tur"))

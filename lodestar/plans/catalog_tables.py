@@ -50,11 +50,11 @@ def binary_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed.groupBy(F.col("event_type").alias("original"), "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-@query("""SELECT vec_id, label FROM embeddings WHERE label IN (0, 1, 2, 3, 4, 5) AND vec_id % 5 < 3""")
+@query("""SELECT vec_id, label FROM embeddings WHERE label IN (0, 1, 2, 3, 4, 5)""")
 def base_class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     base = e.select("label").distinct().where("label < 6")
-    return e.where("vec_id % 5 < 3").join(F.broadcast(base), "label", "left_semi").select("vec_id", "label")
+    return e.join(F.broadcast(base), "label", "left_semi").select("vec_id", "label")
 
 
 @query("""SELECT vec_id, label, CASE WHEN label <> 3 AND vec_id % 2 = 0 THEN 'train' WHEN label <> 3 THEN 'calibration' ELSE 'support' END AS role FROM embeddings""")
@@ -65,10 +65,10 @@ def holdout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""SELECT DISTINCT label FROM embeddings WHERE vec_id % 7 = 0 AND label NOT IN (SELECT label FROM embeddings WHERE vec_id % 11 = 0 AND label < 7)""")
+@query("""SELECT DISTINCT o_orderstatus AS label FROM orders WHERE o_orderstatus NOT IN (SELECT l_linestatus FROM lineitem)""")
 def label_validation_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return splits.missing_labels(e.where("vec_id % 7 = 0"), e.where("vec_id % 11 = 0 AND label < 7"))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("label"))
+    return splits.missing_labels(wanted, table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("label")))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_orderstatus AS label FROM orders), b AS (SELECT DISTINCT l_linestatus AS label FROM lineitem), c AS (SELECT DISTINCT l_returnflag AS label FROM lineitem)

@@ -17,12 +17,14 @@ V = """v AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label, CAST(embe
 EDGES = f"""{V}, pairs AS (SELECT a.row_id AS src, b.row_id AS dst, a.label, pow(list_distance(a.x, b.x), 2) AS d2 FROM v a JOIN v b ON a.label = b.label AND a.row_id <> b.row_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM pairs), near AS (SELECT * FROM ranked WHERE rank <= {{r}})"""
 CENTER = """list(m ORDER BY j) AS center FROM (SELECT label, j, avg(c) AS m FROM (SELECT label, unnest({x}) AS c, generate_subscripts({x}, 1) AS j FROM {t}) GROUP BY label, j) GROUP BY label"""
-BANK = f"""{V}, tr AS (SELECT * FROM v WHERE label < '7' AND row_id % 5 < 3), ce AS (SELECT label, {CENTER.format(x='x', t='tr')}),
+PROTOTYPES = f"""ce AS (SELECT label, {CENTER.format(x='x', t='tr')}),
 di AS (SELECT tr.row_id, tr.label, center, list_distance(x, center) AS d FROM tr JOIN ce USING (label)),
 rk AS (SELECT label, d, row_number() OVER (PARTITION BY label ORDER BY d) AS r, count(*) OVER (PARTITION BY label) AS n FROM di),
 rh AS (SELECT label, greatest(min(d) FILTER (r >= 0.9 * n), 1e-6) AS rho, CAST(count(*) AS DOUBLE) AS weight FROM rk GROUP BY label),
-pr AS (SELECT label, center, rho, weight FROM ce JOIN rh USING (label)),
-te AS (SELECT * FROM v WHERE row_id % 5 = 4), ca AS (SELECT * FROM v WHERE row_id % 5 = 3 AND label < '7')"""
+pr AS (SELECT label, center, rho, weight FROM ce JOIN rh USING (label))"""
+EVERY = f"{V}, tr AS (SELECT * FROM v), {PROTOTYPES}"
+# Base classes have prototypes; all rows are scored, those of the other classes as unknown ones.
+BANK = f"{V}, tr AS (SELECT * FROM v WHERE label < '7'), {PROTOTYPES}, te AS (SELECT * FROM v), ca AS (SELECT * FROM tr)"
 SCORED = BANK + """, sc AS (SELECT te.row_id, te.label AS true_label, te.x, pr.label AS p, center, weight, list_distance(te.x, center) AS d, list_distance(te.x, center) / greatest(rho, 1e-12) AS s FROM te, pr)"""
 CAL = BANK + """, cs AS (SELECT ca.row_id AS seq, ca.label, pr.label AS p, list_distance(ca.x, center) / greatest(rho, 1e-12) AS s FROM ca, pr),
 pos AS (SELECT seq, label, s AS score FROM cs WHERE label = p), neg AS (SELECT seq, label, min(s) AS score FROM cs WHERE label <> p GROUP BY seq, label)"""
@@ -32,20 +34,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("label < '7' AND row_id % 5 < 3")
-
-
-def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("label < '7' AND row_id % 5 = 3")
-
-
-def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("row_id % 5 = 4")
+def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the base classes."""
+    return vectors(spark, sf_dir).where("label < '7'")
 
 
 def bank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prototypes.build(training(spark, sf_dir), unit="label")
+    return prototypes.build(base_rows(spark, sf_dir), unit="label")
 
 
 def bank(spark: SparkSession, sf_dir: str) -> Bank:
@@ -223,15 +218,15 @@ def support_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prototypes.weighted_quantile(far, ["label"], "d", "w", 0.5, "radius").withColumn("radius", F.round("radius", 6))
 
 
-@query(f"WITH {BANK} SELECT label AS prototype_id, label, round(rho, 6) AS rho, weight, CASE WHEN weight < 20 THEN 'fragile_stable' ELSE 'stable' END AS status, round(list_sum(center), 5) AS center_sum FROM pr")
+@query(f"WITH {EVERY} SELECT label AS prototype_id, label, round(rho, 6) AS rho, weight, CASE WHEN weight < 20 THEN 'fragile_stable' ELSE 'stable' END AS status, round(list_sum(center), 5) AS center_sum FROM pr")
 def prototype_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = prototypes.build(training(spark, sf_dir), unit="label", fragile_below=20)
+    built = prototypes.build(vectors(spark, sf_dir), unit="label", fragile_below=20)
     return built.select("prototype_id", "label", F.round("rho", 6).alias("rho"), "weight", "status", F.round(F.aggregate("center", F.lit(0.0), lambda s, x: s + x), 5).alias("center_sum"))
 
 
-@query(f"WITH {BANK} SELECT label, round(max(d), 6) AS radius, CAST(count(*) AS DOUBLE) AS weight FROM di GROUP BY label")
+@query(f"WITH {EVERY} SELECT label, round(max(d), 6) AS radius, CAST(count(*) AS DOUBLE) AS weight FROM di GROUP BY label")
 def centroid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training(spark, sf_dir)
+    rows = vectors(spark, sf_dir)
     far = prototypes.distances(rows, mean_vectors(rows, ["label"], "x"), ["label"])
     return far.groupBy("label").agg(F.round(F.max("d"), 6).alias("radius"), F.sum(F.lit(1.0)).alias("weight"))
 
@@ -240,7 +235,7 @@ def centroid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str, rule: scoring.Rule, digits: int = 6) -> DataFrame:
-    found = scoring.predict(tested(spark, sf_dir), bank(spark, sf_dir), rule, 1.0)
+    found = scoring.predict(vectors(spark, sf_dir), bank(spark, sf_dir), rule, 1.0)
     return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", digits).alias("score"))
 
 
@@ -276,7 +271,7 @@ def score_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT * FROM nn WHERE r <= 5), vo AS (SELECT row_id, label, count(*) AS n FROM k GROUP BY row_id, label)
 SELECT row_id, arg_min(label, (-n, label)) AS label, (SELECT round(max(d), 6) FROM k WHERE k.row_id = vo.row_id) AS score FROM vo GROUP BY row_id""")
 def score_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.knn_vote(scoring.nearest_references(tested(spark, sf_dir), training(spark, sf_dir), 5))
+    found = scoring.knn_vote(scoring.nearest_references(vectors(spark, sf_dir), base_rows(spark, sf_dir), 5))
     return found.select("row_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -316,8 +311,8 @@ mx AS (SELECT (SELECT max(s) FROM small) AS ms, (SELECT max(f) FROM wide) AS mf)
 SELECT row_id, p AS label, round((0.6 * s / ms + 0.4 * f / mf) * ms, 6) AS score FROM small JOIN wide USING (row_id), mx""")
 def dual_space_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda df: df.withColumn("z", F.slice("x", 1, 16))
-    small = Bank.of(prototypes.build(part(training(spark, sf_dir)), unit="label", vector="z"))
-    found = scoring.predict(part(tested(spark, sf_dir)), small, scoring.Rule(dual=0.6, full=bank(spark, sf_dir)), 1.0, vector="z", full_vector="x")
+    small = Bank.of(prototypes.build(part(base_rows(spark, sf_dir)), unit="label", vector="z"))
+    found = scoring.predict(part(vectors(spark, sf_dir)), small, scoring.Rule(dual=0.6, full=bank(spark, sf_dir)), 1.0, vector="z", full_vector="x")
     return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
 
 
@@ -336,8 +331,8 @@ SELECT row_id, true_label, CASE WHEN s > tau THEN 'unknown' ELSE p END AS predic
 def accept_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bank(spark, sf_dir)
     tau = calibration.quantile(_positives(spark, sf_dir, b), 0.85, 1.0)
-    found = scoring.predict(tested(spark, sf_dir), b, scoring.Rule(), tau)
-    return found.join(tested(spark, sf_dir).select("row_id", F.col("label").alias("true_label")), "row_id").select("row_id", "true_label", F.coalesce("predicted_label", F.lit("unknown")).alias("predicted_label"), "accepted")
+    found = scoring.predict(vectors(spark, sf_dir), b, scoring.Rule(), tau)
+    return found.join(vectors(spark, sf_dir).select("row_id", F.col("label").alias("true_label")), "row_id").select("row_id", "true_label", F.coalesce("predicted_label", F.lit("unknown")).alias("predicted_label"), "accepted")
 
 
 # --- thresholds -----------------------------------------------------------
@@ -346,7 +341,7 @@ def accept_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _calibration(spark: SparkSession, sf_dir: str, b: Bank | None = None) -> DataFrame:
     from lodestar.plans.model import calibration_scores
 
-    return cut(calibration_scores(held(spark, sf_dir), b or bank(spark, sf_dir), vector="x"))
+    return cut(calibration_scores(base_rows(spark, sf_dir), b or bank(spark, sf_dir), vector="x"))
 
 
 def _positives(spark: SparkSession, sf_dir: str, b: Bank | None = None) -> DataFrame:

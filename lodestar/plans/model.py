@@ -244,9 +244,8 @@ def _exemplars(support: DataFrame, config: ModelConfig) -> tuple[np.ndarray, lis
 def predict(model: Model, df: DataFrame, key: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Kept columns and the scorer's, the label `unknown` for rejected rows."""
     z = project(featurise(df, model.fitted, model.map, (key, *keep)), model.projection.matrix)
-    found = scoring.predict(z, model.bank, model.rule(), model.tau, key, "z", model.by_class).withColumn("predicted_label", F.coalesce("predicted_label", F.lit(UNKNOWN)))
-    found = found.withColumn("projection_version", F.lit(model.version))
-    return found.join(df.select(key, *keep), key) if keep else found
+    found = scoring.predict(z, model.bank, model.rule(), model.tau, key, "z", model.by_class, keep=keep).withColumn("predicted_label", F.coalesce("predicted_label", F.lit(UNKNOWN)))
+    return found.withColumn("projection_version", F.lit(model.version))
 
 
 def support_rows(model: Model, df: DataFrame, label: str = "label", key: str = "row_id") -> DataFrame:
