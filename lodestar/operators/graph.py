@@ -1,16 +1,15 @@
 """Within-class nearest-neighbour graphs, mutual edges and localisation.
 
-Exact neighbours are found block by block: the class vectors pass by in chunks
-of at most `chunk` rows, each broadcast in turn, and every task keeps the r
-best of its rows for the chunk by matrix products whose finalists are measured
-again exactly. A last top-r over r candidates for each chunk replaces a join of
-all pairs, so no task or message grows with a class.
+Exact neighbours are found by pairs of blocks, in one plan: a class is dealt
+into blocks of about `chunk` rows at most, each row goes to every pair that its
+block is in, and a task that holds both blocks of a pair keeps the r best of
+each row by matrix products whose finalists are measured again exactly. Ranks
+are limited before candidates are shuffled. So a class of any size is spread
+over tasks, none holds more than two blocks, and the table is read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,67 +19,65 @@ from lodestar.functions.session import cut
 from lodestar.functions.vectors import matrix
 from lodestar.operators.components import connected_components
 
-#: Rows of one broadcast chunk, and finalists beyond r that are measured exactly.
-CHUNK, SLACK = 8192, 16
-#: Chunks after which the best so far are merged.
-MERGED = 16
+#: Rows of one block, the least that a block is cut to for more tasks, and
+#: finalists beyond r that are measured exactly.
+CHUNK, LEAST, SLACK = 4096, 256, 16
 
 
 def nearest(df: DataFrame, r: int, key: str = "row_id", label: str = "label", vector: str = "x", metric: str = "euclidean", chunk: int = CHUNK) -> DataFrame:
     """src, dst, label, d2, rank: the r nearest others of each row within its
-    class, ties by dst; d2 is the squared distance (or 1 - cosine)."""
+    class, ties by dst; d2 is the squared distance (or 1 - cosine). A null label
+    is a class of its own; rows that repeat a key are not each other's."""
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    rows = cut(df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("of"), F.col(vector).cast("array<double>").alias("v")))
-    n = rows.count()
-    parts = max(1, -(-n // chunk))
-    placed = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")) if parts > 1 else rows.withColumn("part", F.lit(0))
-    found = None
-    for part in range(parts):
-        block = placed.where(F.col("part") == part).select("id", "of", "v").toArrow()
-        sent = df.sparkSession.sparkContext.broadcast((block.column("id").to_numpy(), np.array(block.column("of").to_pylist(), object), matrix(block.column("v"))))
-        some = rows.mapInArrow(_against(sent, r, metric), "src long, dst long, label string, d2 double")
-        found = some if found is None else found.unionByName(some)
-        if (part + 1) % MERGED == 0:  # keeps the plan and what is held short
-            found = cut(_best(found, r).drop("rank"))
-    return _best(found, r)
-
-
-def _best(found: DataFrame, r: int) -> DataFrame:
+    named = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("of"), F.col(vector).cast("array<double>").alias("v"))
+    rows = cut(named.withColumn("m", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Blocks enough for the chunk, and for some pairs a task, but not too small ones.
+    spread = F.least(F.lit(int(np.ceil(np.sqrt(2 * tasks)))), F.ceil(F.col("n") / min(LEAST, chunk)))
+    blocks = F.greatest(F.ceil(F.col("n") / chunk), spread).cast("int")
+    counted = sizes.select(F.col("of").alias("c"), blocks.alias("blocks"))
+    placed = rows.join(counted, F.col("of").eqNullSafe(F.col("c"))).withColumn("a", F.pmod(F.xxhash64("m"), "blocks").cast("int"))
+    sent = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("id", "of", "v", F.col("a").alias("block"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    pairs = sent.repartition(4 * tasks, "of", "low", "high").groupBy("of", "low", "high")
+    found = pairs.applyInArrow(_meeting(r, metric), "src long, dst long, label string, d2 double")
     top = Window.partitionBy("src").orderBy("d2", "dst")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= r)
 
 
-def _against(sent, r: int, metric: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, of, v = sent.value
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        v = unit(v) if metric == "cosine" and len(v) else v
-        square = (v * v).sum(1) if len(v) else np.zeros(0)
-        by_label = {k: np.flatnonzero(of == k) for k in set(of)}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                own_ids, own_of, own = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), matrix(batch.column(2))
-                own = unit(own) if metric == "cosine" and len(own) else own
-                out = ([], [], [], [])
-                for k in sorted({x for x in own_of if x in by_label}):
-                    mine, others = np.flatnonzero(own_of == k), by_label[k]
-                    rough = (own[mine] ** 2).sum(1)[:, None] + square[others][None, :] - 2 * own[mine] @ v[others].T
-                    rough[own_ids[mine][:, None] == ids[others][None, :]] = np.inf
-                    near = min(r + SLACK, len(others))
-                    best = others[np.argpartition(rough, near - 1, axis=1)[:, :near]]
-                    exact = ((own[mine][:, None, :] - v[best]) ** 2).sum(2)
-                    exact = exact / 2 if metric == "cosine" else exact
-                    exact[own_ids[mine][:, None] == ids[best]] = np.inf
-                    for row, i in enumerate(mine):
-                        order = np.lexsort((ids[best[row]], exact[row]))[:r]
-                        order = order[np.isfinite(exact[row][order])]
-                        out[0].extend([own_ids[i]] * len(order))
-                        out[1].extend(ids[best[row]][order])
-                        out[2].extend([k] * len(order))
-                        out[3].extend(exact[row][order])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=["src", "dst", "label", "d2"])
+def _meeting(r: int, metric: str):
+    """The r best of each row of two blocks (or of one) in the other."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, v, block = group.column("id").to_numpy(), matrix(group.column("v")), group.column("block").to_numpy()
+        of = group.column("of")[0].as_py()
+        if metric == "cosine":
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        square = (v * v).sum(1)
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        out: tuple[list, list, list] = ([], [], [])
+        for mine, others in ((low, high), (high, low))[: 1 + (low != high)]:
+            mine, others = np.flatnonzero(block == mine), np.flatnonzero(block == others)
+            if not len(others):
+                continue
+            near = min(r + SLACK, len(others))
+            for at in range(0, len(mine), 512):
+                own = mine[at : at + 512]
+                rough = square[own, None] + square[others] - 2 * v[own] @ v[others].T
+                rough[ids[own][:, None] == ids[others]] = np.inf
+                best = others[np.argpartition(rough, near - 1, axis=1)[:, :near]]
+                exact = ((v[own][:, None, :] - v[best]) ** 2).sum(2) / (2 if metric == "cosine" else 1)
+                exact[ids[own][:, None] == ids[best]] = np.inf
+                order = np.lexsort((ids[best], exact))[:, :r]
+                d2 = np.take_along_axis(exact, order, 1)
+                some = np.isfinite(d2)
+                out[0].append(np.repeat(ids[own], some.sum(1)))
+                out[1].append(np.take_along_axis(ids[best], order, 1)[some])
+                out[2].append(d2[some])
+        src, dst, d2 = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"src": pa.array(src.astype(np.int64)), "dst": pa.array(dst.astype(np.int64)), "label": pa.array([of] * len(src), pa.string()), "d2": pa.array(d2)})
 
     return run
 

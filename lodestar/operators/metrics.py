@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.labels import UNKNOWN, harmonic, ratio
+from lodestar.operators.running import ranked, running
 
 
 def _share(hit: Column, of: Column) -> Column:
@@ -60,10 +61,9 @@ def run_metrics(sessions: DataFrame, digits: int = 4) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str], positive: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks; rows of equal score are summed
-    first, so the window runs over distinct scores."""
+    first, and the order of scores is spread over tasks."""
     tied = df.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.sum((~F.col(positive)).cast("double")).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = tied.withColumn("b", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
+    run = running(tied, keys, [F.col(score)], {"b": F.col("n")}).withColumn("b", F.col("b") - F.col("n"))
     return run.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auroc"))
 
 
@@ -71,8 +71,7 @@ def aupr(df: DataFrame, keys: list[str], positive: str, score: str) -> DataFrame
     """Average precision: precision at each distinct score weighted by the
     recall gained there."""
     tied = df.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("m"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = tied.withColumn("tp", F.sum("p").over(down)).withColumn("k", F.sum("m").over(down))
+    run = running(tied, keys, [F.desc(score)], {"tp": F.col("p"), "k": F.col("m")})
     return run.groupBy(*keys).agg((F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.nullif(F.sum("p"), F.lit(0.0))).alias("aupr"))
 
 
@@ -186,12 +185,14 @@ def ablation(df: DataFrame, arm: str, value: str, full: str) -> DataFrame:
 
 
 def holm(df: DataFrame, key: str, p: str, alpha: float = 0.05) -> DataFrame:
-    """Step-down adjusted p values over one family of tests (a few hundred rows)."""
-    family = Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("m", F.count(F.lit(1)).over(family)).withColumn("rank", F.row_number().over(family.orderBy(p, key)))
-    step = F.least(F.lit(1.0), F.col(p) * (F.col("m") - F.col("rank") + 1))
-    run = ranked.withColumn("holm_p", F.max(step).over(family.orderBy(p, key).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.select(key, p, "rank", "holm_p", (F.col("holm_p") < alpha).alias("significant"))
+    """Step-down adjusted p values over one family of tests, its order spread
+    over tasks."""
+    m = df.count()
+    order = [F.col(p), F.col(key)]
+    placed = ranked(df.select(key, p), [], order)
+    step = F.least(F.lit(1.0), F.col(p) * (m - F.col("rank") + 1))
+    run = running(placed, [], order, maxima={"holm_p": step})
+    return run.select(key, p, F.col("rank").cast("int").alias("rank"), "holm_p", (F.col("holm_p") < alpha).alias("significant"))
 
 
 def session_deltas(df: DataFrame, keys: list[str], session: str, value: str) -> DataFrame:

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.session import cut
 from lodestar.functions.vectors import matrix
 from lodestar.operators.prototypes import Bank
 
 MODES = ("min_distance", "mahalanobis", "relative_mahalanobis", "energy", "ghost", "reciprocal", "hyperspherical", "evm", "knn")
 TIE, LEAST = 1e-12, 1e-12
 BLOCK = 1024
-#: Reference rows of one broadcast chunk, and chunks after which the best so far are merged.
-CHUNK, MERGED = 8192, 16
+#: Rows of one block of references.
+CHUNK = 4096
 
 
 @dataclass
@@ -184,42 +185,41 @@ def evaluate(x: np.ndarray, bank: Bank, rule: Rule) -> tuple[np.ndarray, np.ndar
     return score, at, of_class
 
 
-def nearest_references(df: DataFrame, reference: DataFrame, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = CHUNK) -> DataFrame:
+def nearest_references(df: DataFrame, reference: DataFrame, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = CHUNK, ref_key: str | None = None) -> DataFrame:
     """row_id, ref, label, d: the k nearest of all reference rows for each row,
-    ties by ref. The reference rows pass by in broadcast chunks."""
-    from lodestar.functions.session import cut
-
-    rows = cut(df.select(F.col(key).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v")))
-    refs = cut(reference.select(F.col(key).cast("long").alias("ref"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")))
-    parts = max(1, -(-refs.count() // chunk))
+    ties by ref. Both sides are dealt into blocks of about `chunk` rows and each
+    pair of blocks meets in one task, in one plan."""
+    rows = cut(df.select(F.col(key).cast("long").alias("id"), F.lit(None).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("is_ref"), F.monotonically_increasing_id().alias("m")))
+    refs = cut(reference.select(F.col(ref_key or key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("is_ref"), F.monotonically_increasing_id().alias("m")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.count()
+    across, down = max(1, -(-n // chunk), min(tasks, -(-n // 256))), max(1, -(-refs.count() // chunk))
+    block = lambda parts: F.pmod(F.xxhash64("m"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    both = rows.withColumn("a", block(across)).withColumn("b", every(down)).unionByName(refs.withColumn("b", block(down)).withColumn("a", every(across)))
+    met = both.drop("m").repartition(4 * tasks, "a", "b").groupBy("a", "b")
+    found = met.applyInArrow(_against(k), "row_id long, ref long, label string, d double")
     top = Window.partitionBy("row_id").orderBy("d", "ref")
-    best = lambda found: found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
-    found = None
-    for part in range(parts):
-        block = refs.where(F.pmod(F.xxhash64("ref"), F.lit(parts)) == part).toArrow()
-        sent = df.sparkSession.sparkContext.broadcast((block.column("ref").to_numpy(), block.column("label").to_pylist(), matrix(block.column("v"))))
-        some = rows.mapInArrow(_against(sent, k), "row_id long, ref long, label string, d double")
-        found = some if found is None else found.unionByName(some)
-        if (part + 1) % MERGED == 0:  # keeps the plan and what is held short
-            found = cut(best(found))
-    return best(found)
-
-
-def _against(sent, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, points = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out = ([], [], [], [])
-                if len(ids):
-                    d = np.sqrt(squared(matrix(batch.column(1)), points))
-                    for row, own in zip(batch.column(0).to_pylist(), d, strict=True):
-                        near = np.flatnonzero(own <= np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1])
-                        for i in near[np.lexsort((ids[near], own[near]))][:k]:
-                            for column, value in zip(out, (row, int(ids[i]), labels[i], float(own[i])), strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=["row_id", "ref", "label", "d"])
+    return found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
+
+
+def _against(k: int):
+    def run(group: pa.Table) -> pa.Table:
+        is_ref = group.column("is_ref").to_numpy(zero_copy_only=False).astype(bool)
+        ids, v = group.column("id").to_numpy(), matrix(group.column("v"))
+        labels = np.array(group.column("label").to_pylist(), object)[is_ref]
+        rows, refs, points = ids[~is_ref], ids[is_ref], v[is_ref]
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        near = min(k, len(refs))
+        for at in range(0, len(rows) if near else 0, 256):
+            d = np.sqrt(squared(v[~is_ref][at : at + 256], points))
+            least = np.partition(d, near - 1, axis=1)[:, near - 1 : near]
+            for row, own, most in zip(rows[at : at + 256], d, least[:, 0], strict=True):
+                some = np.flatnonzero(own <= most)
+                some = some[np.lexsort((refs[some], own[some]))][:k]
+                for column, value in zip(out, ([row] * len(some), refs[some], labels[some], own[some]), strict=True):
+                    column.extend(value)
+        return pa.table({"row_id": pa.array(out[0], pa.int64()), "ref": pa.array(out[1], pa.int64()), "label": pa.array(out[2], pa.string()), "d": pa.array(out[3], pa.float64())})
 
     return run
 
@@ -275,8 +275,6 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
     scored = rows.mapInArrow(run, kind)
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
     if rule.dual is not None:
-        from lodestar.functions.session import cut
-
         scored = cut(scored)
         most = scored.agg(F.max("score"), F.max("other")).first()
         top, wide = max(most[0] or 0.0, LEAST), max(most[1] or 0.0, LEAST)
