@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.session import cut
-from lodestar.functions.vectors import matrix
+from lodestar.functions.vectors import matrix, mean_vectors, squared_distance
 from lodestar.operators.prototypes import Bank
+from lodestar.operators.running import ranked
 
 #: Bytes of Gram matrices that are held at a time.
 GRAM_BYTES = 1 << 26
@@ -22,18 +24,22 @@ TRIMS = ("latest", "head", "uniform", "leverage")
 def trim(df: DataFrame, keys: list[str], most: int, how: str = "uniform", seq: str = "seq", vector: str = "phi", seed: int = 0) -> DataFrame:
     """At most `most` rows of each unit: the latest, the first, evenly spaced
     ones, or the ones that weigh most in the unit's span with a hashed draw."""
-    w = Window.partitionBy(*keys)
+    if how not in TRIMS:
+        raise ValueError(f"unknown trim {how!r}")
     if how == "leverage":
         return _by_leverage(df, keys, most, seq, vector, seed)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(seq) if how == "latest" else F.col(seq)))).withColumn("_n", F.count(F.lit(1)).over(w))
-    if how in ("latest", "head"):
-        return ranked.where(F.col("_r") <= most).drop("_r", "_n")
-    if how != "uniform":
-        raise ValueError(f"unknown trim {how!r}")
+    if how in ("latest", "head"):  # a rank limit, which tasks apply before rows meet
+        order = Window.partitionBy(*keys).orderBy(F.desc(seq) if how == "latest" else F.col(seq))
+        return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    sizes = df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    placed = ranked(df, keys, [F.col(seq)], "_r").join(sizes, same)
     # Position i of `most` falls on floor(i * (n - 1) / (most - 1)).
     i = F.ceil((F.col("_r") - 1) * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1))) if most > 1 else F.lit(0)
     place = F.floor(i * (F.col("_n") - 1) / max(most - 1, 1))
-    return ranked.where((F.col("_n") <= most) | ((place == F.col("_r") - 1) & (i < most))).drop("_r", "_n")
+    return placed.where((F.col("_n") <= most) | ((place == F.col("_r") - 1) & (i < most))).select(*df.columns)
 
 
 def _by_leverage(df: DataFrame, keys: list[str], most: int, seq: str, vector: str, seed: int) -> DataFrame:
@@ -123,12 +129,13 @@ def cache_items(pending: DataFrame, batch: DataFrame, batch_id: str, now: float,
 
 def evict(pending: DataFrame, budget: int) -> DataFrame:
     """Hot items over the budget move to the archive: blocked ones first, then
-    the oldest; they ask for a refresh."""
+    the oldest; they ask for a refresh. The `budget` that stay are a bounded
+    top-k of the table."""
     hot = F.col("location") == "hot"
-    order = Window.partitionBy("location").orderBy((F.col("status") == "blocked").cast("int"), F.desc("created_at"), F.desc("item_id"))
-    ranked = pending.withColumn("_r", F.row_number().over(order))
-    out = hot & (F.col("_r") > budget)
-    return ranked.withColumns({"location": F.when(out, "archived").otherwise(F.col("location")), "refresh_requested": out}).drop("_r")
+    stays = pending.where(hot).orderBy((F.col("status") == "blocked").cast("int"), F.desc("created_at"), F.desc("item_id")).limit(budget)
+    found = pending.join(stays.select(F.col("item_id").alias("_stays")), F.col("item_id") == F.col("_stays"), "left")
+    out = F.coalesce(hot & F.col("_stays").isNull(), F.lit(False))
+    return found.withColumns({"location": F.when(out, "archived").otherwise(F.col("location")), "refresh_requested": out}).drop("_stays")
 
 
 def archive_victim(weights: DataFrame, protected: list[str]) -> DataFrame:
@@ -140,8 +147,6 @@ def archive_victim(weights: DataFrame, protected: list[str]) -> DataFrame:
 def margin_conflict(candidate: tuple[Column, Column, Column], deployed: tuple[Column, Column, Column], tau: float, margin: float) -> Column:
     """Whether two prototypes (label, center, rho) of different classes are no
     further apart than tau times their radii and the margin."""
-    from lodestar.functions.vectors import squared_distance
-
     (la, ca, ra), (lb, cb, rb) = candidate, deployed
     return (la != lb) & (F.sqrt(squared_distance(ca, cb)) <= tau * (ra + rb) + margin)
 
@@ -154,13 +159,45 @@ def passes_margin(candidate: Bank, deployed: Bank, tau: float, margin: float) ->
     return True
 
 
+Hull = tuple[np.ndarray, np.ndarray]
+
+
+def hull(span: np.ndarray) -> Hull:
+    """Mean and orthonormal directions of the affine hull of some rows."""
+    _, s, vt = np.linalg.svd(span - span.mean(0), full_matrices=False)
+    return span.mean(0), vt[s > 1e-10]
+
+
+def hull_of(df: DataFrame, vector: str = "x") -> Hull:
+    """The same of all rows of a table, from its moments."""
+    from lodestar.operators.prototypes import moments
+
+    n, s1, s2 = moments(df, vector)
+    if not n:
+        raise ValueError("no rows span a hull")
+    values, axes = np.linalg.eigh(s2 - np.outer(s1, s1) / n)
+    return s1 / n, axes[:, values > max(1e-20, 1e-12 * values[-1])].T
+
+
+def hull_distances(df: DataFrame, of: Hull, vector: str = "x", out: str = "residual") -> DataFrame:
+    """Rows with their distance from an affine hull, in Arrow batches."""
+    sent = df.sparkSession.sparkContext.broadcast(of)
+
+    @F.pandas_udf("double")
+    def far(rows: pd.Series) -> pd.Series:
+        mean, basis = sent.value
+        away = np.stack(rows.to_numpy()) - mean if len(rows) else np.zeros((0, len(mean)))
+        return pd.Series(np.linalg.norm(away - away @ basis.T @ basis, axis=1))
+
+    return df.withColumn(out, far(F.col(vector).cast("array<double>")))
+
+
 def affine_residual(rows: np.ndarray, span: np.ndarray) -> float:
     """Mean distance of rows to the affine hull of `span`."""
     if not len(span) or not len(rows):
         return float("inf")
-    _, s, vt = np.linalg.svd(span - span.mean(0), full_matrices=False)
-    basis = vt[s > 1e-10]
-    away = rows - span.mean(0)
+    mean, basis = hull(span)
+    away = rows - mean
     return float(np.linalg.norm(away - away @ basis.T @ basis, axis=1).mean())
 
 
@@ -179,6 +216,59 @@ def affine_conflict(rows: np.ndarray, label: str, units: dict[str, tuple[str, np
     return False
 
 
+@dataclass
+class Outlines:
+    """Centre and radius of each unit, all that a screen needs at first."""
+
+    ids: list[str]
+    labels: list[str]
+    centers: np.ndarray
+    radii: np.ndarray
+
+    @classmethod
+    def of(cls, support: DataFrame, vector: str = "phi", weight: str | None = "w") -> Outlines:
+        """From support rows (unit_id, label, vector); units are as many as
+        prototypes at most."""
+        from lodestar.operators.prototypes import MAX_PROTOTYPES
+
+        keys = ["unit_id", "label"]
+        centers = cut(mean_vectors(support, keys, vector))
+        if centers.count() > MAX_PROTOTYPES:
+            raise ValueError("more units than a bank holds")
+        near = support.select(*keys, F.col(vector).alias("_v")).join(centers, keys)
+        found = near.groupBy(*keys).agg(F.max(F.sqrt(squared_distance(F.col("_v"), F.col("center")))).alias("r"), F.first("center").alias("center")).collect()
+        found.sort(key=lambda r: r["unit_id"])
+        width = len(found[0]["center"]) if found else 0
+        return cls([r["unit_id"] for r in found], [r["label"] for r in found], np.array([r["center"] for r in found]).reshape(len(found), width), np.array([r["r"] for r in found]))
+
+    def near(self, center: np.ndarray, radius: float, label: str, most: float, shortlist: int | None = None) -> list[str]:
+        """Units of other classes, nearest first, whose radii can meet."""
+        others = np.flatnonzero(np.array(self.labels, object) != label)
+        d = np.linalg.norm(self.centers[others] - center, axis=1) if len(others) else np.zeros(0)
+        order = np.lexsort((others, d))[:shortlist]
+        return [self.ids[others[i]] for i in order if d[i] <= radius + self.radii[others[i]] + most]
+
+
+def unit_conflicts(support: DataFrame, pairs: list[tuple[str, str]], most: float, vector: str = "phi") -> list[str]:
+    """Of pairs of units (own, other) the own ones that lie in the other's hull
+    or the other way round. Rows of a unit are a bundle of bounded size; pairs
+    meet in tasks, not on the driver."""
+    if not pairs:
+        return []
+    spark = support.sparkSession
+    wanted = spark.createDataFrame(pairs, "own string, other string")
+    units = cut(support.join(F.broadcast(wanted.select(F.explode(F.array("own", "other")).alias("unit_id")).distinct()), "unit_id", "left_semi").groupBy("unit_id").agg(F.collect_list(vector).alias("v")))
+    side = lambda name: units.select(F.col("unit_id").alias(name), F.col("v").alias(f"{name}_v"))
+    met = wanted.join(side("own"), "own").join(side("other"), "other")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = [min(affine_residual(a, b), affine_residual(b, a)) <= most for a, b in ((np.stack(x), np.stack(y)) for x, y in zip(batch["own_v"], batch["other_v"], strict=True))]
+            yield batch.loc[bad, ["own"]]
+
+    return sorted(r["own"] for r in met.mapInPandas(judge, "own string").distinct().collect())
+
+
 def over_budget(counts: dict[str, int], limits: dict[str, int]) -> list[str]:
     """Names of state budgets that are exceeded."""
     return [k for k, most in limits.items() if counts.get(k, 0) > most]

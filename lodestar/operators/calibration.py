@@ -1,7 +1,9 @@
 """Reservoirs of calibration scores and reject thresholds.
 
 Scores stay in a table (kind: pos, imp or unk; label; seq; score). Quantiles
-are exact percentiles of it; only the threshold itself comes to the driver.
+over all scores come from `exact_quantiles`, which no task gathers; those by
+class are percentiles of reservoirs, which hold so many scores of a class at
+most. Only the threshold itself comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.statistics import pareto_fit, pareto_quantile, weibull_fit
+from lodestar.operators.quantiles import exact_quantiles
 
 #: Quantiles that the grid search tries.
 GRID = 64
@@ -23,12 +26,16 @@ def last(df: DataFrame, keys: list[str], n: int, seq: str = "seq") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def reservoir(scores: DataFrame, kind: str, most: int) -> DataFrame:
+    """The last `most` scores of a kind in order of seq (then label and score);
+    each task hands on so many at most."""
+    return scores.where(F.col("kind") == kind).orderBy(F.desc("seq"), F.desc("label"), F.desc("score")).limit(most)
+
+
 def balanced(df: DataFrame, label: str = "label", seq: str = "seq") -> DataFrame:
     """Of each class as many of its last rows as the smallest class has."""
-    sizes = df.groupBy(label).count()
-    least = sizes.agg(F.min("count").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc(seq))))
-    return ranked.crossJoin(F.broadcast(least)).where(F.col("_r") <= F.col("_n")).drop("_r", "_n")  # one row on the right
+    least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return last(df, [label], least, seq)
 
 
 def grid_search(pos: DataFrame, neg: DataFrame, alpha: float, beta: float, fallback: float, grid: int = GRID) -> float:
@@ -36,11 +43,10 @@ def grid_search(pos: DataFrame, neg: DataFrame, alpha: float, beta: float, fallb
     true-accept rate of at least beta; else the beta quantile of `pos`, else
     `fallback`. Candidates are quantiles of all scores."""
     steps = [i / (grid - 1) for i in range(grid)]
-    both = pos.select("score").unionByName(neg.select("score"))
-    values = both.agg(F.percentile("score", steps).alias("q")).first()["q"]
-    if values is None:
+    found = exact_quantiles(pos.select("score").unionByName(neg.select("score")), ["score"], steps)["score"]
+    if found[0] is None:
         return fallback
-    values = sorted(set(values))
+    values = sorted(set(found))
     shares = lambda df: df.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("score") <= v).cast("long")).alias(f"c{i}") for i, v in enumerate(values))).first()
     p, n = shares(pos), shares(neg)
     if not p["n"]:
@@ -50,17 +56,18 @@ def grid_search(pos: DataFrame, neg: DataFrame, alpha: float, beta: float, fallb
 
 
 def quantile(df: DataFrame, q: float, fallback: float) -> float:
-    value = df.agg(F.percentile("score", q).alias("q")).first()["q"]
+    value = exact_quantiles(df, ["score"], [q])["score"][0]
     return fallback if value is None else value
 
 
 def leave_one_out(pos: DataFrame, neg: DataFrame, alpha: float, beta: float, current: float) -> float:
     """The smallest class quantile, held down by the negatives' 1 - alpha
-    quantile but not below 0.8 of itself; two classes at least."""
+    quantile but not below 0.8 of itself; two classes at least. `pos` holds a
+    reservoir of each class."""
     by_class = pos.groupBy("label").agg(F.percentile("score", beta).alias("q")).agg(F.min("q").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if by_class["n"] < 2:
         return current
-    limit = neg.agg(F.percentile("score", 1 - alpha).alias("q")).first()["q"]
+    limit = exact_quantiles(neg, ["score"], [1 - alpha])["score"][0]
     t = by_class["t"]
     return t if limit is None else min(t, max(limit, 0.8 * t))
 

@@ -172,6 +172,50 @@ def vote(pred: DataFrame, key: str, member: str, label: str = "predicted_label")
     return counted.groupBy(key).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label), F.max("n").alias("votes"))
 
 
+def ensemble(pred: DataFrame, key: str, members: int, how: str = "average") -> DataFrame:
+    """One row for each key from the members' (member, predicted_label, accepted,
+    score, threshold, best_class_label, best_prototype_id, best_prototype_status,
+    projection_version): the mean or largest score against the mean threshold,
+    or a majority of rejects. An accepted row takes the label that most of the
+    members that accept give, the one of the first member of ties, and is told
+    with that member's prototype; a rejected one with that of the least score."""
+    rejects = F.sum((~F.col("accepted")).cast("long"))
+    score = {"average": F.avg("score"), "max": F.max("score"), "majority": rejects.cast("double")}[how]
+    limit = F.lit(float(members // 2)) if how == "majority" else F.avg("threshold")
+    totals = pred.groupBy(key).agg(score.alias("score"), limit.alias("threshold"), F.max("projection_version").alias("projection_version"), F.max(F.col("accepted").cast("int")).alias("_some")).withColumn("accepted", F.col("score") <= F.col("threshold"))
+    told = pred.select(key, "member", "predicted_label", F.col("accepted").alias("_a"), F.col("score").alias("_s"), "best_class_label", "best_prototype_id", "best_prototype_status").join(totals, key)
+    counts = (F.col("accepted") & ((F.col("_some") == 0) | F.col("_a"))) & (F.col("predicted_label") != UNKNOWN)
+    best = F.struct("member", "best_class_label", "best_prototype_id", "best_prototype_status")
+    votes = told.where(counts).groupBy(key, "predicted_label").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("m"), F.min(best).alias("by"))
+    chosen = votes.groupBy(key).agg(F.min_by(F.struct("predicted_label", "by"), F.struct(-F.col("n"), "m")).alias("c"))
+    least = told.groupBy(key).agg(F.min_by(best, F.struct("_s", "member")).alias("by"))
+    out = totals.join(least, key).join(chosen, key, "left")
+    by = F.coalesce("c.by", "by")
+    return out.select(key, F.coalesce("c.predicted_label", F.lit(UNKNOWN)).alias("predicted_label"), "accepted", by["best_class_label"].alias("best_class_label"), by["best_prototype_id"].alias("best_prototype_id"), by["best_prototype_status"].alias("best_prototype_status"), "score", "threshold", "projection_version")
+
+
+def last_value(df: DataFrame, order: str, value: str) -> object:
+    """The value of the last row, none without rows."""
+    row = df.orderBy(F.desc(order)).select(value).first()
+    return row[0] if row else None
+
+
+def largest_value(df: DataFrame, value: str) -> float | None:
+    """The largest of the values that are numbers, none without any."""
+    return df.agg(F.max(F.col(value).try_cast("double"))).first()[0]
+
+
+def tiny_aggregate(episodes: DataFrame, planned: int, skipped: int) -> dict[str, object]:
+    """Counts, means over episodes that have the value, and totals. Columns of a
+    mean carry its name; promoted, refreshes and support_rows are summed."""
+    given = [c for c in episodes.columns if c.startswith(("final_", "mean_", "after_refresh", "damage", "promotion_"))]
+    number = lambda c: F.col(c).try_cast("double")
+    sums = {c: F.coalesce(F.sum(number(c)), F.lit(0.0)).cast("long") for c in ("promoted", "refreshes", "support_rows") if c in episodes.columns}
+    row = episodes.agg(F.count(F.lit(1)).alias("_n"), *(F.avg(number(c)).alias(f"mean_{c}") for c in given), *(v.alias(f"total_{c}") for c, v in sums.items())).first().asDict()
+    n = row.pop("_n")
+    return {"episode_count": n, "planned_episode_count": planned, "skipped_episode_count": skipped, **{k: v for k, v in row.items() if v is not None and n}}
+
+
 def seeds(df: DataFrame, dataset: str, value: str) -> DataFrame:
     """Mean with population and sample deviation over seeds."""
     return df.groupBy(dataset).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd_pop"), F.stddev_samp(value).alias("sd_samp"), F.count(F.lit(1)).alias("seeds"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,7 @@ class Rule:
     ghost_alpha: float = 0.05
     precision: np.ndarray | None = None
     background: tuple[np.ndarray, np.ndarray] | None = None
-    knn: tuple[np.ndarray, list[str]] | None = None
-    k: int = 5
+    points: np.ndarray | None = None
     penalty: tuple[str, float] | None = None
     tie_break: float | None = None
     dual: float | None = None
@@ -48,6 +47,17 @@ class Rule:
     tau: float | None = None
     block: int = BLOCK
 
+    def only(self, keep: list[int]) -> Rule:
+        """The rule for some of the prototypes, by distances alone."""
+        per = lambda x: None if x is None else x[keep]
+        precision = self.precision if self.shared() else per(self.precision)
+        return replace(self, penalty=None, tie_break=None, dual=None, full=None, precision=precision, points=per(self.points), inner_temperature=per(self.inner_temperature))
+
+    def shared(self) -> bool:
+        """Whether one precision (a diagonal or, but for `ghost`, whose diagonals
+        are rows, a matrix) holds for all prototypes."""
+        return self.precision is not None and self.precision.ndim <= (1 if self.mode == "ghost" else 2)
+
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All squared distances, by exact differences in blocks."""
@@ -57,6 +67,16 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def mahalanobis(x: np.ndarray, centers: np.ndarray, precision: np.ndarray, shared: bool) -> np.ndarray:
+    """Distances under a diagonal, one matrix, or a matrix for each centre."""
+    out = np.empty((len(x), len(centers)))
+    for j, c in enumerate(centers):
+        away = x - c
+        p = precision if shared else precision[j]
+        out[:, j] = ((away * p if p.ndim == 1 else away @ p) * away).sum(1)
+    return np.sqrt(np.maximum(out, 0))
+
+
 def first_least(d: np.ndarray) -> np.ndarray:
     """Column of each row's least value; within 1e-12 the lowest column."""
     return (d <= d.min(1, keepdims=True) + TIE).argmax(1)
@@ -127,24 +147,12 @@ def evaluate(x: np.ndarray, bank: Bank, rule: Rule) -> tuple[np.ndarray, np.ndar
     normal = root / np.maximum(bank.rho, LEAST)
     nearest = first_least(normal)
     rows = np.arange(len(x))
-    if rule.mode == "knn":
-        points, names = rule.knn
-        d = squared(x, points)
-        k = min(rule.k, len(points))
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        score = np.sqrt(d[rows, order[:, -1]])
-        first = {c: bank.labels.index(c) for c in bank.classes}
-        pick = []
-        for o in order:
-            seen = [names[i] for i in o]
-            pick.append(first[min(set(seen), key=lambda c: (-seen.count(c), c))])
-        return score, np.array(pick), np.array(pick)
     if rule.mode == "ghost":
         statistic = ((x[:, None, :] - bank.centers) ** 2 * rule.precision).sum(2)
         at = first_least(statistic)
         return 1 - chi2_sf(statistic[rows, at], x.shape[1]), at, at
     if rule.mode == "reciprocal":
-        points, _ = bank.reciprocal()
+        points = rule.points if rule.points is not None else bank.reciprocal()[0]
         value = root - rule.reciprocal_weight * np.sqrt(squared(x, points))
         at = first_least(value)
         return value[rows, at], at, at
@@ -166,9 +174,7 @@ def evaluate(x: np.ndarray, bank: Bank, rule: Rule) -> tuple[np.ndarray, np.ndar
             best = np.maximum(best, inside)
         return 1 - best, at, at
     if rule.mode in ("mahalanobis", "relative_mahalanobis"):
-        delta = x[:, None, :] - bank.centers
-        inverse = rule.precision if rule.precision.ndim == 3 else np.broadcast_to(rule.precision, (len(bank.ids), *rule.precision.shape)) if rule.precision.ndim == 2 and rule.precision.shape[0] == rule.precision.shape[1] == x.shape[1] else None
-        value = np.sqrt(np.maximum(np.einsum("npd,pde,npe->np", delta, inverse, delta) if inverse is not None else (delta**2 * rule.precision).sum(2), 0))
+        value = mahalanobis(x, bank.centers, rule.precision, rule.shared())
         at = first_least(value)
         score = value[rows, at]
         if rule.mode == "relative_mahalanobis":
@@ -272,7 +278,11 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
                     other = d[np.arange(len(d)), other_at]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array(score), pa.array(reject.astype(np.int32)), pa.array(chosen.astype(np.int32)), pa.array(other), pa.array(other_at.astype(np.int32))], names=["key", "kept", "score", "reject", "chosen", "other", "other_at"])
 
-    scored = rows.mapInArrow(run, kind)
+    return told(rows.mapInArrow(run, kind), bank, rule, taus, key, keep)
+
+
+def told(scored: DataFrame, bank: Bank, rule: Rule, taus: np.ndarray, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """What `predict` returns, from scores and the prototypes that decide."""
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
     if rule.dual is not None:
         scored = cut(scored)
@@ -283,8 +293,20 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
     else:
         scored = scored.withColumn("named", at(bank.labels, F.col("chosen")))
     scored = scored.withColumn("threshold", at(taus.tolist(), F.col("reject"))).withColumn("accepted", accepted(F.col("score"), F.col("threshold")))
-    told = F.when(F.col("accepted"), F.coalesce("chosen", "reject")).otherwise(F.col("reject"))
-    return scored.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), F.when(F.col("accepted"), F.col("named")).alias("predicted_label"), "accepted", F.col("named").alias("best_class_label"), at(bank.ids, told).alias("best_prototype_id"), at(bank.status, told).alias("best_prototype_status"), "score", "threshold")
+    named_by = F.when(F.col("accepted"), F.coalesce("chosen", "reject")).otherwise(F.col("reject"))
+    return scored.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), F.when(F.col("accepted"), F.col("named")).alias("predicted_label"), "accepted", F.col("named").alias("best_class_label"), at(bank.ids, named_by).alias("best_prototype_id"), at(bank.status, named_by).alias("best_prototype_status"), "score", "threshold")
+
+
+def predict_by_vote(df: DataFrame, reference: DataFrame, bank: Bank, k: int, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`predict` by the labels of the k nearest support rows (seq, label,
+    vector); the score is the distance of the furthest of them. A row stands for
+    the first prototype of the class it is given."""
+    rows = cut(df.select(F.col(key).alias("key"), F.struct(F.col(key).alias("key"), *keep).alias("kept"), F.col(vector).alias("x"), F.monotonically_increasing_id().alias("at")))
+    found = knn_vote(nearest_references(rows, reference, k, "at", "label", "x", ref_key="seq"))
+    first = {c: bank.labels.index(c) for c in bank.classes}
+    place = F.coalesce(F.create_map(*(F.lit(v) for item in first.items() for v in item))[F.col("label")], F.lit(0))
+    scored = rows.join(found.withColumnRenamed("row_id", "at"), "at").select("key", "kept", "score", place.alias("reject"), place.alias("chosen"))
+    return told(scored, bank, Rule("knn"), effective_tau(bank, tau, by_class), key, keep)
 
 
 def accepted(score: Column, threshold: Column) -> Column:

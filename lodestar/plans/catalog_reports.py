@@ -129,15 +129,13 @@ def leverage_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean distance of each class's first rows to the hull of class 0's."""
-    from lodestar.operators.splits import support
+    """Mean distance of the rows of each class from the hull of class 0's."""
+    rows = vectors(spark, sf_dir)
+    far = admission.hull_distances(rows, admission.hull_of(rows.where("label = '0'")))
+    return far.groupBy("label").agg(F.avg("residual").alias("residual"))
 
-    rows = support(vectors(spark, sf_dir), "label", "row_id", 10).collect()
-    by = {c: np.array([r["x"] for r in rows if r["label"] == c]) for c in sorted({r["label"] for r in rows})}
-    return spark.createDataFrame([(c, admission.affine_residual(x, by["0"])) for c, x in by.items()], "label string, residual double")
 
-
-@query()
+@query(f"""WITH {V}, c AS (SELECT label, count(*) AS n FROM v GROUP BY label), l AS (SELECT max(n) AS l FROM c) SELECT label, l - n AS drawn FROM c, l WHERE n < l""")
 def pa_inn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.plans.model import _augmented
 
@@ -156,7 +154,7 @@ def unknown_buffer_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buffer.bounded_by(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], 3, "event_id")
 
 
-@query()
+@query("SELECT event_id, value FROM events ORDER BY md5('0:' || event_id), event_id LIMIT 200")
 def unknown_buffer_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buffer.bounded(table(spark, sf_dir, "events").select("event_id", "value"), 200, "reservoir", "event_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.session import cut
-from lodestar.functions.vectors import mean_vectors
+from lodestar.functions.vectors import mean_vectors, vector_sums
 from lodestar.operators import calibration, graph, maps, prototypes, scoring
 from lodestar.operators.maps import Map
 from lodestar.operators.prototypes import Bank
@@ -137,19 +137,29 @@ def landmark_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(maps.landmark_allocation(sizes, 37).items()), "label string, landmarks long")
 
 
-@query()
+PLANE = f"""{V}, e AS (SELECT row_id, label, x[1] AS a, x[2] AS b FROM v), m AS (SELECT label, CAST(count(*) AS DOUBLE) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS vab FROM e GROUP BY label),
+s AS (SELECT sum(n) AS n, sum(n * vaa) / sum(n) AS saa, sum(n * vbb) / sum(n) AS sbb, sum(n * vab) / sum(n) AS sab FROM m)"""
+
+
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with their first two coordinates, whose matrices SQL can invert."""
+    return vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 2))
+
+
+@query(f"""WITH {PLANE}, q AS (SELECT *, sqrt(saa * sbb - sab * sab) AS d, sqrt(saa + sbb + 2 * sqrt(saa * sbb - sab * sab)) AS t FROM s)
+SELECT row_id, round(((sbb + d) * a - sab * b) / (t * d), 6) AS u, round(((saa + d) * b - sab * a) / (t * d), 6) AS w FROM e, q""")
 def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest departure from the identity of the whitened within-class scatter."""
-    rows = vectors(spark, sf_dir)
+    """Rows by the symmetric inverse root of the mean within-class scatter."""
+    rows = plane(spark, sf_dir)
     n, within = _within(rows)
-    w = maps.whitening(within, n)
-    return spark.createDataFrame([(float(np.abs(w @ within @ w.T / n - np.eye(len(w))).max()),)], "departure double")
+    white = maps.apply(rows, Map("identity", 2, after=maps.whitening(within, n)))
+    return white.select("row_id", F.round(F.col("phi")[0], 6).alias("u"), F.round(F.col("phi")[1], 6).alias("w"))
 
 
 def _within(rows: DataFrame) -> tuple[float, np.ndarray]:
     n, s1, s2 = prototypes.moments(rows)
-    units = prototypes.moments_by_unit(rows, ["label"]).groupBy("label").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "s1"))).alias("s")).collect()
-    return n, prototypes.scatters(n, s1, s2, [(u["n"], np.array([x["s1"] for x in u["s"]])) for u in units])[1]
+    units = [(r["n"], np.array(r["s1"])) for r in vector_sums(rows, ["label"], "x").collect()]
+    return n, prototypes.scatters(n, s1, s2, units)[1]
 
 
 @query()
@@ -160,13 +170,24 @@ def nystrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phi.select("row_id", F.size("phi").alias("width"), F.round(F.aggregate("phi", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
-@query()
-def soft_null_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH {V}, l AS (SELECT x FROM v ORDER BY row_id LIMIT 2), ll AS (SELECT list(x) AS l FROM l), k AS (SELECT row_id, exp(-pow(list_distance(x, l[1]), 2)) AS a, exp(-pow(list_distance(x, l[2]), 2)) AS b, exp(-pow(list_distance(l[1], l[2]), 2)) AS c FROM v, ll)
+SELECT row_id, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS norm FROM k""")
+def nystrom_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of kernel features on two given landmarks."""
     rows = vectors(spark, sf_dir)
+    marks = np.array([r["x"] for r in rows.orderBy("row_id").limit(2).collect()])
+    phi = maps.apply(rows, maps.fit("nystrom", 64, 2, 1.0, landmarks=marks))
+    return phi.select("row_id", F.round(F.aggregate("phi", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+@query(f"""WITH {PLANE}, r AS (SELECT n, (saa + sbb) / 2 AS h, sqrt(pow((saa - sbb) / 2, 2) + sab * sab) AS g FROM s), l AS (SELECT 0 AS i, n * (h - g) AS v, n * h AS m FROM r UNION ALL SELECT 1, n * (h + g), n * h FROM r)
+SELECT CAST(i AS INTEGER) AS i, round(v, 5) AS scatter, CASE WHEN (SELECT bool_or(v <= 0.9 * m) FROM l) THEN 'epsilon_null' ELSE 'min_scatter_fallback' END AS mode FROM l WHERE v <= 0.9 * m OR NOT (SELECT bool_or(v <= 0.9 * m) FROM l)""")
+def soft_null_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of little scatter: those under 0.9 of the median eigenvalue."""
+    rows = plane(spark, sf_dir)
     n, s1, s2 = prototypes.moments(rows)
-    _, within = _within(rows)
-    found = maps.soft_null(s2 - np.outer(s1, s1) / n, within, 8)
-    return spark.createDataFrame([(i, float(v), found.mode) for i, v in enumerate(found.spectrum)], "i int, scatter double, mode string")
+    found = maps.soft_null(s2 - np.outer(s1, s1) / n, _within(rows)[1], 2, null_share=0.9)
+    return spark.createDataFrame([(i, round(float(v), 5), found.mode) for i, v in enumerate(found.spectrum)], "i int, scatter double, mode string")
 
 
 # --- moments and prototypes -----------------------------------------------
@@ -280,15 +301,59 @@ def score_evm_fixed_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, scoring.Rule("evm", weibull={str(i): (3.0, 1.2) for i in range(10)}))
 
 
-@query(f"""WITH {SCORED}, g AS (SELECT row_id, min(d * d * 40) / 2 AS h, arg_min(p, d) AS p FROM sc GROUP BY row_id)
+SPREAD = """ls AS (SELECT label, c, j FROM (SELECT label, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM tr)), vj AS (SELECT label, j, var_pop(c) AS v, count(*) AS n FROM ls GROUP BY label, j)"""
+
+
+@query(f"""WITH {SCORED}, {SPREAD}, pj AS (SELECT label, list(1 / greatest(v, 1e-10) ORDER BY j) AS q FROM vj GROUP BY label),
+st AS (SELECT row_id, p, list_sum(list_transform(list_zip(x, center, q), lambda e: pow(e[1] - e[2], 2) * e[3])) AS t FROM sc JOIN pj ON p = pj.label), g AS (SELECT row_id, min(t) / 2 AS h, arg_min(p, (t, p)) AS p FROM st GROUP BY row_id)
 SELECT row_id, p AS label, round(1 - list_sum(list_transform(range(0, 32), lambda i: exp(-h + i * ln(h) - lgamma(i + 1)))), 6) AS score FROM g""")
 def score_ghost_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, scoring.Rule("ghost", precision=np.full(64, 40.0)))
+    """Chi-square tails under each prototype's own variances."""
+    b = Bank.of(prototypes.build(base_rows(spark, sf_dir), unit="label", second=True))
+    found = scoring.predict(vectors(spark, sf_dir), b, scoring.Rule("ghost", precision=prototypes.diagonal_precisions(b)), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT row_id, p, sqrt(list_sum(list_transform(list_zip(x, center), lambda e, j: (e[1] - e[2]) * (e[1] - e[2]) * (1 + j / 64.0)))) AS h FROM sc) SELECT row_id, arg_min(p, h) AS label, round(min(h), 6) AS score FROM m GROUP BY row_id""")
+@query(f"""WITH {SCORED}, {SPREAD}, sj AS (SELECT list(1 / (s + 1e-10) ORDER BY j) AS q FROM (SELECT j, sum(n * v) / sum(n) AS s FROM vj GROUP BY j)),
+h AS (SELECT row_id, p, sqrt(list_sum(list_transform(list_zip(x, center, q), lambda e: pow(e[1] - e[2], 2) * e[3]))) AS h FROM sc, sj) SELECT row_id, arg_min(p, (h, p)) AS label, round(min(h), 6) AS score FROM h GROUP BY row_id""")
 def score_mahalanobis_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, scoring.Rule("mahalanobis", precision=1 + np.arange(1, 65) / 64))
+    """Distances under the variances that all prototypes share."""
+    b = Bank.of(prototypes.build(base_rows(spark, sf_dir), unit="label", second=True))
+    found = scoring.predict(vectors(spark, sf_dir), b, scoring.Rule("mahalanobis", precision=prototypes.precisions(b, adaptive=False)), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
+
+
+BASE_PLANE = PLANE.replace("FROM e GROUP BY label", "FROM e WHERE label < '7' GROUP BY label")
+
+
+def plane_bank(spark: SparkSession, sf_dir: str) -> Bank:
+    return Bank.of(prototypes.build(plane(spark, sf_dir).where("label < '7'"), unit="label", second=True))
+
+
+@query(f"""WITH {BASE_PLANE}, c AS (SELECT label, ma, mb, (m.n * vaa + 2 * saa) / (m.n + 2) + 1e-10 AS ca, (m.n * vbb + 2 * sbb) / (m.n + 2) + 1e-10 AS cb, m.n * vab / (m.n + 2) AS cc FROM m, s),
+h AS (SELECT row_id, c.label AS p, sqrt((pow(a - ma, 2) * cb - 2 * (a - ma) * (b - mb) * cc + pow(b - mb, 2) * ca) / (ca * cb - cc * cc)) AS h FROM e, c) SELECT row_id, arg_min(p, (h, p)) AS label, round(min(h), 6) AS score FROM h GROUP BY row_id""")
+def score_mahalanobis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances under each prototype's covariance, shrunk by its support."""
+    b = plane_bank(spark, sf_dir)
+    found = scoring.predict(plane(spark, sf_dir), b, scoring.Rule("mahalanobis", precision=prototypes.precisions(b)), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {BASE_PLANE}, t AS (SELECT saa + 1e-6 AS ca, sbb + 1e-6 AS cb, sab AS cc, (SELECT avg(a) FROM e WHERE label < '7') AS ga, (SELECT avg(b) FROM e WHERE label < '7') AS gb FROM s),
+h AS (SELECT row_id, m.label AS p, sqrt((pow(a - ma, 2) * cb - 2 * (a - ma) * (b - mb) * cc + pow(b - mb, 2) * ca) / (ca * cb - cc * cc)) AS h, sqrt((pow(a - ga, 2) * cb - 2 * (a - ga) * (b - gb) * cc + pow(b - gb, 2) * ca) / (ca * cb - cc * cc)) AS g FROM e, m, t)
+SELECT row_id, arg_min(p, (h, p)) AS label, round(min(h) - max(g), 6) AS score FROM h GROUP BY row_id""")
+def score_relative_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class distance less background distance, under the covariance that
+    classes share."""
+    behind = prototypes.background(plane(spark, sf_dir).where("label < '7'"))
+    found = scoring.predict(plane(spark, sf_dir), plane_bank(spark, sf_dir), scoring.Rule("relative_mahalanobis", precision=behind[1], background=behind), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {PLANE} SELECT label, round(n, 6) AS n, round(vaa, 6) AS aa, round(vab, 6) AS ab, round(vbb, 6) AS bb FROM m""")
+def weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = prototypes.build(plane(spark, sf_dir), unit="label", second=True)
+    return built.select("label", F.round("weight", 6).alias("n"), *(F.round(F.col("cov")[i], 6).alias(c) for i, c in ((0, "aa"), (1, "ab"), (3, "bb"))))
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT ln(greatest(median(weight), 2)) AS k FROM pr), b AS (SELECT row_id, arg_min(p, s) AS p, arg_min(weight, s) AS w, min(s) AS s FROM sc GROUP BY row_id)
@@ -358,6 +423,25 @@ def reservoir_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.last(_positives(spark, sf_dir), ["label"], 4).select("label", "seq", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {CAL} SELECT label, seq, round(score, 6) AS score FROM neg ORDER BY seq DESC, label DESC, score DESC LIMIT 16")
+def reservoir_impostor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.reservoir(_calibration(spark, sf_dir), "imp", 16).select("label", "seq", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {EVERY}, aff AS (SELECT median(r) AS r FROM (SELECT label, max(d) AS r FROM di GROUP BY label)), nn AS (SELECT median(d) AS d FROM (SELECT a.row_id, min(list_distance(a.x, b.x)) AS d FROM v a JOIN v b ON a.row_id <> b.row_id GROUP BY a.row_id)), rr AS (SELECT median(rho) AS rho FROM pr)
+SELECT round(1e-8 * d * d, 9) AS range_tol, round(0.01 * d * d, 6) AS eps_null, round(r, 6) AS eps_aff_local, round(2 * r, 6) AS eps_aff_global, round(rho, 6) AS eta_margin, round(0.1 * d, 6) AS rho_floor, CAST(1.1 * 1.2 AS DOUBLE) AS tau_sep FROM aff, nn, rr""")
+def scale_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative thresholds from the geometry of all rows, classes as units."""
+    rows = cut(vectors(spark, sf_dir))
+    b = Bank.of(prototypes.build(rows, unit="label"))
+    far = prototypes.distances(rows, mean_vectors(rows, ["label"], "x"), ["label"])
+    near = prototypes.median_nearest(rows)
+    factors = {"range": 1e-8, "null": 1e-2, "aff_local": 1.0, "aff_global": 2.0, "margin": 1.0, "rho": 0.1, "sep": 1.1}
+    found = prototypes.scales(factors, 1.2, False, prototypes.median_radius(far, ["label"]), near, float(np.median(b.rho)), near**2, near**2)
+    digits = {"range_tol": 9}
+    return spark.createDataFrame([tuple(round(float(v), digits.get(k, 6)) for k, v in found.__dict__.items())], ", ".join(f"{k} double" for k in found.__dict__))
+
+
 @query(f"""WITH {CAL}, n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM pos GROUP BY label)) SELECT label, seq, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS r FROM pos), n WHERE r <= n""")
 def class_balanced_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.balanced(_positives(spark, sf_dir)).select("label", "seq", F.round("score", 6).alias("score"))

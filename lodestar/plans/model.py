@@ -11,12 +11,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.labels import UNKNOWN
 from lodestar.functions.session import cut
-from lodestar.functions.vectors import mean_vectors
+from lodestar.functions.vectors import matrix, mean_vectors, vector_sums
 from lodestar.operators import admission, calibration, graph, maps, preprocess, prototypes, scoring
 from lodestar.operators.maps import Map, Projection
 from lodestar.operators.preprocess import Fitted
@@ -43,14 +44,33 @@ class Model:
     log: list[dict] = field(default_factory=list)
     exemplars: tuple[np.ndarray, list[str]] | None = None
     held: DataFrame | None = None
+    scales: prototypes.Scales | None = None
+    background: tuple[np.ndarray, np.ndarray] | None = None
+    archive: DataFrame | None = None
+    recovered: int = 0
 
     @property
     def classes(self) -> list[str]:
         return self.bank.classes
 
     def rule(self) -> scoring.Rule:
-        c = self.config
-        return scoring.Rule(mode=c.mode, temperature=c.temperature, tie_break=c.tie_break, penalty=c.penalty, weibull=self.weibull)
+        """How this model scores: what its mode needs is taken from the bank."""
+        c, bank = self.config, self.bank
+        inner = scoring.class_temperatures(bank, c.temperature, c.class_temperature) if c.class_temperature and bank.ids else None
+        precision = None
+        if c.mode == "mahalanobis":
+            precision = prototypes.precisions(bank, c.adaptive_shrinkage)
+        elif c.mode == "relative_mahalanobis":
+            precision = self.background[1]
+        elif c.mode == "ghost":
+            precision = prototypes.diagonal_precisions(bank)
+        points = bank.reciprocal()[0] if c.mode == "reciprocal" else None
+        full = replace(bank, centers=bank.wide, rho=bank.wide_rho) if c.dual is not None else None
+        return scoring.Rule(mode=c.mode, temperature=c.temperature, inner_temperature=inner, reciprocal_weight=c.reciprocal_weight, weibull=self.weibull, evm_threshold=c.evm_threshold, ghost_alpha=c.ghost_alpha, precision=precision, background=self.background, points=points, penalty=c.penalty, tie_break=c.tie_break, dual=c.dual, full=full)
+
+    def references(self) -> DataFrame:
+        """Support rows (seq, label, z) that votes are taken from."""
+        return project(self.support, self.projection.matrix).select("seq", "label", F.col("z").alias("x"))
 
 
 def featurise(df: DataFrame, fitted: Fitted, mapped: Map, keep: tuple[str, ...]) -> DataFrame:
@@ -108,17 +128,14 @@ def _augmented(phi: DataFrame, least: int, seed: int) -> DataFrame:
     return phi.join(small, "label", "left_semi").select("row_id", "label", "phi").groupBy("label").applyInPandas(draw, "row_id long, label string, phi array<double>")
 
 
-def geometry(support: DataFrame, config: ModelConfig, former: Projection | None = None) -> tuple[Projection, Bank]:
-    """Projection and prototypes from the support."""
+def projected(support: DataFrame, config: ModelConfig, former: Projection | None = None) -> Projection:
+    """The projection that the support's scatters give."""
     weighted = prototypes.balanced_weights(support, power=config.balance_power) if config.balance_power else support
     n, s1, s2 = prototypes.moments(weighted, "phi", "w")
     if not n:
         raise ValueError("no support to fit on")
-    sums: dict[str, tuple[float, np.ndarray]] = {}
-    by_unit = prototypes.moments_by_unit(weighted, ["unit_id"], "phi", "w")
-    for r in by_unit.groupBy("unit_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "s1"))).alias("s")).toLocalIterator():
-        sums[r["unit_id"]] = (r["n"], np.array([x["s1"] for x in r["s"]]))
-    total, within = prototypes.scatters(n, s1, s2, list(sums.values()))
+    sums = [(r["n"], np.array(r["s1"])) for r in vector_sums(weighted, ["unit_id"], "phi", "w").toLocalIterator()]
+    total, within = prototypes.scatters(n, s1, s2, sums)
     if config.projection == "pca":
         found = maps.pca(total, config.projection_width)
     elif config.projection == "random":
@@ -127,48 +144,112 @@ def geometry(support: DataFrame, config: ModelConfig, former: Projection | None
         found = maps.soft_null(total, within, config.projection_width, config.range_share, config.null_share, config.ridge)
     if former is not None and config.warm_start:
         found = Projection(maps.warm_start(found.matrix, former.matrix, config.warm_start), found.mode, found.spectrum)
-    z = cut(project(support, found.matrix).drop("phi"))
-    bank = Bank.of(prototypes.build(z, vector="z", weight="w", q=config.radius_quantile, fragile_below=config.fragile_below))
-    floor = max(1e-6, config.radius_floor_share * float(np.median(bank.rho)))
-    bank.rho = np.maximum(bank.rho, floor)
-    return found, prototypes.capped(bank, config.bank_cap) if len(bank.ids) > config.bank_cap else bank
-
-
-def calibration_scores(rows: DataFrame, bank: Bank, seq: str = "row_id", label: str = "label", vector: str = "z") -> DataFrame:
-    """kind, label, prototype_id, seq, score: each row's normalised distance to
-    the nearest stable prototype of its own class (pos, or unk where it has
-    none) and of the others (imp)."""
-    sent = rows.sparkSession.sparkContext.broadcast(bank)
-    import pyarrow as pa
-
-    from lodestar.functions.vectors import matrix
+    return found
+
+
+def resolved(support: DataFrame, z: DataFrame, projection: Projection, config: ModelConfig, tau: float, rho: float) -> prototypes.Scales:
+    """Thresholds of a geometry (support rows, and z of the same rows); `rho` is
+    the median radius of its prototypes."""
+    if config.scale_mode == "absolute":
+        return prototypes.scales(config.factors, tau, True, 1, 1, 1, 1, 1)
+    radius = 1.0
+    if config.local_affine:
+        centers = mean_vectors(support, ["unit_id"], "phi", "w")
+        radius = prototypes.median_radius(prototypes.distances(support, centers, ["unit_id"], "phi"), ["unit_id"])
+    near = prototypes.median_nearest(z, "seq", "z")
+    positive = projection.spectrum[projection.spectrum > 0]
+    small = float(np.median(positive)) if len(positive) else near**2
+    return prototypes.scales(config.factors, tau, False, radius, near, rho or near, float(projection.spectrum.max(initial=0.0)) or near**2, small)
+
+
+def bank_of(support: DataFrame, projection: Projection, config: ModelConfig, tau: float, version: int = 0) -> tuple[Bank, prototypes.Scales, tuple[np.ndarray, np.ndarray] | None]:
+    """Prototypes of the support under a projection, the scales resolved from
+    them, and the background if the mode takes one."""
+    z = cut(project(support, projection.matrix))
+    second = config.mode in ("mahalanobis", "ghost")
+    bank = Bank.of(prototypes.build(z, vector="z", weight="w", q=config.radius_quantile, fragile_below=config.fragile_below, second=second))
+    found = resolved(support, z, projection, config, tau, float(np.median(bank.rho)))
+    if config.teen and prototypes.FRAGILE in bank.status:
+        bank = _drawn_to_base(bank, z, config)
+    bank.rho = np.maximum(bank.rho, found.rho_floor)
+    if config.squeeze and version == 0:
+        bank.rho = np.maximum(bank.rho * (1 - config.squeeze), found.rho_floor)
+    if config.shrink:
+        over = np.maximum(bank.weight / max(bank.weight.mean(), 1e-12) - 1, 0)
+        bank.rho = np.where(over > 0, np.maximum(bank.rho / (1 + config.shrink * over), found.rho_floor), bank.rho)
+    if config.dual is not None:
+        wide = Bank.of(prototypes.build(support, vector="phi", weight="w", q=config.radius_quantile))
+        bank.wide, bank.wide_rho = wide.centers, np.maximum(wide.rho, found.rho_floor)
+    if len(bank.ids) > config.bank_cap:
+        bank = prototypes.capped(bank, config.bank_cap)
+    behind = prototypes.background(z, "label", "z", "w") if config.mode == "relative_mahalanobis" else None
+    return bank, found, behind
+
+
+def _drawn_to_base(bank: Bank, z: DataFrame, config: ModelConfig) -> Bank:
+    """Fragile prototypes moved towards the stable ones of other classes that
+    they are most like, their radii (and covariances) taken about the new centre."""
+    share, temperature, k = config.teen
+    stable = bank.only([i for i, s in enumerate(bank.status) if s == prototypes.STABLE])
+    centers = bank.centers.copy()
+    for i, status in enumerate(bank.status):
+        if status == prototypes.FRAGILE and stable.ids:
+            centers[i] = prototypes.blended_center(bank.centers[i], bank.weight[i], bank.labels[i], stable, k, share, max(config.fragile_below, 1.0), temperature)
+    moved = z.sparkSession.createDataFrame([(u, c.tolist()) for u, c in zip(bank.ids, centers, strict=True)], "unit_id string, center array<double>")
+    far = prototypes.distances(z, moved, ["unit_id"], "z")
+    radii = {r["unit_id"]: r["q"] for r in prototypes.weighted_quantile(far, ["unit_id"], "d", "w", config.radius_quantile, "q").collect()}
+    away = centers - bank.centers
+    cov = None if bank.cov is None else bank.cov + away[:, :, None] * away[:, None, :]
+    return replace(bank, centers=centers, rho=np.array([radii[u] for u in bank.ids]), cov=cov)
+
+
+def calibration_scores(rows: DataFrame, bank: Bank, seq: str = "row_id", label: str = "label", vector: str = "z", rule: scoring.Rule | None = None) -> DataFrame:
+    """kind, label, prototype_id, seq, score: each row's score (by the rule, else
+    the normalised distance) against the stable prototypes of its own class (pos,
+    or unk where it has none) and against the others (imp)."""
+    sent = rows.sparkSession.sparkContext.broadcast((bank, rule or scoring.Rule()))
 
     def run(batches):
-        bank = sent.value
-        usable = np.array([s in (prototypes.STABLE, prototypes.FRAGILE) for s in bank.status])
+        bank, rule = sent.value
+        usable = np.array([s in (prototypes.STABLE, prototypes.FRAGILE) for s in bank.status], bool)
         labels = np.array(bank.labels, object)
+        sides: dict[str, list] = {}
         for batch in batches:
-            out = ([], [], [], [], [])
-            d = np.sqrt(scoring.squared(matrix(batch.column(2)), bank.centers)) / np.maximum(bank.rho, scoring.LEAST) if batch.num_rows else np.zeros((0, 1))
-            for i, (s, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own, rest = np.flatnonzero(usable & (labels == c)), np.flatnonzero(usable & (labels != c))
-                for kind, among in (("pos" if len(own) else "unk", own if len(own) else rest), ("imp", rest if len(own) else own)):
-                    if len(among):
-                        k = among[int(d[i, among].argmin())]
-                        for column, value in zip(out, (kind, c, bank.ids[k], s, float(d[i, k])), strict=True):
-                            column.append(value)
+            x, of = matrix(batch.column(2)), np.array(batch.column(1).to_pylist(), object)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for c in sorted(set(of)):
+                mine = np.flatnonzero(of == c)
+                if c not in sides:
+                    own, rest = np.flatnonzero(usable & (labels == c)), np.flatnonzero(usable & (labels != c))
+                    among = [("pos" if len(own) else "unk", own if len(own) else rest), ("imp", rest if len(own) else own)]
+                    sides[c] = [(kind, bank.only(list(k)), rule.only(list(k))) for kind, k in among if len(k)]
+                for kind, some, how in sides[c]:
+                    score, at, _ = scoring.evaluate(x[mine], some, how)
+                    for column, values in zip(out, ([kind] * len(mine), [c] * len(mine), [some.ids[i] for i in at], batch.column(0).take(pa.array(mine)).to_pylist(), score.tolist()), strict=True):
+                        column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.float64())], names=["kind", "label", "prototype_id", "seq", "score"])
 
-    kept = rows.select(F.col(seq).cast("long").alias("s"), F.col(label).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    kept = rows.select(F.col(seq).cast("long").alias("s"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("c"), F.col(vector).cast("array<double>").alias("v"))
     return kept.mapInArrow(run, "kind string, label string, prototype_id string, seq long, score double")
 
 
+def vote_scores(model: Model, rows: DataFrame) -> DataFrame:
+    """The same for votes: the distance of each row's furthest neighbour."""
+    found = scoring.knn_vote(scoring.nearest_references(rows.withColumnRenamed("z", "x"), model.references(), model.config.knn, ref_key="seq"))
+    named = found.select(F.col("row_id").alias("seq"), F.col("label").alias("said"), "score").join(rows.select(F.col("row_id").alias("seq"), "label"), "seq")
+    return named.select(F.when(F.col("said") == F.col("label"), "pos").otherwise("imp").alias("kind"), "label", F.lit(None).cast("string").alias("prototype_id"), "seq", "score")
+
+
+def _multiplier(status: str, c: ModelConfig) -> float:
+    return {prototypes.SINGLETON: c.single_multiplier, prototypes.PROVISIONAL: c.tiny_multiplier}.get(status, c.fragile_multiplier)
+
+
 def calibrated(model: Model, rows: DataFrame) -> Model:
     """Thresholds from rows (row_id, label, z)."""
     c = model.config
-    scores = cut(calibration_scores(rows, model.bank))
+    scores = cut(vote_scores(model, rows) if c.mode == "knn" else calibration_scores(rows, model.bank, rule=replace(model.rule(), mode="min_distance") if c.mode in ("evm", "ghost") else model.rule()))
     pos = cut(calibration.last(scores.where("kind = 'pos'"), ["label"], c.reservoir))
-    neg = scores.where("kind IN ('imp', 'unk')")
+    neg = cut(calibration.reservoir(scores, "imp", c.reservoir).unionByName(calibration.reservoir(scores, "unk", c.reservoir)))
     tau = calibration.quantile(pos, c.tau_quantile, c.initial_tau)
     by_class: dict[str, float] = {}
     if c.threshold == "grid":
@@ -181,11 +262,12 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
         by_class = {r["label"]: r["tau"] for r in calibration.by_class_quantile(pos, c.tau_quantile, tau).collect()}
     bank = replace(model.bank)
     if c.threshold == "per_prototype":
-        local = calibration.by_prototype(pos, c.tail, 1 - c.alpha, tau, c.fragile_multiplier, bank.ids)
+        local = calibration.by_prototype(pos.where("prototype_id IS NOT NULL"), c.tail, 1 - c.alpha, tau, c.fragile_multiplier, bank.ids)
         bank.local = np.array([local[i] for i in bank.ids])
-    bank.override = np.array([np.nan if s == prototypes.STABLE else c.fragile_multiplier * tau for s in bank.status])
+    bank.override = np.array([np.nan if s == prototypes.STABLE else _multiplier(s, c) * tau for s in bank.status])
     weibull = calibration.weibull_by_class(pos, c.tail) if c.mode == "evm" else {}
-    return replace(model, tau=float(tau), by_class=by_class, weibull=weibull, bank=bank)
+    found = replace(model.scales, tau_sep=max(tau, c.separation * tau)) if model.scales and c.scale_mode == "relative" else model.scales
+    return replace(model, tau=float(tau), by_class=by_class, weibull=weibull, bank=bank, scales=found)
 
 
 def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, label: str = "label", key: str = "row_id", ignore: tuple[str, ...] = ()) -> Model:
@@ -212,10 +294,10 @@ def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, la
         phi = cut(maps.apply(phi, Map("identity", len(mapped.after), after=mapped.after), "phi", "p").drop("phi").withColumnRenamed("p", "phi"))
     mapped.before = before
     support = cut(build_support(phi, config))
-    projection, bank = geometry(support, config)
-    if over := admission.over_budget({"classes": len(bank.classes)}, {"classes": config.max_classes}):
-        raise ValueError(f"over budget: {over}")
-    model = Model(config, fitted, mapped, support, projection, bank, config.initial_tau)
+    check_budgets(support, config)
+    projection = projected(support, config)
+    bank, found, behind = bank_of(support, projection, config, config.initial_tau)
+    model = Model(config, fitted, mapped, support, projection, bank, config.initial_tau, scales=found, background=behind)
     kept = cut(named(featurise(held, fitted, mapped, ids)))
     model = calibrated(model, cut(project(kept, projection.matrix).drop("phi")))
     model.held = cut(admission.trim(kept, ["label"], config.reservoir, "latest", "row_id"))
@@ -223,12 +305,21 @@ def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, la
     return model
 
 
+def check_budgets(support: DataFrame, config: ModelConfig) -> None:
+    """Classes, units and rows of a unit within their budgets, else an error."""
+    sizes = support.groupBy("unit_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.count_distinct("label").alias("classes"), F.count(F.lit(1)).alias("units"), F.max("n").alias("unit_rows")).first()
+    counts = {k: row[k] or 0 for k in ("classes", "units", "unit_rows")}
+    if over := admission.over_budget(counts, {"classes": config.max_classes, "units": config.max_units, "unit_rows": config.unit_rows}):
+        raise ValueError(f"over budget: {over} of {counts}")
+
+
 def _whitening(rows: DataFrame, vector: str) -> np.ndarray:
     n, s1, s2 = prototypes.moments(rows, vector)
-    groups = prototypes.moments_by_unit(rows, ["label"], vector).groupBy("label").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "s1"))).alias("s")).where("n >= 2").collect()
+    groups = [(r["n"], np.array(r["s1"])) for r in vector_sums(rows, ["label"], vector).where("rows >= 2").collect()]
     if not groups:
         return np.eye(len(s1))
-    _, within = prototypes.scatters(n, s1, s2, [(g["n"], np.array([x["s1"] for x in g["s"]])) for g in groups])
+    _, within = prototypes.scatters(n, s1, s2, groups)
     return maps.whitening(within, n)
 
 
@@ -241,13 +332,43 @@ def _exemplars(support: DataFrame, config: ModelConfig) -> tuple[np.ndarray, lis
     return np.array([r["phi"] for r in rows], float), [r["label"] for r in rows]
 
 
+def ready(model: Model) -> None:
+    """A model that predicts has prototypes, a projection as wide as its map, and
+    what its mode reads."""
+    if not model.bank.ids:
+        raise ValueError("the model has no prototypes")
+    if model.projection.matrix.shape[1] != model.bank.centers.shape[1]:
+        raise ValueError("projection and prototypes differ in width")
+    if model.config.mode == "relative_mahalanobis" and model.background is None:
+        raise ValueError("the model has no background")
+
+
 def predict(model: Model, df: DataFrame, key: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Kept columns and the scorer's, the label `unknown` for rejected rows."""
+    ready(model)
     z = project(featurise(df, model.fitted, model.map, (key, *keep)), model.projection.matrix)
-    found = scoring.predict(z, model.bank, model.rule(), model.tau, key, "z", model.by_class, keep=keep).withColumn("predicted_label", F.coalesce("predicted_label", F.lit(UNKNOWN)))
+    if model.config.mode == "knn":
+        found = scoring.predict_by_vote(z, model.references(), model.bank, model.config.knn, model.tau, key, "z", model.by_class, keep)
+    else:
+        found = scoring.predict(z, model.bank, model.rule(), model.tau, key, "z", model.by_class, "phi" if model.config.dual is not None else None, keep)
+    found = found.withColumn("predicted_label", F.coalesce("predicted_label", F.lit(UNKNOWN)))
     return found.withColumn("projection_version", F.lit(model.version))
 
 
+def predict_one(model: Model, spark: SparkSession, sample: dict, label: str = "label") -> dict:
+    """The prediction of one sample, a mapping of its features; its label, if it
+    has one, is not looked at."""
+    if not isinstance(sample, dict) or not sample:
+        raise ValueError("one sample is a mapping of features")
+    one = {k: v for k, v in sample.items() if k != label}
+    kinds = {**dict.fromkeys(model.fitted.schema.numeric, "double"), **dict.fromkeys(model.fitted.schema.categorical, "string")}
+    cast = {"double": float, "string": str}
+    names = [c for c in kinds if c in one]
+    values = tuple(None if one[c] is None else cast[kinds[c]](one[c]) for c in names)
+    row = spark.createDataFrame([(0, *values)], ", ".join(["row_id long", *(f"`{c}` {kinds[c]}" for c in names)]))
+    return predict(model, row).first().asDict()
+
+
 def support_rows(model: Model, df: DataFrame, label: str = "label", key: str = "row_id") -> DataFrame:
     """Labelled rows as row_id, label, phi."""
     return featurise(df, model.fitted, model.map, (key, label)).select(F.col(key).cast("long").alias("row_id"), F.col(label).cast("string").alias("label"), "phi")
@@ -265,33 +386,118 @@ def admit(model: Model, df: DataFrame, label: str = "label", key: str = "row_id"
     w, c = model.projection.matrix, model.config
     for name in sorted({r["label"] for r in rows}):
         own = np.array([r["phi"] for r in rows if r["label"] == name], float)
-        drop = [i for i, (x, s) in enumerate(zip(bank.labels, bank.status, strict=True)) if not (x == name and s == prototypes.PROVISIONAL)]
+        drop = [i for i, (x, s) in enumerate(zip(bank.labels, bank.status, strict=True)) if not (x == name and s in prototypes.TEMPORARY)]
         bank = bank.only(drop)
         parts = [own[i : i + c.tiny_rows] for i in range(0, len(own), c.tiny_rows)]
         if not c.keep_chunks:
             parts = parts[-1:]
         made = Bank([], [], np.zeros((0, w.shape[1])), np.zeros(0), np.zeros(0), [])
-        floor = max(1e-6, c.radius_floor_share * float(np.median(bank.rho))) if len(bank.rho) else 1e-6
+        floor = model.scales.rho_floor if model.scales else 1e-6
         for i, part in enumerate(parts):
-            z = part @ w
-            center = z.mean(0)
-            far = np.sort(np.linalg.norm(z - center, axis=1))
-            rho = max(float(far[max(0, int(np.ceil(c.radius_quantile * len(far))) - 1)]), floor)
-            made = made.plus(Bank([f"provisional:{name}:{i}"], [name], center[None, :], np.array([rho]), np.array([float(len(part))]), [prototypes.PROVISIONAL], np.array([c.fragile_multiplier * model.tau]), np.array([np.nan])))
-        if not admission.passes_margin(made, bank, max(c.fragile_multiplier * model.tau, model.tau) * 0.5, c.margin):
-            outcome[name] = "blocked_by_margin"
+            status = prototypes.SINGLETON if len(part) == 1 else prototypes.PROVISIONAL
+            made = made.plus(_provisional(f"provisional:{name}:{i}", name, part, w, floor, c, model.tau * (c.single_multiplier if len(part) == 1 else c.tiny_multiplier), status))
+        if blocked := _blocked(model, made, bank, {name: own}, max(c.tiny_separation * model.tau, model.tau)):
+            outcome[name] = blocked
             continue
-        if c.local_affine:
-            units = {r["unit_id"]: (r["label"], np.array(r["phi"])) for r in model.support.groupBy("unit_id", "label").agg(F.collect_list("phi").alias("phi")).toLocalIterator()}
-            if admission.affine_conflict(own, name, units, c.affine_share, c.shortlist):
-                outcome[name] = "blocked_by_affine_screen"
-                continue
         bank, outcome[name] = bank.plus(made), "provisional"
     out.bank = bank
     out.log = model.log + [{"label": k, "status": v, "version": model.version} for k, v in outcome.items()]
     return out, outcome
 
 
+def _provisional(name: str, label: str, phi: np.ndarray, w: np.ndarray, floor: float, c: ModelConfig, tau: float, status: str) -> Bank:
+    """A prototype of a few rows and its threshold, with all that any mode reads."""
+
+    def radius(rows: np.ndarray) -> float:
+        far = np.sort(np.linalg.norm(rows - rows.mean(0), axis=1))
+        return max(float(far[max(0, int(np.ceil(c.radius_quantile * len(far))) - 1)]), floor)
+
+    z = phi @ w
+    away = z - z.mean(0)
+    return Bank([name], [label], z.mean(0)[None, :], np.array([radius(z)]), np.array([float(len(z))]), [status], np.array([tau]), np.array([np.nan]), (away.T @ away / len(z))[None], np.array([float(len(z))]), phi.mean(0)[None, :], np.array([radius(phi)]))
+
+
+def _blocked(model: Model, made: Bank, bank: Bank, own: dict[str, np.ndarray], tau_sep: float) -> str | None:
+    """Why candidates may not be served, none if they may: too close to another
+    class, or in the hull of one of its nearest units."""
+    c = model.config
+    if not admission.passes_margin(made, bank, tau_sep, model.scales.eta_margin if model.scales else 0.0):
+        return "blocked_by_margin"
+    if c.local_affine:
+        outlines = admission.Outlines.of(model.support)
+        most = model.scales.eps_aff_local
+        for label, rows in own.items():
+            center = rows.mean(0)
+            near = outlines.near(center, float(np.linalg.norm(rows - center, axis=1).max()), label, most, c.shortlist)
+            units = {r["unit_id"]: (r["label"], np.array(r["phi"])) for r in model.support.where(F.col("unit_id").isin(near)).groupBy("unit_id", "label").agg(F.collect_list("phi").alias("phi")).collect()} if near else {}
+            if admission.affine_conflict(rows, label, units, most):
+                return "blocked_by_affine_screen"
+    return None
+
+
+def admit_cluster(model: Model, df: DataFrame, item: str, label: str = "label", key: str = "row_id") -> tuple[Model, dict[str, str]]:
+    """Provisional admission of a larger pending item: its rows are localised
+    into units of their own, each unit a prototype, and a class is served if all
+    of them keep their distance."""
+    c = model.config
+    rows = cut(support_rows(model, df, label, key))
+    placed = cut(build_support(rows, c))
+    out, bank, outcome = replace(model), model.bank, {}
+    if placed.count() > MAX_ADMITTED:
+        raise ValueError(f"over {MAX_ADMITTED} rows to admit; refresh takes them")
+    units: dict[tuple[str, str], list] = {}
+    for r in placed.collect():
+        units.setdefault((r["label"], r["unit_id"]), []).append(r["phi"])
+    for name in sorted(x["label"] for x in rows.select("label").distinct().collect()):
+        bank = bank.only([i for i, (x, s) in enumerate(zip(bank.labels, bank.status, strict=True)) if not (x == name and s in prototypes.TEMPORARY)])
+        own = {u: np.array(phi, float) for (x, u), phi in units.items() if x == name}
+        if not own:
+            outcome[name] = "pending"
+            continue
+        made = Bank([], [], np.zeros((0, model.projection.matrix.shape[1])), np.zeros(0), np.zeros(0), [])
+        for u, phi in sorted(own.items()):
+            made = made.plus(_provisional(f"item:{item}:{u}", name, phi, model.projection.matrix, model.scales.rho_floor, c, model.tau * c.cluster_multiplier, prototypes.PROVISIONAL))
+        if blocked := _blocked(model, made, bank, {name: np.vstack(list(own.values()))}, model.scales.tau_sep):
+            outcome[name] = blocked
+            continue
+        bank, outcome[name] = bank.plus(made), "provisional"
+    out.bank = bank
+    out.log = model.log + [{"label": k, "status": v, "item": item, "version": model.version} for k, v in outcome.items()]
+    return out, outcome
+
+
+def archive_class(model: Model, label: str) -> Model:
+    """A class out of service: its support moves to the archive, prototypes and
+    thresholds go; what else is deployed stays as it is."""
+    own = F.col("label") == label
+    moved = model.support.where(own)
+    archived = cut(moved if model.archive is None else model.archive.where(~own).unionByName(moved))
+    bank = model.bank.only([i for i, x in enumerate(model.bank.labels) if x != label])
+    by_class = {k: v for k, v in model.by_class.items() if k != label}
+    return replace(model, support=cut(model.support.where(~own)), archive=archived, bank=bank, by_class=by_class, log=[*model.log, {"label": label, "status": "archived", "version": model.version}])
+
+
+def retained(model: Model, labels: list[str], now: float) -> DataFrame:
+    """Decayed support of classes: the active one, else the archived one."""
+    c = model.config
+    rows = model.support.where(F.col("label").isin(labels))
+    if model.archive is not None and c.rehydrate:
+        missing = sorted(set(labels) - set(model.classes))
+        rows = rows.unionByName(model.archive.where(F.col("label").isin(missing)))
+    return admission.decayed(rows, now, c.decay, c.drop_below)
+
+
+def fitted_to_budget(model: Model, wanted: list[str]) -> Model:
+    """Classes archived, those of least support first, until `wanted` fit in."""
+    while len(set(model.classes) | set(wanted)) > model.config.max_classes:
+        weights = model.support.groupBy("label").agg(F.sum("w").alias("weight"))
+        victim = admission.archive_victim(weights, wanted).first()
+        if victim is None:
+            raise ValueError("over budget: no class is left to archive")
+        model = archive_class(model, victim["label"])
+    return model
+
+
 def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...] = (), label: str = "label", key: str = "row_id") -> Model:
     """Consolidate labelled rows: touched classes are localised again from what
     they retain and what is new, conflicts are reviewed, the geometry and the
@@ -299,33 +505,40 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
     c, spark = model.config, df.sparkSession
     new = cut(support_rows(model, df, label, key))
     touched = sorted(r["label"] for r in new.select("label").distinct().collect())
-    retained = admission.decayed(model.support, now, c.decay, c.drop_below)
-    top = retained.agg(F.max("seq")).first()[0] or 0
-    old = retained.where(F.col("label").isin(touched)).select(F.col("seq").alias("row_id"), "label", "phi")
+    model = fitted_to_budget(model, touched)
+    kept_rows = admission.decayed(model.support, now, c.decay, c.drop_below)
+    top = model.support.agg(F.max("seq")).first()[0] or 0
+    if model.archive is not None:
+        top = max(top, model.archive.agg(F.max("seq")).first()[0] or 0)
+    old = retained(model, touched, now).select(F.col("seq").alias("row_id"), "label", "phi")
     fresh = new.withColumn("row_id", F.col("row_id") + top + 1)
     # A class with too few rows for a unit keeps them as they are, so few-shot classes are deployed.
     config = c.with_(residual="preserve") if c.residual == "drop" else c
     rebuilt = cut(build_support(cut(old.unionByName(fresh)), config, now))
     accepted = list(touched)
     while True:
-        kept = retained.where(~F.col("label").isin(touched)).unionByName(rebuilt.where(F.col("label").isin(accepted)) if accepted else spark.createDataFrame([], SUPPORT))
+        kept = kept_rows.where(~F.col("label").isin(touched)).unionByName(rebuilt.where(F.col("label").isin(accepted)) if accepted else spark.createDataFrame([], SUPPORT))
         blocked_back = [x for x in touched if x not in accepted]
         if blocked_back:
-            kept = kept.unionByName(retained.where(F.col("label").isin(blocked_back)))
+            kept = kept.unionByName(kept_rows.where(F.col("label").isin(blocked_back)))
         support = cut(kept)
-        conflicts = _review(support, accepted, c) - set(force)
+        conflicts = _review(support, accepted, c, model.scales) - set(force)
         left = [x for x in accepted if x not in conflicts]
         if left == accepted or c.refresh == "single_pass" and blocked_back:
             break
         accepted = left
-    projection, bank = geometry(support, c, model.projection)
-    out = replace(model, support=support, projection=projection, bank=bank, version=model.version + 1)
+    check_budgets(support, c)
+    projection = projected(support, c, model.projection)
+    bank, found, behind = bank_of(support, projection, c, model.tau, model.version + 1)
+    out = replace(model, support=support, projection=projection, bank=bank, scales=found, background=behind, version=model.version + 1)
     if c.refresh_allowance is not None and model.exemplars and len(model.exemplars[1]):
         before, after = (_exemplar_accuracy(m) for m in (model, out))
         if after < before - c.refresh_allowance:
-            out = replace(out, projection=model.projection)
-            z = cut(project(support, model.projection.matrix).drop("phi"))
-            out.bank = Bank.of(prototypes.build(z, vector="z", weight="w", q=c.radius_quantile, fragile_below=c.fragile_below))
+            bank, found, behind = bank_of(support, model.projection, c, model.tau, model.version + 1)
+            out = replace(out, projection=model.projection, bank=bank, scales=found, background=behind)
+    out.exemplars = _exemplars(support, c)
+    if model.archive is not None:
+        out.archive = cut(model.archive.where(~F.col("label").isin(out.classes)))
     source = support.select(F.col("seq").alias("row_id"), "label", "phi")
     if c.refresh_calibration == "held" and model.held is not None:  # support only of classes that have no held rows
         source = source.join(model.held.select("label").distinct(), "label", "left_anti").select("row_id", "label", "phi").unionByName(model.held.select("row_id", "label", "phi"))
@@ -334,18 +547,20 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
     return out
 
 
-def _review(support: DataFrame, accepted: list[str], config: ModelConfig) -> set[str]:
+def _review(support: DataFrame, accepted: list[str], config: ModelConfig, found: prototypes.Scales | None) -> set[str]:
     """Accepted classes in affine conflict with any class: pairs of units are
-    screened by centres and radii before rows are compared."""
+    screened by centres and radii, and only those whose radii meet are compared
+    row by row, in tasks."""
     if not accepted or not config.local_affine:
         return set()
-    units = {r["unit_id"]: (r["label"], np.array(r["phi"])) for r in support.groupBy("unit_id", "label").agg(F.collect_list("phi").alias("phi")).toLocalIterator()}
-    return {label for label in accepted for u, (c, rows) in units.items() if c == label and admission.affine_conflict(rows, label, units, config.affine_share)}
+    most = found.eps_aff_global if found else config.affine_global
+    outlines = admission.Outlines.of(support)
+    label_of = dict(zip(outlines.ids, outlines.labels, strict=True))
+    pairs = [(u, other) for u, label, center, r in zip(outlines.ids, outlines.labels, outlines.centers, outlines.radii, strict=True) if label in accepted for other in outlines.near(center, float(r), label, most)]
+    return {label_of[u] for u in admission.unit_conflicts(support, pairs, most)}
 
 
 def _exemplar_accuracy(model: Model) -> float:
     x, labels = model.exemplars
     _, _, at = scoring.evaluate(x @ model.projection.matrix, model.bank, scoring.Rule())
     return float(np.mean([model.bank.labels[i] == y for i, y in zip(at, labels, strict=True)]))
-
-

@@ -9,9 +9,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import metrics, splits
+from lodestar.operators import metrics, prototypes, splits
 from lodestar.plans import model as models
-from lodestar.plans.config import ABLATIONS, ExperimentConfig, ModelConfig
+from lodestar.plans import state
+from lodestar.plans.config import ABLATIONS, ExperimentConfig, ModelConfig, TinyConfig
 from lodestar.sources import tables
 
 Progress = Callable[[str, dict], None]
@@ -63,9 +64,13 @@ def run_sessions(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
         progress("scored", {"session": session})
     known = spark.createDataFrame(admitted, "session_id int, label string")
     scored = metrics.session_metrics(predictions, base, known)
+    predictions, scored = predictions.orderBy("session_id", "row_id"), scored.orderBy("session_id")
     if folder:
         tables.write_predictions(predictions, f"{folder}/predictions")
         scored.write.mode("overwrite").parquet(f"{folder}/sessions")
+        for session in range(len(novel) + 1):
+            tables.write_session(predictions.where(F.col("session_id") == session), scored, folder, session)
+        state.write_json(spark, f"{folder}/run", {"base": base, "novel": novel, "config": config, "state": state.metadata(model)})
     return predictions, scored
 
 
@@ -90,6 +95,149 @@ def run_leave_one_out(train: DataFrame, held: DataFrame, test: DataFrame, config
     return out
 
 
+def fit_members(train: DataFrame, held: DataFrame, config: TinyConfig) -> list[models.Model]:
+    """One model, or members that differ in their seed."""
+    m = config.experiment.model
+    return [models.fit(train, held, m.with_(seed=m.seed + i * config.seed_step)) for i in range(config.members)]
+
+
+def predict_members(members: list[models.Model], df: DataFrame, how: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions of one model, or of all members together."""
+    if len(members) == 1:
+        return models.predict(members[0], df, keep=keep)
+    rows = None
+    for i, m in enumerate(members):
+        part = models.predict(m, df).withColumn("member", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    found = metrics.ensemble(models.cut(rows), "row_id", len(members), how)
+    return found.join(df.select("row_id", *keep), "row_id") if keep else found
+
+
+def run_tiny(train: DataFrame, held: DataFrame, test: DataFrame, config: TinyConfig, folder: str | None = None, progress: Progress = _ignore) -> tuple[DataFrame, DataFrame, dict]:
+    """Each class held out in turn and admitted burst by burst. Returns stage
+    records, episode records and their aggregate; with a folder, writes bursts,
+    predictions, records and each episode's state."""
+    spark, c = train.sparkSession, config.experiment
+    planned = labels_of(train)[: config.episodes]
+    stages, episodes, skipped = [], [], []
+    for episode, novel in enumerate(planned):
+        own = train.where(F.col("label") == novel)
+        sizes = own.count()
+        reason = None if sizes >= config.least_support and test.where(F.col("label") == novel).limit(1).count() else "too_little_support"
+        if reason:
+            skipped.append((episode, novel, reason))
+            progress("skipped", {"episode": episode, "label": novel, "reason": reason})
+            continue
+        known = lambda df, novel=novel: df.where(F.col("label") != novel)
+        members = fit_members(known(train), known(held), config)
+        first = state.snapshot(members if len(members) > 1 else members[0])
+        ranked = models.cut(splits.bursts(own, "label", "row_id", list(config.bursts), c.class_seed + episode).where("burst IS NOT NULL"))
+        promoted_at, refreshes, since, records = None, 0, 0, []
+        for stage in range(len(config.bursts) + 1):
+            is_refresh = False
+            if stage:
+                some = ranked.where(F.col("burst") == stage - 1).drop("rank", "burst")
+                changes, every = config.policy(promoted_at is not None)
+                members = [models.replace(m, config=m.config.with_(**changes)) for m in members]
+                members = [models.admit(m, some)[0] for m in members]
+                since += 1
+                if changes["refresh"] != "off" and since >= every:
+                    seen = ranked.where(F.col("burst") < stage).drop("rank", "burst")
+                    members = [models.refresh(m, seen, now=float(stage), force=(novel,)) for m in members]
+                    since, refreshes, is_refresh = 0, refreshes + 1, True
+                    if promoted_at is None and any(x == novel and s in (prototypes.STABLE, prototypes.FRAGILE) for m in members for x, s in zip(m.bank.labels, m.bank.status, strict=True)):
+                        promoted_at = stage
+            found = predict_members(members, test, config.aggregation, ("label",)).withColumnRenamed("label", "true_label")
+            found = models.cut(tables.with_ids(found, episode_id=episode, novel_label=novel, stage=stage, is_refresh=is_refresh))
+            record = metrics.stage_record(found, ["episode_id", "novel_label", "stage", "is_refresh"], F.col("novel_label"))
+            records.append(models.cut(record.withColumn("known_accuracy", F.lit(_known_accuracy(found, novel)))))
+            if folder:
+                found.write.mode("overwrite").parquet(f"{folder}/stages/episode={episode}/stage={stage}")
+            progress("stage", {"episode": episode, "stage": stage, "refresh": is_refresh})
+        own_stages = records[0]
+        for r in records[1:]:
+            own_stages = own_stages.unionByName(r)
+        stages.append(own_stages)
+        value = metrics.episode_record(own_stages, "episode_id", "stage", "known_accuracy").first()
+        final = metrics.last_value(own_stages, "stage", "new_f1")
+        episodes.append((episode, novel, float(value["pre"]), float(value["final"]), None if value["after_refresh"] is None else float(value["after_refresh"]), float(value["damage"]), final, metrics.largest_value(own_stages, "new_f1"), promoted_at, int(promoted_at is not None), refreshes, int(min(sizes, sum(config.bursts))), first["prototype_count"]))
+        if folder:
+            ranked.write.mode("overwrite").partitionBy("burst").parquet(f"{folder}/bursts/episode={episode}")
+            state.write_json(spark, f"{folder}/state/episode={episode}", state.metadata(members if len(members) > 1 else members[0]))
+    kind = "episode_id int, novel_label string, pre double, final_known_accuracy double, after_refresh_known_accuracy double, damage double, final_new_f1 double, best_new_f1 double, promotion_stage int, promoted int, refreshes int, support_rows int, initial_prototypes int"
+    table = spark.createDataFrame(episodes, kind).orderBy("episode_id")
+    every = None
+    for s in stages:
+        every = s if every is None else every.unionByName(s)
+    aggregate = metrics.tiny_aggregate(table, len(planned), len(skipped))
+    if folder:
+        table.write.mode("overwrite").parquet(f"{folder}/episodes")
+        if every is not None:
+            every.write.mode("overwrite").parquet(f"{folder}/stage_records")
+        state.write_json(spark, f"{folder}/aggregate", {**aggregate, "skipped": skipped, "config": config})
+    return every, table, aggregate
+
+
+def _known_accuracy(found: DataFrame, novel: str) -> float:
+    """Share of rows of the other classes that are named rightly."""
+    row = found.where(F.col("true_label") != novel).agg(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double"))).first()
+    return float(row[0] or 0.0)
+
+
+def run_sweep(cells: dict[str, tuple[DataFrame, DataFrame, DataFrame, ExperimentConfig]], folder: str, spark) -> DataFrame:
+    """Every cell (tag -> splits and settings) that a former run of this folder
+    has not finished; results and failures are logged as they come, so a run
+    that was stopped goes on where it was."""
+    log, kind = f"{folder}/log", "tag string, status string, seq long, os_hm double, error string"
+    done = set()
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(log)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seq = 0
+    if fs.exists(path):
+        events = tables.read_events(spark, log, kind)
+        done = {r["tag"] for r in tables.finished(events).select("tag").collect()}
+        seq = (events.agg(F.max("seq")).first()[0] or 0) + 1
+    for tag, (train, held, test, config) in cells.items():
+        if tag in done:
+            continue
+        try:
+            _, scored = run_sessions(train, held, test, config)
+            told = {"tag": tag, "status": "ok", "os_hm": metrics.run_metrics(scored).first()["os_hm"]}
+        except (ValueError, KeyError) as error:
+            told = {"tag": tag, "status": "failed", "error": str(error)[:200]}
+        tables.append_event(spark, log, "cell", {**told, "seq": seq})
+        seq += 1
+    return tables.finished(tables.read_events(spark, log, kind))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """`python -m lodestar.plans.runner RUN.json [--seeds 42,43]`: the sessions of
+    a run file, for its own seed or for several."""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from lodestar.sources.configs import load_run
+    from lodestar.sources.tables import Manifest
+
+    given = argparse.ArgumentParser(prog="lodestar")
+    given.add_argument("run")
+    given.add_argument("--seeds", default="")
+    args = given.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    run = load_run(spark, args.run)
+    if not run.manifest or not run.output:
+        raise ValueError("a run names its manifest and its output")
+    manifest = Manifest.load(spark, run.manifest)
+    parts = [manifest.read(spark, name) for name in ("train", "calibration", "test")]
+    parts = [p if "row_id" in p.columns else p.withColumn("row_id", F.monotonically_increasing_id()) for p in parts]
+    parts = [models.cut(p) for p in parts]
+    seeds = [int(x) for x in args.seeds.split(",") if x] or [run.experiment.class_seed]
+    cells = {f"{run.name}-{seed}": (*parts, replace(run.experiment, class_seed=seed)) for seed in seeds}
+    run_sweep(cells, run.output, spark).show(truncate=False)
+
+
 def run_ablation(train: DataFrame, held: DataFrame, test: DataFrame, config: ExperimentConfig) -> DataFrame:
     """Run metrics of every arm; an arm that fails is a row with its error."""
     spark, rows = train.sparkSession, []
@@ -101,3 +249,7 @@ def run_ablation(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
         except (ValueError, KeyError) as error:
             rows.append((arm, str(error)[:200], None))
     return spark.createDataFrame(rows, "arm string, status string, os_hm double")
+
+
+if __name__ == "__main__":
+    main()

@@ -55,8 +55,9 @@ class Manifest:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Manifest:
-        text = spark.read.text(path, wholetext=True).first()[0]
-        given = json.loads(text)
+        from lodestar.sources.configs import read_mapping
+
+        given = read_mapping(spark, path)
         home = path.rpartition("/")[0]
         where = lambda p: p if "://" in p or p.startswith("/") else f"{home}/{p}"
         return cls(given["name"], {k: where(v) for k, v in given["splits"].items()}, given.get("episode_split", "test"))
@@ -103,6 +104,29 @@ def read_run(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("session_id", F.regexp_extract(F.input_file_name(), r"session_(\d+)_", 1).cast("int"))
 
 
+def run_scores(spark: SparkSession, folder: str, base: list[str], novel: list[str]) -> DataFrame:
+    """Session metrics of a run's folder: session k knows the base classes and
+    the first k novel ones."""
+    from lodestar.operators.metrics import session_metrics
+
+    known = [(k, x) for k in range(1, len(novel) + 1) for x in novel[:k]]
+    return session_metrics(read_run(spark, folder), base, spark.createDataFrame(known, "session_id int, label string"))
+
+
+def write_session(found: DataFrame, scored: DataFrame, folder: str, session: int) -> None:
+    """One session's predictions as CSV, under the name that `read_run` reads,
+    and its metrics as JSON."""
+    columns = ("true_label", "predicted_label", "accepted", "score", "threshold")
+    found.select(*columns).write.mode("overwrite").option("header", True).csv(f"{folder}/session_{session}_predictions")
+    scored.where(F.col("session_id") == session).coalesce(1).write.mode("overwrite").json(f"{folder}/metrics/session_{session}")
+
+
+def with_ids(found: DataFrame, **ids: object) -> DataFrame:
+    """Literal id columns before all others; a null text becomes empty."""
+    first = [F.lit("" if v is None else v).alias(k) for k, v in ids.items()]
+    return found.select(*first, *(c for c in found.columns if c not in ids))
+
+
 def save_state(spark: SparkSession, path: str, name: str, state: object) -> None:
     """A state of a few matrices as one row of JSON."""
     body = state.save() if hasattr(state, "save") else json.dumps(asdict(state), default=str)

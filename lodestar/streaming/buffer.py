@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.operators.splits import shuffled
+
 POLICIES = ("fifo", "reservoir")
 
 
@@ -21,7 +23,7 @@ def bounded(df: DataFrame, most: int, policy: str = "fifo", seq: str = "seq", se
     can repeat and merge."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
-    order = [F.desc(seq)] if policy == "fifo" else [F.xxhash64(F.lit(seed), seq), F.col(seq)]
+    order = [F.desc(seq)] if policy == "fifo" else [shuffled(F.col(seq), seed), F.col(seq)]
     return df.orderBy(*order).limit(most)
 
 
