@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,7 +264,9 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
     sent = df.sparkSession.sparkContext.broadcast((bank, rule, taus))
     vectors = [F.col(v).cast("array<double>").alias(f"x{i}") for i, v in enumerate([vector] + [full_vector] * bool(full_vector))]
     rows = df.select(F.col(key).alias("key"), *vectors, F.struct(F.col(key).alias("key"), *keep).alias("kept"))
-    kind = f"key {rows.schema['key'].dataType.simpleString()}, kept {rows.schema['kept'].dataType.simpleString()}, score double, reject int, chosen int, other double, other_at int"
+    named = Naming(bank, taus, rule.full.labels if rule.dual is not None else bank.labels)
+    ids = f"key {rows.schema['key'].dataType.simpleString()}, kept {rows.schema['kept'].dataType.simpleString()}"
+    dual = rule.dual is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank, rule, _ = sent.value
@@ -271,30 +274,60 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
             for at in range(0, whole.num_rows, rule.block):
                 batch = whole.slice(at, rule.block)
                 score, reject, chosen = evaluate(matrix(batch.column(1)), bank, rule)
-                other, other_at = np.zeros(len(score)), np.zeros(len(score), int)
-                if rule.dual is not None:
-                    d = np.sqrt(squared(matrix(batch.column(2)), rule.full.centers)) / np.maximum(rule.full.rho, LEAST)
-                    other_at = first_least(d)
-                    other = d[np.arange(len(d)), other_at]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array(score), pa.array(reject.astype(np.int32)), pa.array(chosen.astype(np.int32)), pa.array(other), pa.array(other_at.astype(np.int32))], names=["key", "kept", "score", "reject", "chosen", "other", "other_at"])
-
-    return told(rows.mapInArrow(run, kind), bank, rule, taus, key, keep)
-
-
-def told(scored: DataFrame, bank: Bank, rule: Rule, taus: np.ndarray, key: str, keep: tuple[str, ...]) -> DataFrame:
-    """What `predict` returns, from scores and the prototypes that decide."""
-    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
-    if rule.dual is not None:
-        scored = cut(scored)
-        most = scored.agg(F.max("score"), F.max("other")).first()
-        top, wide = max(most[0] or 0.0, LEAST), max(most[1] or 0.0, LEAST)
-        scored = scored.withColumn("score", (rule.dual * F.col("score") / top + (1 - rule.dual) * F.col("other") / wide) * top)
-        scored = scored.withColumn("chosen", F.lit(None).cast("int")).withColumn("named", at(rule.full.labels, F.col("other_at")))
-    else:
-        scored = scored.withColumn("named", at(bank.labels, F.col("chosen")))
-    scored = scored.withColumn("threshold", at(taus.tolist(), F.col("reject"))).withColumn("accepted", accepted(F.col("score"), F.col("threshold")))
-    named_by = F.when(F.col("accepted"), F.coalesce("chosen", "reject")).otherwise(F.col("reject"))
-    return scored.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), F.when(F.col("accepted"), F.col("named")).alias("predicted_label"), "accepted", F.col("named").alias("best_class_label"), at(bank.ids, named_by).alias("best_prototype_id"), at(bank.status, named_by).alias("best_prototype_status"), "score", "threshold")
+                first = [batch.column(0), batch.column(batch.num_columns - 1)]
+                if not dual:
+                    yield named.batch(first, score, reject, chosen, chosen)
+                    continue
+                d = np.sqrt(squared(matrix(batch.column(2)), rule.full.centers)) / np.maximum(rule.full.rho, LEAST)
+                other_at = first_least(d)
+                yield pa.RecordBatch.from_arrays([*first, pa.array(score), pa.array(reject.astype(np.int64)), pa.array(other_at.astype(np.int64)), pa.array(d[np.arange(len(d)), other_at])], names=["key", "kept", "score", "reject", "named", "other"])
+
+    if not dual:
+        return unkept(rows.mapInArrow(run, f"{ids}, {OUTCOME}"), key, keep)
+    scored = cut(rows.mapInArrow(run, f"{ids}, score double, reject long, named long, other double"))
+    most = scored.agg(F.max("score"), F.max("other")).first()
+    top, wide = max(most[0] or 0.0, LEAST), max(most[1] or 0.0, LEAST)
+    return named.applied(scored.withColumn("score", (rule.dual * F.col("score") / top + (1 - rule.dual) * F.col("other") / wide) * top), key, keep)
+
+
+OUTCOME = "predicted_label string, accepted boolean, best_class_label string, best_prototype_id string, best_prototype_status string, score double, threshold double"
+
+
+def unkept(found: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
+    return found.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), *(c.split(" ")[0] for c in OUTCOME.split(", ")))
+
+
+@dataclass
+class Naming:
+    """From scores and places in the bank to labels, prototypes and decisions;
+    `labels` are what `named` places stand for."""
+
+    bank: Bank
+    taus: np.ndarray
+    labels: list[str]
+
+    def batch(self, first: list, score: np.ndarray, reject: np.ndarray, named: np.ndarray, chosen: np.ndarray | None = None) -> pa.RecordBatch:
+        """One batch: rejected if the score is above the threshold of prototype
+        `reject`; an accepted row is told with prototype `chosen`, if there is one."""
+        threshold = self.taus[reject] if len(reject) else np.zeros(0)
+        accepted = ~(score > threshold)
+        told = pa.array(reject if chosen is None else np.where(accepted, chosen, reject), pa.int64())
+        names = pa.array(self.labels, pa.string()).take(pa.array(named, pa.int64()))
+        predicted = pc.if_else(pa.array(accepted), names, pa.scalar(None, pa.string()))
+        columns = [predicted, pa.array(accepted), names, pa.array(self.bank.ids, pa.string()).take(told), pa.array(self.bank.status, pa.string()).take(told), pa.array(score, pa.float64()), pa.array(threshold, pa.float64())]
+        return pa.RecordBatch.from_arrays([*first, *columns], names=["key", "kept", *(c.split(" ")[0] for c in OUTCOME.split(", "))])
+
+    def applied(self, scored: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
+        """The same for a table of key, kept, score, reject and named."""
+        sent = scored.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score, reject, named = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                yield sent.value.batch(batch.columns[:2], score, reject, named)
+
+        kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
+        return unkept(scored.select("key", "kept", "score", F.col("reject").cast("long"), F.col("named").cast("long")).mapInArrow(run, f"key {kinds['key']}, kept {kinds['kept']}, {OUTCOME}"), key, keep)
 
 
 def predict_by_vote(df: DataFrame, reference: DataFrame, bank: Bank, k: int, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -305,8 +338,8 @@ def predict_by_vote(df: DataFrame, reference: DataFrame, bank: Bank, k: int, tau
     found = knn_vote(nearest_references(rows, reference, k, "at", "label", "x", ref_key="seq"))
     first = {c: bank.labels.index(c) for c in bank.classes}
     place = F.coalesce(F.create_map(*(F.lit(v) for item in first.items() for v in item))[F.col("label")], F.lit(0))
-    scored = rows.join(found.withColumnRenamed("row_id", "at"), "at").select("key", "kept", "score", place.alias("reject"), place.alias("chosen"))
-    return told(scored, bank, Rule("knn"), effective_tau(bank, tau, by_class), key, keep)
+    scored = rows.join(found.withColumnRenamed("row_id", "at"), "at").select("key", "kept", "score", place.alias("reject"), place.alias("named"))
+    return Naming(bank, effective_tau(bank, tau, by_class), bank.labels).applied(scored, key, keep)
 
 
 def accepted(score: Column, threshold: Column) -> Column:

@@ -431,6 +431,6 @@ def fit_predict_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.fit(part("train").where(seen), part("calibration").where(seen), ModelConfig(scaler="standard", map_width=128, projection_width=8))
     test = part("test")
     found = models.predict(model, test, keep=("label",)).withColumnRenamed("label", "true_label").withColumn("session_id", F.lit(0))
-    return metrics.session_metrics(found, model.classes)
+    return metrics.session_metrics(cut(found), model.classes)
 
 

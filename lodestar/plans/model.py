@@ -305,6 +305,15 @@ def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, la
     return model
 
 
+def rescored(model: Model, **changes) -> Model:
+    """The same support and projection under other settings of prototypes,
+    scores and thresholds, calibrated on the rows that were kept for it."""
+    c = model.config.with_(**changes)
+    bank, found, behind = bank_of(model.support, model.projection, c, c.initial_tau, model.version)
+    out = replace(model, config=c, bank=bank, scales=found, background=behind)
+    return calibrated(out, cut(project(model.held, model.projection.matrix).drop("phi")))
+
+
 def check_budgets(support: DataFrame, config: ModelConfig) -> None:
     """Classes, units and rows of a unit within their budgets, else an error."""
     sizes = support.groupBy("unit_id", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -16,11 +16,17 @@ def test_a_mode_that_does_not_exist_is_an_error():
         ModelConfig(mode="nonsense")
 
 
-@pytest.mark.parametrize("change", [*({"mode": m} for m in MODES), {"dual": 0.6}, {"mode": "energy", "class_temperature": 0.5}, {"teen": (0.3, 0.1, 3), "fragile_below": 40.0, "squeeze": 0.05, "shrink": 0.1}], ids=str)
-def test_modes_fit_and_tell_classes_apart(spark, change):
+@pytest.fixture(scope="module")
+def base(spark):
     train, held, test = planted(spark, 4, 80)
     seen = lambda df: df.where("label <> 'c03'")
-    fitted = models.fit(seen(train), seen(held), SMALL.with_(projection="pca", projection_width=8, tie_break=None, **change))
+    quick = SMALL.with_(projection="pca", projection_width=8, tie_break=None, scale_mode="absolute", fragile_below=40.0)
+    return models.fit(seen(train), seen(held), quick), test.cache()
+
+
+@pytest.mark.parametrize("change", [*({"mode": m} for m in MODES), {"dual": 0.6}, {"mode": "energy", "class_temperature": 0.5}, {"teen": (0.3, 0.1, 3), "squeeze": 0.05, "shrink": 0.1}], ids=str)
+def test_modes_fit_and_tell_classes_apart(base, change):
+    fitted, test = models.rescored(base[0], **change), base[1]
     rows = models.predict(fitted, test, keep=("label",)).collect()
     assert len(rows) == test.count() and np.isfinite(fitted.tau) and all(np.isfinite(r["score"]) for r in rows)
     known = [r for r in rows if r["label"] != "c03"]
@@ -63,10 +69,9 @@ def test_merging_keeps_the_covariance_of_all_rows(spark):
     assert np.allclose(one.centers[0], x.mean(0)) and np.allclose(one.cov[0], plain_covariance(x)) and one.weight[0] == 17
 
 
-def test_calibration_uses_the_score_of_the_mode(spark):
-    train, held, _ = planted(spark, 3, 60)
-    fitted = models.fit(train, held, SMALL.with_(mode="mahalanobis", projection="pca", projection_width=6))
-    z = models.project(models.featurise(held, fitted.fitted, fitted.map, ("row_id", "label")), fitted.projection.matrix)
+def test_calibration_uses_the_score_of_the_mode(base):
+    fitted = models.rescored(base[0], mode="mahalanobis")
+    z = models.project(fitted.held, fitted.projection.matrix)
     found = models.calibration_scores(z, fitted.bank, rule=fitted.rule()).where("kind = 'pos'").collect()
     rows = {r["row_id"]: r for r in z.collect()}
     inverse = prototypes.precisions(fitted.bank)

@@ -15,12 +15,14 @@ from lodestar.plans.config import ExperimentConfig, TinyConfig
 from lodestar.sources import configs, tables
 from tests.test_model import SMALL, planted
 
+FAST = SMALL.with_(map_kind="identity", scale_mode="absolute", projection="pca", projection_width=4)
+
 
 @pytest.fixture(scope="module")
 def fitted(spark):
     train, held, test = planted(spark, 4, 60)
     base = lambda df: df.where("label <> 'c03'")
-    config = SMALL.with_(mode="mahalanobis", dual=None, penalty=("log", 0.1), max_classes=4, local_affine=True, affine_local=1e-6, affine_global=1e-6, margin=0.0)
+    config = SMALL.with_(mode="mahalanobis", map_width=32, projection_width=8, penalty=("log", 0.1), max_classes=4, local_affine=True, affine_local=1e-6, affine_global=1e-6, margin=0.0)
     return models.fit(base(train), base(held), config), train, held, test
 
 
@@ -64,7 +66,7 @@ def test_classes_of_least_support_make_room(fitted):
 
 def test_pending_items_and_cluster_admission(spark, fitted):
     model, train, _, test = fitted
-    model = models.replace(model, scales=models.replace(model.scales, tau_sep=0.1))
+    model = models.replace(model, scales=models.replace(model.scales, tau_sep=0.1), config=model.config.with_(local_affine=False))
     batch = train.where("label = 'c03'").limit(20)
     items, payloads = state.cache_batch(model, None, None, batch, "b1", 1.0)
     items, payloads = state.cache_batch(model, items, payloads, batch, "b1", 2.0)  # again: nothing changes
@@ -121,7 +123,7 @@ def test_ensembles_agree_with_a_plain_count(spark):
 
 def test_bursts_with_an_ensemble_write_their_records(spark, tmp_path):
     train, held, test = planted(spark, 3, 40)
-    config = TinyConfig(ExperimentConfig(SMALL.with_(map_width=32, projection_width=8)), bursts=(2, 4), episodes=1, members=2, refresh_every=2, promoted_refresh_every=1)
+    config = TinyConfig(ExperimentConfig(FAST), bursts=(2, 4), episodes=1, members=2, refresh_every=2, promoted_refresh_every=1)
     stages, episodes, aggregate = runner.run_tiny(train, held, test, config, f"file://{tmp_path}")
     assert [(r["stage"], r["is_refresh"]) for r in stages.orderBy("stage").collect()] == [(0, False), (1, False), (2, True)]
     row = episodes.first()
@@ -139,7 +141,7 @@ def test_runs_from_files_sweep_and_go_on(spark, tmp_path):
     for name, df in (("train", train), ("calibration", held), ("test", test)):
         df.write.parquet(f"file://{tmp_path}/{name}")
     (tmp_path / "m.json").write_text(json.dumps({"name": "x", "splits": {n: n for n in ("train", "calibration", "test")}}))
-    given = {"name": "A b!", "manifest": "m.json", "output": "out", "experiment": {"base_ratio": 0.6, "model": {"scaler": "standard", "map_width": 32, "projection_width": 8, "penalty": ["log", 0.2]}}, "data": {"aliases": ["y", "y", "z"]}}
+    given = {"name": "A b!", "manifest": "m.json", "output": "out", "experiment": {"base_ratio": 0.7, "model": {"scaler": "standard", "map_kind": "identity", "scale_mode": "absolute", "projection": "pca", "projection_width": 4, "penalty": ["log", 0.2]}}, "data": {"aliases": ["y", "y", "z"]}}
     (tmp_path / "run.json").write_text(json.dumps(given, indent=1))
     run = configs.load_run(spark, f"file://{tmp_path}/run.json")
     assert run.experiment.model.penalty == ("log", 0.2) and run.data.aliases == ("y", "z") and run.data.candidates[:3] == ("label", "y", "z")
@@ -173,7 +175,7 @@ def test_names_lists_and_ids(spark):
 
 def test_a_run_folder_scores_as_the_run_did(spark, tmp_path):
     train, held, test = planted(spark, 4, 40)
-    config = ExperimentConfig(SMALL.with_(map_width=32, projection_width=8), base_ratio=0.5, class_seed=1)
+    config = ExperimentConfig(FAST, base_ratio=0.75, class_seed=1)
     _, scored = runner.run_sessions(train, held, test, config, f"file://{tmp_path}")
     run = state.read_json(spark, f"file://{tmp_path}/run")
     again = tables.run_scores(spark, f"file://{tmp_path}", run["base"], run["novel"])
