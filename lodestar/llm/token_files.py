@@ -7,14 +7,15 @@ half of the XXH64 of each frame's data, then a footer). A reader loads both
 tables from the file's end and decompresses only the frames that hold what is
 asked for, checking each one's checksum.
 
-Documents are range-partitioned by id and each partition becomes one file,
-written under an attempt's own name and then renamed, so a repeated task leaves
-the same file. The manifest (one row for each file) is materialised in the
-shared folder; a file's first position follows from the counts before it.
+Documents are range-partitioned by id and each partition becomes one file under
+its attempt's own name. The manifest (one row for each file), materialised in the
+shared folder, names the files that hold; what a lost or repeated task leaves
+besides is never read. A file's first position follows from the counts before it.
 
 Defined cases: a null text counts as empty and yields the end id alone; null
-ids come first; rows that repeat an id are kept, ordered by their text's hash.
-An empty table gives a manifest without documents and an empty read.
+ids come first; rows that repeat an id are kept, ordered by their text's hash; a
+text of any length is encoded a slice at a time and continues over frames; other
+columns may have any name and are not carried. An empty table gives a manifest without documents and an empty read.
 """
 
 from __future__ import annotations
@@ -147,16 +148,15 @@ def write_tokens(df: DataFrame, vocab: str, folder: str | None = None, end_id: i
         part = TaskContext.get().partitionId()
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        name, own = f"{root}/ids-{part:08d}.zst", f"{root}/.ids-{part:08d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as out:
+        name = f"ids-{part:08d}-{uuid.uuid4().hex}.zst"
+        with fs.open_output_stream(f"{root}/{name}") as out:
             writer = Writer(out, width)
             for batch in rows:
                 for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                     pieces = coder.ids_of(text.as_py() or "")
                     writer.add(doc_id.as_py(), (p for ps in (pieces, (last,)) for p in ps))
             writer.close()
-        fs.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (f"{folder}/ids-{part:08d}.zst", pa.string()), (len(writer.docs), pa.int64()), (writer.ids, pa.int64()))], names=["part", "path", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (f"{folder}/{name}", pa.string()), (len(writer.docs), pa.int64()), (writer.ids, pa.int64()))], names=["part", "path", "docs", "ids"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = texts.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
