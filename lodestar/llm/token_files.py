@@ -149,7 +149,7 @@ def write_tokens(df: DataFrame, vocab: str, folder: str | None = None, end_id: i
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         name = f"ids-{part:08d}-{uuid.uuid4().hex}.zst"
-        with fs.open_output_stream(f"{root}/{name}") as out:
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             writer = Writer(out, width)
             for batch in rows:
                 for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
