@@ -63,9 +63,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def letters() -> re.Pattern[str]:
-    """Runs of letters."""
-    inside = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
+def letters(narrow: bool = False) -> re.Pattern[str]:
+    """Runs of letters; `narrow` for texts within U+00FF, where it is faster."""
+    inside = (c for c in range(0x100 if narrow else sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
     runs = [[c for _, c in g] for _, g in itertools.groupby(enumerate(inside), lambda x: x[1] - x[0])]
     return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]+")
 
@@ -337,9 +337,18 @@ def _split(text: str) -> Iterator[list[str]]:
         if stop <= at:
             run = find.match(text, at + SLICE)
             stop = (run.end() if run else at + SLICE) + 1
-        yield find.findall(text[at:stop].lower())
+        yield _words(text[at:stop])
         at = stop
-    yield find.findall(text[at:].lower())
+    yield _words(text[at:] if at else text)
+
+
+def _words(text: str) -> list[str]:
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return letters().findall(text)
+    return letters(True).findall(text)
 
 
 def identify(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
