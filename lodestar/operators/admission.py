@@ -226,7 +226,7 @@ class Outlines:
     radii: np.ndarray
 
     @classmethod
-    def of(cls, support: DataFrame, vector: str = "phi", weight: str | None = "w") -> Outlines:
+    def of(cls, support: DataFrame, vector: str = "phi") -> Outlines:
         """From support rows (unit_id, label, vector); units are as many as
         prototypes at most."""
         from lodestar.operators.prototypes import MAX_PROTOTYPES

@@ -182,7 +182,8 @@ def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int
         raise ValueError("no features")
     out = Fitted(schema, scaler)
     if schema.numeric:
-        out.median = {c: v if v is not None else 0.0 for c, v in medians(df, list(schema.numeric)).items()}
+        quartiles = exact_quantiles(df, list(schema.numeric), [0.25, 0.5, 0.75] if scaler == "robust" else [0.5])
+        out.median = {c: 0.0 if v[0] is None else v[len(v) // 2] for c, v in quartiles.items()}
         filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(out.median[c])).alias(c) for c in schema.numeric))
         if scaler == "quantile":
             steps = [i / (references - 1) for i in range(references)]
@@ -194,7 +195,9 @@ def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int
         elif scaler == "standard":
             _standard(filled, out)
         elif scaler == "robust":
-            found = exact_quantiles(filled, list(schema.numeric), [0.25, 0.5, 0.75])
+            missing = df.agg(*(F.max(F.col(c).cast("double").isNull()).alias(c) for c in schema.numeric)).first().asDict()
+            holes = [c for c, some in missing.items() if some]  # filling moves the quartiles of these alone
+            found = quartiles | (exact_quantiles(filled, holes, [0.25, 0.5, 0.75]) if holes else {})
             out.shift = {c: v[1] or 0.0 for c, v in found.items()}
             out.scale = {c: _ratio(v[2] - v[0]) if v[0] is not None else 1.0 for c, v in found.items()}
         else:

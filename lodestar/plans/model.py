@@ -47,7 +47,6 @@ class Model:
     scales: prototypes.Scales | None = None
     background: tuple[np.ndarray, np.ndarray] | None = None
     archive: DataFrame | None = None
-    recovered: int = 0
 
     @property
     def classes(self) -> list[str]:

@@ -15,7 +15,7 @@ from lodestar.operators.maps import Map, Projection
 from lodestar.operators.preprocess import Fitted, Schema
 from lodestar.operators.prototypes import Bank, Scales
 from lodestar.plans.config import ModelConfig
-from lodestar.plans.model import SUPPORT, Model
+from lodestar.plans.model import Model
 
 FRAMES = ("support", "held", "archive")
 
@@ -84,7 +84,7 @@ def load(spark: SparkSession, folder: str) -> Model:
         ModelConfig(**{**config, **tuples}), fitted_of(given["fitted"]), mapped, frames["support"], Projection(array(p["matrix"]), p["mode"], array(p["spectrum"])), bank, given["tau"],
         given["by_class"], {k: tuple(v) for k, v in given["weibull"].items()}, given["version"], given["log"],
         None if given["exemplars"] is None else (array(given["exemplars"][0]), given["exemplars"][1]), frames["held"],
-        None if given["scales"] is None else Scales(**given["scales"]), None if given["background"] is None else tuple(map(array, given["background"])), frames["archive"], given["recovered"],
+        None if given["scales"] is None else Scales(**given["scales"]), None if given["background"] is None else tuple(map(array, given["background"])), frames["archive"],
     )
 
 
@@ -170,7 +170,3 @@ def payload(items: DataFrame, payloads: DataFrame, item_id: str) -> DataFrame:
     if not items.where(F.col("item_id") == item_id).limit(1).count():
         raise KeyError(item_id)
     return payloads.where(F.col("item_id") == item_id).drop("item_id")
-
-
-def empty_support(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SUPPORT)

@@ -12,6 +12,7 @@ def scored(spark, true, predicted, base, admitted=()):
 @pytest.mark.parametrize(
     ("true", "predicted", "base", "admitted", "expected"),
     [
+        # Inputs and results that published code gives too.
         ("abzz", ["a", "b", "unknown", "unknown"], ["a", "b"], (), {"ccr": 1.0, "tur": 1.0, "os_hm": 1.0}),
         ("azz", ["a", "a", "a"], ["a"], (), {"tur": 0.0, "os_hm": 0.0}),
         ("ac", ["a", "c"], ["a"], ("c",), {"n_true_known": 2, "ccr": 1.0}),

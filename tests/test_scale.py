@@ -144,3 +144,18 @@ def test_eviction_and_trims_equal_plain_orders(spark):
     for u in ("hot", "cold"):
         own = [i for i in range(200) if ("hot" if i % 4 else "cold") == u]
         assert sorted(r["seq"] for r in kept if r["u"] == u) == sorted({own[i * (len(own) - 1) // 6] for i in range(7)})
+
+
+def test_robust_scales_are_of_filled_columns(spark):
+    from lodestar.operators import preprocess
+
+    rng = np.random.default_rng(8)
+    a, b = rng.exponential(size=301), rng.standard_normal(301)
+    holes = rng.random(301) < 0.3
+    df = spark.createDataFrame([(None if h else float(x), float(y)) for x, y, h in zip(a, b, holes, strict=True)], "a double, b double")
+    fitted = preprocess.fit(df, preprocess.infer_schema(df, "none"), "robust")
+    filled = np.where(holes, np.median(a[~holes]), a)
+    for c, x in (("a", filled), ("b", b)):
+        q = np.quantile(x, [0.25, 0.5, 0.75])
+        assert fitted.shift[c] == pytest.approx(q[1]) and fitted.scale[c] == pytest.approx(q[2] - q[0])
+    assert fitted.median["a"] == pytest.approx(np.median(a[~holes]))
