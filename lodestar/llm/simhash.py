@@ -243,7 +243,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Of each component exactly one row stays: the one with the smallest id (a
     null id being largest), of equal ids the one with the smallest text hash, of
     rows that repeat both any one."""
-    found = _linked(df, id_col, text_col, width, most, HOT).groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    return keep_one(df, _linked(df, id_col, text_col, width, most, HOT), id_col, text_col)
+
+
+def keep_one(df: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that stay, given component, id and mark of every row."""
+    found = grouped.groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("mark").alias("m"), "n")
     stays = cut(found.groupBy("component").agg(F.min(order).alias("least")).select("least.i", "least.m", "least.n").distinct())
     mark = unique_name(df, "mark")

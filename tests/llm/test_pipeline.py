@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash_wide import brute_groups
 
 from lodestar.llm import pii
 from lodestar.llm.queries import ORACLES, QUERIES, VOCAB
@@ -42,7 +42,7 @@ def test_exact_and_near_copies(stages):
     for i, r in before.items():
         best[r["text"]] = max(i, best.get(r["text"], -1))
     assert set(after) == set(best.values())
-    groups = brute_components({i: brute_fingerprint(r["text"] or "") for i, r in after.items()})
+    groups = brute_groups({i: r["text"] or "" for i, r in after.items()})
     assert set(rows(stages[3])) == set(groups.values())
 
 

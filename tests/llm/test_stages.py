@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 
 from lodestar.llm import pii
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash_wide import brute_groups
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -61,7 +61,7 @@ def test_exactly_one_of_equal_texts_stays(results, odd):
 
 def test_exactly_one_of_each_component_stays(results, odd):
     texts = sorted({r["text"] or "" for r in odd.collect()})
-    groups = brute_components({i: brute_fingerprint(t) for i, t in enumerate(texts)})
+    groups = brute_groups(dict(enumerate(texts)))
     found = results["simhash"].collect()
     assert sorted(groups[texts.index(r["text"] or "")] for r in found) == sorted(set(groups.values()))
     for r in found:
