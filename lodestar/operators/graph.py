@@ -1,85 +1,34 @@
-"""Within-class nearest-neighbour graphs, mutual edges and localisation.
-
-Exact neighbours are found by pairs of blocks, in one plan: a class is dealt
-into blocks of about `chunk` rows at most, each row goes to every pair that its
-block is in, and a task that holds both blocks of a pair keeps the r best of
-each row by matrix products whose finalists are measured again exactly. Ranks
-are limited before candidates are shuffled. So a class of any size is spread
-over tasks, none holds more than two blocks, and the table is read once.
-"""
+"""Within-class nearest-neighbour graphs, mutual edges and localisation."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.session import cut
-from lodestar.functions.vectors import matrix
+from lodestar.functions.vectors import norm
+from lodestar.operators import metric as index
 from lodestar.operators.components import connected_components
 
-#: Rows of one block, the least that a block is cut to for more tasks, and
-#: finalists beyond r that are measured exactly.
-CHUNK, LEAST, SLACK = 4096, 256, 16
-
 
-def nearest(df: DataFrame, r: int, key: str = "row_id", label: str = "label", vector: str = "x", metric: str = "euclidean", chunk: int = CHUNK) -> DataFrame:
+def nearest(df: DataFrame, r: int, key: str = "row_id", label: str = "label", vector: str = "x", metric: str = "euclidean", chunk: int = index.CHUNK) -> DataFrame:
     """src, dst, label, d2, rank: the r nearest others of each row within its
     class, ties by dst; d2 is the squared distance (or 1 - cosine). A null label
-    is a class of its own; rows that repeat a key are not each other's."""
+    is a class of its own, a row without a vector has no neighbours, and a row is
+    never its own neighbour, under whichever rows repeat its key."""
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    named = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("of"), F.col(vector).cast("array<double>").alias("v"))
-    rows = cut(named.withColumn("m", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Blocks enough for the chunk, and for some pairs a task, but not too small ones.
-    spread = F.least(F.lit(int(np.ceil(np.sqrt(2 * tasks)))), F.ceil(F.col("n") / min(LEAST, chunk)))
-    blocks = F.greatest(F.ceil(F.col("n") / chunk), spread).cast("int")
-    counted = sizes.select(F.col("of").alias("c"), blocks.alias("blocks"))
-    placed = rows.join(counted, F.col("of").eqNullSafe(F.col("c"))).withColumn("a", F.pmod(F.xxhash64("m"), "blocks").cast("int"))
-    sent = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("id", "of", "v", F.col("a").alias("block"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    pairs = sent.repartition(4 * tasks, "of", "low", "high").groupBy("of", "low", "high")
-    found = pairs.applyInArrow(_meeting(r, metric), "src long, dst long, label string, d2 double")
-    top = Window.partitionBy("src").orderBy("d2", "dst")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= r)
-
-
-def _meeting(r: int, metric: str):
-    """The r best of each row of two blocks (or of one) in the other."""
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, v, block = group.column("id").to_numpy(), matrix(group.column("v")), group.column("block").to_numpy()
-        of = group.column("of")[0].as_py()
-        if metric == "cosine":
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        square = (v * v).sum(1)
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        out: tuple[list, list, list] = ([], [], [])
-        for mine, others in ((low, high), (high, low))[: 1 + (low != high)]:
-            mine, others = np.flatnonzero(block == mine), np.flatnonzero(block == others)
-            if not len(others):
-                continue
-            near = min(r + SLACK, len(others))
-            for at in range(0, len(mine), 512):
-                own = mine[at : at + 512]
-                rough = square[own, None] + square[others] - 2 * v[own] @ v[others].T
-                rough[ids[own][:, None] == ids[others]] = np.inf
-                best = others[np.argpartition(rough, near - 1, axis=1)[:, :near]]
-                exact = ((v[own][:, None, :] - v[best]) ** 2).sum(2) / (2 if metric == "cosine" else 1)
-                exact[ids[own][:, None] == ids[best]] = np.inf
-                order = np.lexsort((ids[best], exact))[:, :r]
-                d2 = np.take_along_axis(exact, order, 1)
-                some = np.isfinite(d2)
-                out[0].append(np.repeat(ids[own], some.sum(1)))
-                out[1].append(np.take_along_axis(ids[best], order, 1)[some])
-                out[2].append(d2[some])
-        src, dst, d2 = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"src": pa.array(src.astype(np.int64)), "dst": pa.array(dst.astype(np.int64)), "label": pa.array([of] * len(src), pa.string()), "d2": pa.array(d2)})
-
-    return run
+    v = F.col(vector).cast("array<double>")
+    if metric == "cosine":
+        v = F.transform(v, lambda x: x / F.greatest(norm(F.col(vector).cast("array<double>")), F.lit(1e-12)))
+    of = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+    rows = cut(index.marked(df.select(of.alias("of"), F.lit(None).cast("string").alias("label"), F.col(key).cast("long").alias("id"), v.alias("v"))))
+    found = index.within(index.build(rows, r + 1, chunk), r + 1)
+    others = F.slice(F.filter("found", lambda x: x["ref"] != F.col("id")), 1, r)
+    edges = rows.select("id", "of", "a", "b").join(found, ["a", "b"]).select("id", "of", F.posexplode(others).alias("at", "near"))
+    d2 = F.col("near.d2") / (2 if metric == "cosine" else 1)
+    named = F.when(F.col("of") != "", F.substring("of", 2, 1 << 30))
+    return edges.select(F.col("id").alias("src"), F.col("near.ref").alias("dst"), named.alias("label"), d2.alias("d2"), (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def mutual(edges: DataFrame) -> DataFrame:

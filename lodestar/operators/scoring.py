@@ -7,24 +7,23 @@ Arrow batches: each batch is a few matrix operations, no row is multiplied.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.session import cut
 from lodestar.functions.vectors import matrix
+from lodestar.operators import metric
 from lodestar.operators.prototypes import Bank
 
 MODES = ("min_distance", "mahalanobis", "relative_mahalanobis", "energy", "ghost", "reciprocal", "hyperspherical", "evm", "knn")
 TIE, LEAST = 1e-12, 1e-12
 BLOCK = 1024
-#: Rows of one block of references.
-CHUNK = 4096
 
 
 @dataclass
@@ -192,43 +191,26 @@ def evaluate(x: np.ndarray, bank: Bank, rule: Rule) -> tuple[np.ndarray, np.ndar
     return score, at, of_class
 
 
-def nearest_references(df: DataFrame, reference: DataFrame, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = CHUNK, ref_key: str | None = None) -> DataFrame:
+def reference_index(reference: DataFrame, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = metric.CHUNK) -> metric.Index:
+    """The references (key, label, vector) as a metric index that gives k
+    neighbours of a row, and still k where a row itself is left out."""
+    rows = reference.select(F.lit("").alias("of"), F.col(label).cast("string").alias("label"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return metric.build(cut(metric.marked(rows)), k + 1, chunk)
+
+
+def nearest_references(df: DataFrame, reference: DataFrame | metric.Index, k: int, key: str = "row_id", label: str = "label", vector: str = "x", chunk: int = metric.CHUNK, ref_key: str | None = None, own: str | None = None) -> DataFrame:
     """row_id, ref, label, d: the k nearest of all reference rows for each row,
-    ties by ref. Both sides are dealt into blocks of about `chunk` rows and each
-    pair of blocks meets in one task, in one plan."""
-    rows = cut(df.select(F.col(key).cast("long").alias("id"), F.lit(None).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("is_ref"), F.monotonically_increasing_id().alias("m")))
-    refs = cut(reference.select(F.col(ref_key or key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("is_ref"), F.monotonically_increasing_id().alias("m")))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = rows.count()
-    across, down = max(1, -(-n // chunk), min(tasks, -(-n // 256))), max(1, -(-refs.count() // chunk))
-    block = lambda parts: F.pmod(F.xxhash64("m"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    both = rows.withColumn("a", block(across)).withColumn("b", every(down)).unionByName(refs.withColumn("b", block(down)).withColumn("a", every(across)))
-    met = both.drop("m").repartition(4 * tasks, "a", "b").groupBy("a", "b")
-    found = met.applyInArrow(_against(k), "row_id long, ref long, label string, d double")
-    top = Window.partitionBy("row_id").orderBy("d", "ref")
-    return found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
-
-
-def _against(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        is_ref = group.column("is_ref").to_numpy(zero_copy_only=False).astype(bool)
-        ids, v = group.column("id").to_numpy(), matrix(group.column("v"))
-        labels = np.array(group.column("label").to_pylist(), object)[is_ref]
-        rows, refs, points = ids[~is_ref], ids[is_ref], v[is_ref]
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        near = min(k, len(refs))
-        for at in range(0, len(rows) if near else 0, 256):
-            d = np.sqrt(squared(v[~is_ref][at : at + 256], points))
-            least = np.partition(d, near - 1, axis=1)[:, near - 1 : near]
-            for row, own, most in zip(rows[at : at + 256], d, least[:, 0], strict=True):
-                some = np.flatnonzero(own <= most)
-                some = some[np.lexsort((refs[some], own[some]))][:k]
-                for column, value in zip(out, ([row] * len(some), refs[some], labels[some], own[some]), strict=True):
-                    column.extend(value)
-        return pa.table({"row_id": pa.array(out[0], pa.int64()), "ref": pa.array(out[1], pa.int64()), "label": pa.array(out[2], pa.string()), "d": pa.array(out[3], pa.float64())})
-
-    return run
+    ties by ref, by an index of the references (made here from a table).
+    Where the column `own` is true, the row is a reference too and does not see
+    itself. Rows without a vector have none."""
+    if isinstance(reference, DataFrame):
+        reference = reference_index(reference, k, ref_key or key, label, vector, chunk)
+    rows = df.select(F.col(key).cast("long").alias("row_id"), (F.col(own) if own else F.lit(False)).alias("own"), F.col(vector).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("a"))
+    rows = cut(rows)
+    found = metric.probe(reference, rows.select("a", F.lit("").alias("of"), "v"), k + 1 if own else k)
+    others = F.filter("found", lambda x: ~F.coalesce(F.col("own"), F.lit(False)) | (x["ref"] != F.col("row_id")))
+    near = rows.select("a", "row_id", "own").join(found, "a").select("row_id", F.explode(F.slice(others, 1, k)).alias("x"))
+    return near.select("row_id", F.col("x.ref").alias("ref"), F.col("x.label").alias("label"), F.sqrt("x.d2").alias("d"))
 
 
 def knn_vote(found: DataFrame) -> DataFrame:
@@ -252,15 +234,20 @@ def effective_tau(bank: Bank, tau: float, by_class: dict[str, float] | None = No
     return out
 
 
+def thresholds(bank: Bank, rule: Rule, tau: float, by_class: dict[str, float] | None = None) -> np.ndarray:
+    """Each prototype's threshold under a rule; some modes have a fixed one."""
+    if rule.mode == "ghost":
+        return np.full(len(bank.ids), 1 - rule.ghost_alpha)
+    if rule.mode == "evm":
+        return np.full(len(bank.ids), 1 - rule.evm_threshold)
+    return effective_tau(bank, rule.tau if rule.tau is not None else tau, by_class)
+
+
 def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, full_vector: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, kept columns, predicted_label (null if rejected), accepted, best_class_label,
     best_prototype_id, best_prototype_status, score, threshold. With
     `rule.dual`, scores blend both spaces by the maxima of the whole input."""
-    taus = effective_tau(bank, rule.tau if rule.tau is not None else tau, by_class)
-    if rule.mode == "ghost":
-        taus = np.full(len(bank.ids), 1 - rule.ghost_alpha)
-    elif rule.mode == "evm":
-        taus = np.full(len(bank.ids), 1 - rule.evm_threshold)
+    taus = thresholds(bank, rule, tau, by_class)
     sent = df.sparkSession.sparkContext.broadcast((bank, rule, taus))
     vectors = [F.col(v).cast("array<double>").alias(f"x{i}") for i, v in enumerate([vector] + [full_vector] * bool(full_vector))]
     rows = df.select(F.col(key).alias("key"), *vectors, F.struct(F.col(key).alias("key"), *keep).alias("kept"))
@@ -290,6 +277,40 @@ def predict(df: DataFrame, bank: Bank, rule: Rule, tau: float, key: str = "row_i
     return named.applied(scored.withColumn("score", (rule.dual * F.col("score") / top + (1 - rule.dual) * F.col("other") / wide) * top), key, keep)
 
 
+@dataclass
+class Member:
+    """One of several models that score the same rows: from rows to vectors, and
+    what `predict` takes."""
+
+    vectors: Callable[[np.ndarray], np.ndarray]
+    bank: Bank
+    rule: Rule
+    taus: np.ndarray
+    version: int = 0
+
+
+def predict_members(df: DataFrame, members: list[Member], key: str = "row_id", vector: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`predict` of every member with `member` and `projection_version`: a row
+    for each member, made side by side as the rows pass once."""
+    sent = df.sparkSession.sparkContext.broadcast([(m, Naming(m.bank, m.taus, m.bank.labels)) for m in members])
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"), F.struct(F.col(key).alias("key"), *keep).alias("kept"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                x = matrix(batch.column(1))
+                for i, (m, named) in enumerate(sent.value):
+                    score, reject, chosen = evaluate(m.vectors(x), m.bank, m.rule)
+                    found = named.batch([batch.column(0), batch.column(2)], score, reject, chosen, chosen)
+                    more = [pa.array(np.full(len(x), v), pa.int32()) for v in (i, m.version)]
+                    yield pa.RecordBatch.from_arrays([*found.columns, *more], names=[*found.schema.names, "member", "projection_version"])
+
+    found = rows.mapInArrow(run, f"key {kinds['key']}, kept {kinds['kept']}, {OUTCOME}, member int, projection_version int")
+    return found.select(F.col("key").alias(key), *(F.col(f"kept.`{c}`").alias(c) for c in keep), *(c.split(" ")[0] for c in OUTCOME.split(", ")), "member", "projection_version")
+
+
 OUTCOME = "predicted_label string, accepted boolean, best_class_label string, best_prototype_id string, best_prototype_status string, score double, threshold double"
 
 
@@ -330,9 +351,9 @@ class Naming:
         return unkept(scored.select("key", "kept", "score", F.col("reject").cast("long"), F.col("named").cast("long")).mapInArrow(run, f"key {kinds['key']}, kept {kinds['kept']}, {OUTCOME}"), key, keep)
 
 
-def predict_by_vote(df: DataFrame, reference: DataFrame, bank: Bank, k: int, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict_by_vote(df: DataFrame, reference: DataFrame | metric.Index, bank: Bank, k: int, tau: float, key: str = "row_id", vector: str = "x", by_class: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """`predict` by the labels of the k nearest support rows (seq, label,
-    vector); the score is the distance of the furthest of them. A row stands for
+    vector; or an index of them); the score is the distance of the furthest of them. A row stands for
     the first prototype of the class it is given."""
     rows = cut(df.select(F.col(key).alias("key"), F.struct(F.col(key).alias("key"), *keep).alias("kept"), F.col(vector).alias("x"), F.monotonically_increasing_id().alias("at")))
     found = knn_vote(nearest_references(rows, reference, k, "at", "label", "x", ref_key="seq"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.session import cut
-from lodestar.functions.vectors import mean_vectors, vector_sums
+from lodestar.functions.vectors import mean_vectors, total, vector_sums
 from lodestar.operators import calibration, graph, maps, prototypes, scoring
 from lodestar.operators.maps import Map
 from lodestar.operators.prototypes import Bank
@@ -62,6 +62,17 @@ def rnn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(vectors(spark, sf_dir), 3, metric="cosine").select("src", "dst", F.round("d2", 6).alias("d2"))
 
 
+ROUNDED = EDGES.replace("CAST(embedding AS DOUBLE[]) AS x", "list_transform(range(0, 4), lambda i: round(list_sum(CAST(embedding AS DOUBLE[])[16 * i + 1:16 * i + 16]))) AS x")
+
+
+@query(f"WITH {ROUNDED.format(r=4)} SELECT src, dst, label, d2, CAST(rank AS INTEGER) AS rank FROM near")
+def rnn_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by four rounded sums of all coordinates, where many rows are equal
+    and most distances tie."""
+    coarse = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.round(total(F.slice("x", 16 * i + 1, 16))))
+    return graph.nearest(vectors(spark, sf_dir).withColumn("x", coarse), 4)
+
+
 @query(f"WITH {EDGES.format(r=5)} SELECT a.src, a.dst FROM near a JOIN near b ON a.src = b.dst AND a.dst = b.src")
 def rnn_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mutual(cut(graph.nearest(vectors(spark, sf_dir), 5))).select("src", "dst")

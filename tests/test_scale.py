@@ -43,8 +43,8 @@ def test_neighbours_equal_brute_force_in_one_plan(spark):
     label = ["hot" if i % 3 else "abcd"[i % 4] for i in range(2000)]
     df = spark.createDataFrame([(i, label[i], x[i].tolist()) for i in range(2000)], "row_id long, label string, x array<double>").cache()
     found = graph.nearest(df, 3, chunk=50)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") + plan.count("ExistingRDD") + plan.count("Scan") <= 4  # rows and sizes, whatever the chunk
+    leaves = lambda df: df._jdf.queryExecution().analyzed().collectLeaves().size()
+    assert leaves(found) == leaves(graph.nearest(df, 3, chunk=25))  # one plan, whatever the chunk
     got = {}
     for r in found.collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
@@ -94,13 +94,26 @@ def plain_cap(bank, cap):
     return bank
 
 
-def test_bank_cap_merges_the_closest_pairs_first():
+def test_bank_cap_merges_the_closest_pairs_first(spark):
     rng = np.random.default_rng(4)
     n = 60
     bank = Bank([f"p{i:03d}" for i in range(n)], ["xyz"[i % 3] for i in range(n)], rng.standard_normal((n, 3)), rng.random(n), rng.random(n) + 0.5, ["stable"] * n)
     for cap in (45, 20, 3):
-        one, other = prototypes.capped(bank, cap), plain_cap(bank, cap)
-        assert one.ids == other.ids and np.allclose(one.centers, other.centers) and np.allclose(one.rho, other.rho)
+        other = plain_cap(bank, cap)
+        for one in (prototypes.capped(bank, cap), prototypes.capped(bank, cap, spark)):
+            assert one.ids == other.ids and one.labels == other.labels and np.allclose(one.centers, other.centers) and np.allclose(one.rho, other.rho) and np.allclose(one.weight, other.weight)
+
+
+def test_a_full_bank_is_capped_within_a_minute(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    n = 20_000
+    bank = Bank([f"p{i:05d}" for i in range(n)], [f"c{i % 40}" for i in range(n)], rng.standard_normal((n, 32)), rng.random(n), rng.random(n) + 0.5, ["stable"] * n)
+    began = time.monotonic()
+    one = prototypes.capped(bank, 5000, spark)
+    assert time.monotonic() - began < 60 and len(one.ids) == 5000 and one.weight.sum() == pytest.approx(bank.weight.sum())
+    assert one.ids == sorted(one.ids) and set(one.labels) == set(bank.labels)
 
 
 def test_screens_find_the_conflicts_of_plain_comparison(spark):
@@ -115,9 +128,11 @@ def test_screens_find_the_conflicts_of_plain_comparison(spark):
     outlines = admission.Outlines.of(support)
     assert np.allclose(outlines.centers, [units[u][1].mean(0) for u in outlines.ids])
     for most in (0.3, 1.0, 3.0):
-        pairs = [(u, o) for u, c, m, r in zip(outlines.ids, outlines.labels, outlines.centers, outlines.radii, strict=True) for o in outlines.near(m, float(r), c, most)]
-        want = sorted(u for u, (c, x) in units.items() if admission.affine_conflict(x, c, units, most))
-        assert admission.unit_conflicts(support, pairs, most) == want
+        want = {c for c, x in units.values() if admission.affine_conflict(x, c, units, most)}
+        for cell_bytes in (1, 600, 1 << 25):  # a cell for each unit, some, one
+            for accepted in (["c0", "c1", "c2", "c3"], ["c1"], ["none"]):
+                assert admission.conflicting_classes(support, accepted, most, cell_bytes=cell_bytes) == sorted(want & set(accepted))
+    assert admission.conflicting_classes(support.where("false"), ["c0"], 1.0) == []
 
 
 def test_hull_of_a_table_equals_the_hull_of_its_rows(spark):
