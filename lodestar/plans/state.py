@@ -10,14 +10,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import admission, prototypes
+from lodestar.operators import admission, metric, prototypes
 from lodestar.operators.maps import Map, Projection
 from lodestar.operators.preprocess import Fitted, Schema
 from lodestar.operators.prototypes import Bank, Scales
 from lodestar.plans.config import ModelConfig
 from lodestar.plans.model import Model
+from lodestar.sources.commits import Versions
 
 FRAMES = ("support", "held", "archive")
+#: Marks the list that stands for a number JSON does not know. No list of a model
+#: has two texts of which the first is this.
+NUMBER = "\x00number"
 
 
 def plain(value: object) -> object:
@@ -36,7 +40,7 @@ def plain(value: object) -> object:
     if isinstance(value, np.generic):
         return plain(value.item())
     if isinstance(value, float) and not np.isfinite(value):
-        return {"number": str(value)}
+        return [NUMBER, str(value)]
     if value is None or isinstance(value, (bool, int, float, str)):
         return value
     return value.as_posix() if isinstance(value, PurePath) else str(value)
@@ -45,8 +49,10 @@ def plain(value: object) -> object:
 def back(value: object) -> object:
     """The other way round, for numbers that JSON does not know."""
     if isinstance(value, dict):
-        return float(value["number"]) if set(value) == {"number"} else {k: back(v) for k, v in value.items()}
-    return [back(v) for v in value] if isinstance(value, list) else value
+        return {k: back(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return float(value[1]) if len(value) == 2 and value[0] == NUMBER else [back(v) for v in value]
+    return value
 
 
 def fitted_of(given: dict) -> Fitted:
@@ -56,20 +62,37 @@ def fitted_of(given: dict) -> Fitted:
     return Fitted(**{**given, "schema": schema})
 
 
-def save(model: Model, folder: str) -> None:
-    """The whole model under a folder: tables of its rows, one JSON of the rest."""
-    spark = model.support.sparkSession
-    for name in FRAMES:
-        frame = getattr(model, name)
-        if frame is not None:
-            frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-    small = {f.name: plain(getattr(model, f.name)) for f in fields(model) if f.name not in FRAMES}
-    small["frames"] = [n for n in FRAMES if getattr(model, n) is not None]
-    write_json(spark, f"{folder}/model", small)
-
-
-def load(spark: SparkSession, folder: str) -> Model:
-    """A model as it was saved; it predicts the same."""
+def save(model: Model, folder: str, keep: int = 1) -> int:
+    """The whole model (but its moments, which a refresh makes anew) as the next
+    version of a folder, and older versions than the last `keep` removed. Until its last byte is written the former version
+    holds; a loaded model may be saved where it came from. Returns the version."""
+    versions = Versions(model.support.sparkSession, folder)
+
+    def write(_, made) -> None:
+        for name in FRAMES:
+            if (frame := getattr(model, name)) is not None:
+                frame.write.parquet(f"{made.data}/{name}")
+        if model.index is not None:
+            model.index.save(f"{made.data}/index")
+        small = {f.name: plain(getattr(model, f.name)) for f in fields(model) if f.name not in (*FRAMES, "index", "ledger")}
+        small["frames"] = [n for n in FRAMES if getattr(model, n) is not None]
+        small["indexed"] = model.index is not None
+        write_json(model.support.sparkSession, f"{made.data}/model", small)
+
+    done = versions.update(write)
+    versions.clean(keep=max(1, keep))
+    return done.version
+
+
+def load(spark: SparkSession, folder: str, version: int | None = None) -> Model:
+    """A model as it was saved, the latest version or a kept one; it predicts the
+    same. A model whose folder is saved to again must be loaded again, unless
+    that save keeps its version."""
+    versions = Versions(spark, folder)
+    found = versions.latest() if version is None else versions.get(version)
+    if found is None:
+        raise FileNotFoundError(folder)
+    folder = found.data
     given = back(read_json(spark, f"{folder}/model"))
     array = lambda x: None if x is None else np.array(x, float)
     config = given["config"]
@@ -85,6 +108,7 @@ def load(spark: SparkSession, folder: str) -> Model:
         given["by_class"], {k: tuple(v) for k, v in given["weibull"].items()}, given["version"], given["log"],
         None if given["exemplars"] is None else (array(given["exemplars"][0]), given["exemplars"][1]), frames["held"],
         None if given["scales"] is None else Scales(**given["scales"]), None if given["background"] is None else tuple(map(array, given["background"])), frames["archive"],
+        metric.Index.load(spark, f"{folder}/index") if given["indexed"] else None,
     )
 
 

@@ -1,8 +1,7 @@
 """Rejected rows in a bounded buffer, as micro-batches and as one query.
 
-The buffer is a versioned Parquet table: each micro-batch writes the next
-version from the last one and the new rejects, and a commit file names the
-version that holds, so a repeated batch changes nothing.
+The buffer is a versioned table: each micro-batch, and each rescoring after a
+refresh, commits the next version; versions that are superseded are removed.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.functions.session import cut
 from lodestar.operators.splits import shuffled
+from lodestar.sources.commits import Commit, Transaction, Versions
 
 POLICIES = ("fifo", "reservoir")
 
@@ -34,41 +35,51 @@ def bounded_by(df: DataFrame, keys: list[str], most: int, seq: str = "seq") -> D
 
 
 class Buffer:
-    """Versions of the buffer under one folder."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, most: int, policy: str = "fifo", seq: str = "seq"):
-        self.spark, self.path, self.schema, self.most, self.policy, self.seq = spark, path.rstrip("/"), schema, most, policy, seq
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        """Versions that were written whole, in order."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
+    """Versions of the buffer under one folder. A micro-batch is one transaction;
+    its number is in the commit record, so a repeated batch changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, most: int, policy: str = "fifo", seq: str = "seq", keep: int = 2):
+        self.spark, self.schema, self.most, self.policy, self.seq, self.keep = spark, schema, most, policy, seq, keep
+        self.versions = Versions(spark, path)
+
+    def read(self, at: Commit | None = None) -> DataFrame:
+        """The rows of a version, of the latest if none is given."""
+        found = at or self.versions.latest()
+        if found is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{known[-1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{found.data}/rows")
+
+    def _replace(self, change: Callable[[DataFrame], DataFrame], batch: int | None, info: dict | None = None) -> Commit:
+        def write(latest: Commit | None, made: Transaction) -> None:
+            rows = change(self.read(latest) if latest else self.spark.createDataFrame([], self.schema))
+            bounded(rows, self.most, self.policy, self.seq).write.parquet(f"{made.data}/rows")
+            last = latest.info.get("batch", -1) if latest else -1
+            made.info.update({"batch": last if batch is None else batch, **(info or {})})
+
+        done = self.versions.update(write)
+        self.versions.clean(self.keep)
+        return done
 
     def add(self, rejects: DataFrame, batch_id: int) -> None:
-        """Version batch_id + 1: the buffer before it with the new rejects."""
-        old = self.read(before=batch_id + 1)
-        rows = old.unionByName(rejects.select(*old.columns))
-        bounded(rows, self.most, self.policy, self.seq).write.mode("overwrite").parquet(f"{self.path}/v{batch_id + 1}")
-
-    def rescore(self, score: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
-        """Rows still rejected by `score` (adds `accepted`), and how many are not."""
-        found = score(self.read())
-        kept = found.where(~F.col("accepted"))
-        return kept, found.count() - kept.count()
+        """The buffer with the new rejects of a batch, unless it has them."""
+        latest = self.versions.latest()
+        if latest is None or latest.info.get("batch", -1) < batch_id:
+            self._replace(lambda old: old.unionByName(rejects.select(*old.columns)), batch_id)
+
+    def rescore(self, score: Callable[[DataFrame], DataFrame], version: int | None = None) -> tuple[DataFrame, int]:
+        """After a model has changed: rows that `score` (adds `accepted`) still
+        rejects become the buffer, capped, in one transaction; also how many
+        left it. `version` is the model's, kept in the commit record. Rows that a
+        stream adds meanwhile are scored too."""
+        sizes: dict[str, int] = {}
+
+        def still(old: DataFrame) -> DataFrame:
+            kept = cut(score(old).where(~F.col("accepted")).select(*old.columns))
+            sizes["left"] = old.count() - kept.count()
+            return kept
+
+        done = self._replace(still, None, {} if version is None else {"model": version})
+        return self.read(done), sizes["left"]
 
 
 def start(stream: DataFrame, score: Callable[[DataFrame], DataFrame], buffer: Buffer, checkpoint: str, **trigger) -> StreamingQuery:
