@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from lodestar.functions.vectors import squared_distance
 from lodestar.operators import admission, metrics, prototypes
 from lodestar.plans.catalog_vectors import BANK, CENTER, V, bank, bank_table, vectors
 from lodestar.plans.registry import query, table
-from lodestar.streaming import buffer
+from lodestar.streaming import buffer, keyed
 
 # --- gates and budgets ----------------------------------------------------
 
@@ -176,6 +177,45 @@ def windowed_reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buffer.windowed_rejects(events).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("reject_rate", 6).alias("reject_rate"))
 
 
+KEYED = """e AS (SELECT *, epoch_ms(ts) AS at FROM events), m AS (SELECT max(at) AS last FROM e WHERE value > 25),
+r AS (SELECT event_type, event_id, at, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM e WHERE value > 25)"""
+
+
+def _twice(spark: SparkSession, name: str, rows: DataFrame, seq: str, start) -> str:
+    """Run a keyed query over the earlier half of the rows, stop it, and start it
+    again from its checkpoint when the later half has come. Its checkpoint."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    middle = rows.agg(F.percentile_approx(seq, 0.5)).first()[0] or 0
+    for half in (F.col(seq) <= middle, F.col(seq) > middle):
+        rows.where(half).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        start(stream, f"{path}/checkpoint").awaitTermination()
+    return f"{path}/checkpoint"
+
+
+@query(f"""WITH {KEYED} SELECT event_type AS key, event_id AS seq FROM r, m WHERE r <= 50 AND at + 1000 * 86400 * 20 > last""")
+def unknown_buffer_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each type the last 50 rejects whose weight, halved every 10 days, is
+    over a quarter: keyed state, with a restart in the middle."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("value").cast("string").alias("body"), (F.col("value") <= 25).alias("accepted"))
+    rate = math.log(2) / (86400 * 10)
+    return keyed.buffered(spark, _twice(spark, "keyed", rows, "seq", lambda stream, at: keyed.buffer_rejects(stream, at, 50, rate, 0.25))).select("key", "seq")
+
+
+@query("""WITH i AS (SELECT event_type AS key, 'u' || user_id AS item_id, count(*) AS rows, min(event_id) AS seq, sum(value) > 1500 AS blocked FROM events GROUP BY event_type, user_id)
+SELECT key, item_id, rows, CASE WHEN blocked THEN 'blocked' ELSE 'pending' END AS status, CASE WHEN r <= 20 THEN 'hot' ELSE 'archived' END AS location
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY blocked, seq DESC) AS r FROM i)""")
+def pending_items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending items of each type as keyed state under a budget of 20 hot ones,
+    with a restart in the middle."""
+    e = table(spark, sf_dir, "events")
+    made = e.groupBy(F.col("event_type").alias("key"), "user_id").agg(F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("seq"), F.min("ts").cast("timestamp").alias("at"), (F.sum("value") > 1500).alias("blocked"))
+    rows = made.select("key", "seq", F.when(F.col("blocked"), "blocked").otherwise("cached").alias("event"), F.concat(F.lit("u"), "user_id").alias("item_id"), F.col("key").alias("label"), "rows", "at")
+    found = keyed.items(spark, _twice(spark, "pending", rows, "seq", lambda stream, at: keyed.pending_items(stream, at, 20)))
+    return found.select("key", "item_id", "rows", "status", "location")
+
+
 # --- metrics --------------------------------------------------------------
 
 PRED = """p AS (SELECT l_linenumber - 1 AS session_id, l_orderkey AS k, lower(l_returnflag || l_linestatus) AS t, (l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 10 AS m, l_discount * 10 + l_tax AS score, 0.55 AS threshold FROM lineitem),
