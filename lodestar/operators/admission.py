@@ -249,24 +249,113 @@ class Outlines:
         return [self.ids[others[i]] for i in order if d[i] <= radius + self.radii[others[i]] + most]
 
 
-def unit_conflicts(support: DataFrame, pairs: list[tuple[str, str]], most: float, vector: str = "phi") -> list[str]:
-    """Of pairs of units (own, other) the own ones that lie in the other's hull
-    or the other way round. Rows of a unit are a bundle of bounded size; pairs
-    meet in tasks, not on the driver."""
-    if not pairs:
-        return []
+#: Bytes of the bundles of one cell, and of all pivots.
+CELL_BYTES, PIVOT_BYTES = 1 << 25, 1 << 26
+
+
+def bundles(support: DataFrame, vector: str = "phi") -> DataFrame:
+    """unit_id, label, center, radius, rows and v (all vectors of a unit, one
+    after another): a row for each unit, whose rows are bounded."""
+    flat = support.select("unit_id", "label", F.col(vector).cast("array<double>").alias("v"))
+    made = flat.groupBy("unit_id", "label").agg(F.collect_list("v").alias("vs"))
+
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                v = matrix(batch.column(2)[at].values)
+                center = v.mean(0)
+                radius = float(np.linalg.norm(v - center, axis=1).max())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 1) for i in (0, 1)), pa.array([center.tolist()]), pa.array([radius]), pa.array([len(v)], pa.int32()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["unit_id", "label", "center", "radius", "rows", "v"])
+
+    return made.mapInArrow(outlined, "unit_id string, label string, center array<double>, radius double, rows int, v array<double>")
+
+
+def conflicting_classes(support: DataFrame, accepted: list[str], most: float, vector: str = "phi", cell_bytes: int = CELL_BYTES) -> list[str]:
+    """Accepted classes of which a unit lies in the affine hull of a unit of
+    another class, or the other way round (mean residual at most `most`).
+
+    A band join of balls: units are dealt to the cells of pivots, and a unit of
+    an accepted class is sent to the cells whose units its ball can meet, by the
+    distance to the pivot and how far the cell's balls reach. There units are
+    screened by centres and radii and those that meet are compared row by row.
+    A unit's rows travel once, and once for each cell it can meet; no pair is
+    listed, and the driver holds one number for each cell. Cells are bounded in
+    bytes, of units and of visitors."""
     spark = support.sparkSession
-    wanted = spark.createDataFrame(pairs, "own string, other string")
-    units = cut(support.join(F.broadcast(wanted.select(F.explode(F.array("own", "other")).alias("unit_id")).distinct()), "unit_id", "left_semi").groupBy("unit_id").agg(F.collect_list(vector).alias("v")))
-    side = lambda name: units.select(F.col("unit_id").alias(name), F.col("v").alias(f"{name}_v"))
-    met = wanted.join(side("own"), "own").join(side("other"), "other")
+    units = cut(bundles(support, vector))
+    size = units.agg(F.count(F.lit(1)), F.max(F.size("center")), F.sum(F.col("rows").cast("long") * F.size("center") * 8)).first()
+    if not size[0]:
+        return []
+    wanted = max(1, min(-(-size[2] // cell_bytes), PIVOT_BYTES // (8 * size[1])))
+    pivots = np.array([r["center"] for r in units.orderBy(F.xxhash64("unit_id"), "unit_id").limit(wanted).select("center").collect()])  # within PIVOT_BYTES
+    sent = spark.sparkContext.broadcast(pivots)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = [min(affine_residual(a, b), affine_residual(b, a)) <= most for a, b in ((np.stack(x), np.stack(y)) for x, y in zip(batch["own_v"], batch["other_v"], strict=True))]
-            yield batch.loc[bad, ["own"]]
+            d = np.sqrt(np.maximum(((matrix(batch.column(1))[:, None, :] - sent.value) ** 2).sum(2), 0)) if batch.num_rows else np.zeros((0, 1))
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell] + batch.column(2).to_numpy())], names=["unit_id", "cell", "far"])
+
+    cells = cut(units.select("unit_id", "center", "radius").mapInArrow(placed, "unit_id string, cell int, far double"))
+    reach = np.full(len(pivots), -np.inf)
+    for r in cells.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a number for each cell
+        reach[r["cell"]] = r["far"]
+    upper = spark.sparkContext.broadcast(reach)
 
-    return sorted(r["own"] for r in met.mapInPandas(judge, "own string").distinct().collect())
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1))
+            d = np.sqrt(((x[:, None, :] - sent.value) ** 2).sum(2)) if batch.num_rows else np.zeros((0, 1))
+            room = 1e-9 * (d + np.abs(upper.value, where=np.isfinite(upper.value), out=np.zeros(len(reach))))
+            i, cell = np.nonzero(d <= batch.column(2).to_numpy()[:, None] + upper.value + most + room)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(cell, pa.int32())], names=["unit_id", "cell"])
+
+    visits = units.where(F.col("label").isin(accepted)).select("unit_id", "center", "radius").mapInArrow(routed, "unit_id string, cell int")
+    width = 8 * size[1]
+    sized = visits.join(units.select("unit_id", (F.col("rows") * width).alias("bytes")), "unit_id")
+    slices = cut(sized.groupBy("cell").agg(F.ceil(F.sum("bytes") / cell_bytes).cast("int").alias("slices")))
+    asked = visits.join(F.broadcast(slices), "cell").select("unit_id", "cell", F.pmod(F.xxhash64("unit_id"), "slices").cast("int").alias("slice"), F.lit(True).alias("own"))
+    there = cells.join(F.broadcast(slices), "cell").select("unit_id", "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("own"))
+    met = asked.unionByName(there).join(units, "unit_id")
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(tasks, "cell", "slice").groupBy("cell", "slice").applyInArrow(_judged(most), "label string")
+    return sorted(r["label"] for r in found.distinct().collect())
+
+
+def _judged(most: float):
+    def run(group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        labels, centers = np.array(group.column("label").to_pylist(), object), matrix(group.column("center"))
+        radius = group.column("radius").to_numpy()
+        v, spans = group.column("v").combine_chunks(), {}
+
+        def rows(i: int) -> np.ndarray:
+            return v[i].values.to_numpy().reshape(-1, centers.shape[1])
+
+        def span(i: int) -> Hull:
+            if i not in spans:
+                spans[i] = hull(rows(i))
+            return spans[i]
+
+        def residual(i: int, j: int) -> float:
+            mean, basis = span(j)
+            away = rows(i) - mean
+            return float(np.linalg.norm(away - away @ basis.T @ basis, axis=1).mean())
+
+        out: set[str] = set()
+        others = np.flatnonzero(~own)
+        for i in np.flatnonzero(own).tolist():
+            if labels[i] in out:
+                continue
+            some = others[labels[others] != labels[i]]
+            d = np.linalg.norm(centers[some] - centers[i], axis=1)
+            for j in some[d <= radius[i] + radius[some] + most].tolist():
+                if min(residual(i, j), residual(j, i)) <= most:
+                    out.add(labels[i])
+                    break
+        return pa.table({"label": pa.array(sorted(out), pa.string())})
+
+    return run
 
 
 def over_budget(counts: dict[str, int], limits: dict[str, int]) -> list[str]:

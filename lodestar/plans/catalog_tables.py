@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import labels
+from lodestar.functions.session import shared_dir
 from lodestar.operators import metrics, preprocess, splits
 from lodestar.plans.registry import query, table
 from lodestar.sources import tables
@@ -220,3 +223,11 @@ def static_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("value").cast("string").alias("a"), F.when(F.col("event_id") % 5 == 0, "n/a").otherwise((F.col("event_id") % 5).cast("string")).alias("b"))
     r = metrics.static_aggregate(e, ["a", "b"], ["b"])
     return r.select("episode_count", F.round("mean_a", 4).alias("mean_a"), F.round("mean_b", 4).alias("mean_b"), F.round("sum_b", 2).alias("sum_b"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def csv_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV files in order and read back, numbered by file and place."""
+    path = f"{shared_dir(spark).rstrip('/')}/orders-{uuid.uuid4().hex}.csv"
+    table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")).orderBy("o_orderkey").write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, "o_orderkey long, o_totalprice double", row_id="row_id")

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.labels import UNKNOWN
-from lodestar.functions.session import cut
+from lodestar.functions.session import clustered, cut, scope
 from lodestar.functions.vectors import matrix, mean_vectors, vector_sums
-from lodestar.operators import admission, calibration, graph, maps, preprocess, prototypes, scoring
+from lodestar.operators import admission, calibration, graph, maps, metric, preprocess, prototypes, scoring
+from lodestar.operators.ledger import REBUILD, Ledger
 from lodestar.operators.maps import Map, Projection
 from lodestar.operators.preprocess import Fitted
 from lodestar.operators.prototypes import Bank
@@ -47,6 +48,8 @@ class Model:
     scales: prototypes.Scales | None = None
     background: tuple[np.ndarray, np.ndarray] | None = None
     archive: DataFrame | None = None
+    index: metric.Index | None = None
+    ledger: Ledger | None = None
 
     @property
     def classes(self) -> list[str]:
@@ -67,9 +70,13 @@ class Model:
         full = replace(bank, centers=bank.wide, rho=bank.wide_rho) if c.dual is not None else None
         return scoring.Rule(mode=c.mode, temperature=c.temperature, inner_temperature=inner, reciprocal_weight=c.reciprocal_weight, weibull=self.weibull, evm_threshold=c.evm_threshold, ghost_alpha=c.ghost_alpha, precision=precision, background=self.background, points=points, penalty=c.penalty, tie_break=c.tie_break, dual=c.dual, full=full)
 
-    def references(self) -> DataFrame:
-        """Support rows (seq, label, z) that votes are taken from."""
-        return project(self.support, self.projection.matrix).select("seq", "label", F.col("z").alias("x"))
+    def references(self) -> metric.Index:
+        """Support rows, indexed, that votes are taken from; made once for a
+        support and a projection."""
+        if self.index is None:
+            rows = project(self.support, self.projection.matrix).select("seq", "label", "z")
+            self.index = scoring.reference_index(rows, self.config.knn, "seq", "label", "z")
+        return self.index
 
 
 def featurise(df: DataFrame, fitted: Fitted, mapped: Map, keep: tuple[str, ...]) -> DataFrame:
@@ -89,6 +96,12 @@ def gamma_of(df: DataFrame, rule: float | str, seed: int) -> float:
     return maps.gamma_median(df, seed=seed) if name == "median" else maps.gamma_knn(df, int(k or 20), seed=seed)
 
 
+def by_class(support: DataFrame) -> DataFrame:
+    """Support as a table in order of class and unit, of which a refresh reads
+    the classes it touches."""
+    return clustered(support, ["label", "unit_id"], ["seq"])
+
+
 def build_support(phi: DataFrame, config: ModelConfig, now: float = 0.0) -> DataFrame:
     """Localise (row_id, label, phi) into units, settle residual rows, trim."""
     least = config.augment_below
@@ -127,18 +140,33 @@ def _augmented(phi: DataFrame, least: int, seed: int) -> DataFrame:
     return phi.join(small, "label", "left_semi").select("row_id", "label", "phi").groupBy("label").applyInPandas(draw, "row_id long, label string, phi array<double>")
 
 
-def projected(support: DataFrame, config: ModelConfig, former: Projection | None = None) -> Projection:
-    """The projection that the support's scatters give."""
+def ledger_of(support: DataFrame, config: ModelConfig) -> Ledger:
+    """Moments of all support, by the weights that the settings give."""
     weighted = prototypes.balanced_weights(support, power=config.balance_power) if config.balance_power else support
-    n, s1, s2 = prototypes.moments(weighted, "phi", "w")
-    if not n:
+    found = Ledger.of(weighted)
+    if found is None:
         raise ValueError("no support to fit on")
-    sums = [(r["n"], np.array(r["s1"])) for r in vector_sums(weighted, ["unit_id"], "phi", "w").toLocalIterator()]
-    total, within = prototypes.scatters(n, s1, s2, sums)
+    return found
+
+
+def ledger_after(model: Model, support: DataFrame, changed: list[str], config: ModelConfig) -> Ledger:
+    """Moments after the rows of some classes have changed: those of their former
+    and of their new rows are taken, no other row is read. Decay and balance
+    change every row's weight, so they need a full pass."""
+    former = model.ledger
+    if former is None or former.changes >= REBUILD or config.balance_power or config.decay:
+        return ledger_of(support, config)
+    own = F.col("label").isin(changed)
+    return former.changed(Ledger.of(model.support.where(own)), Ledger.of(support.where(own)))
+
+
+def projected(ledger: Ledger, config: ModelConfig, former: Projection | None = None) -> Projection:
+    """The projection that the support's scatters give."""
+    total, within = ledger.scatters()
     if config.projection == "pca":
         found = maps.pca(total, config.projection_width)
     elif config.projection == "random":
-        found = maps.random_projection(len(s1), config.projection_width, config.seed)
+        found = maps.random_projection(len(ledger.s1), config.projection_width, config.seed)
     else:
         found = maps.soft_null(total, within, config.projection_width, config.range_share, config.null_share, config.ridge)
     if former is not None and config.warm_start:
@@ -180,7 +208,7 @@ def bank_of(support: DataFrame, projection: Projection, config: ModelConfig, tau
         wide = Bank.of(prototypes.build(support, vector="phi", weight="w", q=config.radius_quantile))
         bank.wide, bank.wide_rho = wide.centers, np.maximum(wide.rho, found.rho_floor)
     if len(bank.ids) > config.bank_cap:
-        bank = prototypes.capped(bank, config.bank_cap)
+        bank = prototypes.capped(bank, config.bank_cap, support.sparkSession)
     behind = prototypes.background(z, "label", "z", "w") if config.mode == "relative_mahalanobis" else None
     return bank, found, behind
 
@@ -233,8 +261,10 @@ def calibration_scores(rows: DataFrame, bank: Bank, seq: str = "row_id", label:
 
 
 def vote_scores(model: Model, rows: DataFrame) -> DataFrame:
-    """The same for votes: the distance of each row's furthest neighbour."""
-    found = scoring.knn_vote(scoring.nearest_references(rows.withColumnRenamed("z", "x"), model.references(), model.config.knn, ref_key="seq"))
+    """The same for votes: the distance of each row's furthest neighbour. Rows
+    that are support (`own`, if there is such a column) do not vote for themselves."""
+    own = "own" if "own" in rows.columns else None
+    found = scoring.knn_vote(scoring.nearest_references(rows.withColumnRenamed("z", "x"), model.references(), model.config.knn, own=own))
     named = found.select(F.col("row_id").alias("seq"), F.col("label").alias("said"), "score").join(rows.select(F.col("row_id").alias("seq"), "label"), "seq")
     return named.select(F.when(F.col("said") == F.col("label"), "pos").otherwise("imp").alias("kind"), "label", F.lit(None).cast("string").alias("prototype_id"), "seq", "score")
 
@@ -269,12 +299,24 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     return replace(model, tau=float(tau), by_class=by_class, weibull=weibull, bank=bank, scales=found)
 
 
-def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, label: str = "label", key: str = "row_id", ignore: tuple[str, ...] = ()) -> Model:
+def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, label: str = "label", key: str = "row_id", ignore: tuple[str, ...] = (), numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> Model:
     """Fit on labelled training rows, calibrate on held-out ones; both have
-    `key` and `label`, all other columns but `ignore` are features."""
-    config = config or ModelConfig()
+    `key` and `label`, all other columns but `ignore` are features, numbers or
+    categories by their type unless they are named."""
+    with scope(train.sparkSession) as own:
+        model = _fit(train, held, config or ModelConfig(), label, key, ignore, numeric, categorical)
+        own.keep(*_frames(model))
+    return model
+
+
+def _frames(model: Model) -> list[DataFrame | None]:
+    """What a model reads later."""
+    return [model.support, model.held, model.archive, None if model.index is None else model.index.members]
+
+
+def _fit(train: DataFrame, held: DataFrame, config: ModelConfig, label: str, key: str, ignore: tuple[str, ...], numeric: tuple[str, ...], categorical: tuple[str, ...]) -> Model:
     features = train.drop(key, *ignore)
-    schema = preprocess.infer_schema(features, label)
+    schema = preprocess.infer_schema(features, label, numeric, categorical)
     fitted = preprocess.fit(features, schema, config.scaler)
     ids = (key, label)
     named = lambda df: df.withColumnsRenamed({key: "row_id", label: "label"}).withColumn("row_id", F.col("row_id").cast("long"))
@@ -292,11 +334,12 @@ def fit(train: DataFrame, held: DataFrame, config: ModelConfig | None = None, la
         mapped.after = _whitening(phi, "phi")
         phi = cut(maps.apply(phi, Map("identity", len(mapped.after), after=mapped.after), "phi", "p").drop("phi").withColumnRenamed("p", "phi"))
     mapped.before = before
-    support = cut(build_support(phi, config))
+    support = by_class(build_support(phi, config))
     check_budgets(support, config)
-    projection = projected(support, config)
+    ledger = ledger_of(support, config)
+    projection = projected(ledger, config)
     bank, found, behind = bank_of(support, projection, config, config.initial_tau)
-    model = Model(config, fitted, mapped, support, projection, bank, config.initial_tau, scales=found, background=behind)
+    model = Model(config, fitted, mapped, support, projection, bank, config.initial_tau, scales=found, background=behind, ledger=ledger)
     kept = cut(named(featurise(held, fitted, mapped, ids)))
     model = calibrated(model, cut(project(kept, projection.matrix).drop("phi")))
     model.held = cut(admission.trim(kept, ["label"], config.reservoir, "latest", "row_id"))
@@ -309,7 +352,7 @@ def rescored(model: Model, **changes) -> Model:
     scores and thresholds, calibrated on the rows that were kept for it."""
     c = model.config.with_(**changes)
     bank, found, behind = bank_of(model.support, model.projection, c, c.initial_tau, model.version)
-    out = replace(model, config=c, bank=bank, scales=found, background=behind)
+    out = replace(model, config=c, bank=bank, scales=found, background=behind, index=model.index if c.knn == model.config.knn else None)
     return calibrated(out, cut(project(model.held, model.projection.matrix).drop("phi")))
 
 
@@ -363,6 +406,37 @@ def predict(model: Model, df: DataFrame, key: str = "row_id", keep: tuple[str, .
     return found.withColumn("projection_version", F.lit(model.version))
 
 
+@dataclass(frozen=True)
+class Route:
+    """From aligned features to a member's projected vectors."""
+
+    map: Map
+    matrix: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.map(x) @ self.matrix
+
+
+def predict_members(models: list[Model], df: DataFrame, key: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`predict` of every model with `member`. Models of one preprocessor read
+    and prepare the rows once, and all score them as they pass; votes and the
+    blend of two spaces need passes of their own."""
+    together = all(m.config.mode != "knn" and m.config.dual is None and m.fitted == models[0].fitted for m in models)
+    if not together:
+        parts = [predict(m, df, key, keep).withColumn("member", F.lit(i)) for i, m in enumerate(models)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    members = []
+    for m in models:
+        ready(m)
+        rule = m.rule()
+        members.append(scoring.Member(Route(m.map, m.projection.matrix), m.bank, rule, scoring.thresholds(m.bank, rule, m.tau, m.by_class), m.version))
+    found = scoring.predict_members(preprocess.transform(df, models[0].fitted, (key, *keep)), members, key, "x", keep)
+    return found.withColumn("predicted_label", F.coalesce("predicted_label", F.lit(UNKNOWN)))
+
+
 def predict_one(model: Model, spark: SparkSession, sample: dict, label: str = "label") -> dict:
     """The prediction of one sample, a mapping of its features; its label, if it
     has one, is not looked at."""
@@ -481,8 +555,9 @@ def archive_class(model: Model, label: str) -> Model:
     moved = model.support.where(own)
     archived = cut(moved if model.archive is None else model.archive.where(~own).unionByName(moved))
     bank = model.bank.only([i for i, x in enumerate(model.bank.labels) if x != label])
-    by_class = {k: v for k, v in model.by_class.items() if k != label}
-    return replace(model, support=cut(model.support.where(~own)), archive=archived, bank=bank, by_class=by_class, log=[*model.log, {"label": label, "status": "archived", "version": model.version}])
+    thresholds = {k: v for k, v in model.by_class.items() if k != label}
+    ledger = None if model.ledger is None or model.config.balance_power else model.ledger.changed(Ledger.of(moved), None)
+    return replace(model, support=by_class(model.support.where(F.col("label").isNull() | ~own)), archive=archived, bank=bank, by_class=thresholds, index=None, ledger=ledger, log=[*model.log, {"label": label, "status": "archived", "version": model.version}])
 
 
 def retained(model: Model, labels: list[str], now: float) -> DataFrame:
@@ -510,6 +585,13 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
     """Consolidate labelled rows: touched classes are localised again from what
     they retain and what is new, conflicts are reviewed, the geometry and the
     thresholds are rebuilt from support, and the version goes up."""
+    with scope(df.sparkSession) as own:
+        out = _refresh(model, df, now, force, label, key)
+        own.keep(*_frames(out))
+    return out
+
+
+def _refresh(model: Model, df: DataFrame, now: float, force: tuple[str, ...], label: str, key: str) -> Model:
     c, spark = model.config, df.sparkSession
     new = cut(support_rows(model, df, label, key))
     touched = sorted(r["label"] for r in new.select("label").distinct().collect())
@@ -529,16 +611,17 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
         blocked_back = [x for x in touched if x not in accepted]
         if blocked_back:
             kept = kept.unionByName(kept_rows.where(F.col("label").isin(blocked_back)))
-        support = cut(kept)
+        support = by_class(kept)
         conflicts = _review(support, accepted, c, model.scales) - set(force)
         left = [x for x in accepted if x not in conflicts]
         if left == accepted or c.refresh == "single_pass" and blocked_back:
             break
         accepted = left
     check_budgets(support, c)
-    projection = projected(support, c, model.projection)
+    ledger = ledger_after(model, support, accepted, c)
+    projection = projected(ledger, c, model.projection)
     bank, found, behind = bank_of(support, projection, c, model.tau, model.version + 1)
-    out = replace(model, support=support, projection=projection, bank=bank, scales=found, background=behind, version=model.version + 1)
+    out = replace(model, support=support, projection=projection, bank=bank, scales=found, background=behind, version=model.version + 1, index=None, ledger=ledger)
     if c.refresh_allowance is not None and model.exemplars and len(model.exemplars[1]):
         before, after = (_exemplar_accuracy(m) for m in (model, out))
         if after < before - c.refresh_allowance:
@@ -547,25 +630,20 @@ def refresh(model: Model, df: DataFrame, now: float = 0.0, force: tuple[str, ...
     out.exemplars = _exemplars(support, c)
     if model.archive is not None:
         out.archive = cut(model.archive.where(~F.col("label").isin(out.classes)))
-    source = support.select(F.col("seq").alias("row_id"), "label", "phi")
+    source = support.select(F.col("seq").alias("row_id"), "label", "phi", F.lit(True).alias("own"))
     if c.refresh_calibration == "held" and model.held is not None:  # support only of classes that have no held rows
-        source = source.join(model.held.select("label").distinct(), "label", "left_anti").select("row_id", "label", "phi").unionByName(model.held.select("row_id", "label", "phi"))
+        source = source.join(model.held.select("label").distinct(), "label", "left_anti").select("row_id", "label", "phi", "own").unionByName(model.held.select("row_id", "label", "phi", F.lit(False).alias("own")))
     out = calibrated(out, cut(project(source, out.projection.matrix).drop("phi")))
     out.log = model.log + [{"label": x, "status": "consolidated" if x in accepted else "blocked", "version": out.version} for x in touched]
     return out
 
 
 def _review(support: DataFrame, accepted: list[str], config: ModelConfig, found: prototypes.Scales | None) -> set[str]:
-    """Accepted classes in affine conflict with any class: pairs of units are
-    screened by centres and radii, and only those whose radii meet are compared
-    row by row, in tasks."""
+    """Accepted classes in affine conflict with any class."""
     if not accepted or not config.local_affine:
         return set()
     most = found.eps_aff_global if found else config.affine_global
-    outlines = admission.Outlines.of(support)
-    label_of = dict(zip(outlines.ids, outlines.labels, strict=True))
-    pairs = [(u, other) for u, label, center, r in zip(outlines.ids, outlines.labels, outlines.centers, outlines.radii, strict=True) if label in accepted for other in outlines.near(center, float(r), label, most)]
-    return {label_of[u] for u in admission.unit_conflicts(support, pairs, most)}
+    return set(admission.conflicting_classes(support, accepted, most))
 
 
 def _exemplar_accuracy(model: Model) -> float:

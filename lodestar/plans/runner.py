@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import replace
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import metrics, prototypes, splits
 from lodestar.plans import model as models
-from lodestar.plans import state
+from lodestar.plans import presets, state
 from lodestar.plans.config import ABLATIONS, ExperimentConfig, ModelConfig, TinyConfig
 from lodestar.sources import tables
+from lodestar.sources.commits import Versions
+
+if TYPE_CHECKING:
+    from lodestar.sources.configs import RunConfig
 
 Progress = Callable[[str, dict], None]
 
@@ -96,21 +105,33 @@ def run_leave_one_out(train: DataFrame, held: DataFrame, test: DataFrame, config
 
 
 def fit_members(train: DataFrame, held: DataFrame, config: TinyConfig) -> list[models.Model]:
-    """One model, or members that differ in their seed."""
+    """One model, or members that differ in their seed, fitted side by side with
+    a scheduler pool for each."""
     m = config.experiment.model
-    return [models.fit(train, held, m.with_(seed=m.seed + i * config.seed_step)) for i in range(config.members)]
+    settings = [m.with_(seed=m.seed + i * config.seed_step) for i in range(config.members)]
+    return _side_by_side(train.sparkSession, [lambda c=c: models.fit(train, held, c) for c in settings])
+
+
+def _side_by_side(spark: SparkSession, jobs: list[Callable]) -> list:
+    """What all jobs return, run at once; the first error is raised."""
+    if len(jobs) == 1:
+        return [jobs[0]()]
+
+    def run(i: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"member-{i}")
+        return jobs[i]()
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(run), i) for i in range(len(jobs))]]
 
 
 def predict_members(members: list[models.Model], df: DataFrame, how: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Predictions of one model, or of all members together."""
+    """Predictions of one model, or of all members together from one scan."""
     if len(members) == 1:
         return models.predict(members[0], df, keep=keep)
-    rows = None
-    for i, m in enumerate(members):
-        part = models.predict(m, df).withColumn("member", F.lit(i))
-        rows = part if rows is None else rows.unionByName(part)
-    found = metrics.ensemble(models.cut(rows), "row_id", len(members), how)
-    return found.join(df.select("row_id", *keep), "row_id") if keep else found
+    rows = models.cut(models.predict_members(members, df, keep=keep))
+    found = metrics.ensemble(rows.drop(*keep), "row_id", len(members), how)
+    return found.join(rows.where("member = 0").select("row_id", *keep), "row_id") if keep else found
 
 
 def run_tiny(train: DataFrame, held: DataFrame, test: DataFrame, config: TinyConfig, folder: str | None = None, progress: Progress = _ignore) -> tuple[DataFrame, DataFrame, dict]:
@@ -139,11 +160,11 @@ def run_tiny(train: DataFrame, held: DataFrame, test: DataFrame, config: TinyCon
                 some = ranked.where(F.col("burst") == stage - 1).drop("rank", "burst")
                 changes, every = config.policy(promoted_at is not None)
                 members = [models.replace(m, config=m.config.with_(**changes)) for m in members]
-                members = [models.admit(m, some)[0] for m in members]
+                members = _side_by_side(spark, [lambda m=m: models.admit(m, some)[0] for m in members])
                 since += 1
                 if changes["refresh"] != "off" and since >= every:
                     seen = ranked.where(F.col("burst") < stage).drop("rank", "burst")
-                    members = [models.refresh(m, seen, now=float(stage), force=(novel,)) for m in members]
+                    members = _side_by_side(spark, [lambda m=m: models.refresh(m, seen, now=float(stage), force=(novel,)) for m in members])
                     since, refreshes, is_refresh = 0, refreshes + 1, True
                     if promoted_at is None and any(x == novel and s in (prototypes.STABLE, prototypes.FRAGILE) for m in members for x, s in zip(m.bank.labels, m.bank.status, strict=True)):
                         promoted_at = stage
@@ -184,58 +205,105 @@ def _known_accuracy(found: DataFrame, novel: str) -> float:
     return float(row[0] or 0.0)
 
 
-def run_sweep(cells: dict[str, tuple[DataFrame, DataFrame, DataFrame, ExperimentConfig]], folder: str, spark) -> DataFrame:
+CELL = "tag string, status string, seq long, os_hm double, error string"
+
+
+def sweep_log(spark: SparkSession, folder: str) -> DataFrame:
+    """All that a sweep has recorded, failures too: a row for each cell and try."""
+    rows = [(c.info["tag"], c.info["status"], c.version, c.info.get("os_hm"), c.info.get("error")) for c in Versions(spark, f"{folder}/log").history()]
+    return spark.createDataFrame(rows, CELL)
+
+
+def run_sweep(cells: dict[str, tuple[DataFrame, DataFrame, DataFrame, ExperimentConfig]], folder: str, spark: SparkSession, parallel: int = 2, limit: float | None = None, write: bool = False) -> DataFrame:
     """Every cell (tag -> splits and settings) that a former run of this folder
-    has not finished; results and failures are logged as they come, so a run
-    that was stopped goes on where it was."""
-    log, kind = f"{folder}/log", "tag string, status string, seq long, os_hm double, error string"
-    done = set()
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(log)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    seq = 0
-    if fs.exists(path):
-        events = tables.read_events(spark, log, kind)
-        done = {r["tag"] for r in tables.finished(events).select("tag").collect()}
-        seq = (events.agg(F.max("seq")).first()[0] or 0) + 1
-    for tag, (train, held, test, config) in cells.items():
-        if tag in done:
-            continue
+    has not finished, `parallel` at a time, each under a job tag and in a
+    scheduler pool of its own. Results and failures of any kind are committed
+    as they come, so a sweep that was stopped goes on where it was. A cell that
+    takes more than `limit` seconds is cancelled, as all are on an interrupt."""
+    log, context = Versions(spark, f"{folder}/log"), spark.sparkContext
+    done = {c.info["tag"] for c in log.history() if c.info["status"] == "ok"}
+    began: dict[str, float] = {}
+
+    def run(tag: str) -> None:
+        mark = f"lodestar-{re.sub(r'[^A-Za-z0-9_.-]', '-', tag)}"
+        began[mark] = time.monotonic()
+        context.addJobTag(mark)
+        context.setLocalProperty("spark.scheduler.pool", mark)
+        try:
+            _, scored = run_sessions(*cells[tag], folder=f"{folder}/cells/{tag}" if write else None)
+            told = {"status": "ok", "os_hm": metrics.run_metrics(scored).first()["os_hm"]}
+        except Exception as error:  # a cell's failure is a row, whatever it is
+            late = limit is not None and time.monotonic() - began[mark] > limit
+            told = {"status": "cancelled" if late else "failed", "error": f"{type(error).__name__}: {error}"[:500]}
+        finally:
+            del began[mark]
+            context.removeJobTag(mark)
+            context.setLocalProperty("spark.scheduler.pool", None)
+        log.record({"tag": tag, **told})
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        waiting = {pool.submit(inheritable_thread_target(run), tag) for tag in cells if tag not in done}
         try:
-            _, scored = run_sessions(train, held, test, config)
-            told = {"tag": tag, "status": "ok", "os_hm": metrics.run_metrics(scored).first()["os_hm"]}
-        except (ValueError, KeyError) as error:
-            told = {"tag": tag, "status": "failed", "error": str(error)[:200]}
-        tables.append_event(spark, log, "cell", {**told, "seq": seq})
-        seq += 1
-    return tables.finished(tables.read_events(spark, log, kind))
+            while waiting:
+                ended, waiting = wait(waiting, timeout=1.0 if limit is not None else None, return_when=FIRST_COMPLETED)
+                for f in ended:
+                    f.result()
+                for mark, start in list(began.items()):
+                    if limit is not None and time.monotonic() - start > limit:
+                        context.cancelJobsWithTag(mark)
+        except BaseException:
+            for f in waiting:
+                f.cancel()
+            for mark in list(began):
+                context.cancelJobsWithTag(mark)
+            raise
+    return tables.finished(sweep_log(spark, folder))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """Over the finished seeds of each name and arm (tags `name/arm/seed`): how
+    many, mean and standard deviation of the run's score."""
+    parts = F.split("tag", "/")
+    return found.withColumns({"name": parts[0], "arm": parts[1]}).groupBy("name", "arm").agg(F.count(F.lit(1)).alias("seeds"), F.avg("os_hm").alias("mean"), F.coalesce(F.stddev_samp("os_hm"), F.lit(0.0)).alias("sd")).orderBy("name", "arm")
+
+
+def arm_of(run: RunConfig, arm: str, seed: int) -> ExperimentConfig:
+    """The settings of an arm for a seed of the protocol: the file's own, the one
+    published for all data sets, or the one tuned for the set of this name."""
+    if arm == "own":
+        return replace(run.experiment, class_seed=seed)
+    return presets.fixed(seed) if arm == "fixed" else presets.tuned(run.name, seed)
 
 
 def main(argv: list[str] | None = None) -> None:
-    """`python -m lodestar.plans.runner RUN.json [--seeds 42,43]`: the sessions of
-    a run file, for its own seed or for several."""
+    """`python -m lodestar.plans.runner RUN.json [--arms own,fixed,tuned]
+    [--seeds 42,43] [--parallel 2]`: the sessions of a run file for each arm and
+    seed, and a summary over the seeds. Columns are read by the file's `data`
+    section; rows are numbered in file order unless they have a `row_id`."""
     import argparse
 
-    from pyspark.sql import SparkSession
-
     from lodestar.sources.configs import load_run
-    from lodestar.sources.tables import Manifest
 
     given = argparse.ArgumentParser(prog="lodestar")
     given.add_argument("run")
+    given.add_argument("--arms", default="own")
     given.add_argument("--seeds", default="")
+    given.add_argument("--parallel", type=int, default=2)
     args = given.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     run = load_run(spark, args.run)
     if not run.manifest or not run.output:
         raise ValueError("a run names its manifest and its output")
-    manifest = Manifest.load(spark, run.manifest)
-    parts = [manifest.read(spark, name) for name in ("train", "calibration", "test")]
-    parts = [p if "row_id" in p.columns else p.withColumn("row_id", F.monotonically_increasing_id()) for p in parts]
-    parts = [models.cut(p) for p in parts]
+    if wrong := sorted(set(args.arms.split(",")) - {"own", "fixed", "tuned"}):
+        raise ValueError(f"no such arms: {wrong}")
+    parts = tables.Manifest.load(spark, run.manifest).read_all(spark, run.data, row_id="row_id")
+    splits_ = tuple(models.cut(parts[n]) for n in tables.SPLITS)
     seeds = [int(x) for x in args.seeds.split(",") if x] or [run.experiment.class_seed]
-    cells = {f"{run.name}-{seed}": (*parts, replace(run.experiment, class_seed=seed)) for seed in seeds}
-    run_sweep(cells, run.output, spark).show(truncate=False)
+    cells = {f"{run.name}/{arm}/{seed}": (*splits_, arm_of(run, arm, seed)) for arm in args.arms.split(",") for seed in seeds}
+    found = run_sweep(cells, run.output, spark, args.parallel, write=True)
+    told = summary(found.where(F.col("tag").isin(*cells)))
+    told.write.mode("overwrite").parquet(f"{run.output}/summary")
+    told.show(truncate=False)
 
 
 def run_ablation(train: DataFrame, held: DataFrame, test: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -246,8 +314,8 @@ def run_ablation(train: DataFrame, held: DataFrame, test: DataFrame, config: Exp
             model: ModelConfig = config.model.with_(**changes)
             _, scored = run_sessions(train, held, test, replace(config, model=model))
             rows.append((arm, "ok", metrics.run_metrics(scored).first()["os_hm"]))
-        except (ValueError, KeyError) as error:
-            rows.append((arm, str(error)[:200], None))
+        except Exception as error:  # an arm's failure is a row
+            rows.append((arm, f"{type(error).__name__}: {error}"[:200], None))
     return spark.createDataFrame(rows, "arm string, status string, os_hm double")
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, fields
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.functions.labels import LABEL_CANDIDATES
 from lodestar.plans.config import ExperimentConfig, ModelConfig
@@ -55,10 +56,27 @@ class DataConfig:
         return tuple(unique([self.label, *self.aliases, *LABEL_CANDIDATES]))
 
     def read(self, df: DataFrame) -> DataFrame:
+        """The label found and normalised, unwanted columns dropped."""
         from lodestar.sources.tables import labelled
 
         return labelled(df, self.candidates, self.drop)
 
+    def numbers(self, df: DataFrame) -> list[str]:
+        """The text columns that are numbers: those named so, and those all of
+        whose values are, unless they are named categorical."""
+        from lodestar.sources.tables import number_columns
+
+        missing = sorted((set(self.numeric) | set(self.categorical)) - set(df.columns))
+        if missing:
+            raise KeyError(f"no such columns: {missing}")
+        return sorted((set(number_columns(df)) | set(self.numeric)) - set(self.categorical))
+
+    def typed(self, df: DataFrame, numbers: list[str]) -> DataFrame:
+        """Columns as numbers and categories, so that their types say what they are."""
+        from lodestar.sources.tables import as_numbers
+
+        return as_numbers(df, numbers).withColumns({c: F.col(f"`{c}`").cast("string") for c in self.categorical if c in df.columns})
+
 
 @dataclass(frozen=True)
 class RunConfig:

@@ -5,21 +5,51 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.labels import LABEL_CANDIDATES, clean_headers, label_column, normalized
+from lodestar.functions.session import cut
+from lodestar.operators.running import running
+
+if TYPE_CHECKING:
+    from lodestar.sources.configs import DataConfig
 
 SPLITS = ("train", "calibration", "test")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, row_id: str | None = None, bad: str | None = None) -> DataFrame:
     """A CSV with header, its names cleaned of byte-order mark and blanks.
-    Without a schema all columns are text."""
+    Without a schema all columns are text. With `row_id`, rows are numbered in
+    order of file and place; with `bad`, that column has the whole line of a
+    row that does not fit the header or the schema, and null in all others."""
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
-    return clean_headers(reader.schema(schema).csv(path) if schema else reader.csv(path))
+    if bad:
+        kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema) if schema else reader.csv(path).schema
+        schema = T.StructType([*kind.fields, T.StructField(bad, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True)
+    rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
+    return in_file_order(rows, row_id) if row_id else clean_headers(rows)
+
+
+def in_file_order(rows: DataFrame, row_id: str) -> DataFrame:
+    """The rows of a file scan with their number in order of file name and place
+    in the file, from 0, however the files are split and packed into tasks.
+
+    A task reads a split from its start to its end, so within a split Spark's
+    rising ids are in file order; splits are told by file and offset. The rows
+    are materialised once, counted by split, and each split starts where those
+    before it end. Only counts of splits are ordered, no row is."""
+    at = rows.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"), "*")
+    named = clean_headers(at).withColumn("_place", F.monotonically_increasing_id())
+    placed = cut(named)
+    splits = placed.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_least"))
+    before = running(splits, [], [F.col("_split")], {"_upto": F.col("_n")})
+    first = before.select(F.col("_split").alias("_own"), (F.col("_upto") - F.col("_n") - F.col("_least")).alias("_shift"))
+    return placed.join(first, F.col("_split") == F.col("_own")).withColumn(row_id, F.col("_place") + F.col("_shift")).select(row_id, *(c for c in named.columns if not c.startswith("_split") and c != "_place"))
 
 
 def labelled(df: DataFrame, candidates: tuple[str, ...] = LABEL_CANDIDATES, drop: tuple[str, ...] = (), numbers: bool = False) -> DataFrame:
@@ -28,12 +58,21 @@ def labelled(df: DataFrame, candidates: tuple[str, ...] = LABEL_CANDIDATES, drop
     found = label_column(df.columns, candidates)
     out = df.withColumnRenamed(found, "label").drop(*(c for c in drop if c in df.columns))
     out = out.withColumn("label", normalized(F.col("label")))
-    if numbers:
-        text = [f.name for f in out.schema.fields if f.name != "label" and isinstance(f.dataType, T.StringType)]
-        if text:
-            bad = out.agg(*(F.sum((F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).cast("long")).alias(str(i)) for i, c in enumerate(text))).first()
-            out = out.withColumns({c: F.col(f"`{c}`").try_cast("double") for i, c in enumerate(text) if not bad[i]})
-    return out
+    return as_numbers(out, number_columns(out)) if numbers else out
+
+
+def number_columns(df: DataFrame, label: str = "label") -> list[str]:
+    """Text columns all of whose values are numbers."""
+    text = [f.name for f in df.schema.fields if f.name != label and isinstance(f.dataType, T.StringType)]
+    if not text:
+        return []
+    bad = df.agg(*(F.sum((F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).cast("long")).alias(str(i)) for i, c in enumerate(text))).first()
+    return [c for i, c in enumerate(text) if not bad[i]]
+
+
+def as_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the columns that are there as doubles; what is no number is null."""
+    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in columns if c in df.columns})
 
 
 def profile(df: DataFrame, label: str = "label") -> DataFrame:
@@ -62,9 +101,30 @@ class Manifest:
         where = lambda p: p if "://" in p or p.startswith("/") else f"{home}/{p}"
         return cls(given["name"], {k: where(v) for k, v in given["splits"].items()}, given.get("episode_split", "test"))
 
-    def read(self, spark: SparkSession, split: str) -> DataFrame:
+    def scan(self, spark: SparkSession, split: str, row_id: str | None = None) -> DataFrame:
+        """A split as it is stored: CSV as text, in file order if `row_id` is
+        named and the file does not have it, or Parquet."""
         path = self.splits[split]
-        return labelled(read_csv(spark, path)) if path.endswith(".csv") else spark.read.parquet(path)
+        if path.rstrip("/").endswith(".csv"):
+            rows = read_csv(spark, path)
+            return rows if row_id is None or row_id in rows.columns else read_csv(spark, path, row_id=row_id)
+        rows = spark.read.parquet(path)
+        return rows if row_id is None or row_id in rows.columns else in_file_order(rows, row_id)
+
+    def read(self, spark: SparkSession, split: str, data: DataConfig | None = None, first: str = "train") -> DataFrame:
+        """A split with its label and typed columns. Which text columns are
+        numbers is decided on the split `first`, so all splits agree."""
+        return self.read_all(spark, data, (split,), first)[split]
+
+    def read_all(self, spark: SparkSession, data: DataConfig | None = None, names: tuple[str, ...] = SPLITS, first: str = "train", row_id: str | None = None) -> dict[str, DataFrame]:
+        from lodestar.sources.configs import DataConfig
+
+        data = data or DataConfig()
+        first = first if first in self.splits else names[0]
+        parts = {n: data.read(self.scan(spark, n, row_id)) for n in dict.fromkeys((first, *names))}
+        numbers = data.numbers(parts[first].drop(*([row_id] if row_id else [])))
+        typed = {n: data.typed(parts[n], numbers) for n in names}
+        return {n: p.withColumn(row_id, F.col(row_id).cast("long")) if row_id else p for n, p in typed.items()}
 
 
 def write_splits(df: DataFrame, folder: str, split: str = "split", fmt: str = "parquet") -> None:

@@ -102,7 +102,7 @@ def test_records_of_a_state(fitted):
     assert one["known_labels"] == ["c00", "c01", "c02"] and both["tau"] == pytest.approx(model.tau + 1) and both["projection_version"] == 3
     meta = state.metadata(model)
     assert meta["members"][0]["thresholds"]["tau_sep"] == pytest.approx(1.1 * model.tau) and json.dumps(meta)
-    assert state.plain({"a": np.float32(1.5), "p": Path("x/y"), "t": (1, np.array([2])), "s": {"b", "a"}, "n": float("nan")}) == {"a": 1.5, "p": "x/y", "t": [1, [2]], "s": ["a", "b"], "n": {"number": "nan"}}
+    assert state.plain({"a": np.float32(1.5), "p": Path("x/y"), "t": (1, np.array([2])), "s": {"b", "a"}, "n": float("nan")}) == {"a": 1.5, "p": "x/y", "t": [1, [2]], "s": ["a", "b"], "n": [state.NUMBER, "nan"]}
 
 
 def test_ensembles_agree_with_a_plain_count(spark):
@@ -141,15 +141,20 @@ def test_runs_from_files_sweep_and_go_on(spark, tmp_path):
     for name, df in (("train", train), ("calibration", held), ("test", test)):
         df.write.parquet(f"file://{tmp_path}/{name}")
     (tmp_path / "m.json").write_text(json.dumps({"name": "x", "splits": {n: n for n in ("train", "calibration", "test")}}))
-    given = {"name": "A b!", "manifest": "m.json", "output": "out", "experiment": {"base_ratio": 0.7, "model": {"scaler": "standard", "map_kind": "identity", "scale_mode": "absolute", "projection": "pca", "projection_width": 4, "penalty": ["log", 0.2]}}, "data": {"aliases": ["y", "y", "z"]}}
+    given = {"name": "A b!", "manifest": "m.json", "output": "out", "experiment": {"base_ratio": 0.7, "model": {"scaler": "standard", "map_kind": "identity", "scale_mode": "absolute", "projection": "pca", "projection_width": 4, "penalty": ["log", 0.2]}}, "data": {"aliases": ["y", "y", "z"], "numeric": ["f0"]}}
     (tmp_path / "run.json").write_text(json.dumps(given, indent=1))
     run = configs.load_run(spark, f"file://{tmp_path}/run.json")
     assert run.experiment.model.penalty == ("log", 0.2) and run.data.aliases == ("y", "z") and run.data.candidates[:3] == ("label", "y", "z")
+    out = f"file://{tmp_path}/out"
     runner.main([f"file://{tmp_path}/run.json", "--seeds", "42"])
-    log = f"file://{tmp_path}/out/log"
-    assert spark.read.text(log).count() == 1
-    done = runner.run_sweep({"A b!-42": (train, held, test, run.experiment), "bad": (train, held.where("false"), test, run.experiment)}, f"file://{tmp_path}/out", spark)
-    assert [r["tag"] for r in done.collect()] == ["A b!-42"] and spark.read.text(log).count() == 2
+    assert runner.sweep_log(spark, out).count() == 1
+    broken = train.withColumn("f0", F.raise_error(F.lit("no such disk")).cast("double"))
+    cells = {"A b!/own/42": (train, held, test, run.experiment), "bad": (train, held.where("false"), test, run.experiment), "broken": (broken, held, test, run.experiment)}
+    done = runner.run_sweep(cells, out, spark)
+    assert [r["tag"] for r in done.collect()] == ["A b!/own/42"]
+    told = {r["tag"]: (r["status"], r["error"]) for r in runner.sweep_log(spark, out).collect()}
+    assert told["bad"][0] == told["broken"][0] == "failed" and "no such disk" in told["broken"][1] and len(told) == 3
+    assert runner.summary(done).first()["seeds"] == 1 and spark.read.parquet(f"{out}/summary").count() == 1
     (tmp_path / "bad.json").write_text(json.dumps({"name": "x", "experiment": {"model": {"no": 1}}}))
     with pytest.raises(ValueError, match="has no"):
         configs.load_run(spark, f"file://{tmp_path}/bad.json")
