@@ -32,12 +32,22 @@ LEAST = 100
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = "\r\n"
+#: What some readers take for the end of a line, and all other controls.
+BREAKS = r"[\x00-\x1F\x7F-\x9F\u2028\u2029]"
 
 
 def _record_id(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
 
 
+def _one_line(url: Column) -> Column:
+    """The address with controls and line separators percent-encoded, so that no
+    reader takes part of it for another field."""
+    coded = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    each = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(BREAKS), coded(c)).otherwise(c))
+    return F.when(url.rlike(BREAKS), F.array_join(each, "")).otherwise(url)
+
+
 def _header(date: str) -> Column:
     """The exact header block of a record, its blank line included."""
     revisit = F.col("record_type") == "revisit"
@@ -47,7 +57,7 @@ def _header(date: str) -> Column:
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")),
+        line("WARC-Target-URI", _one_line(F.coalesce(F.col("url"), F.lit("")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
@@ -89,8 +99,9 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field(header: Column, name: str) -> Column:
-    """A field's value in a header block, null if the record has none."""
-    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
+    """A field's value in a header block, whose lines end in CR LF and nothing
+    else; null if the record has none."""
+    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"(?dm)^{name}: ([^\r\n]*)\r$", 1)
     return F.when(found != "", found)
 
 

@@ -62,3 +62,14 @@ def test_payloads_of_one_digest_are_compared(spark, pages, tmp_path, monkeypatch
     monkeypatch.setattr(warc.F, "sha2", lambda *_: F.lit("same"))
     with pytest.raises(Exception, match="different payloads"):
         warc.write_archive(pages, f"file://{tmp_path}/w")
+
+
+def test_addresses_cannot_pass_for_fields(spark):
+    fields = ["WARC-Payload-Digest: sha256:00", "WARC-Type: revisit", "Content-Length: 1", "WARC-Refers-To: <urn:page:9>", "WARC-Record-ID: x", "WARC-Date: y"]
+    breaks = ["\u2028", "\u2029", "\u0085", "\r", "\n", "\r\n", "\x0b", "\x0c", "\x1c"]
+    rows = [(i, f"http://a/é𝛼{b}{f}", f"<p>{i}</p>" * 30) for i, (b, f) in enumerate((b, f) for b in breaks for f in fields)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc.read_archive(spark, warc.write_archive(df))
+    assert {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.listing(records).collect()} == {(i, "response", None, len(h)) for i, _, h in rows}
+    heads = [bytes(r["header"]).decode() for r in records.collect()]
+    assert all(len(h.splitlines()) == len(h.split("\r\n")) - 1 for h in heads) and any("é𝛼%E2%80%A8WARC-Type" in h for h in heads)
