@@ -165,7 +165,8 @@ def features(text: str, name: str, start: int, end: int) -> list[float]:
     words = [w.lower() for w in WORDS_BEFORE.findall(before)[-4:]]
     counts = {c: span.count(c) for c in "@.:-() +/="}
     hexes = sum(c in HEX for c in span)
-    values = np.array([span.count(c) for c in set(span)], float) / max(1, len(span))
+    values = np.array([span.count(c) for c in sorted(set(span))], float)  # in an order that no process changes
+    values = values / max(1, len(span))
     head, next_one = before[-1:], after[:1]
     return [
         len(span), len(digits), letters, len(groups), max(groups), min(groups), groups[0], groups[-1],

@@ -139,3 +139,17 @@ def test_isotonic_calibration_rises():
     y = (rng.random(500) < 1 / (1 + np.exp(-2 * m))).astype(float)
     p = boosting.Calibrated(m, y)(np.sort(m))
     assert (np.diff(p) >= 0).all() and 0 <= p[0] <= p[-1] <= 1
+
+
+def test_every_process_learns_the_same(tmp_path):
+    """Three processes with hash seeds of their own set the same thresholds."""
+    import os
+    import subprocess
+    import sys
+
+    code = "from lodestar.llm import pii; m = pii.judge(); print(sorted(m.least.items()))"
+    said = set()
+    for seed in ("0", "1", "77"):
+        run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, timeout=300)
+        said.add(run.stdout.strip())
+    assert len(said) == 1 and said != {""}
