@@ -177,8 +177,8 @@ def windowed_reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buffer.windowed_rejects(events).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("reject_rate", 6).alias("reject_rate"))
 
 
-KEYED = """e AS (SELECT *, epoch_ms(ts) AS at FROM events), m AS (SELECT max(at) AS last FROM e WHERE value > 25),
-r AS (SELECT event_type, event_id, at, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM e WHERE value > 25)"""
+KEYED = """e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE value > 25), m AS (SELECT max(ms) AS newest FROM e),
+b AS (SELECT event_type, event_id, ms, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS place FROM e)"""
 
 
 def _twice(spark: SparkSession, name: str, rows: DataFrame, seq: str, start) -> str:
@@ -193,7 +193,7 @@ def _twice(spark: SparkSession, name: str, rows: DataFrame, seq: str, start) ->
     return f"{path}/checkpoint"
 
 
-@query(f"""WITH {KEYED} SELECT event_type AS key, event_id AS seq FROM r, m WHERE r <= 50 AND at + 1000 * 86400 * 20 > last""")
+@query(f"""WITH {KEYED} SELECT event_type AS key, event_id AS seq FROM b, m WHERE place <= 50 AND ms + 1728000000 > newest""")
 def unknown_buffer_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each type the last 50 rejects whose weight, halved every 10 days, is
     over a quarter: keyed state, with a restart in the middle."""

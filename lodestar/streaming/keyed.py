@@ -181,7 +181,7 @@ def buffer_rejects(stream: DataFrame, checkpoint: str, most: int, rate: float =
     """Keep rejected rows (key, seq long, at timestamp, body string, accepted).
     Rows that repeat a seq of the key's buffer change nothing."""
     age = decay_age(rate, drop_below)
-    rows = stream.withWatermark("at", late).where(~F.col("accepted")).select("key", "seq", "at", "body")
+    rows = stream.where(~F.col("accepted")).select("key", "seq", "at", "body").withWatermark("at", late)
     first = None if initial is None else initial.select("key", "seq", "at", "body").groupBy("key")
     found = rows.groupBy("key").transformWithStateInPandas(Buffered(most, None if age is None else int(age * 1000)), "key string, held long, seen long", "Update", "EventTime", initialState=first)
     return _started(found, checkpoint, sink, trigger)
