@@ -17,11 +17,15 @@ errors of the limit are settled by the shingle sets of the texts themselves.
 
 Only distinct shingle sets are sent. Of what is at an anchor leaders are held: a
 row links to all leaders before it that it is near, and leads if there is none.
-Every batch does so before the exchange and sends its leaders and spanning links
-alone, so a dense group of any size crowds no anchor and does not yield all its
-pairs. A link
-between two rows that leaders cover is found only in bands where one of them
-leads, or through their leaders.
+Every batch does so before the exchange, on whole fingerprints and by sure links
+only, and sends its leaders and spanning links alone, so a dense group of any
+size crowds no anchor and does not yield all its pairs. At an anchor the check
+decides who meets. Where a meeting turns out not to be sure, as among the pages
+of one template, a leader has covered rows that are not like it; so all rows of
+such an anchor meet once more with their whole fingerprints, and there again
+only sure links cover. What travels twice is linear in the rows of such anchors.
+A link between a row that a sure link covers and a row that its leader is not
+near is found only in bands where the former leads.
 
 Defined cases: null texts count as empty; texts without words have equal sets and
 are near copies of each other; fewer words than five are one shingle; texts of
@@ -155,15 +159,16 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(new[several].tolist(), ends[several].tolist(), strict=True)
 
 
-def _led(prints: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, int, np.ndarray]]]:
-    """Which rows no leader covers, and for each leader the rows near it with the differing bits."""
+def _led(prints: np.ndarray, most: int, cover: int) -> tuple[np.ndarray, list[tuple[np.ndarray, int, np.ndarray]]]:
+    """Which rows no leader covers, and for each leader the rows near it with the
+    differing bits; those of at most `cover` bits it covers."""
     free, found = np.ones(len(prints), bool), []
     for i in range(len(prints) - 1):
         if free[i]:
             bits = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(1, dtype=np.int64)
             near = np.flatnonzero(bits <= most)
             if len(near):
-                free[near + i + 1] = False
+                free[near[bits[near] <= cover] + i + 1] = False
                 found.append((near + i + 1, i, bits[near]))
     return free, found
 
@@ -186,7 +191,7 @@ def _sent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, a, b: a set and its check at each anchor that it leads in its batch;
     a link between sets under a negative key, odd if it is sure. Of the sure ones
     those that span their groups are sent."""
-    most, sure = limit(SIMILARITY, 2), limit(SIMILARITY, -4)
+    most, sure = limit(SIMILARITY, 4), limit(SIMILARITY, -4)
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -197,7 +202,7 @@ def _sent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in _runs(keys[order]):
             cells = order[start:end]
             members = cells // BANDS
-            free, found = _led(words[members], most)
+            free, found = _led(words[members], most, sure)
             leads[cells[~free]] = False
             links += [np.stack([members[near], np.full(len(near), members[i]), bits], 1) for near, i, bits in found]
         at = np.flatnonzero(leads)
@@ -211,29 +216,60 @@ def _sent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b"])
 
 
+SURE, UNSURE, MEMBER = range(3)
+
+
 def _met(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the rows that meet at an anchor; leaders of a batch's last anchor pass to the next batch."""
-    carried = tuple(np.zeros(0, np.int64) for _ in range(3))
+    """Links of the rows that meet at an anchor: kind, key, src, dst; of anchors
+    with meetings every row as a member. Leaders of a batch's last anchor pass to
+    the next batch."""
+    carried, touched = tuple(np.zeros(0, np.int64) for _ in range(3)), None
     for batch in rows:
         if not batch.num_rows:
             continue
         given = [batch.column(i).to_numpy() for i in range(3)]
         linked = given[0] < 0
-        src, dst = [given[1][linked]], [given[2][linked]]
         sure = (given[0][linked] & 1).astype(bool)
+        out = [(np.where(sure, SURE, UNSURE), given[0][linked], given[1][linked], given[2][linked])]
         key, name, check = (np.concatenate([c, g[~linked]]) for c, g in zip(carried, given, strict=True))
         free = np.ones(len(key), bool)
         prints = check.view(np.uint64)[:, None]
+        met = key[:0]
         for start, end in _runs(key):
-            free[start:end], found = _led(prints[start:end], MEET)
+            free[start:end], found = _led(prints[start:end], MEET, MEET)
             for near, i, _ in found:
-                src.append(name[start + near])
-                dst.append(np.full(len(near), name[start + i]))
+                out.append((np.full(len(near), UNSURE), key[start + near], name[start + near], np.full(len(near), name[start + i])))
+            if found:
+                met = np.append(met, key[start])
+        if touched is not None:
+            met = np.append(met, touched)
+        some = np.isin(key, met)
+        out.append((np.full(some.sum(), MEMBER), key[some], name[some], name[some]))
         last = free & (key == key[-1]) if len(key) else free
+        touched = key[-1] if len(key) and key[-1] in met else None if len(key) else touched
         carried = (key[last], name[last], check[last])
-        src, dst = np.concatenate(src), np.concatenate(dst)
-        sure = np.concatenate([sure, np.zeros(len(src) - len(sure), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sure)], names=["src", "dst", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["kind", "key", "src", "dst"])
+
+
+def _again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links by whole fingerprints of the rows of each anchor (key, set, words);
+    only sure ones cover."""
+    most, sure = limit(SIMILARITY, 4), limit(SIMILARITY, -4)
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS + CHECK), np.uint32))
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        given = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _words_of(batch.column(2)))
+        key, name, words = (np.concatenate([h, g]) for h, g in zip(held, given, strict=True))
+        free = np.ones(len(key), bool)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for start, end in _runs(key):
+            free[start:end], found = _led(words[start:end], most, sure)
+            out += [(name[start + near], np.full(len(near), name[start + i]), bits) for near, i, bits in found]
+        last = free & (key == key[-1])
+        held = (key[last], name[last], words[last])
+        src, dst, bits = (np.concatenate(c) for c in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(bits.astype(np.int32))], names=["src", "dst", "bits"])
 
 
 def _differing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +299,17 @@ def links(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str
     """src, dst: sets of shingles whose similarity is `SIMILARITY` or more."""
     nodes = cut(rows.groupBy("set").agg(F.first("words").alias("words")))
     sent = nodes.mapInArrow(_sent, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
-    met = sent.mapInArrow(_met, "src long, dst long, sure boolean")
-    met = cut(met.groupBy(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).agg(F.max("sure").alias("sure")))
-    unsure = _both(met.where("NOT sure"), nodes, "words").mapInArrow(_differing, "src long, dst long, bits int")
-    compared = cut(unsure.where(F.col("bits") <= limit(SIMILARITY, 4)))
+    met = cut(sent.mapInArrow(_met, "kind long, key long, src long, dst long").distinct())
+    pair = lambda one, two: (F.greatest(one, two).alias("src"), F.least(one, two).alias("dst"))
+    named = met.select("kind", "key", *pair("src", "dst"))
+    linked = named.where(F.col("kind") != MEMBER).groupBy("src", "dst").agg((F.min("kind") == SURE).alias("sure"))
+    unsure = cut(_both(linked.where("NOT sure"), nodes, "words").mapInArrow(_differing, "src long, dst long, bits int"))
     sure = F.col("bits") <= limit(SIMILARITY, -4)
+    open_ = named.where((F.col("kind") == UNSURE) & (F.col("key") >= 0)).join(unsure.where(~sure), ["src", "dst"]).select("key").distinct()
+    members = met.where(F.col("kind") == MEMBER).join(open_, "key", "left_semi").select("key", F.col("src").alias("set"))
+    whole = members.join(nodes, "set").select("key", "set", "words").repartition("key").sortWithinPartitions("key", "set")
+    again = whole.mapInArrow(_again, "src long, dst long, bits int").select(*pair("src", "dst"), "bits")
+    compared = cut(unsure.where(F.col("bits") <= limit(SIMILARITY, 4)).unionByName(again).distinct())
     doubtful = compared.where(~sure).select("src", "dst")
     sides = doubtful.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
     first = rows.join(sides, "set").groupBy("set").agg(F.min(F.struct("id", "mark")).alias("at")).select("set", "at.*")
@@ -276,7 +318,7 @@ def links(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str
     same = texts["id"].eqNullSafe(first["id"]) & (texts["mark"] == first["mark"])
     texts = cut(texts.join(first, same).groupBy("set").agg(F.first("t").alias("t")))
     exact = _both(doubtful, texts, "t").mapInArrow(_alike, "src long, dst long")
-    return cut(met.where("sure").select("src", "dst").unionByName(compared.where(sure).select("src", "dst")).unionByName(exact))
+    return cut(linked.where("sure").select("src", "dst").unionByName(compared.where(sure).select("src", "dst")).unionByName(exact))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

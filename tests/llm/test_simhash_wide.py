@@ -124,3 +124,39 @@ def test_defined_cases(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 3, 6, 8, 10]
     assert out.columns == ["doc_id", "text", "id", "set", "words", "mark"]
     assert wide.drop_near_copies(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [0.6, 0.69])
+def test_pages_of_one_template_hide_no_near_copies(spark, shared):
+    """Pairs at 0.8 to 0.9 among pages that are all like each other at `shared`,
+    in small batches and two layouts; the truth is plain Jaccard."""
+    rng = random.Random(11)
+    own = round(400 * (1 - shared) / (1 + shared))
+    template = [f"t{i}" for i in range(400 - own)]
+    page = lambda: template + [f"w{rng.randrange(10**9)}" for _ in range(own)]
+    texts = {i: page() for i in range(1500)}
+    pairs = []
+    while len(pairs) < 60:
+        words = page()
+        other = edited(rng, words, rng.uniform(0.010, 0.022))
+        if 0.8 <= similarity(brute_shingles(" ".join(words)), brute_shingles(" ".join(other))) <= 0.9:
+            pairs.append((len(texts), len(texts) + 1))
+            texts |= dict(zip(pairs[-1], (words, other), strict=True))
+    assert abs(similarity(brute_shingles(" ".join(texts[0])), brute_shingles(" ".join(texts[1]))) - shared) < 0.03
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    former = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        found = []
+        for layout in (1, 2):
+            order = list(texts)
+            random.Random(layout).shuffle(order)
+            df = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string").repartition(3 + layout)
+            got = {r["id"]: r["component"] for r in wide.groups(df).collect()}
+            found.append({frozenset(i for i in got if got[i] == c) for c in set(got.values())})
+    finally:
+        spark.conf.set(key, former)
+    assert found[0] == found[1]
+    place = {i: g for g in found[0] for i in g}
+    assert sum(place[a] == place[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(len(place[i]) == 1 for i in range(1500))
