@@ -1,9 +1,11 @@
 """Language identification by segmentation-marginalised unigrams.
 
 The pieces come from a fixed public vocabulary file (its path is a parameter).
-Each language has a probability for every piece. A word's probability is the
-sum over all ways to cut it into pieces, by the forward algorithm; a text's is
-the product over its words, and the languages' posterior gives the answer.
+It is one of bytes, so words are cut over their UTF-8 bytes: pieces may be parts
+of a letter, and no letter of any script is unknown. Each language has a
+probability for every piece. A word's probability is the sum over all ways to
+cut it into pieces, by the forward algorithm; a text's is the product over its
+words, and the languages' posterior gives the answer.
 Words are runs of letters (Unicode categories L), split by the same code when
 learning and when predicting.
 
@@ -11,7 +13,7 @@ Learning: at most `per_language` labelled training rows of each language,
 chosen by the hash of their id, have all their words counted by Spark;
 expectation maximisation, one task for each language, sets the piece
 probabilities. A run of over TAUGHT letters, as scripts without blanks have,
-teaches as consecutive runs of that length. Prediction covers every whole text:
+teaches as consecutive runs of that length (it is scored whole). Prediction covers every whole text:
 words are scored once for each worker and remembered, unknown ones together in
 array operations.
 
@@ -46,10 +48,11 @@ from lodestar.llm.common import cut, held_out, sized_broadcast
 PER_LANGUAGE, ROUNDS = 400, 4
 #: Languages that a model can hold; more are an error.
 MAX_LANGUAGES = 500
-#: Characters that a piece can have (more are an error), and of a text split at a time.
-LONGEST, SLICE = 64, 1 << 16
-#: Letters of a run that are learned from together.
-TAUGHT = 32
+#: Bytes that a piece can have (more are an error), and characters of a text split at a time.
+LONGEST, SLICE = 128, 1 << 16
+#: Letters of a run that are learned from together, and bytes of a word whose
+#: probabilities need no weighing.
+TAUGHT, PLAIN = 32, 24
 #: Word scores that a worker remembers; when full, it starts anew. Words of over
 #: LONG letters are never remembered.
 REMEMBERED, LONG = 200_000, 64
@@ -70,19 +73,29 @@ def letters(narrow: bool = False) -> re.Pattern[str]:
     return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]+")
 
 
+def units(word: str) -> str:
+    """A word's UTF-8 bytes, each as the character of its number."""
+    return word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
+
+
 def read_pieces(path: str) -> list[str]:
-    """Lower-case letter pieces of a rank file (base64 and rank on each line)."""
+    """The pieces of a rank file (base64 and rank on each line) that can lie in a
+    word: bytes of letters, and bytes beyond ASCII, whole letters or not. Blanks
+    around a piece are dropped, and what can be is lower-cased."""
     found = set()
     with open(path, "rb") as f:
         for line in f:
-            try:
-                text = base64.b64decode(line.split()[0]).decode().strip().lower()
-            except (UnicodeDecodeError, IndexError):
+            if not line.split():
                 continue
-            if text.isalpha():
-                found.add(text)
+            piece = base64.b64decode(line.split()[0]).strip()
+            try:
+                piece = piece.decode().lower().encode()
+            except UnicodeDecodeError:
+                piece = piece.lower()
+            if piece and all(c >= 0x80 or 97 <= c <= 122 for c in piece):
+                found.add(piece.decode("latin-1"))
     if max(map(len, found), default=0) > LONGEST:
-        raise ValueError(f"a piece has over {LONGEST} letters")
+        raise ValueError(f"a piece has over {LONGEST} bytes")
     return sorted(found)
 
 
@@ -138,7 +151,7 @@ class Pieces:
         return out
 
     def at(self, prefix: np.ndarray, i: int, length: int) -> np.ndarray:
-        """Index of the piece that covers i - length to i; n (a single letter
+        """Index of the piece that covers i - length to i; n (a single byte
         outside the vocabulary) or n + 1 (no piece) where there is none."""
         h = prefix[:, i] - prefix[:, i - length] * self.powers[length]
         out = np.full(len(h), self.n if length == 1 else self.n + 1)
@@ -150,7 +163,7 @@ class Pieces:
 
 
 def log_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
-    """Log probability of each word under each language, all cuts summed."""
+    """Log probability of each word (as `units`) under each language, all cuts summed."""
     out = np.zeros((len(words), table.shape[1]))
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for _, group in itertools.groupby(order, key=lambda i: len(words[i])):
@@ -174,7 +187,9 @@ def log_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarra
 
 def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Expectation maximisation for one language; the last two entries are the
-    letter outside the vocabulary and no piece."""
+    byte outside the vocabulary and no piece. Each byte of a word is weighed so
+    that the word's probability is 1, which changes no share of its cuts and
+    keeps the sums within the range of doubles."""
     n = pieces.n
     p = np.full(n + 2, 1.0 / (n + 1))
     p[-1] = 0
@@ -195,16 +210,21 @@ def learn_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: i
         seen = np.zeros(n + 2)
         for at, (width, group, _) in enumerate(groups):
             found, weight = kept[at] if kept else found_in(width, group), counts[group]
+            chance = {at: p[where] for at, where in found.items()}
+            if width > PLAIN:
+                logs = log_scores(pieces, p[:, None], [words[i] for i in group])[:, 0]
+                powers = np.exp(-logs / width)[None, :] ** np.arange(pieces.longest + 1)[:, None]
+                chance = {(i, k): x * powers[k] for (i, k), x in chance.items()}
             forward = [np.ones(len(weight))]
             for i in range(1, width + 1):
-                forward.append(sum(forward[i - k] * p[found[i, k]] for k in range(1, min(pieces.longest, i) + 1)))
+                forward.append(sum(forward[i - k] * chance[i, k] for k in range(1, min(pieces.longest, i) + 1)))
             backward = [np.ones(len(weight))]
             for i in range(width - 1, -1, -1):
-                backward.append(sum(backward[width - i - k] * p[found[i + k, k]] for k in range(1, min(pieces.longest, width - i) + 1)))
+                backward.append(sum(backward[width - i - k] * chance[i + k, k] for k in range(1, min(pieces.longest, width - i) + 1)))
             backward.reverse()
             share = weight / np.maximum(forward[width], 1e-300)
             for (i, k), where in found.items():
-                seen += np.bincount(where, share * forward[i - k] * p[where] * backward[i], n + 2)
+                seen += np.bincount(where, share * forward[i - k] * chance[i, k] * backward[i], n + 2)
         seen[-1] = 0
         p = (seen + SMOOTH) / (seen.sum() + SMOOTH * (n + 1))
         p[-1] = 0
@@ -239,7 +259,7 @@ def train(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "te
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("word")
-        p = learn_pieces(Pieces(sent.value), group["word"].tolist(), group["n"].to_numpy(float))
+        p = learn_pieces(Pieces(sent.value), [units(w) for w in group["word"]], group["n"].to_numpy(float))
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "p": [p]})
 
     learned = counted.groupBy("lang").applyInPandas(learn, "lang string, p array<double>").orderBy("lang").toArrow()
@@ -280,7 +300,7 @@ class Scorer:
         long = {w for w in words if len(w) > LONG}
         if long:
             found = list(long)
-            scored = dict(zip(found, log_scores(self.pieces, self.table, found), strict=True))
+            scored = dict(zip(found, log_scores(self.pieces, self.table, [units(w) for w in found]), strict=True))
             for i, some in gathered:
                 for w in long.intersection(some):
                     total[i] += scored[w] * some.count(w)
@@ -294,7 +314,7 @@ class Scorer:
             self.scores = np.zeros((len(missing), self.scores.shape[1]))
         new, begin = list(missing), len(self.known)
         if new:
-            self.scores[begin : begin + len(new)] = log_scores(self.pieces, self.table, new)
+            self.scores[begin : begin + len(new)] = log_scores(self.pieces, self.table, [units(w) for w in new])
             self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
         for i, some in gathered:
             total[i] += self.scores[np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))].sum(0)

@@ -132,3 +132,35 @@ def test_learning_in_parts_changes_nothing(monkeypatch):
     whole = langid.learn_pieces(held, words, counts)
     monkeypatch.setattr(langid, "HELD", 64)
     assert np.allclose(langid.learn_pieces(held, words, counts), whole)
+
+
+def test_scripts_that_the_vocabulary_has_no_letters_of(spark):
+    """Languages whose letters are no pieces, only their bytes are."""
+    import random
+
+    rng = random.Random(5)
+    scripts = {"ka": (0x10D0, 33), "am": (0x1200, 60), "te": (0x0C05, 40), "lo": (0x0E81, 30), "x1": (0x10D0, 33)}
+    weights = {lang: [rng.random() ** 3 + 0.01 for _ in range(n)] for lang, (_, n) in scripts.items()}
+
+    def text(lang):
+        first, n = scripts[lang]
+        return " ".join("".join(c for c in map(chr, rng.choices(range(first, first + n), weights[lang], k=rng.randint(2, 9)))) for _ in range(60))
+
+    rows = [(i, text(lang := list(scripts)[i % 5]), lang) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(df, PIECES).where("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) > 40 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in found)
+
+
+def test_all_bytes_of_letters_are_pieces():
+    pieces = langid.read_pieces(PIECES)
+    assert {chr(c) for c in [*range(97, 123), *range(0x80, 0x100)]} <= set(pieces)
+    assert langid.units("né") == "nÃ©" and langid.units("abc") == "abc"
+
+
+def test_weighing_changes_no_share(monkeypatch):
+    words = ["ab", "abc", "abab", "cab", "b" * 32, "abcabc"]
+    held, counts = langid.Pieces(["a", "ab", "b", "bc", "abc"]), np.arange(1.0, 7)
+    plain = langid.learn_pieces(held, words, counts)
+    monkeypatch.setattr(langid, "PLAIN", 0)
+    assert np.allclose(langid.learn_pieces(held, words, counts), plain)
