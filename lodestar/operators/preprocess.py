@@ -174,20 +174,23 @@ def power_column(x: Column, lam: float) -> Column:
 
 def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int = 1000, min_frequency: int | None = None, max_categories: int | None = None) -> Fitted:
     """One pass of aggregates for the numbers, one count for each categorical
-    column. `power` searches its exponent in passes over all rows;
-    `quantile` takes its references within a tenth of their spacing."""
+    column. `power` searches its exponent in passes over all rows; `quantile`
+    takes exact quantiles of the filled column as its references."""
     if scaler not in SCALERS:
         raise ValueError(f"unknown scaler {scaler!r}")
     if not schema.numeric and not schema.categorical:
         raise ValueError("no features")
     out = Fitted(schema, scaler)
     if schema.numeric:
-        quartiles = exact_quantiles(df, list(schema.numeric), [0.25, 0.5, 0.75] if scaler == "robust" else [0.5])
-        out.median = {c: 0.0 if v[0] is None else v[len(v) // 2] for c, v in quartiles.items()}
+        steps = [i / (references - 1) for i in range(references)]
+        wanted = {"robust": [0.25, 0.5, 0.75], "quantile": [*steps, 0.5]}.get(scaler, [0.5])
+        quartiles = exact_quantiles(df, list(schema.numeric), wanted)
+        out.median = {c: 0.0 if v[0] is None else v[wanted.index(0.5)] for c, v in quartiles.items()}
         filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(out.median[c])).alias(c) for c in schema.numeric))
         if scaler == "quantile":
-            steps = [i / (references - 1) for i in range(references)]
-            out.quantiles = filled.agg(*(F.percentile_approx(c, steps, 10 * references).alias(c) for c in schema.numeric)).first().asDict()
+            holes = _holes(df, schema.numeric)
+            found = quartiles | (exact_quantiles(filled, holes, steps) if holes else {})
+            out.quantiles = {c: [x or 0.0 for x in v[:references]] for c, v in found.items()}
         elif scaler == "power":
             out.lam = _power_fits(filled)
             moved = filled.select(*(power_column(F.col(c), out.lam[c]).alias(c) for c in schema.numeric))
@@ -195,8 +198,7 @@ def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int
         elif scaler == "standard":
             _standard(filled, out)
         elif scaler == "robust":
-            missing = df.agg(*(F.max(F.col(c).cast("double").isNull()).alias(c) for c in schema.numeric)).first().asDict()
-            holes = [c for c, some in missing.items() if some]  # filling moves the quartiles of these alone
+            holes = _holes(df, schema.numeric)
             found = quartiles | (exact_quantiles(filled, holes, [0.25, 0.5, 0.75]) if holes else {})
             out.shift = {c: v[1] or 0.0 for c, v in found.items()}
             out.scale = {c: _ratio(v[2] - v[0]) if v[0] is not None else 1.0 for c, v in found.items()}
@@ -210,6 +212,12 @@ def fit(df: DataFrame, schema: Schema, scaler: str = "quantile", references: int
     return out
 
 
+def _holes(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    """Columns with nulls; filling moves the quantiles of these alone."""
+    missing = df.agg(*(F.max(F.col(f"`{c}`").cast("double").isNull()).alias(str(i)) for i, c in enumerate(columns))).first()
+    return [c for i, c in enumerate(columns) if missing[i]]
+
+
 def _standard(df: DataFrame, out: Fitted) -> None:
     row = df.agg(*(F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in df.columns)).first().asDict()
     out.shift = {c: v[0] or 0.0 for c, v in row.items()}

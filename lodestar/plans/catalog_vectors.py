@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.session import cut
 from lodestar.functions.vectors import mean_vectors, total, vector_sums
 from lodestar.operators import calibration, graph, maps, prototypes, scoring
+from lodestar.operators.ledger import Ledger
 from lodestar.operators.maps import Map
 from lodestar.operators.prototypes import Bank
 from lodestar.plans.registry import query, table
@@ -361,10 +362,51 @@ def score_relative_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {PLANE} SELECT label, round(n, 6) AS n, round(vaa, 6) AS aa, round(vab, 6) AS ab, round(vbb, 6) AS bb FROM m""")
+@query(f"""WITH {V}, l AS (SELECT row_id, label, unnest(x) AS c, generate_subscripts(x, 1) - 1 AS j FROM v)
+SELECT a.label, CAST(a.j AS INTEGER) AS j, CAST(b.j AS INTEGER) AS k, round(covar_pop(a.c, b.c), 6) AS cov FROM l a JOIN l b USING (row_id) GROUP BY a.label, a.j, b.j""")
 def weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = prototypes.build(plane(spark, sf_dir), unit="label", second=True)
-    return built.select("label", F.round("weight", 6).alias("n"), *(F.round(F.col("cov")[i], 6).alias(c) for i, c in ((0, "aa"), (1, "ab"), (3, "bb"))))
+    """Each class's covariance, all coordinates."""
+    built = prototypes.build(vectors(spark, sf_dir), unit="label", second=True)
+    width = F.sqrt(F.size("cov")).cast("int")
+    return built.select("label", width.alias("width"), F.posexplode("cov").alias("at", "cov")).select("label", F.floor(F.col("at") / F.col("width")).cast("int").alias("j"), (F.col("at") % F.col("width")).cast("int").alias("k"), F.round("cov", 6).alias("cov"))
+
+
+def full_bank(spark: SparkSession, sf_dir: str) -> Bank:
+    return Bank.of(prototypes.build(base_rows(spark, sf_dir), unit="label", second=True))
+
+
+@query()
+def whitening_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the inverse root of the within-class scatter of all coordinates."""
+    rows = vectors(spark, sf_dir)
+    n, within = _within(rows)
+    white = maps.apply(rows, Map("identity", len(within), after=maps.whitening(within, n)))
+    return white.select("row_id", "label", F.transform("phi", lambda x: F.round(x, 6)).alias("white"))
+
+
+@query()
+def soft_null_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight directions of all coordinates in which classes scatter least."""
+    ledger = Ledger.of(vectors(spark, sf_dir).withColumn("w", F.lit(1.0)), "label", "x")
+    total, within = ledger.scatters()
+    found = maps.soft_null(total, within, 8, null_share=0.0)
+    return spark.createDataFrame([(i, float(v), found.matrix[:, i].tolist()) for i, v in enumerate(found.spectrum)], "i int, scatter double, axis array<double>")
+
+
+@query()
+def score_mahalanobis_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances under each prototype's covariance of all coordinates, shrunk by its support."""
+    b = full_bank(spark, sf_dir)
+    found = scoring.predict(vectors(spark, sf_dir), b, scoring.Rule("mahalanobis", precision=prototypes.precisions(b)), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query()
+def score_relative_mahalanobis_all_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class distance less background distance, all coordinates."""
+    behind = prototypes.background(base_rows(spark, sf_dir))
+    found = scoring.predict(vectors(spark, sf_dir), full_bank(spark, sf_dir), scoring.Rule("relative_mahalanobis", precision=behind[1], background=behind), 1.0)
+    return found.select("row_id", F.col("best_class_label").alias("label"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT ln(greatest(median(weight), 2)) AS k FROM pr), b AS (SELECT row_id, arg_min(p, s) AS p, arg_min(weight, s) AS w, min(s) AS s FROM sc GROUP BY row_id)

@@ -135,3 +135,15 @@ def test_thresholds_by_grid_against_plain_search(spark):
     assert calibration.grid_search(table(pos), table(neg), 0.1, 0.7, 9.0) == pytest.approx(max(good))
     assert calibration.grid_search(table(pos), table(neg), 1e-9, 0.7, 9.0) == pytest.approx(np.quantile(pos, 0.7))
     assert calibration.grid_search(table(pos[:0]), table(neg[:0]), 0.1, 0.7, 9.0) == 9.0
+
+
+def test_references_are_exact_quantiles_of_the_filled_column(spark):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.exponential(size=5000), 2)
+    y = [None if h else float(v) for v, h in zip(rng.normal(size=5000), rng.random(5000) < 0.2, strict=True)]
+    df = spark.createDataFrame([(float(a), b) for a, b in zip(x, y, strict=True)], "x double, y double").repartition(3)
+    fitted = preprocess.fit(df, preprocess.infer_schema(df, "none"), "quantile", references=100)
+    steps = np.linspace(0, 1, 100)
+    filled = np.array([fitted.median["y"] if v is None else v for v in y])
+    assert np.allclose(fitted.quantiles["x"], np.quantile(x, steps)) and np.allclose(fitted.quantiles["y"], np.quantile(filled, steps))
+    assert fitted.median["y"] == pytest.approx(np.median([v for v in y if v is not None]))
