@@ -1,5 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
+A word of over LONG characters, as texts without blanks are made of, counts as
+that many words of one character, so runs of characters are compared there.
 Words are hashed, runs of `k` words get a rolling (cyclic polynomial) hash, and
 of every `w` consecutive hashes the smallest is chosen, the rightmost of equal
 ones. A choice is kept once, with its position, so any run of w + k - 1 words
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import unique_name
 
 K, W = 2, 2
+#: Characters of a word from which on each of them is a word.
+LONG = 12
 MAX_BUCKETS = 1 << 16
 LOW = (1 << 31) - 1
 
@@ -52,6 +56,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W)
         raise ValueError("the window is a power of two")
     step = unique_name(df, "_step")
     df = df.withColumn(step, F.filter(F.split(F.col(text), r"\s+"), lambda x: x != ""))
+    is_long = lambda x: F.char_length(x) > LONG
+    parted = F.flatten(F.transform(F.col(step), lambda x: F.when(is_long(x), F.split(x, "")).otherwise(F.array(x))))
+    df = df.withColumn(step, F.when(F.exists(F.col(step), is_long), parted).otherwise(F.col(step)))
     df = df.withColumn(step, F.transform(F.col(step), lambda x: F.xxhash64(x)))
 
     def gram(x: Column, i: Column) -> Column:

@@ -11,8 +11,13 @@ def hashed(spark, words):
     return {r[0]: r[1] & (1 << 64) - 1 for r in rows}
 
 
+def parted(text):
+    """Words, and the characters of long ones."""
+    return [x for w in text.split() for x in (w if len(w) > winnowing.LONG else [w])]
+
+
 def brute(text, of, k=winnowing.K, w=winnowing.W):
-    words = text.split()
+    words = parted(text)
     rot = lambda x, n: (x << n | x >> (64 - n)) & (1 << 64) - 1 if n else x
     grams = []
     for i in range(max(len(words) - k + 1, min(len(words), 1))):
@@ -37,7 +42,7 @@ def like(a, b):
 
 @pytest.mark.parametrize("buckets", [1, 3, 64])
 def test_matches_brute_force(spark, sample, texts, buckets):
-    some = dict(sorted(texts.items())[:40]) | {1000: "", 1001: "one", 1002: "one two three four", 1003: "a a a a a a a a a a a a a a a a a a a a a a"}
+    some = dict(sorted(texts.items())[:40]) | {1000: "", 1001: "one", 1002: "one two three four", 1004: "北京大学是一所著名的大学，位于中国北京市海淀区𝛼𝛽。" * 3, 1005: "abcdefghijklm short abcdefghijkl", 1003: "a a a a a a a a a a a a a a a a a a a a a a"}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(5)
     found = {r["doc_id"]: r for r in winnowing.fingerprint_documents(df, buckets=buckets).collect()}
     order = sorted(some, reverse=True)
@@ -45,7 +50,7 @@ def test_matches_brute_force(spark, sample, texts, buckets):
     for i, d in enumerate(order):
         text, following = some[d], some[order[(i + 1) % len(order)]]
         edited[d] = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
-    of = hashed(spark, {w for t in [*some.values(), *edited.values()] for w in t.split()})
+    of = hashed(spark, {w for t in [*some.values(), *edited.values()] for w in parted(t)})
     for i, d in enumerate(order):
         own, changed, following = brute(some[d], of), brute(edited[d], of), brute(some[order[(i + 1) % len(order)]], of)
         r = found[d]
@@ -77,3 +82,12 @@ def test_defined_cases(docs, nothing, spark):
 def test_plan_is_native(sample):
     plan = winnowing.fingerprint_documents(sample)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_half_changed_texts_without_blanks_share_entries(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randint(30, 200)))) for i in range(60)]
+    found = winnowing.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["near_edited"] > 0 for r in found) >= 54 and all(r["near_next"] < 0.05 for r in found)
