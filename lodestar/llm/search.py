@@ -72,11 +72,27 @@ def impacts(tf: np.ndarray, n: np.ndarray, documents: int, total: int) -> np.nda
     return 10**9 * tf // (1000 * tf + 12 * (75 + 25 * n * documents // total))
 
 
+def terms_in(text: memoryview) -> int:
+    """How many terms a text has: bytes of terms that follow none."""
+    n, before = 0, False
+    for at in range(0, len(text), SLICE):
+        inside = np.frombuffer(bytes(text[at : at + SLICE]).translate(WORDS), np.uint8) != 32
+        n += int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(inside[0] and not before)
+        before = bool(inside[-1])
+    return n
+
+
 def statistics(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """N and L."""
-    n = F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    row = df.select(n.cast("long").alias("n")).where(F.col("n") > 0).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
-    return row["docs"], row["terms"] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms_in(memoryview(t.as_buffer())) for t in batch.column(0).drop_null()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in found)], pa.int64()), pa.array([sum(found)], pa.int64())], names=["docs", "terms"])
+
+    counted = df.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "docs long, terms long")
+    row = counted.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return row["docs"] or 0, row["terms"] or 0
 
 
 def _segment(ids: list, lengths: list[int], terms: list[bytes], tfs: list[int], sizes: list[int], documents: int, total: int) -> pa.RecordBatch:

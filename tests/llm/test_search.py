@@ -82,7 +82,8 @@ def test_terms_across_slices(monkeypatch):
     assert whole == Counter(t.encode() for t in terms(text))
     for size in (1, 3, 7, 64):
         monkeypatch.setattr(search, "SLICE", size)
-        assert search.counted(text.encode()) == whole
+        assert search.counted(text.encode()) == whole and search.terms_in(memoryview(text.encode())) == whole.total()
+    assert search.terms_in(memoryview(b"")) == 0 == search.terms_in(memoryview(b" .!"))
 
 
 def test_nulls_clashing_names_and_empty_tables(spark, docs, nothing):
