@@ -317,8 +317,7 @@ def conflicting_classes(support: DataFrame, accepted: list[str], most: float, ve
     asked = visits.join(F.broadcast(slices), "cell").select("unit_id", "cell", F.pmod(F.xxhash64("unit_id"), "slices").cast("int").alias("slice"), F.lit(True).alias("own"))
     there = cells.join(F.broadcast(slices), "cell").select("unit_id", "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("own"))
     met = asked.unionByName(there).join(units, "unit_id")
-    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = met.repartition(tasks, "cell", "slice").groupBy("cell", "slice").applyInArrow(_judged(most), "label string")
+    found = met.groupBy("cell", "slice").applyInArrow(_judged(most), "label string")
     return sorted(r["label"] for r in found.distinct().collect())
 
 

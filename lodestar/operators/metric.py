@@ -259,19 +259,14 @@ FIRST = f"a long, b long, found {FOUND}, of string, v array<double>, far double,
 def _met(index: Index, queries: DataFrame, k: int, upper, first: bool) -> DataFrame:
     """Queries (ball, of, a, b, v, far) against the members of their balls; a
     ball with more than SLICE of them meets them in several tasks."""
-    spark = queries.sparkSession
     counts = queries.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).select("ball", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     counts = F.broadcast(cut(counts))  # a row for each ball
     asked = queries.join(counts, "ball").select("ball", F.pmod(F.xxhash64("a", "b"), "slices").cast("int").alias("slice"), "of", F.lit(None).cast("string").alias("label"), "a", "b", F.lit(None).cast("array<long>").alias("ids"), "v", "far")
     there = index.members.join(counts, "ball").select("ball", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "of", "label", "a", "b", "ids", "v", F.lit(None).cast("double").alias("far"))
-    groups = asked.unionByName(there).repartition(_tasks(spark), "ball", "slice").groupBy("ball", "slice")
+    groups = asked.unionByName(there).groupBy("ball", "slice")
     return groups.applyInArrow(_meeting(k, upper, first, False), FIRST if first else f"a long, b long, found {FOUND}")
 
 
-def _tasks(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _forwarded(index: Index, met: DataFrame, k: int, upper) -> DataFrame:
     """a, b, found: after the visits that bounds do not exclude, the k best ids."""
     if all(c.balls.sum() <= 1 for c in index.cells.values()):
@@ -288,7 +283,7 @@ def within(index: Index, k: int) -> DataFrame:
     ids among them."""
     spark = index.members.sparkSession
     upper = spark.sparkContext.broadcast(index.cells)
-    groups = index.members.withColumn("far", F.lit(None).cast("double")).repartition(_tasks(spark), "ball").groupBy("ball")
+    groups = index.members.withColumn("far", F.lit(None).cast("double")).groupBy("ball")
     return _forwarded(index, groups.applyInArrow(_meeting(k, upper, True, True), FIRST), k, upper)
 
 

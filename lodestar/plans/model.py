@@ -7,10 +7,10 @@ new model of the next version; the old one stays valid until it is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,19 +125,34 @@ def build_support(phi: DataFrame, config: ModelConfig, now: float = 0.0) -> Data
     return admission.trim(rows, ["unit_id"], config.unit_rows, config.trim)
 
 
-def _augmented(phi: DataFrame, least: int, seed: int) -> DataFrame:
-    """Drawn rows (negative ids) for classes of under `least` rows; only those
-    classes, so at most `least` rows, meet in a task."""
-    small = phi.groupBy("label").count().where(F.col("count") < least).select("label")
+#: Rows that are drawn together.
+DRAWN = 1024
 
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        label = rows["label"].iloc[0]
-        x = np.stack(rows.sort_values("row_id")["phi"].to_numpy())
-        made = maps.augment(x, least, 1e-6, np.random.default_rng([seed, *label.encode()]))[len(x) :]
-        base = int(rows["row_id"].min()) * least
-        return pd.DataFrame({"row_id": [-(base + i + 1) for i in range(len(made))], "label": label, "phi": list(made)})
 
-    return phi.join(small, "label", "left_semi").select("row_id", "label", "phi").groupBy("label").applyInPandas(draw, "row_id long, label string, phi array<double>")
+def _augmented(phi: DataFrame, least: int, seed: int, regular: float = 1e-6) -> DataFrame:
+    """Drawn rows (negative ids) that fill classes of under `least` rows from
+    the Gaussian of their moments. A class meets as sums only, and its draws
+    are dealt in blocks, each with a seed of its own."""
+    small = phi.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first")).where(F.col("n") < least)
+    own = phi.join(small.select("label"), "label", "left_semi")
+    sums = vector_sums(own, ["label"], "phi", second=True).drop("n").join(small.select("label", "first"), "label")
+    blocks = sums.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((least - F.col("rows") - 1) / DRAWN).cast("int"))))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, width = r["rows"], len(r["s1"])
+                mean = np.array(r["s1"]) / n
+                spread = np.array(r["s2"]).reshape(width, width) / n - np.outer(mean, mean)
+                values, axes = np.linalg.eigh((spread + spread.T) / 2)
+                root = axes * np.sqrt(np.maximum(values, 0.0) + regular)
+                start = r["block"] * DRAWN
+                size = min(DRAWN, least - n - start)
+                x = mean + np.random.default_rng([seed, r["block"], *(r["label"] or "").encode()]).standard_normal((size, width)) @ root.T
+                ids = -(r["first"] * least + 1 + np.arange(start, start + size))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r["label"]] * size, pa.string()), pa.array(list(x), pa.list_(pa.float64()))], names=["row_id", "label", "phi"])
+
+    return blocks.select("label", "rows", "s1", "s2", "first", "block").mapInArrow(draw, "row_id long, label string, phi array<double>")
 
 
 def ledger_of(support: DataFrame, config: ModelConfig) -> Ledger:
