@@ -13,18 +13,19 @@ share p of bits, cos(pi p) = 2 s / (1 + s), and meet in a band with a chance of
 about (1 - p)^26; `BANDS` is chosen so that at 0.8 nine pairs in ten meet.
 At an anchor 64 further bits tell chance meetings off. What remains is compared
 on all bits (standard error of the similarity about 0.012); links within four
-errors of the limit are settled by the shingle sets of the texts themselves.
+errors of the limit are settled by the shingle sets of the texts themselves,
+unless surer links join their texts already.
 
 Only distinct shingle sets are sent. Of what is at an anchor leaders are held: a
 row links to all leaders before it that it is near, and leads if there is none.
-Every batch does so before the exchange, on whole fingerprints and by sure links
+Every batch does so before the exchange, on whole fingerprints and by likely links
 only, and sends its leaders and spanning links alone, so a dense group of any
 size crowds no anchor and does not yield all its pairs. At an anchor the check
-decides who meets. Where a meeting turns out not to be sure, as among the pages
+decides who meets. Where a meeting turns out not to be likely, as among the pages
 of one template, a leader has covered rows that are not like it; so all rows of
 such an anchor meet once more with their whole fingerprints, and there again
-only sure links cover. What travels twice is linear in the rows of such anchors.
-A link between a row that a sure link covers and a row that its leader is not
+only likely links cover: those whose fingerprints tell 0.8 or more. What travels twice is linear in the rows of such anchors.
+A link between a row that a likely link covers and a row that its leader is not
 near is found only in bands where the former leads.
 
 Defined cases: null texts count as empty; texts without words have equal sets and
@@ -55,6 +56,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, CHECK = 164, 2
 #: Differing bits of the 64 of the check up to which a meeting is looked at.
 MEET = 18
+#: Standard errors from the limit within which a link covers.
+COVER = 0
 #: Size of the hashed count vector, and texts turned at once.
 DIM, TOGETHER = 8192, 16
 MIX = 0x9E3779B97F4A7C15
@@ -191,7 +194,7 @@ def _sent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, a, b: a set and its check at each anchor that it leads in its batch;
     a link between sets under a negative key, odd if it is sure. Of the sure ones
     those that span their groups are sent."""
-    most, sure = limit(SIMILARITY, 4), limit(SIMILARITY, -4)
+    most, cover, sure = limit(SIMILARITY, 4), limit(SIMILARITY, COVER), limit(SIMILARITY, -4)
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -202,7 +205,7 @@ def _sent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in _runs(keys[order]):
             cells = order[start:end]
             members = cells // BANDS
-            free, found = _led(words[members], most, sure)
+            free, found = _led(words[members], most, cover)
             leads[cells[~free]] = False
             links += [np.stack([members[near], np.full(len(near), members[i]), bits], 1) for near, i, bits in found]
         at = np.flatnonzero(leads)
@@ -254,7 +257,7 @@ def _met(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links by whole fingerprints of the rows of each anchor (key, set, words);
     only sure ones cover."""
-    most, sure = limit(SIMILARITY, 4), limit(SIMILARITY, -4)
+    most, cover = limit(SIMILARITY, 4), limit(SIMILARITY, COVER)
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS + CHECK), np.uint32))
     for batch in rows:
         if not batch.num_rows:
@@ -264,7 +267,7 @@ def _again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = np.ones(len(key), bool)
         out = [(np.zeros(0, np.int64),) * 3]
         for start, end in _runs(key):
-            free[start:end], found = _led(words[start:end], most, sure)
+            free[start:end], found = _led(words[start:end], most, cover)
             out += [(name[start + near], np.full(len(near), name[start + i]), bits) for near, i, bits in found]
         last = free & (key == key[-1])
         held = (key[last], name[last], words[last])
@@ -296,7 +299,8 @@ def _both(links: DataFrame, sides: DataFrame, value: str) -> DataFrame:
 
 
 def links(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """src, dst: sets of shingles whose similarity is `SIMILARITY` or more."""
+    """src, dst: sets of shingles whose similarity is `SIMILARITY` or more, as
+    many as join all that such links join."""
     nodes = cut(rows.groupBy("set").agg(F.first("words").alias("words")))
     sent = nodes.mapInArrow(_sent, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
     met = cut(sent.mapInArrow(_met, "kind long, key long, src long, dst long").distinct())
@@ -305,12 +309,17 @@ def links(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str
     linked = named.where(F.col("kind") != MEMBER).groupBy("src", "dst").agg((F.min("kind") == SURE).alias("sure"))
     unsure = cut(_both(linked.where("NOT sure"), nodes, "words").mapInArrow(_differing, "src long, dst long, bits int"))
     sure = F.col("bits") <= limit(SIMILARITY, -4)
-    open_ = named.where((F.col("kind") == UNSURE) & (F.col("key") >= 0)).join(unsure.where(~sure), ["src", "dst"]).select("key").distinct()
+    open_ = named.where((F.col("kind") == UNSURE) & (F.col("key") >= 0)).join(unsure.where(F.col("bits") > limit(SIMILARITY, COVER)), ["src", "dst"]).select("key").distinct()
     members = met.where(F.col("kind") == MEMBER).join(open_, "key", "left_semi").select("key", F.col("src").alias("set"))
     whole = members.join(nodes, "set").select("key", "set", "words").repartition("key").sortWithinPartitions("key", "set")
     again = whole.mapInArrow(_again, "src long, dst long, bits int").select(*pair("src", "dst"), "bits")
     compared = cut(unsure.where(F.col("bits") <= limit(SIMILARITY, 4)).unionByName(again).distinct())
-    doubtful = compared.where(~sure).select("src", "dst")
+    known = cut(linked.where("sure").select("src", "dst").unionByName(compared.where(sure).select("src", "dst")))
+    # A doubtful link within a group that sure links make joins nothing new.
+    group = cut(connected_components(known))
+    side = lambda end: group.select(F.col("node").alias(f"_{end}"), F.col("component").alias(f"of_{end}"))
+    placed = compared.where(~sure).join(side("src"), F.col("src") == F.col("_src"), "left").join(side("dst"), F.col("dst") == F.col("_dst"), "left")
+    doubtful = cut(placed.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst"))
     sides = doubtful.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
     first = rows.join(sides, "set").groupBy("set").agg(F.min(F.struct("id", "mark")).alias("at")).select("set", "at.*")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -318,7 +327,7 @@ def links(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str
     same = texts["id"].eqNullSafe(first["id"]) & (texts["mark"] == first["mark"])
     texts = cut(texts.join(first, same).groupBy("set").agg(F.first("t").alias("t")))
     exact = _both(doubtful, texts, "t").mapInArrow(_alike, "src long, dst long")
-    return cut(linked.where("sure").select("src", "dst").unionByName(compared.where(sure).select("src", "dst")).unionByName(exact))
+    return cut(known.unionByName(exact))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
