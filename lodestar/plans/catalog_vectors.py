@@ -363,12 +363,12 @@ def score_relative_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {V}, l AS (SELECT row_id, label, unnest(x) AS c, generate_subscripts(x, 1) - 1 AS j FROM v)
-SELECT a.label, CAST(a.j AS INTEGER) AS j, CAST(b.j AS INTEGER) AS k, round(covar_pop(a.c, b.c), 6) AS cov FROM l a JOIN l b USING (row_id) GROUP BY a.label, a.j, b.j""")
+SELECT a.label, CAST(a.j AS INTEGER) AS j, CAST(b.j AS INTEGER) AS k, round(covar_pop(a.c, b.c), 6) + 0.0 AS cov FROM l a JOIN l b USING (row_id) GROUP BY a.label, a.j, b.j""")
 def weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class's covariance, all coordinates."""
     built = prototypes.build(vectors(spark, sf_dir), unit="label", second=True)
     width = F.sqrt(F.size("cov")).cast("int")
-    return built.select("label", width.alias("width"), F.posexplode("cov").alias("at", "cov")).select("label", F.floor(F.col("at") / F.col("width")).cast("int").alias("j"), (F.col("at") % F.col("width")).cast("int").alias("k"), F.round("cov", 6).alias("cov"))
+    return built.select("label", width.alias("width"), F.posexplode("cov").alias("at", "cov")).select("label", F.floor(F.col("at") / F.col("width")).cast("int").alias("j"), (F.col("at") % F.col("width")).cast("int").alias("k"), (F.round("cov", 6) + 0.0).alias("cov"))
 
 
 def full_bank(spark: SparkSession, sf_dir: str) -> Bank:
