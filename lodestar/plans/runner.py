@@ -122,7 +122,7 @@ def _side_by_side(spark: SparkSession, jobs: list[Callable]) -> list:
         return jobs[i]()
 
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(run), i) for i in range(len(jobs))]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), i) for i in range(len(jobs))]]
 
 
 def predict_members(members: list[models.Model], df: DataFrame, how: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -242,7 +242,7 @@ def run_sweep(cells: dict[str, tuple[DataFrame, DataFrame, DataFrame, Experiment
         log.record({"tag": tag, **told})
 
     with ThreadPoolExecutor(max(1, parallel)) as pool:
-        waiting = {pool.submit(inheritable_thread_target(run), tag) for tag in cells if tag not in done}
+        waiting = {pool.submit(inheritable_thread_target(spark)(run), tag) for tag in cells if tag not in done}
         try:
             while waiting:
                 ended, waiting = wait(waiting, timeout=1.0 if limit is not None else None, return_when=FIRST_COMPLETED)
