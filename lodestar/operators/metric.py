@@ -129,12 +129,13 @@ def build(rows: DataFrame, depth: int, chunk: int = CHUNK) -> Index:
     several = {of: -(-n // chunk) for of, n in counts.items() if n > chunk}
     pivots: dict[str, np.ndarray] = {}
     if several:
-        wanted = F.broadcast(spark.createDataFrame(list(several.items()), "of string, cells long"))
-        order = Window.partitionBy("of").orderBy("a", "b")
-        some = rows.select("of", "a", "b", "v").withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= max(several.values())).join(wanted, "of").where(F.col("_r") <= F.col("cells"))
+        # About twice the pivots by a hash of the vector; copies of one are one before they meet.
+        shares = F.broadcast(spark.createDataFrame([(of, 2.0 * n / counts[of]) for of, n in several.items()], "of string, share double"))
+        some = rows.select("of", "a", "b", "v").join(shares, "of").where(F.pmod("a", F.lit(1 << 31)) < F.col("share") * (1 << 31))
         found: dict[str, list] = {}
-        for r in some.dropDuplicates(["of", "a", "b"]).orderBy("of", "a", "b").select("of", "v").collect():  # within PIVOT_BYTES
-            found.setdefault(r["of"], []).append(r["v"])
+        for r in some.groupBy("of", "a", "b").agg(F.first("v").alias("v")).orderBy("of", "a", "b").select("of", "v").collect():  # about twice PIVOT_BYTES
+            if len(own := found.setdefault(r["of"], [])) < several[r["of"]]:
+                own.append(r["v"])
         pivots = {of: np.array(v, float) for of, v in found.items()}
     empty = np.zeros(0)
     upper = spark.sparkContext.broadcast({of: Cells(empty, empty, empty, empty, p) for of, p in pivots.items()})
