@@ -256,8 +256,9 @@ def _met(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links by whole fingerprints of the rows of each anchor (key, set, words);
-    only sure ones cover."""
-    most, cover = limit(SIMILARITY, 4), limit(SIMILARITY, COVER)
+    likely ones cover. Of a batch's sure links those that span its groups are
+    told, with no differing bits, and of the doubtful ones those between groups."""
+    most, cover, sure = limit(SIMILARITY, 4), limit(SIMILARITY, COVER), limit(SIMILARITY, -4)
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS + CHECK), np.uint32))
     for batch in rows:
         if not batch.num_rows:
@@ -272,7 +273,14 @@ def _again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = free & (key == key[-1])
         held = (key[last], name[last], words[last])
         src, dst, bits = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(bits.astype(np.int32))], names=["src", "dst", "bits"])
+        names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        pairs = at.reshape(2, -1).T
+        spanning = _spanning(pairs[bits <= sure], len(names))
+        group = np.arange(len(names))
+        group[spanning[:, 0]] = spanning[:, 1]
+        apart = (bits > sure) & (group[pairs[:, 0]] != group[pairs[:, 1]])
+        told = np.concatenate([np.column_stack([spanning, np.zeros(len(spanning), np.int64)]), np.unique(np.column_stack([pairs, bits])[apart], axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(names[told[:, 0]]), pa.array(names[told[:, 1]]), pa.array(told[:, 2].astype(np.int32))], names=["src", "dst", "bits"])
 
 
 def _differing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
