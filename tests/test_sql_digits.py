@@ -1,6 +1,7 @@
 """Queries that have to round and add as their SQL does, on rows where it shows."""
 
 import duckdb
+import pytest
 
 from lodestar.plans.catalog import ORACLES, QUERIES
 
@@ -29,3 +30,15 @@ def test_missing_weights_and_times_are_dropped(spark):
 
     rows = spark.createDataFrame([(1, 1.0, 5), (2, None, 5), (3, 1.0, None)], "i int, w double, t long")
     assert [r["i"] for r in admission.decayed(rows, 10.0, 0.001, 0.5).collect()] == [1]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_step_down_values_equal_sql_at_halves(spark, tmp_path, partitions):
+    write(tmp_path, "SELECT i AS event_id, i % 1000 AS user_id, (i * 7919 + i // 1000) % 56021 / 100.0::DOUBLE AS value FROM range(0, 64000) t(i)")
+    if partitions > 1:
+        spark.read.parquet(f"{tmp_path}/events.parquet").repartition(partitions).write.parquet(f"{tmp_path}/more/events.parquet")
+    got = sorted(map(repr, map(tuple, QUERIES["holm_stepdown"](spark, f"{tmp_path}/more" if partitions > 1 else str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    assert got == sorted(map(repr, con.execute(ORACLES["holm_stepdown"]).fetchall()))
