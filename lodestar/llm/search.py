@@ -41,7 +41,7 @@ from lodestar.llm.common import fresh_path, read_table
 #: Bytes whose maximal runs are terms, lower-cased; all others part them.
 WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 #: Documents and postings after which a segment is closed; bytes read at once.
-DOCUMENTS, POSTINGS, SLICE = 4096, 1 << 20, 1 << 20
+DOCUMENTS, POSTINGS, SLICE = 4096, 1 << 19, 1 << 20
 #: The largest impact is under a million; a byte counts steps of it, rounded up.
 STEP = -(-1_000_000 // 255)
 #: Characters of item texts in one block of items.
@@ -139,7 +139,8 @@ def build(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     index = rows.mapInArrow(run, INDEX).withColumns({"documents": F.lit(documents).cast("long"), "total": F.lit(total).cast("long")})
-    index.write.option("parquet.block.size", 32 << 20).parquet(folder)
+    # A row group for each segment: neither the writer nor a reader of columns holds several.
+    index.write.option("parquet.block.row.count.limit", 1).parquet(folder)
     return folder
 
 

@@ -94,3 +94,16 @@ def test_nulls_clashing_names_and_empty_tables(spark, docs, nothing):
     empty = search.build(nothing, fresh_path(spark, "index"))
     assert search.search(spark.read.parquet(empty), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert search.search(spark.read.parquet(folder), nothing.select(nothing.doc_id.alias("item_id"), "text")).count() == 0
+
+
+def test_each_segment_is_a_row_group_of_its_own(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(search, "DOCUMENTS", 10)  # the JVM side is what counts: no writer or reader holds two segments
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "concat('term', id % 7, ' word', id) AS text")
+    folder = search.build(docs, str(tmp_path / "index"))
+    held = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(m.num_rows for m in held) == sum(m.num_row_groups for m in held) > 1
+    items = spark.createDataFrame([(1, "word13 term6")], "item_id long, text string")
+    found = search.search(spark.read.parquet(folder), items, 3).orderBy("rank").collect()
+    assert found[0]["doc_id"] == 13 and len(found) == 3
