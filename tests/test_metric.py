@@ -99,3 +99,30 @@ def test_hot_balls_are_met_in_slices(spark, monkeypatch):
     x = np.vstack([rng.normal(size=(400, 2)) * 0.01, rng.normal(size=(100, 2)) * 10])
     df = frame(spark, range(500), ["a"] * 500, x)
     assert lists(graph.nearest(df, 3, chunk=16)) == brute(list(range(500)), ["a"] * 500, x, 3)
+
+
+def test_queries_travel_once_a_shelf_where_bounds_exclude_nothing(spark, monkeypatch):
+    """Gaussian rows in many dimensions, of which every ball has to be seen."""
+    rng = np.random.default_rng(5)
+    n, width = 1500, 24
+    x = rng.normal(size=(n, width))
+    x[700:720] = x[3]
+    of = ["a" if i % 3 else "b" for i in range(n)]
+    df = frame(spark, range(n), of, x)
+    rows = cut(metric.marked(df.select(F.col("label").alias("of"), F.lit(None).cast("string").alias("label"), F.col("row_id").alias("id"), F.col("x").alias("v"))))
+    index = metric.build(rows, 4, 16)
+    shelf_bytes = 400 * width * 8
+    monkeypatch.setattr(metric, "SHELF_BYTES", shelf_bytes)
+    shelves = metric.Shelves.of(index)
+    assert len(shelves.first) - 1 <= 6 and index.members.agg(F.max("ball")).first()[0] > 40
+    upper, sent = (spark.sparkContext.broadcast(b) for b in (index.cells, shelves))
+    first = index.members.groupBy("ball").applyInArrow(metric._meeting(4, upper, True, True, sent), metric.FIRST)
+    assert first.agg(F.sum(F.size("visits"))).first()[0] <= n * (len(shelves.first) - 1)
+    assert lists(graph.nearest(df, 3, chunk=16)) == brute(list(range(n)), of, x, 3)
+    asked = frame(spark, range(60), [None] * 60, rng.normal(size=(60, width)))
+    found = {}
+    for e in scoring.nearest_references(asked, df, 5, chunk=16).collect():
+        found.setdefault(e["row_id"], []).append((e["d"], e["ref"]))
+    for r in asked.collect():
+        order = sorted((float(np.sqrt(((np.array(r["x"]) - x[j]) ** 2).sum())), j) for j in range(n))[:5]
+        assert [j for _, j in sorted(found[r["row_id"]])] == [j for _, j in order]
